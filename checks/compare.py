@@ -18,6 +18,13 @@ TABLES = (
 )
 
 
+# Spark type names and what the SQL side calls them.
+_KINDS = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for name in TABLES:
@@ -46,12 +53,18 @@ def difference(spark: SparkSession, connection, name: str, sf_dir: str) -> str |
     """None if both sides agree in names and rows, else what differs."""
     df = registry.queries()[name](spark, sf_dir)
     sql = registry.oracle_sql()[name]
-    cursor = connection.execute(sql)
-    names = [column[0] for column in cursor.description]
-    expected = _sorted_rows(names, cursor.fetchall())
+    relation = connection.sql(sql)
+    names = relation.columns
+    expected = _sorted_rows(names, relation.fetchall())
     found = _sorted_rows(df.columns, [tuple(row) for row in df.collect()])
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} instead of {sorted(names)}"
+    kinds = {name: str(kind) for name, kind in zip(names, relation.types)}
+    wrong_kinds = [
+        f"{name} {kind} instead of {kinds[name]}" for name, kind in df.dtypes if _KINDS.get(kind, kind) != kinds[name]
+    ]
+    if wrong_kinds:
+        return f"types: {wrong_kinds}"
     if len(found) != len(expected):
         return f"{len(found)} rows instead of {len(expected)}"
     wrong = [(a, b) for a, b in zip(found, expected) if a != b]

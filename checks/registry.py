@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from checks import commit_checks, flow_checks, issue_checks, merge_request_checks
+from checks import commit_checks, flow_checks, function_checks, issue_checks, merge_request_checks, source_checks, store_checks
 
-MODULES = (flow_checks, issue_checks, commit_checks, merge_request_checks)
+MODULES = (
+    flow_checks, issue_checks, commit_checks, merge_request_checks, source_checks, store_checks, function_checks,
+)
 
 
 def _merged(part: str) -> dict:

@@ -163,7 +163,7 @@ def time_to_epoch_millis(ts: Column | str) -> Column:
     gap = as_column(ts).cast("timestamp_ntz") - _epoch()
     hours = F.extract(F.lit("DAY"), gap).cast("long") * 24 + F.extract(F.lit("HOUR"), gap)
     minutes = hours * 60 + F.extract(F.lit("MINUTE"), gap)
-    return minutes * 60_000 + F.floor(F.extract(F.lit("SECOND"), gap) * 1000)
+    return (minutes * 60_000 + F.floor(F.extract(F.lit("SECOND"), gap) * 1000)).cast("long")
 
 
 def or_as_of(ts: Column | str, as_of) -> Column:
