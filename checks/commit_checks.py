@@ -50,7 +50,9 @@ spans AS (
   SELECT committer, min(createdAt) AS "start", max(createdAt) AS "end" FROM commits
   WHERE NOT contains(committer, '-') AND NOT contains(committer, 'mail-x') GROUP BY committer),
 life AS (
-  SELECT *, CAST(date_trunc('month', "start") AS TIMESTAMP) AS ts, date_sub('month', "start", "end") + 1 AS duration
+  SELECT *, CAST(date_trunc('month', "start") AS TIMESTAMP) AS ts, 
+         (year("end") - year("start")) * 12 + month("end") - month("start") + 1
+           - CASE WHEN (day("end"), hour("end")) < (day("start"), hour("start")) THEN 1 ELSE 0 END AS duration
   FROM spans WHERE "start" <> "end")
 """
 
@@ -80,6 +82,10 @@ def queries():
         "namespace_activity_rank": lambda s, d: reports.namespace_activity_rank(c(s, d), "WEEKS"),
         "repos_activity_rank": lambda s, d: reports.repos_activity_rank(c(s, d), "MONTHS"),
         "committers_activity_rank": lambda s, d: reports.committers_activity_rank(c(s, d), "MONTHS"),
+        # The same with some periods treated as too large for one task.
+        "committers_activity_rank_large_periods": lambda s, d: reports.committers_activity_rank(
+            c(s, d), "MONTHS", group_limit=500
+        ),
         "committers_activity_top": lambda s, d: reports.committers_activity_rank(c(s, d), "MONTHS", top_k=3),
         "committers_life_span": lambda s, d: reports.committers_life_span(c(s, d), "MONTHS", EXCLUDED),
         "committers_life_span_stats": lambda s, d: _rounded(
@@ -107,6 +113,7 @@ def oracle_sql():
         "namespace_activity_rank": _rank_sql("WEEKS", "namespace"),
         "repos_activity_rank": _rank_sql("MONTHS", "project"),
         "committers_activity_rank": _rank_sql("MONTHS", "committer"),
+        "committers_activity_rank_large_periods": _rank_sql("MONTHS", "committer"),
         "committers_activity_top": (
             f"SELECT * FROM ({_rank_sql('MONTHS', 'committer')}) "
             "QUALIFY dense_rank() OVER (PARTITION BY created ORDER BY total DESC) <= 3"

@@ -82,8 +82,11 @@ SELECT *, CAST(date_trunc('day', a) AS TIMESTAMP) AS day_start, CAST(date_trunc(
        CAST(date_trunc('month', a) AS TIMESTAMP) AS month_start,
        date_sub('day', CAST(a AS DATE), CAST(b AS DATE)) AS days_between,
        date_sub('week', CAST(a AS DATE), CAST(b AS DATE)) AS weeks_between,
-       date_sub('month', CAST(a AS DATE), CAST(b AS DATE)) AS months_between,
-       date_sub('day', a, b) AS days_complete, date_sub('week', a, b) AS weeks_complete, date_sub('month', a, b) AS months_complete,
+       CASE WHEN CAST(b AS DATE) > CAST(a AS DATE) THEN (year(b) - year(a)) * 12 + month(b) - month(a)
+         - CASE WHEN day(b) < day(a) THEN 1 ELSE 0 END ELSE 0 END AS months_between,
+       date_sub('day', a, b) AS days_complete, date_sub('week', a, b) AS weeks_complete, 
+       CASE WHEN b > a THEN (year(b) - year(a)) * 12 + month(b) - month(a)
+         - CASE WHEN (day(b), hour(b)) < (day(a), hour(a)) THEN 1 ELSE 0 END ELSE 0 END AS months_complete,
        CAST(b AS DATE) AS day_range_last,
        CAST(CAST(a AS DATE) + CAST(date_sub('week', CAST(a AS DATE), CAST(b AS DATE)) * 7 AS INTEGER) AS DATE) AS week_range_last,
        date_sub('hour', a, b) AS hours_between, upper(dayname(a)) AS weekday, CAST(weekofyear(a) AS INTEGER) AS iso_week,

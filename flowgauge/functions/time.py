@@ -46,6 +46,13 @@ def shift_period(unit: str, day: Column | str, count: int) -> Column:
     return F.date_add(day, count * (7 if unit == WEEKS else 1))
 
 
+def time_span(ts: Column | str, minutes: int) -> Column:
+    """Number of the span of ``minutes`` that holds ``ts``, counted from 1970."""
+    ts = as_column(ts)
+    day = F.datediff(ts.cast("date"), _epoch().cast("date")).cast("long")
+    return F.floor((day * 1440 + F.hour(ts) * 60 + F.minute(ts)) / minutes)
+
+
 def period_step(unit: str) -> Column:
     return F.expr({DAYS: "INTERVAL 1 DAY", WEEKS: "INTERVAL 7 DAY", MONTHS: "INTERVAL 1 MONTH"}[check_unit(unit)])
 
@@ -116,18 +123,23 @@ def iso_week_number(ts: Column | str) -> Column:
     return F.weekofyear(as_column(ts).cast("date"))
 
 
+def _without_zone_name(text: Column | str) -> Column:
+    return F.substring_index(as_column(text), "[", 1)
+
+
 def parse_wall_clock(text: Column | str) -> Column:
     """Local date and time of an offset timestamp, the offset dropped."""
-    return F.to_timestamp_ntz(F.regexp_replace(as_column(text), r"(Z|[+-]\d{2}:?\d{2})(\[.*\])?$", ""))
+    return _without_zone_name(text).cast("timestamp_ntz")
 
 
 def parse_instant(text: Column | str) -> Column:
     """UTC wall clock of an offset timestamp such as ``2019-08-05T10:19:50.000+0200``."""
-    text = as_column(text)
-    # The cast wants a colon in the offset and no zone name after it.
-    iso = F.regexp_replace(F.regexp_replace(text, r"\[.*\]$", ""), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    micros = F.unix_micros(iso.cast("timestamp"))
-    return epoch_micros_to_time(micros)
+    return epoch_micros_to_time(F.unix_micros(_without_zone_name(text).cast("timestamp")))
+
+
+def parse_epoch_millis(text: Column | str) -> Column:
+    """Epoch milliseconds of an offset timestamp."""
+    return F.unix_millis(_without_zone_name(text).cast("timestamp"))
 
 
 PARSERS = {"wall_clock": parse_wall_clock, "instant": parse_instant}
@@ -149,9 +161,7 @@ def _epoch() -> Column:
 
 def epoch_micros_to_time(micros: Column | str) -> Column:
     """UTC wall clock of epoch microseconds."""
-    seconds = as_column(micros).cast("decimal(18,0)") * F.expr("CAST(0.000001 AS DECIMAL(7,6))")
-    zero = F.lit(0)
-    return _epoch() + F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))
+    return _epoch() + F.expr("INTERVAL '0.000001' SECOND") * as_column(micros)
 
 
 def epoch_millis_to_time(millis: Column | str) -> Column:
@@ -160,10 +170,10 @@ def epoch_millis_to_time(millis: Column | str) -> Column:
 
 def time_to_epoch_millis(ts: Column | str) -> Column:
     """Epoch milliseconds of a UTC wall clock."""
-    gap = as_column(ts).cast("timestamp_ntz") - _epoch()
-    hours = F.extract(F.lit("DAY"), gap).cast("long") * 24 + F.extract(F.lit("HOUR"), gap)
-    minutes = hours * 60 + F.extract(F.lit("MINUTE"), gap)
-    return (minutes * 60_000 + F.floor(F.extract(F.lit("SECOND"), gap) * 1000)).cast("long")
+    ts = as_column(ts).cast("timestamp_ntz")
+    days = F.datediff(ts.cast("date"), _epoch().cast("date")).cast("long")
+    minutes = days * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return (minutes * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000)).cast("long")
 
 
 def or_as_of(ts: Column | str, as_of) -> Column:

@@ -29,8 +29,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowgauge.functions.time import time_span
 from flowgauge.settings import FlowSpec
 
+# Histories of flat rows are cut into spans of this length.
+SPAN_MINUTES = 60
+
 ENTRY, FINAL, BELOW, OTHER = 0, 1, 2, 3
 
 
@@ -119,15 +123,21 @@ def normalize_statuses(
     keys: Sequence[str] = ("id",),
     attributes: Sequence[str] = (),
     project: str = "project",
+    span_minutes: int = SPAN_MINUTES,
 ) -> DataFrame:
     """The same for flat rows: ``keys + attributes + entry_at, final_at``.
 
     ``attributes`` are item columns, equal on all rows of an item. The history is
-    cut by day, so an item with very many changes is spread over many tasks; an
-    ordinary item costs one narrow row per day it changed on.
+    cut by the hour, so an item with very many changes is spread over many tasks;
+    an ordinary item costs one narrow row per hour it changed in.
     """
     rows = with_state_kind(statuses, spec, project).select(
-        *keys, *attributes, "kind", "pos", F.col("statusCreated").alias("ts"), F.col("statusCreated").cast("date").alias("span")
+        *keys,
+        *attributes,
+        "kind",
+        "pos",
+        F.col("statusCreated").alias("ts"),
+        time_span("statusCreated", span_minutes).alias("span"),
     )
     in_span = Window.partitionBy(*keys, "span").orderBy("ts", "pos")
     marked = (

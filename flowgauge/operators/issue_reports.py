@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgauge.functions.names import experience_factor
-from flowgauge.functions.time import as_time, date_range, period_date, period_start, shift_period
+from flowgauge.functions.time import as_time, date_range, period_date, period_start, shift_period, time_span
+from flowgauge.operators.flow import SPAN_MINUTES
 from flowgauge.operators.work_items import truncate_times
 
 # States in which nobody works on an item.
@@ -103,29 +104,35 @@ def team_productivity(
     )
 
 
-def state_spans(statuses: DataFrame, as_of, keys: Sequence[str] = ("id",)) -> DataFrame:
+def state_spans(
+    statuses: DataFrame, as_of, keys: Sequence[str] = ("id",), span_minutes: int = SPAN_MINUTES
+) -> DataFrame:
     """When each status of an item began and ended; the last one lasts until ``as_of``.
 
-    Histories are cut by day: within a day the next row ends a status, and the last
-    row of a day is ended by the first row of the item's next day. Only these last
-    rows meet in one group per item.
+    Histories are cut by the hour: within an hour the next row ends a status, and
+    the last row is ended by the first row of the item's next hour with any. Only
+    these last rows meet in one group per item.
     """
     rows = statuses.select(
-        *keys, "statusName", "pos", F.col("statusCreated").alias("start"), F.col("statusCreated").cast("date").alias("day")
+        *keys,
+        "statusName",
+        "pos",
+        F.col("statusCreated").alias("start"),
+        time_span("statusCreated", span_minutes).alias("span"),
     )
-    in_day = Window.partitionBy(*keys, "day").orderBy("start", "pos")
+    in_span = Window.partitionBy(*keys, "span").orderBy("start", "pos")
     paired = rows.withColumns(
         {
-            "end": F.lead("start").over(in_day),
-            "day_start": F.first("start").over(in_day.rowsBetween(Window.unboundedPreceding, 0)),
+            "end": F.lead("start").over(in_span),
+            "span_start": F.first("start").over(in_span.rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
     closed = paired.where(F.col("end").isNotNull()).select(*keys, "statusName", "start", "end")
-    next_start = F.lead("day_start").over(Window.partitionBy(*keys).orderBy("day"))
-    last_of_day = paired.where(F.col("end").isNull()).select(
+    next_start = F.lead("span_start").over(Window.partitionBy(*keys).orderBy("span"))
+    last_of_span = paired.where(F.col("end").isNull()).select(
         *keys, "statusName", "start", F.coalesce(next_start, as_time(as_of)).alias("end")
     )
-    return closed.unionByName(last_of_day)
+    return closed.unionByName(last_of_span)
 
 
 def count_by_state(statuses: DataFrame, unit: str, as_of, series: Sequence[str] = ()) -> DataFrame:

@@ -3,22 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COPIES = 32
 
 
 def spread_join(
-    rows: DataFrame, table: DataFrame, key: str, spread_by: Sequence[str], how: str = "inner", copies: int = COPIES
+    rows: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    how: str = "inner",
+    null_safe: bool = False,
+    copies: int = COPIES,
 ) -> DataFrame:
-    """Inner or left join of many rows with a much smaller table of the same ``key``.
+    """Inner or left join of many rows with a much smaller table of the same ``keys``.
 
-    Rows of one key are spread over ``copies`` partitions by a hash of the columns
+    Rows of equal keys are spread over ``copies`` partitions by a hash of the columns
     ``spread_by``, and the table is repeated for each. If the table is small enough
     for Spark's own broadcast limit, the rows are not moved at all.
     """
     part = F.pmod(F.xxhash64(*spread_by), F.lit(copies)).cast("int")
     repeated = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return rows.withColumn("_part", part).join(repeated, [key, "_part"], how).drop("_part")
+    spread = rows.withColumn("_part", part)
+    if not null_safe:
+        return spread.join(repeated, [*keys, "_part"], how).drop("_part")
+    renamed = repeated.withColumnsRenamed({name: f"_of_{name}" for name in (*keys, "_part")})
+    return spread.join(renamed, same_keys((*keys, "_part")), how).drop("_part", *[f"_of_{name}" for name in (*keys, "_part")])
+
+
+def same_keys(keys: Sequence[str], prefix: str = "_of_") -> Column:
+    """Null-safe equality of ``keys`` with the columns of a table under prefixed names."""
+    return reduce(lambda all_of, one: all_of & one, [F.col(name).eqNullSafe(F.col(f"{prefix}{name}")) for name in keys])

@@ -4,52 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Whole numbers are ranked in blocks of 2**BLOCK_BITS neighbouring values.
+from flowgauge.operators.joins import same_keys, spread_join
+
+# Groups of up to this many rows are ranked by one task each.
+GROUP_LIMIT = 1_000_000
+
+# In larger groups, whole numbers are ranked in blocks of 2**BLOCK_BITS neighbouring values.
 BLOCK_BITS = 12
 
 
 def dense_ranks(
-    df: DataFrame, groups: Sequence[str], measures: Mapping[str, str], descending: bool = False
+    df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Column], group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
-    """Add a dense rank within ``groups`` for each whole-number measure.
+    """Add dense ranks within ``groups``, 1 for the lowest value.
 
-    ``measures`` maps a column to the name of its rank; 1 is the lowest value, or
-    the highest if ``descending``. A rank depends only on the distinct values, so
-    these are ranked and joined back: values are numbered within blocks of a fixed
-    range, which bounds every window, and the blocks before it are added. No task
-    sorts all members of a group.
+    ``ranks`` maps the name of a rank to the whole number it goes by; a negated
+    number ranks from the highest. Groups of more than ``group_limit`` rows are
+    ranked without ever sorting a whole group in one task.
     """
-    direction = -1 if descending else 1
-    values = df.select(
-        *groups,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(measure).alias("measure"), (F.col(measure).cast("long") * direction).alias("value"))
-                    for measure in measures
-                ]
-            )
-        ).alias("measure", "value"),
-    ).distinct()
-    block = F.shiftright("value", BLOCK_BITS)
-    in_block = Window.partitionBy(*groups, "measure", "block").orderBy("value")
-    numbered = values.withColumn("block", block).withColumn("number", F.row_number().over(in_block))
-    over_blocks = Window.partitionBy(*groups, "measure").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # Every branch below must want the same columns and rows of `df`, for then Spark
+    # computes `df` once and reuses its exchange: hence the hash of all columns here,
+    # and null-safe joins, which add no filters.
+    seen = F.max(F.xxhash64(*df.columns)).isNotNull()
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"), seen.alias("_seen"))
+    # Each of these groups has over `group_limit` rows, so there are few of them.
+    large = F.broadcast(
+        sizes.where((F.col("_size") > group_limit) & F.col("_seen")).select(
+            *[F.col(name).alias(f"_of_{name}") for name in groups]
+        )
+    )
+    in_small = df.join(large, same_keys(groups), "left_anti")
+    in_large = df.join(large, same_keys(groups), "left_semi")
+    return _rank_by_window(in_small, groups, ranks).unionByName(_rank_by_value(in_large, groups, ranks))
+
+
+def _rank_by_window(df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
+    for rank, value in ranks.items():
+        df = df.withColumn(rank, F.dense_rank().over(Window.partitionBy(*groups).orderBy(value)))
+    return df
+
+
+def _rank_by_value(df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
+    """A rank depends only on the distinct values, so these are ranked and joined back.
+
+    Values are numbered within blocks of a fixed range, which bounds every window,
+    and the sizes of the blocks before are added.
+    """
+    measured = [
+        F.struct(F.lit(rank).alias("_rank"), value.cast("long").alias("_value")) for rank, value in ranks.items()
+    ]
+    rows = df.select("*", F.inline(F.array(*measured)).alias("_rank", "_value"))
+    key = [*groups, "_rank"]
+    numbered = (
+        rows.select(*key, "_value")
+        .distinct()
+        .withColumn("_block", F.shiftright("_value", BLOCK_BITS))
+        .withColumn("_number", F.row_number().over(Window.partitionBy(*key, "_block").orderBy("_value")))
+    )
+    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
-        numbered.groupBy(*groups, "measure", "block")
-        .agg(F.count(F.lit(1)).alias("size"))
-        .withColumn("before", F.coalesce(F.sum("size").over(over_blocks), F.lit(0)))
-        .drop("size")
+        numbered.groupBy(*key, "_block")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .select("_before", *[F.col(name).alias(f"_of_{name}") for name in (*key, "_block")])
     )
-    ranks = numbered.join(blocks, [*groups, "measure", "block"]).select(
-        *groups, "measure", (F.col("value") * direction).alias("value"), (F.col("number") + F.col("before")).cast("int").alias("rank")
+    places = numbered.join(blocks, same_keys((*key, "_block"))).select(
+        *key, "_value", (F.col("_number") + F.col("_before")).cast("int").alias("_place")
+    )
+    # Many rows may share one value, hence the spread join.
+    return (
+        spread_join(rows, places, [*key, "_value"], df.columns, null_safe=True)
+        .groupBy(*df.columns)
+        .agg(*[F.max(F.when(F.col("_rank") == rank, F.col("_place"))).alias(rank) for rank in ranks])
     )
-    for measure, rank in measures.items():
-        of_measure = ranks.where(F.col("measure") == measure).select(
-            *groups, F.col("value").alias(measure), F.col("rank").alias(rank)
-        )
-        df = df.join(of_measure, [*groups, measure])
-    return df

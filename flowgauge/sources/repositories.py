@@ -16,9 +16,9 @@ from flowgauge.functions.time import (
     as_time,
     days_between,
     epoch_millis_to_time,
+    parse_epoch_millis,
     parse_instant,
     parse_wall_clock,
-    time_to_epoch_millis,
 )
 from flowgauge.operators.joins import spread_join
 from flowgauge.schemas import NAMESPACE, PROJECT, RAW_COMMIT, RAW_MERGE_REQUEST
@@ -65,7 +65,7 @@ def clean_commits(
     if isinstance(email_mapping, Mapping):
         return kept.withColumn("committer_email", mapped("committer_email", email_mapping))
     known = email_mapping.select(F.col("email").alias("committer_email"), F.col("committer").alias("_known"))
-    joined = spread_join(kept, known, "committer_email", ("id",), how="left")
+    joined = spread_join(kept, known, ("committer_email",), ("id",), how="left")
     return joined.withColumn("committer_email", F.coalesce("_known", "committer_email")).drop("_known")
 
 
@@ -76,7 +76,7 @@ def commit_points(raw: DataFrame, projects: DataFrame) -> DataFrame:
         F.col("name_with_namespace").alias("project"),
         parent_namespace("name", "name_with_namespace").alias("namespace"),
     )
-    return spread_join(raw, named, "project_id", ("id",)).select(
+    return spread_join(raw, named, ("project_id",), ("id",)).select(
         parse_instant("created_at").alias("time"),
         "project",
         "namespace",
@@ -91,10 +91,6 @@ def commit_points(raw: DataFrame, projects: DataFrame) -> DataFrame:
 
 def merge_request_points(raw: DataFrame, as_of) -> DataFrame:
     """The stored table ``merge_requests``; open requests last until ``as_of``."""
-
-    def epoch_millis(text: str):
-        return time_to_epoch_millis(parse_instant(text))
-
     merged_day = F.coalesce(parse_wall_clock("merged_at"), as_time(as_of))
     return raw.select(
         parse_instant("created_at").alias("time"),
@@ -104,9 +100,9 @@ def merge_request_points(raw: DataFrame, as_of) -> DataFrame:
         "state",
         "source_branch",
         "target_branch",
-        epoch_millis("updated_at").alias("updated_at"),
+        parse_epoch_millis("updated_at").alias("updated_at"),
         "user_notes_count",
-        F.coalesce(epoch_millis("merged_at"), F.lit(0).cast("long")).alias("merged_at_ts"),
+        F.coalesce(parse_epoch_millis("merged_at"), F.lit(0).cast("long")).alias("merged_at_ts"),
         days_between(parse_wall_clock("created_at"), merged_day).alias("duration_days"),
     )
 
