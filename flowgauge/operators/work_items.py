@@ -17,6 +17,9 @@ from flowgauge.schemas import ITEM_COLUMNS
 STATUS_FIELD = "status"
 VERSION_FIELD = "fixVersions"
 
+# Step of `pos` from one history of an issue to the next.
+CHANGES_PER_HISTORY = 1 << 32
+
 
 def trim_history_items(issues: DataFrame, keep: Sequence[str] = (STATUS_FIELD, VERSION_FIELD)) -> DataFrame:
     """Keep only changes of the named fields and drop histories left without any.
@@ -33,15 +36,17 @@ def trim_history_items(issues: DataFrame, keep: Sequence[str] = (STATUS_FIELD, V
     return issues.withColumn("changelog", F.col("changelog").withField("histories", histories))
 
 
-def _all_changes(time_mode: str) -> Column:
-    """Changes of an issue in document order, with their time and author."""
+def _changes_of(fields: Sequence[str], time_mode: str) -> Column:
+    """Changes of the given fields in document order, with their time, place and author."""
+    wanted = F.array(*[F.lit(name) for name in fields])
 
-    def of_history(history: Column) -> Column:
+    def of_history(history: Column, number: Column) -> Column:
         created = parse_time(history["created"], time_mode)
         return F.transform(
-            history["items"],
-            lambda item: F.struct(
+            F.filter(history["items"], lambda item: F.array_contains(wanted, item["fieldId"])),
+            lambda item, at: F.struct(
                 created.alias("created"),
+                (number * CHANGES_PER_HISTORY + at).alias("pos"),
                 item["fieldId"].alias("field"),
                 item["to"].alias("value"),
                 item["toStr"].alias("text"),
@@ -49,8 +54,7 @@ def _all_changes(time_mode: str) -> Column:
             ),
         )
 
-    flat = F.flatten(F.transform("changelog.histories", of_history))
-    return F.transform(flat, lambda change, at: F.struct(change["created"], at.alias("pos"), change["field"], change["value"], change["text"], change["author"]))
+    return F.flatten(F.transform("changelog.histories", of_history))
 
 
 def _latest(field: str | None, part: str) -> Column:
@@ -77,6 +81,7 @@ def work_items(
     if not isinstance(estimate_mapping, Column):
         pairs = [F.lit(part) for size, points in estimate_mapping.items() for part in (size, float(points))]
         estimate_mapping = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
+    fields = (STATUS_FIELD, VERSION_FIELD, estimate_field, story_points_field, epic_name_field)
     size = _latest(estimate_field, "text")
     points = F.expr("try_cast(storyPoints AS DOUBLE)")
     statuses = F.transform(
@@ -89,7 +94,7 @@ def work_items(
         ),
     )
     return (
-        issues.withColumn("changes", _all_changes(time_mode))
+        issues.withColumn("changes", _changes_of([name for name in fields if name is not None], time_mode))
         .withColumns({"size": size, "storyPoints": _latest(story_points_field, "text"), "versionText": _latest(VERSION_FIELD, "value")})
         .select(
             *extra,
