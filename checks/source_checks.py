@@ -5,7 +5,9 @@ from __future__ import annotations
 from checks import views
 from flowgauge.functions.time import as_time
 from flowgauge.operators import cumulative, flow, work_items
+from flowgauge.plans import ingest
 from flowgauge.session import scratch_path
+from flowgauge.sinks.metric_store import MetricStore
 from flowgauge.sources import increments, issues, repositories
 from pyspark.sql import functions as F
 
@@ -84,8 +86,63 @@ def _next_merge_requests(spark, sf_dir):
     return increments.within(points, increments.merge_request_window(stored, views.AS_OF))
 
 
+def _written(spark, name, df, kind="json"):
+    path = scratch_path(spark, name)
+    df.write.format(kind).save(path)
+    return path
+
+
+def _projects_from_json(spark, sf_dir):
+    path = _written(spark, "projects", views.projects(spark, sf_dir))
+    read = repositories.read_projects(spark, path, issues.LINES)
+    return read.withColumn("tag_list", F.array_join("tag_list", ","))
+
+
+def _vocabulary_from_text(spark, sf_dir):
+    return repositories.read_vocabulary(spark, _written(spark, "roles", views.roles(spark, sf_dir), "text"))
+
+
+def _versions_from_json(spark, sf_dir):
+    key = F.col("s_suppkey")
+    versions = views.table(spark, sf_dir, "supplier").select(
+        (key % 7).cast("int").alias("projectId"),
+        key.cast("string").alias("id"),
+        F.col("s_name").alias("name"),
+        (key % 2 == 0).alias("archived"),
+        (key % 3 == 0).alias("released"),
+        F.date_add(F.lit("2020-01-01").cast("date"), key.cast("int")).alias("startDate"),
+        F.when(key % 3 == 0, F.lit("2021-01-01").cast("date")).alias("releaseDate"),
+        F.concat(F.lit("P"), (key % 7).cast("string")).alias("project"),
+    )
+    path = scratch_path(spark, "versions")
+    versions.write.partitionBy("project").json(path)
+    return issues.read_versions(spark, path, issues.LINES)
+
+
+def _commits_through_store(spark, sf_dir):
+    """Landed as JSON, ingested in two overlapping loads, read back as records."""
+    raw = repositories.read_raw_commits(spark, _written(spark, "commits", views.raw_commits(spark, sf_dir)))
+    store = MetricStore(spark, scratch_path(spark, "store"))
+    for load_id, window in ((1, ("1990-01-01", "1999-06-30")), (2, ("1999-01-01", "2010-01-01"))):
+        ingest.ingest_commits(store, load_id, raw, views.projects(spark, sf_dir), views.SETTINGS, window)
+    return ingest.load_commits(store)
+
+
+def _merge_requests_through_store(spark, sf_dir):
+    landed = _written(spark, "requests", views.raw_merge_requests(spark, sf_dir))
+    store = MetricStore(spark, scratch_path(spark, "store"))
+    for load_id in (1, 2):
+        ingest.ingest_merge_requests(store, load_id, repositories.read_raw_merge_requests(spark, landed), views.AS_OF)
+    return ingest.load_merge_requests(store).select("id", "createdAt", "state", "author", "targetBranch").distinct()
+
+
 def queries():
     return {
+        "projects_from_json": _projects_from_json,
+        "vocabulary_from_text": _vocabulary_from_text,
+        "project_versions_from_json": _versions_from_json,
+        "commits_through_store": _commits_through_store,
+        "merge_requests_through_store": _merge_requests_through_store,
         "work_items": lambda s, d: _flat_items(_items(s, d)),
         "work_items_from_json": lambda s, d: _flat_items(issues.as_work_items(_landed_issues(s, d), views.SETTINGS)),
         "work_items_from_pages": lambda s, d: _flat_items(issues.as_work_items(_landed_pages(s, d), views.SETTINGS)),
@@ -156,6 +213,28 @@ def oracle_sql():
     commits = f"WITH {views.RAW_COMMITS_SQL}, {views.PROJECTS_SQL}"
     requests = f"WITH {views.MERGE_REQUESTS_SQL}, {_REQUEST_POINTS}"
     return {
+        "projects_from_json": (
+            f"WITH {views.PROJECTS_SQL} SELECT id, name, name_with_namespace, roleTag || ',' || catTag || ',noise' AS tag_list "
+            "FROM projects"
+        ),
+        "vocabulary_from_text": "SELECT 'role' || r_regionkey AS \"value\" FROM region WHERE r_regionkey < 2",
+        "project_versions_from_json": (
+            "SELECT 'P' || (s_suppkey % 7) AS project, CAST(s_suppkey % 7 AS INTEGER) AS projectId, "
+            "CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_suppkey % 2 = 0 AS archived, s_suppkey % 3 = 0 AS released, "
+            "DATE '2020-01-01' + CAST(s_suppkey AS INTEGER) AS startDate, "
+            "CASE WHEN s_suppkey % 3 = 0 THEN DATE '2021-01-01' END AS releaseDate FROM supplier"
+        ),
+        # Commits of one project, committer and time are one point.
+        "commits_through_store": (
+            f"{commits}, {_MAPPED} SELECT \"time\" AS createdAt, project, namespace, committer, additions, deletions, total, "
+            "effective, CAST(projectId AS INTEGER) AS projectId FROM commit_points "
+            'QUALIFY row_number() OVER (PARTITION BY "time", project, namespace, committer, projectId '
+            "ORDER BY additions DESC, deletions DESC, effective DESC, total DESC) = 1"
+        ),
+        "merge_requests_through_store": (
+            f"WITH {views.MERGE_REQUESTS_SQL} SELECT DISTINCT id, createdAt - INTERVAL 2 HOUR AS createdAt, state, author, "
+            "targetBranch FROM merge_requests"
+        ),
         "work_items": items,
         "work_items_from_json": items,
         "work_items_from_pages": items,

@@ -262,14 +262,15 @@ def flow_tables(
     Items are normalized once per pair of entry and final state and then handed to
     every report that wants them; those of one bucket size share all later steps.
     """
-    by_states: dict[FlowSpec | tuple, dict[str, list[FlowReport]]] = {}
+    by_states: dict[tuple[str, str], dict[str, list[FlowReport]]] = {}
     for report in reports:
         states = (report.entry_state or spec.entry_state, report.final_state or spec.final_state)
         by_states.setdefault(states, {}).setdefault(report.unit, []).append(report)
     attributes = ("type", "priority") + (("estimate",) if aggregate == ESTIMATE else ())
     tables = []
     for (entry, final), by_unit in by_states.items():
-        normalized = normalize(items, spec.between(entry, final), (*series, "id"), attributes)
+        anyone = reduce(lambda some, more: some | more, [_matches(report) for group in by_unit.values() for report in group])
+        normalized = normalize(items.where(anyone), spec.between(entry, final), (*series, "id"), attributes)
         for unit, wanted in by_unit.items():
             names = F.array_compact(F.array(*[F.when(_matches(report), F.lit(report.qualifier)) for report in wanted]))
             spread = normalized.select("*", F.explode(names).alias("qualifier"))

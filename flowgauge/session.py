@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -30,14 +29,16 @@ def build_session(app_name: str = "flowgauge", **extra: str) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where no such setting exists (local tests) is a local temporary folder
-    made and set, so that later calls in the same session share it.
+    Only a local session without either gets a local temporary folder, which is set
+    so that later calls share it; on a cluster a missing setting is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="flowgauge-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
@@ -45,4 +46,4 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared scratch folder; nothing is created yet."""
-    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"

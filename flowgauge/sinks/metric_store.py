@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowgauge.functions.time import as_time
+from flowgauge.sinks.folders import exists, names_below
 
 LOAD = "load_id"
 MONTH = "month"
@@ -52,17 +53,34 @@ class MetricStore:
         since=None,
         until=None,
         merge_schema: bool = False,
+        loaded_once: bool = False,
     ) -> DataFrame:
         """Newest load of every point, optionally of a range of time.
 
-        The range selects whole month folders before any file is opened.
+        The range selects whole month folders before any file is opened. A store
+        that holds each point once, such as a compacted one, needs no search for
+        the newest load and is read without a shuffle: say so by ``loaded_once``.
         """
         stored = self.spark.read.option("mergeSchema", merge_schema).parquet(self.path(measurement))
         if since is not None:
             stored = stored.where((F.col("time") >= as_time(since)) & (F.col(MONTH) >= _month(as_time(since))))
         if until is not None:
             stored = stored.where((F.col("time") <= as_time(until)) & (F.col(MONTH) <= _month(as_time(until))))
-        return self._newest(stored, tags).drop(LOAD, MONTH)
+        newest = stored if loaded_once else self._newest(stored, tags)
+        return newest.drop(LOAD, MONTH)
+
+    def last_month(self, measurement: str) -> DataFrame | None:
+        """All stored points of the last month that has any; None if nothing is stored.
+
+        Enough to find the last stored time, whatever the size of the table.
+        """
+        path = self.path(measurement)
+        if not exists(self.spark, path):
+            return None
+        months = [name for name in names_below(self.spark, path) if name.startswith(f"{MONTH}=")]
+        if not months:
+            return None
+        return self.spark.read.parquet(path).where(F.col(MONTH) == max(months).removeprefix(f"{MONTH}="))
 
     def _newest(self, stored: DataFrame, tags: Sequence[str]) -> DataFrame:
         keys = (MONTH, "time", *tags)

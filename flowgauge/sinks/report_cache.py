@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.functions.names import digest_key
+from flowgauge.sinks.folders import exists
 
 
 def source_version(spark: SparkSession, path: str) -> str:
@@ -25,17 +26,12 @@ def cache_key(spark: SparkSession, parameters: Mapping[str, object]) -> str:
     return spark.range(1).select(digest_key(F.lit(text))).first()[0].replace("+", "-")
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
-    """Whether a write to ``path`` was committed."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
-
-
 def cached(
     spark: SparkSession, root: str, parameters: Mapping[str, object], build: Callable[[], DataFrame]
 ) -> DataFrame:
     """Read the report if it is there, else build, write and read it."""
     path = f"{root.rstrip('/')}/key={cache_key(spark, parameters)}"
-    if not _complete(spark, path):
+    # Spark leaves this mark when a write was committed.
+    if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.functions.time import as_time
@@ -13,38 +13,44 @@ from flowgauge.functions.time import as_time
 LOAD_MONTHS = 12
 FIRST_LOAD_YEARS = 10
 
+Window = tuple[datetime, datetime]
+
 
 def high_water_mark(stored: DataFrame) -> DataFrame:
     """One row with the last stored time, null if there is none; reads one column."""
     return stored.agg(F.max("time").alias("last"))
 
 
-def load_window(stored: DataFrame, as_of, months_back: int = 0, months_ahead: int = LOAD_MONTHS) -> tuple[datetime, datetime]:
+def load_window(
+    stored: DataFrame | None, as_of, months_back: int = 0, months_ahead: int = LOAD_MONTHS
+) -> Window:
     """Start and end of the next load.
 
     It begins ``months_back`` before the last stored time, or ten years before
     ``as_of`` at first. What is loaded twice replaces itself in the metric store.
+    ``stored`` may be cut down to the last stored month.
     """
-    start = F.coalesce(
-        F.col("last") - F.make_ym_interval(F.lit(0), F.lit(months_back)),
-        as_time(as_of) - F.make_ym_interval(F.lit(FIRST_LOAD_YEARS), F.lit(0)),
-    )
-    window = high_water_mark(stored).select(start.alias("start"))
-    window = window.withColumn("end", F.col("start") + F.make_ym_interval(F.lit(0), F.lit(months_back + months_ahead)))
-    row = window.first()
+    last = None if stored is None else high_water_mark(stored).first()["last"]
+    if last is None:
+        start = as_time(as_of) - F.make_ym_interval(F.lit(FIRST_LOAD_YEARS), F.lit(0))
+    else:
+        start = as_time(last) - F.make_ym_interval(F.lit(0), F.lit(months_back))
+    length = F.make_ym_interval(F.lit(0), F.lit(months_back + months_ahead))
+    session = SparkSession.active()
+    row = session.range(1).select(start.alias("start")).select("start", (F.col("start") + length).alias("end")).first()
     return row["start"], row["end"]
 
 
-def commit_window(stored: DataFrame, as_of) -> tuple[datetime, datetime]:
+def commit_window(stored: DataFrame | None, as_of) -> Window:
     """A year from the last stored commit on."""
     return load_window(stored, as_of)
 
 
-def merge_request_window(stored: DataFrame, as_of) -> tuple[datetime, datetime]:
+def merge_request_window(stored: DataFrame | None, as_of) -> Window:
     """From a year before the last stored merge request to a year after it: states change."""
     return load_window(stored, as_of, months_back=LOAD_MONTHS)
 
 
-def within(points: DataFrame, window: tuple[datetime, datetime]) -> DataFrame:
+def within(points: DataFrame, window: Window) -> DataFrame:
     start, end = window
     return points.where(F.col("time").between(as_time(start), as_time(end)))

@@ -8,7 +8,6 @@ from flowgauge.settings import FlowReport, FlowSpec, Settings
 from flowgauge.sinks.metric_store import MetricStore
 from flowgauge.sinks.points import as_json_rows
 from flowgauge.sinks.report_cache import cache_key, cached, source_version
-from flowgauge.sources import repositories
 from pyspark.sql import functions as F
 
 SCHEMA = "time timestamp_ntz, state string, count long"
@@ -42,6 +41,9 @@ def test_newest_load_wins(spark, store, rows):
     store.compact("m", ("state",), target)
     assert rows(target.read("m", ("state",)), "time", "state", "count") == newest
     assert spark.read.parquet(target.path("m")).count() == 4
+    plain = target.read("m", ("state",), loaded_once=True)
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert rows(plain, "time", "state", "count") == newest
 
 
 def test_an_older_load_does_not_come_back(spark, store, rows):
@@ -194,11 +196,17 @@ def test_ingest(spark, store, rows):
         "id string, created_at string, committer_email string, project_id int",
     ).withColumn("stats", F.expr("named_struct('additions', 1, 'deletions', 1, 'total', 2)"))
     projects = tables(spark).projects
-    window = (datetime(2020, 1, 1), datetime(2021, 1, 1))
+    settings = Settings({}, {"ann": "bob"})
+    first = ingest.next_commits(store, "2030-01-01")
+    assert first == (datetime(2020, 1, 1), datetime(2021, 1, 1))
     for load in (1, 2):
-        ingest.ingest_commits(store, load, raw, projects, Settings({}, {"ann": "bob"}), window)
-    stored = store.read("commits", catalogue.tags_of("commits"))
-    assert rows(repositories.commits_of(stored), "createdAt", "committer", "deletions") == [(datetime(2020, 1, 2), "bob", -1)]
+        ingest.ingest_commits(store, load, raw, projects, settings, first)
+    assert rows(ingest.load_commits(store), "createdAt", "committer", "deletions") == [(datetime(2020, 1, 2), "bob", -1)]
+    assert ingest.next_commits(store, "2030-01-01") == (datetime(2020, 1, 2), datetime(2021, 1, 2))
+    ingest.ingest_commits(store, 3, raw, projects, settings)
+    assert ingest.next_commits(store, "2030-01-01")[0] == datetime(2022, 1, 2)
+    assert ingest.load_commits(store, since="2021-01-01").count() == 1
+    assert ingest.next_merge_requests(store, "2030-01-01")[0] == datetime(2020, 1, 1)
 
 
 def test_queries(spark, rows):
@@ -232,3 +240,11 @@ def test_rebucketing_keeps_sums(spark):
 
 def test_json_rows(spark):
     assert as_json_rows(points(spark, (1, 1, "open", 1)).select("state", "count")).first()[0] == '{"state":"open","count":1}'
+
+
+def test_normalized_flow_points(spark, rows):
+    table = reports.cumulative.flow_table(tables(spark).statuses, SPEC.between("In Progress"), "WEEKS", series=("project",))
+    measurement = catalogue.normalized_flow_measurement("cfd")
+    found = catalogue.flow_points(table, measurement, qualifier="all", interval="WEEKS")
+    assert found.columns == ["time", "project", "qualifier", "interval", "CT", "TH", "WIP current"]
+    assert rows(found, "project", "CT", "TH", "WIP current") == [("p", 0, 0.0, 1), ("q", 0, 0.0, 1)]
