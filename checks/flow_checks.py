@@ -26,6 +26,10 @@ def queries():
     return {
         "normalized_flow": lambda s, d: _normalized(s, d, views.FLOW),
         "normalized_flow_mapped_states": lambda s, d: _normalized(s, d, views.MAPPED_FLOW),
+        # The same with longer histories cut into spans.
+        "normalized_flow_cut_histories": lambda s, d: flow.normalize_statuses(
+            st(s, d), views.FLOW, ("project", "id"), ("type", "estimate"), history_limit=2
+        ),
         "normalized_flow_per_project": lambda s, d: flow.normalize_statuses(
             st(s, d), {"P0": views.FLOW, "P1": views.MAPPED_FLOW}, ("project", "id")
         ),
@@ -189,6 +193,7 @@ def oracle_sql():
 SELECT project, created, round(avg(d), 6) AS mean, min(d) AS "min", max(d) AS "max" FROM days GROUP BY ALL"""
     return {
         "normalized_flow": f"{_with(_walk(_KINDS))} {normalized}",
+        "normalized_flow_cut_histories": f"{_with(_walk(_KINDS))} {normalized}",
         "normalized_flow_mapped_states": f"{_with(_walk(_MAPPED_KINDS))} {normalized}",
         "normalized_flow_per_project": per_project,
         "flow_steps": (

@@ -31,6 +31,7 @@ def queries():
             reports.team_productivity(st(s, d), "DAYS", 12.0, IDLE, ("project",)), "totalExperience", "experienceFactor"
         ),
         "state_spans": lambda s, d: reports.state_spans(st(s, d), views.AS_OF),
+        "state_spans_cut_histories": lambda s, d: reports.state_spans(st(s, d), views.AS_OF, history_limit=3),
         "work_items_count_by_state": lambda s, d: reports.count_by_state(st(s, d), "WEEKS", views.AS_OF, ("project",)),
         "work_items_count_by_state_daily": lambda s, d: reports.count_by_state(st(s, d), "DAYS", views.AS_OF),
         "work_items_count_by_state_moving_average": lambda s, d: _rounded(
@@ -81,6 +82,7 @@ summed AS (
   FROM counted GROUP BY ALL)
 SELECT project, ts, authors, round(total, 6) AS totalExperience, round(total / authors, 6) AS experienceFactor FROM summed""",
         "state_spans": f'{_WITH}, {_SPANS} SELECT id, statusName, "start", "end" FROM spans',
+        "state_spans_cut_histories": f'{_WITH}, {_SPANS} SELECT id, statusName, "start", "end" FROM spans',
         "work_items_count_by_state": f"{_WITH}, {_SPANS}, {_by_state('week', '7 DAY', 'project,')} SELECT * FROM counts",
         "work_items_count_by_state_daily": f"{_WITH}, {_SPANS}, {_by_state('day', '1 DAY', '')} SELECT * FROM counts",
         "work_items_count_by_state_moving_average": f"""{_WITH}, {_SPANS}, {_by_state('day', '1 DAY', 'project,')}

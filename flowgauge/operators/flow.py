@@ -18,8 +18,8 @@ before it, and the result needs no walk at all:
 * final time = the last row, if it is the final state and not such a row.
 
 For nested items this is computed within the row. For flat rows the history of
-one item may be arbitrarily long, so it is cut into spans of time; each span is
-reduced to one row, and only those meet in one group.
+one item may be arbitrarily long, so a long one is cut into spans of time; each
+span is reduced to one row, and only those meet in one group.
 """
 
 from __future__ import annotations
@@ -29,12 +29,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowgauge.functions.time import time_span
+from flowgauge.operators.histories import HISTORY_LIMIT, SPAN_MINUTES, with_span
 from flowgauge.settings import FlowSpec
 
-# Histories of flat rows are cut into spans of this length.
-SPAN_MINUTES = 60
-
 ENTRY, FINAL, BELOW, OTHER = 0, 1, 2, 3
 
 
@@ -123,22 +120,18 @@ def normalize_statuses(
     keys: Sequence[str] = ("id",),
     attributes: Sequence[str] = (),
     project: str = "project",
+    history_limit: int | None = HISTORY_LIMIT,
     span_minutes: int = SPAN_MINUTES,
 ) -> DataFrame:
     """The same for flat rows: ``keys + attributes + entry_at, final_at``.
 
-    ``attributes`` are item columns, equal on all rows of an item. The history is
-    cut by the hour, so an item with very many changes is spread over many tasks;
-    an ordinary item costs one narrow row per hour it changed in.
+    ``attributes`` are item columns, equal on all rows of an item. An item with very
+    many changes is spread over many tasks, an ordinary one is a single span.
     """
-    rows = with_state_kind(statuses, spec, project).select(
-        *keys,
-        *attributes,
-        "kind",
-        "pos",
-        F.col("statusCreated").alias("ts"),
-        time_span("statusCreated", span_minutes).alias("span"),
+    known = with_state_kind(statuses, spec, project).select(
+        *keys, *attributes, "kind", "pos", F.col("statusCreated").alias("ts")
     )
+    rows = with_span(known, keys, "ts", history_limit, span_minutes)
     in_span = Window.partitionBy(*keys, "span").orderBy("ts", "pos")
     marked = (
         rows.withColumns({"before": F.lag("kind").over(in_span), "after": F.lead("kind").over(in_span)})

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgauge.functions.names import experience_factor
-from flowgauge.functions.time import as_time, date_range, period_date, period_start, shift_period, time_span
-from flowgauge.operators.flow import SPAN_MINUTES
+from flowgauge.functions.time import as_time, date_range, period_date, period_start, shift_period
+from flowgauge.operators.histories import HISTORY_LIMIT, SPAN_MINUTES, with_span
 from flowgauge.operators.work_items import truncate_times
 
 # States in which nobody works on an item.
@@ -105,21 +105,20 @@ def team_productivity(
 
 
 def state_spans(
-    statuses: DataFrame, as_of, keys: Sequence[str] = ("id",), span_minutes: int = SPAN_MINUTES
+    statuses: DataFrame,
+    as_of,
+    keys: Sequence[str] = ("id",),
+    history_limit: int | None = HISTORY_LIMIT,
+    span_minutes: int = SPAN_MINUTES,
 ) -> DataFrame:
     """When each status of an item began and ended; the last one lasts until ``as_of``.
 
-    Histories are cut by the hour: within an hour the next row ends a status, and
-    the last row is ended by the first row of the item's next hour with any. Only
-    these last rows meet in one group per item.
+    Within a span of time the next row ends a status, and the last row of a span is
+    ended by the first row of the item's next span. Only long histories have more
+    than one span, and only these last rows meet in one group per item.
     """
-    rows = statuses.select(
-        *keys,
-        "statusName",
-        "pos",
-        F.col("statusCreated").alias("start"),
-        time_span("statusCreated", span_minutes).alias("span"),
-    )
+    changes = statuses.select(*keys, "statusName", "pos", F.col("statusCreated").alias("start"))
+    rows = with_span(changes, keys, "start", history_limit, span_minutes)
     in_span = Window.partitionBy(*keys, "span").orderBy("start", "pos")
     paired = rows.withColumns(
         {
@@ -135,14 +134,31 @@ def state_spans(
     return closed.unionByName(last_of_span)
 
 
+def nested_state_spans(items: DataFrame, as_of, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """The same for nested items, within the row: nothing is shuffled."""
+    ordered = F.array_sort(
+        F.transform("statusHistory", lambda status, at: F.struct(status["created"], at, status["name"].alias("name")))
+    )
+    spans = F.transform(
+        "_ordered",
+        lambda status, at: F.struct(
+            status["name"].alias("statusName"),
+            status["created"].alias("start"),
+            F.coalesce(F.get("_ordered", at + 1)["created"], as_time(as_of)).alias("end"),
+        ),
+    )
+    return items.select(*keys, ordered.alias("_ordered")).select(*keys, F.inline(spans))
+
+
 def count_by_state(statuses: DataFrame, unit: str, as_of, series: Sequence[str] = ()) -> DataFrame:
     """Items per state and period; the first and last period of a stay both count.
 
     An item that enters a state several times in a period counts each time. Stays
     are turned into +1 and -1 at their ends and summed over time, so the work does
-    not grow with their length.
+    not grow with their length. Takes flat status rows or nested items.
     """
-    spans = state_spans(statuses, as_of, (*series, "id"))
+    find_spans = nested_state_spans if "statusHistory" in statuses.columns else state_spans
+    spans = find_spans(statuses, as_of, (*series, "id"))
     first, last = period_date(unit, "start"), period_date(unit, "end")
     ends = F.array(
         F.struct(first.alias("period"), F.lit(1).cast("long").alias("step")),

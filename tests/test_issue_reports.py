@@ -87,12 +87,12 @@ def test_changes_after_the_report_time_are_no_stay(spark, rows):
     assert rows(R.count_by_state(changes, "DAYS", "2020-01-07"), "statusName") == [("todo",)] * 4
 
 
-@pytest.mark.parametrize("minutes", [1, 60, 100_000])
+@pytest.mark.parametrize("limit, minutes", [(None, 1), (None, 60), (9, 1), (11, 60), (12, 60), (10**6, 60)])
 @pytest.mark.parametrize("unit", ["DAYS", "WEEKS"])
-def test_summed_steps_equal_listed_periods(spark, rows, unit, minutes):
+def test_summed_steps_equal_listed_periods(spark, rows, unit, limit, minutes):
     states = ["todo", "doing", "done"]
     changes = statuses(spark, *[(str(n % 5), 1 + (n * 7) % 27, states[n % 3], None) for n in range(60)])
-    spans = R.state_spans(changes, AS_OF, span_minutes=minutes)
+    spans = R.state_spans(changes, AS_OF, history_limit=limit, span_minutes=minutes)
     periods = date_range(unit, period_date(unit, "start"), period_date(unit, "end"))
     listed = (
         spans.select("statusName", F.explode(periods.cast("array<timestamp_ntz>")).alias("week"))
@@ -109,3 +109,17 @@ def test_moving_average_has_one_row_more_than_asked(spark):
     found = R.count_by_state_moving_average(changes, 1, "DAYS", "2020-01-04").orderBy("week").collect()
     # Counts are 1, 2, 3, 4; each mean is over the day and the one before.
     assert [row["moving_average"] for row in found] == [1.0, 1.5, 2.5, 3.5]
+
+
+def test_nested_items_give_the_same_stays(spark, rows):
+    states = ["todo", "doing", "done"]
+    changes = statuses(spark, *[(str(n % 5), 1 + (n * 7) % 27, states[n % 3], None) for n in range(60)])
+    nested = changes.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", F.col("statusCreated").alias("created"), F.col("statusName").alias("name")))).alias(
+            "statusHistory"
+        )
+    )
+    assert rows(R.nested_state_spans(nested, AS_OF)) == rows(R.state_spans(changes, AS_OF))
+    assert rows(R.count_by_state(nested, "WEEKS", AS_OF), "week", "statusName", "count") == rows(
+        R.count_by_state(changes, "WEEKS", AS_OF), "week", "statusName", "count"
+    )
