@@ -28,8 +28,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from flowgauge.operators.histories import HISTORY_LIMIT, SPAN_MINUTES, with_span
+from flowgauge.functions.time import time_span
+from flowgauge.operators.histories import HISTORY_LIMIT, SPAN_MINUTES, split_by_length
 from flowgauge.settings import FlowSpec
 
 ENTRY, FINAL, BELOW, OTHER = 0, 1, 2, 3
@@ -125,51 +127,72 @@ def normalize_statuses(
 ) -> DataFrame:
     """The same for flat rows: ``keys + attributes + entry_at, final_at``.
 
-    ``attributes`` are item columns, equal on all rows of an item. An item with very
-    many changes is spread over many tasks, an ordinary one is a single span.
+    ``attributes`` are item columns, equal on all rows of an item. Items with more
+    than ``history_limit`` changes are spread over many tasks. Without a limit every
+    history is cut, and the input is read once: worthwhile if it is costly to make.
     """
     known = with_state_kind(statuses, spec, project).select(
         *keys, *attributes, "kind", "pos", F.col("statusCreated").alias("ts")
     )
-    rows = with_span(known, keys, "ts", history_limit, span_minutes)
-    in_span = Window.partitionBy(*keys, "span").orderBy("ts", "pos")
-    marked = (
-        rows.withColumns({"before": F.lag("kind").over(in_span), "after": F.lead("kind").over(in_span)})
-        .withColumn("back", _goes_back(F.col("kind"), F.col("before")).cast("int"))
-        .withColumns(
-            {
-                "backs": F.sum("back").over(in_span.rowsBetween(Window.unboundedPreceding, 0)),
-                "all_backs": F.sum("back").over(
-                    in_span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-                ),
-            }
-        )
+    if history_limit is None:
+        return _normalize_long(known, keys, attributes, span_minutes)
+    short, long = split_by_length(known, keys, history_limit)
+    return _normalize_short(short, keys, attributes).unionByName(_normalize_long(long, keys, attributes, span_minutes))
+
+
+def _with_running_count(rows: DataFrame, flag: str, window: WindowSpec, running: str, total: str) -> DataFrame:
+    return rows.withColumns(
+        {
+            running: F.sum(flag).over(window.rowsBetween(Window.unboundedPreceding, 0)),
+            total: F.sum(flag).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        }
     )
+
+
+def _mark(rows: DataFrame, within: Sequence[str]) -> DataFrame:
+    """Per row: the kinds around it, whether it sends back, and how many rows did so far and in all."""
+    in_order = Window.partitionBy(*within).orderBy("ts", "pos")
+    marked = rows.withColumns(
+        {"before": F.lag("kind").over(in_order), "after": F.lead("kind").over(in_order)}
+    ).withColumn("back", _goes_back(F.col("kind"), F.col("before")).cast("int"))
+    return _with_running_count(marked, "back", in_order, "backs", "all_backs")
+
+
+def _first_entry() -> Column:
+    return F.min(F.when((F.col("kind") == ENTRY) & (F.col("backs") == F.col("all_backs")), F.col("ts")))
+
+
+def _normalize_short(rows: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    finishes = F.col("after").isNull() & (F.col("kind") == FINAL) & (F.col("back") == 0)
+    return (
+        _mark(rows, keys)
+        .groupBy(*keys, *attributes)
+        .agg(_first_entry().alias("entry_at"), F.max(F.when(finishes, F.col("ts"))).alias("final_at"))
+        .where(F.col("entry_at").isNotNull())
+    )
+
+
+def _normalize_long(rows: DataFrame, keys: Sequence[str], attributes: Sequence[str], span_minutes: int) -> DataFrame:
+    """Reduce each span to one row; a span may begin with a row that the span before it makes one to send back."""
+    marked = _mark(rows.withColumn("span", time_span("ts", span_minutes)), (*keys, "span"))
     is_first, is_last = F.col("before").isNull(), F.col("after").isNull()
     spans = marked.groupBy(*keys, *attributes, "span").agg(
         F.max(F.when(is_first, (F.col("kind") != ENTRY).cast("int"))).alias("opens_not_entry"),
         F.max("all_backs").alias("backs"),
-        F.min(F.when((F.col("kind") == ENTRY) & (F.col("backs") == F.col("all_backs")), F.col("ts"))).alias("entry"),
+        _first_entry().alias("entry"),
         F.max(F.when(is_last, F.col("kind"))).alias("last_kind"),
         F.max(F.when(is_last, F.col("back"))).alias("last_back"),
         F.max("ts").alias("last_ts"),
         F.count(F.lit(1)).alias("rows"),
     )
     over_spans = Window.partitionBy(*keys).orderBy("span")
+    back_at_start = (F.col("opens_not_entry") == 1) & (F.col("kind_before") == FINAL)
     linked = (
         spans.withColumns(
             {"kind_before": F.lag("last_kind").over(over_spans), "next_span": F.lead("span").over(over_spans)}
         )
-        .withColumn("back_at_start", F.coalesce((F.col("opens_not_entry") == 1) & (F.col("kind_before") == FINAL), F.lit(False)))
+        .withColumn("back_at_start", F.coalesce(back_at_start, F.lit(False)))
         .withColumn("has_back", (F.col("back_at_start") | (F.col("backs") > 0)).cast("int"))
-        .withColumns(
-            {
-                "seen": F.sum("has_back").over(over_spans.rowsBetween(Window.unboundedPreceding, 0)),
-                "all_seen": F.sum("has_back").over(
-                    over_spans.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-                ),
-            }
-        )
     )
     ends_final = (
         F.col("next_span").isNull()
@@ -178,7 +201,8 @@ def normalize_statuses(
         & ~(F.col("back_at_start") & (F.col("rows") == 1))
     )
     return (
-        linked.groupBy(*keys, *attributes)
+        _with_running_count(linked, "has_back", over_spans, "seen", "all_seen")
+        .groupBy(*keys, *attributes)
         .agg(
             F.min(F.when(F.col("seen") == F.col("all_seen"), F.col("entry"))).alias("entry_at"),
             F.max(F.when(ends_final, F.col("last_ts"))).alias("final_at"),

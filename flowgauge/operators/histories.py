@@ -1,4 +1,4 @@
-"""Cutting long histories, so that no task has to hold a whole one."""
+"""Telling long histories from short ones, so that no task has to hold a long one."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.functions.time import time_span
-
 # Histories of up to this many rows are handled by one task each.
 HISTORY_LIMIT = 1_000_000
 
@@ -16,22 +14,14 @@ HISTORY_LIMIT = 1_000_000
 SPAN_MINUTES = 60
 
 
-def with_span(
-    rows: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    history_limit: int | None = HISTORY_LIMIT,
-    span_minutes: int = SPAN_MINUTES,
-) -> DataFrame:
-    """Add ``span``: one number for a whole short history, growing with time in a long one.
+def split_by_length(
+    rows: DataFrame, keys: Sequence[str], history_limit: int = HISTORY_LIMIT
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of short histories and rows of long ones.
 
-    Counting the rows per key reads the input once more. Without a limit every
-    history is cut, and the input is read once: worthwhile if it is costly to make.
+    Counting the rows per key reads the input once more. If no history is long,
+    Spark finds that out before it starts on the second frame and skips it.
     """
-    by_time = time_span(time, span_minutes)
-    if history_limit is None:
-        return rows.withColumn("span", by_time)
     # Each of these keys has over `history_limit` rows, so there are few of them.
-    long = rows.groupBy(*keys).count().where(F.col("count") > history_limit).select(*keys, F.lit(True).alias("_long"))
-    marked = rows.join(F.broadcast(long), list(keys), "left")
-    return marked.withColumn("span", F.when(F.col("_long"), by_time).otherwise(0)).drop("_long")
+    long = F.broadcast(rows.groupBy(*keys).count().where(F.col("count") > history_limit).select(*keys))
+    return rows.join(long, list(keys), "left_anti"), rows.join(long, list(keys), "left_semi")

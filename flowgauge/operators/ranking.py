@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowgauge.operators.joins import same_keys, spread_join
+from flowgauge.operators.joins import same_keys, spread_frequent_join, with_prefix
 
 # Groups of up to this many rows are ranked by one task each.
 GROUP_LIMIT = 1_000_000
@@ -32,13 +32,11 @@ def dense_ranks(
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"), seen.alias("_seen"))
     # Each of these groups has over `group_limit` rows, so there are few of them.
     large = F.broadcast(
-        sizes.where((F.col("_size") > group_limit) & F.col("_seen")).select(
-            *[F.col(name).alias(f"_of_{name}") for name in groups]
-        )
+        with_prefix(sizes.where((F.col("_size") > group_limit) & F.col("_seen")).select(*groups), groups)
     )
     in_small = df.join(large, same_keys(groups), "left_anti")
     in_large = df.join(large, same_keys(groups), "left_semi")
-    return _rank_by_window(in_small, groups, ranks).unionByName(_rank_by_value(in_large, groups, ranks))
+    return _rank_by_window(in_small, groups, ranks).unionByName(_rank_by_value(in_large, groups, ranks, group_limit))
 
 
 def _rank_by_window(df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
@@ -47,7 +45,9 @@ def _rank_by_window(df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Co
     return df
 
 
-def _rank_by_value(df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
+def _rank_by_value(
+    df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Column], group_limit: int
+) -> DataFrame:
     """A rank depends only on the distinct values, so these are ranked and joined back.
 
     Values are numbered within blocks of a fixed range, which bounds every window,
@@ -69,14 +69,14 @@ def _rank_by_value(df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Col
         numbered.groupBy(*key, "_block")
         .agg(F.count(F.lit(1)).alias("_size"))
         .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .select("_before", *[F.col(name).alias(f"_of_{name}") for name in (*key, "_block")])
+        .drop("_size")
     )
-    places = numbered.join(blocks, same_keys((*key, "_block"))).select(
+    places = numbered.join(with_prefix(blocks, (*key, "_block")), same_keys((*key, "_block"))).select(
         *key, "_value", (F.col("_number") + F.col("_before")).cast("int").alias("_place")
     )
-    # Many rows may share one value, hence the spread join.
+    # Many rows may share one value.
     return (
-        spread_join(rows, places, [*key, "_value"], df.columns, null_safe=True)
+        spread_frequent_join(rows, places, [*key, "_value"], df.columns, group_limit)
         .groupBy(*df.columns)
         .agg(*[F.max(F.when(F.col("_rank") == rank, F.col("_place"))).alias(rank) for rank in ranks])
     )

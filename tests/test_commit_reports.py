@@ -3,7 +3,7 @@ from datetime import datetime
 
 import pytest
 from flowgauge.operators import commit_reports as R
-from flowgauge.operators.joins import spread_join
+from flowgauge.operators.joins import spread_frequent_join, spread_join
 from flowgauge.operators.ranking import dense_ranks
 from pyspark.sql import functions as F
 
@@ -114,3 +114,12 @@ def test_spread_join_keeps_every_row(spark):
     few = spark.createDataFrame([(1, "one"), (2, "two")], "key long, name string")
     assert spread_join(many, few, ("key",), ("n",)).count() == 3333
     assert spread_join(many, few, ("key",), ("n",), how="left").where("name IS NULL").count() == 1667
+
+
+@pytest.mark.parametrize("limit", [10, 2000, 10_000])
+def test_spread_frequent_join_keeps_every_row(spark, limit):
+    many = spark.range(5000).selectExpr("id AS n", "IF(id % 3 = 0, NULL, IF(id % 3 = 1, 0, id)) AS key")
+    few = many.select("key").distinct().selectExpr("key", "coalesce(key, -1) AS found")
+    joined = spread_frequent_join(many, few, ("key",), ("n",), limit)
+    assert sorted(joined.columns) == ["found", "key", "n"]
+    assert joined.count() == 5000 and joined.where("found <> coalesce(key, -1)").count() == 0
