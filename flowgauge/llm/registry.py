@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from flowgauge.llm import quality_rules, sharding
+from flowgauge.llm import near_duplicates, quality_rules, sharding
+from flowgauge.llm.workers import with_workers
+
+MODULES = {
+    "op2_quality_rules": quality_rules,
+    "op6_sharding": sharding,
+    "op8_ngram_jaccard_join": near_duplicates,
+}
 
 
 def queries() -> dict:
-    return {
-        "op2_quality_rules": quality_rules.query,
-        "op6_sharding": sharding.query,
-    }
+    return {name: with_workers(module.query) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict:
-    return {"op2_quality_rules": quality_rules.SQL}
+    return {name: module.SQL for name, module in MODULES.items() if hasattr(module, "SQL")}
