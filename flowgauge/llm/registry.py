@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from flowgauge.llm import near_duplicates, quality_rules, sharding, toxicity
+from flowgauge.llm import near_duplicates, personal_data, quality_rules, sharding, toxicity
 from flowgauge.llm.workers import with_workers
 
 MODULES = {
     "op2_quality_rules": quality_rules,
+    "op5_personal_data": personal_data,
     "op6_sharding": sharding,
     "op7_toxicity": toxicity,
     "op8_ngram_jaccard_join": near_duplicates,
