@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from flowgauge.llm import near_duplicates, personal_data, quality_rules, sharding, toxicity
+from flowgauge.llm import bpe, html_text, near_duplicates, packing, personal_data, quality_rules, sharding, token_counts, top_k, toxicity
 from flowgauge.llm.workers import with_workers
 
 MODULES = {
+    "op1_main_text": html_text,
     "op2_quality_rules": quality_rules,
+    "op3_top_k": top_k,
+    "op4_token_counts": token_counts,
     "op5_personal_data": personal_data,
     "op6_sharding": sharding,
     "op7_toxicity": toxicity,
     "op8_ngram_jaccard_join": near_duplicates,
+    "op9_packing": packing,
+    "op10_bpe": bpe,
 }
 
 
