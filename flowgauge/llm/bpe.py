@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 VOCABULARY = "byte_bpe_50k.json"
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The pattern of byte_bpe_50k.json with white space spelled out, as libraries differ in what \s means.
 PATTERN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"

@@ -96,16 +96,16 @@ def _scores(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in word_chunks(batch.column("_text")):
+            for words in word_chunks(batch.column(batch.schema.get_field_index("text"))):
                 hashes, rows, counts = _features(words)
                 total = np.bincount(rows, weight_of(hashes).sum(axis=1), minlength=words.n_rows)
                 grades = model.probabilities(SHARE * total / np.maximum(counts, 1))
                 part = batch.slice(words.first_row, words.n_rows)
                 severity = np.where(counts > 0, grades @ np.arange(GRADES), 0.0)
                 toxic = (counts > 0) & (1 - grades[:, 0] >= REJECT_FROM)
-                keep = [column for column, name in zip(part.columns, part.schema.names) if name != "_text"]
-                names = [name for name in part.schema.names if name != "_text"]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(severity), pa.array(toxic)], names=[*names, "severity", "toxic"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(severity), pa.array(toxic)], names=[*part.schema.names, "severity", "toxic"]
+                )
 
     return run
 
@@ -202,10 +202,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null, empty and blank texts have severity 0. Columns of the input with these names are replaced. Repeated rows get equal
     results; a model without features (no labels, or of one class) finds nothing.
     """
-    carried = [f for f in docs.schema if f.name not in ("severity", "toxic", "_text")]
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
-    body = docs.select(*(F.col(f"`{f.name}`") for f in carried), F.col("text").alias("_text"))
-    return body.mapInArrow(_scores(model), f"{columns}, severity double, toxic boolean")
+    carried = docs.drop("severity", "toxic")
+    columns = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried.schema)
+    return carried.mapInArrow(_scores(model), f"{columns}severity double, toxic boolean")
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
