@@ -12,37 +12,42 @@ from flowgauge.llm.workers import import_on_workers
 from flowgauge.session import scratch_path
 
 
-def _with_text(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The columns of ``docs`` in their order, with another text and its length."""
-    changed = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
-    return found.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
+def _judged(docs: DataFrame) -> DataFrame:
+    """What an operator may see: the text, beside the whole row, whose own columns thus cannot clash with new ones."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
+
+
+def _restored(found: DataFrame, docs: DataFrame, text: str | None = None) -> DataFrame:
+    """The columns of ``docs`` in their order, if asked for with another text and its length."""
+    changed = {"text": F.col(text), "n_chars": F.length(text).cast("long")} if text else {}
+    return found.select(*(changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject; rows and texts of the others are unchanged."""
     import_on_workers(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("NOT toxic").select(docs.columns)
+    return _restored(toxicity.score(_judged(docs), model).where("NOT toxic"), docs)
 
 
 def good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without their failing lines."""
-    return _with_text(quality_rules.quality_rules(docs).where("kept"), docs, "clean_text")
+    return _restored(quality_rules.quality_rules(_judged(docs)).where("kept"), docs, "clean_text")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near duplication, the one with the smallest id; of repeated rows, one."""
+    """Of documents linked by near duplication, the one with the smallest id; of repeated rows, one. Rows without an id stay."""
     import_on_workers(spark)
     found = near_duplicates.near_duplicates(spark, docs)
     chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionAll(docs.where("doc_id IS NULL"))
 
 
 def masked_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by the name of its kind."""
     import_on_workers(spark)
-    return _with_text(personal_data.personal_data(docs), docs, "masked_text")
+    return _restored(personal_data.personal_data(_judged(docs)), docs, "masked_text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ Vocabulary and scores are read from a piece model file.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import ahocorasick
@@ -48,6 +49,7 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((score for _, score in pieces), default=0.0) - UNKNOWN_PENALTY
+        self.longest = max((len(piece) for piece, _ in pieces), default=1)
         self.single = {piece for piece, _ in pieces if len(piece) == 1}
         self.seen: dict[str, int] = {}
 
@@ -56,21 +58,22 @@ class Counter:
 
         The state of a place is its best score, the number of pieces, and whether the last is an unknown one.
         """
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(len(word) + 1)]
-        if len(self.automaton):
-            for last, (size, score) in self.automaton.iter(word):
-                ending[last + 1].append((size, score))
-        best: list[tuple[float, int, bool]] = [(0.0, 0, False)]
-        for end in range(1, len(word) + 1):
-            state = None
-            # Longer matches start earlier, and are met first.
-            matches = sorted(ending[end], reverse=True)
-            for size, score in matches:
-                total, count, _ = best[end - size]
+        matches = self.automaton.iter(word) if len(self.automaton) else iter(())
+        match = next(matches, None)
+        # Only places within the longest piece are looked at again.
+        best: deque[tuple[float, int, bool]] = deque([(0.0, 0, False)], maxlen=self.longest + 1)
+        for end, char in enumerate(word):
+            state, ending = None, []
+            while match is not None and match[0] == end:
+                ending.append(match[1])
+                match = next(matches, None)
+            # Longer matches start earlier, and are tried first.
+            for size, score in sorted(ending, reverse=True):
+                total, count, _ = best[-size]
                 if state is None or total + score > state[0]:
                     state = (total + score, count + 1, False)
-            if word[end - 1] not in self.single:
-                total, count, unknown = best[end - 1]
+            if char not in self.single:
+                total, count, unknown = best[-1]
                 if state is None or total + self.unknown > state[0]:
                     state = (total + self.unknown, count + (not unknown), True)
             best.append(state)
