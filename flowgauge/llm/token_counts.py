@@ -22,11 +22,26 @@ from pyspark.sql import DataFrame, SparkSession
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS, CACHED_CHARS = 200_000, 48
+CACHED_WORDS, CACHED_CHARS = 500_000, 48
 BATCH_CHARS = 1 << 20
 _WORD = re.compile(rf"[ {MARK}][^ {MARK}]*")
 
 
+class _Seen(dict):
+    """Counts of words met before, without long ones; asked for another word, it counts that."""
+
+    def __init__(self, count):
+        self.count = count
+
+    def __missing__(self, word: str) -> int:
+        n = self.count(MARK + word[1:])
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = n
+        return n
+
+
 def read_pieces(path: str | None = None) -> list[tuple[str, float]]:
     """Ordinary pieces of a model file with their scores, in order of their ids."""
     import sentencepiece
@@ -51,7 +66,7 @@ class Counter:
         self.unknown = min((score for _, score in pieces), default=0.0) - UNKNOWN_PENALTY
         self.longest = max((len(piece) for piece, _ in pieces), default=1)
         self.single = {piece for piece, _ in pieces if len(piece) == 1}
-        self.seen: dict[str, int] = {}
+        self.seen = _Seen(self.pieces_of)
 
     def pieces_of(self, word: str) -> int:
         """Number of pieces on the best path through a word.
@@ -85,18 +100,10 @@ class Counter:
             return 0
         if text[0] not in (" ", MARK):
             text = MARK + text
-        total, seen = 0, self.seen
-        for m in _WORD.finditer(text):
-            word = m.group()
-            n = seen.get(word)
-            if n is None:
-                n = self.pieces_of(MARK + word[1:])
-                if len(word) <= CACHED_CHARS:
-                    if len(seen) >= CACHED_WORDS:
-                        seen.clear()
-                    seen[word] = n
-            total += n
-        return total
+        seen = self.seen.__getitem__
+        if len(text) < BATCH_CHARS:
+            return sum(map(seen, _WORD.findall(text)))
+        return sum(seen(m.group()) for m in _WORD.finditer(text))
 
 
 def _counts(pieces: list[tuple[str, float]]):
