@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from math import inf
 
 import ahocorasick
 import pyarrow as pa
@@ -73,6 +74,14 @@ class Counter:
 
         The state of a place is its best score, the number of pieces, and whether the last is an unknown one.
         """
+        if len(word) <= CACHED_CHARS and self.single.issuperset(word):
+            # Every character is a piece, so only matches count; those of one end come longest first.
+            total, count = [0.0] + [-inf] * len(word), [0] * (len(word) + 1)
+            for last, (size, score) in self.automaton.iter(word):
+                reached = total[last + 1 - size] + score
+                if reached > total[last + 1]:
+                    total[last + 1], count[last + 1] = reached, count[last + 1 - size] + 1
+            return count[-1]
         matches = self.automaton.iter(word) if len(self.automaton) else iter(())
         match = next(matches, None)
         # Only places within the longest piece are looked at again.
@@ -82,8 +91,7 @@ class Counter:
             while match is not None and match[0] == end:
                 ending.append(match[1])
                 match = next(matches, None)
-            # Longer matches start earlier, and are tried first.
-            for size, score in sorted(ending, reverse=True):
+            for size, score in ending:  # longest first: it starts earliest
                 total, count, _ = best[-size]
                 if state is None or total + score > state[0]:
                     state = (total + score, count + 1, False)
