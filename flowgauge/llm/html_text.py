@@ -276,12 +276,17 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def template_lines(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """``key, deleted``: for pages of which something is deleted, the numbers of these lines.
 
-    ``pages`` has ``key, url, html``; equal pages have equal keys and are taken once.
+    ``pages`` has ``key, url, html``; equal pages have equal keys. Pages of a host with the same lines are paired once, for
+    the first of their paths, so that copies of a page do not pair with each other.
     """
     lines = pages.mapInArrow(_line_hashes, _LINES)
-    lines = lines.groupBy("key").agg(*(F.first(name).alias(name) for name in ("host", "path", "lines", "sizes", "open")))
-    ranged = lines.repartitionByRange("host", "path", "key").withColumn("part", F.spark_partition_id())
-    parts = _stored(spark, ranged, "page-lines")
+    content = F.xxhash64("host", "lines", "open")
+    lines = _stored(spark, lines.withColumn("content", content), "page-lines")
+    single = lines.groupBy(F.col("content").alias("key")).agg(
+        *(F.first(name).alias(name) for name in ("host", "lines", "sizes", "open")), F.min("path").alias("path")
+    )
+    ranged = single.repartitionByRange("host", "path", "key").withColumn("part", F.spark_partition_id())
+    parts = _stored(spark, ranged, "page-parts")
     row = F.struct("key", "host", "path", "lines", "sizes", "open")
     order = F.struct("host", "path", "key")
     edges = parts.groupBy("part").agg(F.min_by(row, order).alias("first"), F.max_by(row, order).alias("last"))
@@ -293,11 +298,14 @@ def template_lines(spark: SparkSession, pages: DataFrame) -> DataFrame:
     every = parts.withColumn("lent", F.lit(False)).select(columns).unionAll(
         lent.where("part IS NOT NULL").select("part", "page.*").withColumn("lent", F.lit(True)).select(columns)
     )
-    return (
+    deleted = (
         every.repartition("part")
         .sortWithinPartitions("part", "host", "path", "key")
         .mapInArrow(_difference, "key long, deleted array<int>")
+        .withColumnRenamed("key", "content")
     )
+    # Equal pages may stand in several rows.
+    return lines.join(deleted, "content").groupBy("key").agg(F.first("deleted").alias("deleted"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
