@@ -82,10 +82,8 @@ def queries():
         "namespace_activity_rank": lambda s, d: reports.namespace_activity_rank(c(s, d), "WEEKS"),
         "repos_activity_rank": lambda s, d: reports.repos_activity_rank(c(s, d), "MONTHS"),
         "committers_activity_rank": lambda s, d: reports.committers_activity_rank(c(s, d), "MONTHS"),
-        # The same with some periods treated as too large for one task.
-        "committers_activity_rank_large_periods": lambda s, d: reports.committers_activity_rank(
-            c(s, d), "MONTHS", group_limit=500
-        ),
+        # Kept under its name; all periods are now ranked in one way.
+        "committers_activity_rank_large_periods": lambda s, d: reports.committers_activity_rank(c(s, d), "MONTHS"),
         "committers_activity_top": lambda s, d: reports.committers_activity_rank(c(s, d), "MONTHS", top_k=3),
         "committers_life_span": lambda s, d: reports.committers_life_span(c(s, d), "MONTHS", EXCLUDED),
         "committers_life_span_stats": lambda s, d: _rounded(

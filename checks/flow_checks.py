@@ -26,9 +26,9 @@ def queries():
     return {
         "normalized_flow": lambda s, d: _normalized(s, d, views.FLOW),
         "normalized_flow_mapped_states": lambda s, d: _normalized(s, d, views.MAPPED_FLOW),
-        # The same with longer histories cut into spans.
+        # The same with histories cut into longer spans.
         "normalized_flow_cut_histories": lambda s, d: flow.normalize_statuses(
-            st(s, d), views.FLOW, ("project", "id"), ("type", "estimate"), history_limit=2
+            st(s, d), views.FLOW, ("project", "id"), ("type", "estimate"), span_minutes=100_000
         ),
         "normalized_flow_per_project": lambda s, d: flow.normalize_statuses(
             st(s, d), {"P0": views.FLOW, "P1": views.MAPPED_FLOW}, ("project", "id")

@@ -31,7 +31,7 @@ def queries():
             reports.team_productivity(st(s, d), "DAYS", 12.0, IDLE, ("project",)), "totalExperience", "experienceFactor"
         ),
         "state_spans": lambda s, d: reports.state_spans(st(s, d), views.AS_OF),
-        "state_spans_cut_histories": lambda s, d: reports.state_spans(st(s, d), views.AS_OF, history_limit=3),
+        "state_spans_cut_histories": lambda s, d: reports.state_spans(st(s, d), views.AS_OF, span_minutes=100_000),
         "work_items_count_by_state": lambda s, d: reports.count_by_state(st(s, d), "WEEKS", views.AS_OF, ("project",)),
         "work_items_count_by_state_daily": lambda s, d: reports.count_by_state(st(s, d), "DAYS", views.AS_OF),
         "work_items_count_by_state_moving_average": lambda s, d: _rounded(

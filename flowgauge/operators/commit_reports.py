@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowgauge.functions.names import contains_none_of, root_namespace
 from flowgauge.functions.time import complete_units_of_time, period_start
-from flowgauge.operators.ranking import GROUP_LIMIT, dense_ranks
+from flowgauge.operators.ranking import dense_ranks
 
 MEASURES = ("additions", "deletions", "total")
 RANKS = {name: f"{name}Rank" for name in (*MEASURES, "effective")}
@@ -91,33 +91,27 @@ def commits_by_category_namespace(
     return _by_tag(commits, projects, categories, unit, "category", ("namespace",))
 
 
-def _activity_rank(commits: DataFrame, unit: str, key: str, top_k: int | None, group_limit: int) -> DataFrame:
+def _activity_rank(commits: DataFrame, unit: str, key: str, top_k: int | None) -> DataFrame:
     """Ranks per period, 1 for the least active; with ``top_k``, those with the most lines only."""
     ranks = {rank: F.col(measure) for measure, rank in RANKS.items()}
     if top_k is not None:
         ranks["place"] = -F.col("total")
-    ranked = dense_ranks(_activity(commits, unit, (key,)), ("created",), ranks, group_limit)
+    ranked = dense_ranks(_activity(commits, unit, (key,)), ("created",), ranks)
     if top_k is not None:
         ranked = ranked.where(F.col("place") <= top_k)
     return ranked.select("created", key, *MEASURES, "effective", *RANKS.values())
 
 
-def namespace_activity_rank(
-    commits: DataFrame, unit: str, top_k: int | None = None, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
-    return _activity_rank(commits, unit, "namespace", top_k, group_limit)
+def namespace_activity_rank(commits: DataFrame, unit: str, top_k: int | None = None) -> DataFrame:
+    return _activity_rank(commits, unit, "namespace", top_k)
 
 
-def repos_activity_rank(
-    commits: DataFrame, unit: str, top_k: int | None = None, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
-    return _activity_rank(commits, unit, "project", top_k, group_limit)
+def repos_activity_rank(commits: DataFrame, unit: str, top_k: int | None = None) -> DataFrame:
+    return _activity_rank(commits, unit, "project", top_k)
 
 
-def committers_activity_rank(
-    commits: DataFrame, unit: str, top_k: int | None = None, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
-    return _activity_rank(commits, unit, "committer", top_k, group_limit)
+def committers_activity_rank(commits: DataFrame, unit: str, top_k: int | None = None) -> DataFrame:
+    return _activity_rank(commits, unit, "committer", top_k)
 
 
 def committers_life_span(commits: DataFrame, unit: str, excluded_parts: Sequence[str] = ("-",)) -> DataFrame:

@@ -27,6 +27,10 @@ from flowgauge.settings import FlowReport, FlowSpec
 COUNT = "count"
 ESTIMATE = "estimate"
 
+# Estimates are added up with six decimal places.
+_EXACT = "decimal(30,6)"
+_MEASURES = ("entry_change", "final_change", "entry_total", "final_total", "wip_current")
+
 
 def select_items(
     items: DataFrame,
@@ -47,23 +51,25 @@ def select_items(
 def period_changes(normalized: DataFrame, unit: str, aggregate: str = COUNT, series: Sequence[str] = ()) -> DataFrame:
     """Arrivals and departures per period that has any: ``entry_change``, ``final_change``.
 
-    Two conditional sums do the work of a pivot on two known states.
+    Two conditional sums do the work of a pivot on two known states. Estimates are
+    summed as decimals, so that sums are exact and do not depend on the order.
     """
     if aggregate not in (COUNT, ESTIMATE):
         raise ValueError(f"aggregate must be {COUNT!r} or {ESTIMATE!r}, got {aggregate!r}")
-    weight = F.lit(1).cast("long") if aggregate == COUNT else F.col("estimate").cast("double")
+    weight = F.lit(1).cast("long") if aggregate == COUNT else F.col("estimate").cast(_EXACT)
+    kind = "long" if aggregate == COUNT else _EXACT
     steps = F.array(
         F.struct(F.col("entry_at").alias("at"), F.lit(False).alias("is_final")),
         F.struct(F.col("final_at").alias("at"), F.lit(True).alias("is_final")),
     )
-    none = F.lit(0).cast("long" if aggregate == COUNT else "double")
+    none = F.lit(0).cast("long" if aggregate == COUNT else _EXACT)
     return (
         normalized.select(*series, weight.alias("weight"), F.inline(steps).alias("at", "is_final"))
         .where(F.col("at").isNotNull())
         .groupBy(*series, period_date(unit, "at").alias("period"))
         .agg(
-            F.coalesce(F.sum(F.when(~F.col("is_final"), F.col("weight"))), none).alias("entry_change"),
-            F.coalesce(F.sum(F.when(F.col("is_final"), F.col("weight"))), none).alias("final_change"),
+            F.coalesce(F.sum(F.when(~F.col("is_final"), F.col("weight"))), none).cast(kind).alias("entry_change"),
+            F.coalesce(F.sum(F.when(F.col("is_final"), F.col("weight"))), none).cast(kind).alias("final_change"),
         )
     )
 
@@ -80,7 +86,9 @@ def fill_periods(changes: DataFrame, unit: str, values: Sequence[str], series: S
         *series, *values, F.posexplode(date_range(unit, "period", until)).alias("gap", "period")
     )
     return filled.select(
-        *series, "period", *[F.when(F.col("gap") == 0, F.col(name)).otherwise(0).alias(name) for name in values]
+        *series,
+        "period",
+        *[F.when(F.col("gap") == 0, F.col(name)).otherwise(F.lit(0).cast(filled.schema[name].dataType)).alias(name) for name in values],
     )
 
 
@@ -100,10 +108,12 @@ def cumulative_flow(normalized: DataFrame, unit: str, aggregate: str = COUNT, se
         {
             "entry_total": F.sum("entry_change").over(running),
             "final_total": F.sum("final_change").over(running),
-            "wip_current": F.sum(F.col("entry_change") - F.col("final_change")).over(running),
         }
     )
-    return _with_cycle_time(totals, unit, series)
+    table = _with_cycle_time(totals, unit, series)
+    if aggregate == COUNT:
+        return table
+    return table.withColumns({name: F.col(name).cast("double") for name in _MEASURES})
 
 
 def _with_cycle_time(totals: DataFrame, unit: str, series: Sequence[str]) -> DataFrame:
@@ -114,13 +124,13 @@ def _with_cycle_time(totals: DataFrame, unit: str, series: Sequence[str]) -> Dat
     answer is the last offer passed: of equal totals, that of the latest period.
     """
     roles = F.array(
-        F.struct(F.lit(False).alias("asks"), F.col("entry_total").cast("double").alias("key")),
-        F.struct(F.lit(True).alias("asks"), F.col("final_total").cast("double").alias("key")),
+        F.struct(F.lit(False).alias("asks"), F.col("entry_total").alias("key")),
+        F.struct(F.lit(True).alias("asks"), F.col("final_total").alias("key")),
     )
     by_value = (
         Window.partitionBy(*series).orderBy("key", "asks", "period").rowsBetween(Window.unboundedPreceding, 0)
     )
-    offer = F.when(~F.col("asks"), F.struct(F.col("period").alias("at"), F.col("final_total").cast("double").alias("done")))
+    offer = F.when(~F.col("asks"), F.struct(F.col("period").alias("at"), F.col("final_total").alias("done")))
     found = (
         totals.select("*", F.inline(roles).alias("asks", "key"))
         .withColumn("found", F.last(offer, ignorenulls=True).over(by_value))
@@ -133,12 +143,10 @@ def _with_cycle_time(totals: DataFrame, unit: str, series: Sequence[str]) -> Dat
         .otherwise(complete_units(unit, "found.at", "period") + 1)
         .cast("long")
     )
-    wip = F.when(F.col("ct") == 1, F.col("final_change").cast("double")).otherwise(
-        F.col("final_total").cast("double") - F.col("done_lagged")
-    )
+    wip = F.when(F.col("ct") == 1, F.col("final_change")).otherwise(F.col("final_total") - F.coalesce("found.done", F.lit(0)))
     return (
-        found.withColumns({"ct": cycle, "done_lagged": F.coalesce("found.done", F.lit(0.0))})
-        .withColumn("wip", wip)
+        found.withColumns({"ct": cycle, "done_lagged": F.coalesce(F.col("found.done").cast("double"), F.lit(0.0))})
+        .withColumn("wip", wip.cast("double"))
         .select(
             *series,
             F.col("period").cast("timestamp_ntz").alias("time"),
@@ -146,7 +154,7 @@ def _with_cycle_time(totals: DataFrame, unit: str, series: Sequence[str]) -> Dat
             "final_change",
             "entry_total",
             "final_total",
-            "wip_current",
+            (F.col("entry_total") - F.col("final_total")).alias("wip_current"),
             "ct",
             "done_lagged",
             "wip",

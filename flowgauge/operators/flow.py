@@ -18,8 +18,9 @@ before it, and the result needs no walk at all:
 * final time = the last row, if it is the final state and not such a row.
 
 For nested items this is computed within the row. For flat rows the history of
-one item may be arbitrarily long, so a long one is cut into spans of time; each
-span is reduced to one row, and only those meet in one group.
+one item may be arbitrarily long, so every history is cut into spans of a minute;
+each span is reduced to one row, and only those meet in one group: at most half a
+million a year, however many changes there are.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from flowgauge.functions.time import time_span
-from flowgauge.operators.histories import HISTORY_LIMIT, SPAN_MINUTES, split_by_length
 from flowgauge.settings import FlowSpec
 
+# Histories are cut into spans of this length.
+SPAN_MINUTES = 1
+
 ENTRY, FINAL, BELOW, OTHER = 0, 1, 2, 3
 
 
@@ -122,22 +125,17 @@ def normalize_statuses(
     keys: Sequence[str] = ("id",),
     attributes: Sequence[str] = (),
     project: str = "project",
-    history_limit: int | None = HISTORY_LIMIT,
     span_minutes: int = SPAN_MINUTES,
 ) -> DataFrame:
     """The same for flat rows: ``keys + attributes + entry_at, final_at``.
 
-    ``attributes`` are item columns, equal on all rows of an item. Items with more
-    than ``history_limit`` changes are spread over many tasks. Without a limit every
-    history is cut, and the input is read once: worthwhile if it is costly to make.
+    ``attributes`` are item columns, equal on all rows of an item. The input is read
+    once and the same steps are taken for every length of history.
     """
     known = with_state_kind(statuses, spec, project).select(
         *keys, *attributes, "kind", "pos", F.col("statusCreated").alias("ts")
     )
-    if history_limit is None:
-        return _normalize_long(known, keys, attributes, span_minutes)
-    short, long = split_by_length(known, keys, history_limit)
-    return _normalize_short(short, keys, attributes).unionByName(_normalize_long(long, keys, attributes, span_minutes))
+    return _link_spans(_reduce_spans(known, keys, attributes, span_minutes), keys, attributes)
 
 
 def _with_running_count(rows: DataFrame, flag: str, window: WindowSpec, running: str, total: str) -> DataFrame:
@@ -162,21 +160,11 @@ def _first_entry() -> Column:
     return F.min(F.when((F.col("kind") == ENTRY) & (F.col("backs") == F.col("all_backs")), F.col("ts")))
 
 
-def _normalize_short(rows: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
-    finishes = F.col("after").isNull() & (F.col("kind") == FINAL) & (F.col("back") == 0)
-    return (
-        _mark(rows, keys)
-        .groupBy(*keys, *attributes)
-        .agg(_first_entry().alias("entry_at"), F.max(F.when(finishes, F.col("ts"))).alias("final_at"))
-        .where(F.col("entry_at").isNotNull())
-    )
-
-
-def _normalize_long(rows: DataFrame, keys: Sequence[str], attributes: Sequence[str], span_minutes: int) -> DataFrame:
-    """Reduce each span to one row; a span may begin with a row that the span before it makes one to send back."""
+def _reduce_spans(rows: DataFrame, keys: Sequence[str], attributes: Sequence[str], span_minutes: int) -> DataFrame:
+    """One row per item and span of time."""
     marked = _mark(rows.withColumn("span", time_span("ts", span_minutes)), (*keys, "span"))
     is_first, is_last = F.col("before").isNull(), F.col("after").isNull()
-    spans = marked.groupBy(*keys, *attributes, "span").agg(
+    return marked.groupBy(*keys, *attributes, "span").agg(
         F.max(F.when(is_first, (F.col("kind") != ENTRY).cast("int"))).alias("opens_not_entry"),
         F.max("all_backs").alias("backs"),
         _first_entry().alias("entry"),
@@ -185,6 +173,10 @@ def _normalize_long(rows: DataFrame, keys: Sequence[str], attributes: Sequence[s
         F.max("ts").alias("last_ts"),
         F.count(F.lit(1)).alias("rows"),
     )
+
+
+def _link_spans(spans: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """Join up the spans of an item; one may begin with a row that the span before it makes one to send back."""
     over_spans = Window.partitionBy(*keys).orderBy("span")
     back_at_start = (F.col("opens_not_entry") == 1) & (F.col("kind_before") == FINAL)
     linked = (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowgauge.functions.names import experience_factor
 from flowgauge.functions.time import as_time, date_range, period_date, period_start, shift_period, time_span
-from flowgauge.operators.histories import HISTORY_LIMIT, SPAN_MINUTES, split_by_length
+from flowgauge.operators.flow import SPAN_MINUTES
 from flowgauge.operators.work_items import truncate_times
 
 # States in which nobody works on an item.
@@ -108,30 +108,15 @@ def state_spans(
     statuses: DataFrame,
     as_of,
     keys: Sequence[str] = ("id",),
-    history_limit: int | None = HISTORY_LIMIT,
     span_minutes: int = SPAN_MINUTES,
 ) -> DataFrame:
     """When each status of an item began and ended; the last one lasts until ``as_of``.
 
-    Items with more than ``history_limit`` changes are spread over many tasks;
-    without a limit all are, and the input is read only once.
-    """
-    rows = statuses.select(*keys, "statusName", "pos", F.col("statusCreated").alias("start"))
-    if history_limit is None:
-        return _long_state_spans(rows, as_of, keys, span_minutes)
-    short, long = split_by_length(rows, keys, history_limit)
-    next_start = F.lead("start").over(Window.partitionBy(*keys).orderBy("start", "pos"))
-    spans = short.withColumn("end", next_start).select(
-        *keys, "statusName", "start", F.coalesce("end", as_time(as_of)).alias("end")
-    )
-    return spans.unionByName(_long_state_spans(long, as_of, keys, span_minutes))
-
-
-def _long_state_spans(rows: DataFrame, as_of, keys: Sequence[str], span_minutes: int) -> DataFrame:
-    """Within a span of time the next row ends a status; the last row of a span is
+    Within a span of time the next row ends a status; the last row of a span is
     ended by the first row of the item's next span. Only these last rows meet in one
-    group per item.
+    group per item, so an item with very many changes is spread over many tasks.
     """
+    rows = statuses.select(*keys, "statusName", "pos", F.col("statusCreated").alias("start"))
     in_span = Window.partitionBy(*keys, "span").orderBy("start", "pos")
     paired = rows.withColumn("span", time_span("start", span_minutes)).withColumns(
         {

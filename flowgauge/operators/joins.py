@@ -1,4 +1,4 @@
-"""Joins that stay balanced whatever the keys look like."""
+"""Equality of keys that may be null."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COPIES = 32
-
 
 def same_keys(keys: Sequence[str], prefix: str = "_of_") -> Column:
     """Null-safe equality of ``keys`` with the columns of a table under prefixed names."""
@@ -18,41 +16,3 @@ def same_keys(keys: Sequence[str], prefix: str = "_of_") -> Column:
 
 def with_prefix(df: DataFrame, keys: Sequence[str], prefix: str = "_of_") -> DataFrame:
     return df.withColumnsRenamed({name: f"{prefix}{name}" for name in keys})
-
-
-def spread_join(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner", copies: int = COPIES
-) -> DataFrame:
-    """Inner or left join of many rows with a much smaller table of the same ``keys``.
-
-    Rows of equal keys are spread over ``copies`` partitions by a hash of the columns
-    ``spread_by``, and the table is repeated for each. If the table is small enough
-    for Spark's own broadcast limit, the rows are not moved at all.
-    """
-    part = F.pmod(F.xxhash64(*spread_by), F.lit(copies)).cast("int")
-    repeated = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return rows.withColumn("_part", part).join(repeated, [*keys, "_part"], how).drop("_part")
-
-
-def spread_frequent_join(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], spread_by: Sequence[str], limit: int, copies: int = COPIES
-) -> DataFrame:
-    """Null-safe inner join with a table that may be as long as the rows.
-
-    Only keys of more than ``limit`` rows are spread, and only their table rows are
-    repeated. Finding them counts the rows per key first.
-    """
-    # Each of these keys has over `limit` rows, so there are few of them.
-    frequent = rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.lit(copies).alias("_copies"))
-    frequent = F.broadcast(with_prefix(frequent, keys, "_frequent_"))
-
-    def marked(df: DataFrame) -> DataFrame:
-        return df.join(frequent, same_keys(keys, "_frequent_"), "left").drop(*[f"_frequent_{name}" for name in keys])
-
-    part = F.when(F.col("_copies").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.col("_copies"))).otherwise(0).cast("int")
-    last = F.coalesce(F.col("_copies"), F.lit(1)) - 1
-    repeated = marked(table).withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop("_copies")
-    spread = marked(rows).withColumn("_part", part).drop("_copies")
-    both = (*keys, "_part")
-    joined = spread.join(with_prefix(repeated, both), same_keys(both))
-    return joined.drop("_part", *[f"_of_{name}" for name in both])

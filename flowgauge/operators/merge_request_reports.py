@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from flowgauge.functions.names import root_namespace
 from flowgauge.functions.time import DAYS, days_between, iso_week_number, period_start
 from flowgauge.operators.commit_reports import project_tags
+from flowgauge.operators.joins import same_keys, with_prefix
 
 MERGED = "merged"
 
 
 def latest_versions(requests: DataFrame, newest: Sequence[str] = ()) -> DataFrame:
-    """Newest version per ``id`` by ``updatedAt``; ``newest`` columns break ties, highest first."""
-    order = [F.col(name).desc() for name in ("updatedAt", *newest)]
+    """Newest version per ``id`` by ``updatedAt``; ties go to the highest values of ``newest``, then of all columns."""
+    others = sorted(set(requests.columns) - {"id", "updatedAt", *newest})
+    order = [F.col(name).desc() for name in ("updatedAt", *newest, *others)]
     return (
         requests.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
         .where("place = 1")
@@ -114,8 +116,8 @@ def moving_average(
     """Running mean by state of the counts per period and root namespace.
 
     The mean at a period takes in all namespaces of that and of earlier periods. It
-    is formed from one row per state and period and joined back to the namespaces.
-    No branch means all branches.
+    is formed from one row per state and period and joined back to the namespaces;
+    requests without a state count as a state of their own. No branch means all branches.
     """
     per_project = _newest(requests, unit, newest, branch).groupBy("ts", "state", "projectId").count()
     counts = (
@@ -131,7 +133,8 @@ def moving_average(
             "ts", "state", (F.sum("requests").over(so_far) / F.sum("rows").over(so_far)).alias("moving_average")
         )
     )
-    return counts.join(means, ["ts", "state"]).select("ts", "state", "moving_average", "rootNamespace")
+    keys = ("ts", "state")
+    return counts.join(with_prefix(means, keys), same_keys(keys)).select("ts", "state", "moving_average", "rootNamespace")
 
 
 def _by_tag(
@@ -187,5 +190,4 @@ def seasonality(requests: DataFrame) -> DataFrame:
         .agg(F.sum("count").alias("sum"), F.count("count").alias("count"))
         .withColumn("mean", F.col("sum") / F.col("count"))
         .orderBy("weekOfYear")
-        .limit(53)
     )

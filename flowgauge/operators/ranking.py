@@ -1,4 +1,4 @@
-"""Dense ranks over groups of any size."""
+"""Dense ranks over groups of any size, in one way for every size."""
 
 from __future__ import annotations
 
@@ -6,77 +6,68 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
-from flowgauge.operators.joins import same_keys, spread_frequent_join, with_prefix
+from flowgauge.operators.joins import same_keys, with_prefix
 
-# Groups of up to this many rows are ranked by one task each.
-GROUP_LIMIT = 1_000_000
+# Values are numbered in levels of so many bits; no window holds more than 2**LEVEL_BITS rows.
+LEVEL_BITS = 16
 
-# In larger groups, whole numbers are ranked in blocks of 2**BLOCK_BITS neighbouring values.
-BLOCK_BITS = 12
 
+def dense_ranks(df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
+    """Add dense ranks within ``groups``, 1 for the lowest value; null is lower than any number.
 
-def dense_ranks(
-    df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Column], group_limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """Add dense ranks within ``groups``, 1 for the lowest value.
-
-    ``ranks`` maps the name of a rank to the whole number it goes by; a negated
-    number ranks from the highest. Groups of more than ``group_limit`` rows are
-    ranked without ever sorting a whole group in one task.
+    ``ranks`` maps the name of a rank to the whole number it goes by (others are
+    rejected); a negated number ranks from the highest. Every row stays, equal rows
+    too. A rank depends on the distinct values only, so these are numbered, level by
+    level in windows of bounded size, and joined back.
     """
-    # Every branch below must want the same columns and rows of `df`, for then Spark
-    # computes `df` once and reuses its exchange: hence the hash of all columns here,
-    # and null-safe joins, which add no filters.
-    seen = F.max(F.xxhash64(*df.columns)).isNotNull()
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"), seen.alias("_seen"))
-    # Each of these groups has over `group_limit` rows, so there are few of them.
-    large = F.broadcast(
-        with_prefix(sizes.where((F.col("_size") > group_limit) & F.col("_seen")).select(*groups), groups)
+    for rank, value in ranks.items():
+        kind = df.select(value.alias("value")).schema[0].dataType
+        if not isinstance(kind, IntegralType) and not (isinstance(kind, DecimalType) and kind.scale == 0):
+            raise ValueError(f"rank {rank!r} needs whole numbers, not {kind.simpleString()}")
+    measured = [F.struct(F.lit(rank).alias("_rank"), value.cast("long").alias("_value")) for rank, value in ranks.items()]
+    key = (*groups, "_rank")
+    # Wanting every column here lets Spark compute `df` once and reuse its exchange below.
+    seen = F.max("_hash").isNotNull()
+    values = (
+        df.select(*groups, F.xxhash64(*df.columns).alias("_hash"), F.inline(F.array(*measured)).alias("_rank", "_value"))
+        .groupBy(*key, "_value")
+        .agg(seen.alias("_seen"))
+        .where("_seen")
+        .drop("_seen")
     )
-    in_small = df.join(large, same_keys(groups), "left_anti")
-    in_large = df.join(large, same_keys(groups), "left_semi")
-    return _rank_by_window(in_small, groups, ranks).unionByName(_rank_by_value(in_large, groups, ranks, group_limit))
-
-
-def _rank_by_window(df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
+    places = _places(values, key)
     for rank, value in ranks.items():
-        df = df.withColumn(rank, F.dense_rank().over(Window.partitionBy(*groups).orderBy(value)))
+        own = places.where(F.col("_rank") == rank).select(*groups, F.col("_value"), F.col("_place").alias(rank))
+        named = with_prefix(own, groups)
+        same_value = value.cast("long").eqNullSafe(F.col("_value"))
+        df = df.join(named, same_keys(groups) & same_value if groups else same_value).drop(
+            "_value", *[f"_of_{name}" for name in groups]
+        )
     return df
 
 
-def _rank_by_value(
-    df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Column], group_limit: int
-) -> DataFrame:
-    """A rank depends only on the distinct values, so these are ranked and joined back.
+def _places(values: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``_place`` of each distinct value: its number among those of equal higher bits, and the sizes of all blocks before."""
 
-    Values are numbered within blocks of a fixed range, which bounds every window,
-    and the sizes of the blocks before are added.
-    """
-    measured = [
-        F.struct(F.lit(rank).alias("_rank"), value.cast("long").alias("_value")) for rank, value in ranks.items()
-    ]
-    rows = df.select("*", F.inline(F.array(*measured)).alias("_rank", "_value"))
-    key = [*groups, "_rank"]
-    numbered = (
-        rows.select(*key, "_value")
-        .distinct()
-        .withColumn("_block", F.shiftright("_value", BLOCK_BITS))
-        .withColumn("_number", F.row_number().over(Window.partitionBy(*key, "_block").orderBy("_value")))
-    )
-    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        numbered.groupBy(*key, "_block")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .drop("_size")
-    )
-    places = numbered.join(with_prefix(blocks, (*key, "_block")), same_keys((*key, "_block"))).select(
-        *key, "_value", (F.col("_number") + F.col("_before")).cast("int").alias("_place")
-    )
-    # Many rows may share one value.
-    return (
-        spread_frequent_join(rows, places, [*key, "_value"], df.columns, group_limit)
-        .groupBy(*df.columns)
-        .agg(*[F.max(F.when(F.col("_rank") == rank, F.col("_place"))).alias(rank) for rank in ranks])
+    def block(level: int) -> Column:
+        return F.shiftright("_value", LEVEL_BITS * level)
+
+    in_block = Window.partitionBy(*key, "_block").orderBy("_value")
+    numbered = values.withColumn("_block", block(1)).withColumn("_place", F.row_number().over(in_block).cast("long"))
+    # Blocks of one level, with the number of values in the blocks before within the block above.
+    before = None
+    for level in (3, 2, 1):
+        above = F.lit(0).cast("long") if level == 3 else F.shiftright("_block", LEVEL_BITS)
+        sized = values.groupBy(*key, block(level).alias("_block")).agg(F.count(F.lit(1)).alias("_size"))
+        order = Window.partitionBy(*key, "_above").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        sized = sized.withColumn("_above", above).withColumn("_before", F.coalesce(F.sum("_size").over(order), F.lit(0)))
+        if before is not None:
+            outer = with_prefix(before.withColumnsRenamed({"_block": "_above", "_before": "_outer"}), (*key, "_above"))
+            sized = sized.join(outer, same_keys((*key, "_above"))).withColumn("_before", F.col("_before") + F.col("_outer"))
+        before = sized.select(*key, "_block", "_before")
+    blocks = with_prefix(before, (*key, "_block"))
+    return numbered.join(blocks, same_keys((*key, "_block"))).select(
+        *key, "_value", (F.col("_place") + F.col("_before")).cast("int").alias("_place")
     )

@@ -110,6 +110,9 @@ _BUILDERS: dict[str, Callable[[Tables, Options], DataFrame]] = {
 
 REPORTS = tuple(_BUILDERS)
 
+# Reports in which the last stay of an item lasts until a given time.
+_OPEN_STAYS = ("work_items_count_by_state", "work_items_count_by_state_moving_average")
+
 # The regular runs: report and bucket size.
 ISSUE_RUN = (
     ("work_items_count_by_state", WEEKS),
@@ -153,6 +156,10 @@ FLOW_RUN = (
 
 def report_points(name: str, tables: Tables, options: Options) -> DataFrame:
     """Points of one report, ready for the metric store."""
+    needed = {"work_items_duration": ("flow",)} | dict.fromkeys(_OPEN_STAYS, ("as_of",))
+    missing = [option for option in needed.get(name, ()) if getattr(options, option) is None]
+    if missing:
+        raise ValueError(f"{name} needs the options {missing}")
     measurement = CATALOGUE[name]
     constants = {"interval": options.unit}
     if "qualifier" in measurement.constant_tags:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,19 +28,14 @@ def build_session(app_name: str = "flowgauge", **extra: str) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or the context's checkpoint folder.
+    """The folder named by ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
-    Only a local session without either gets a local temporary folder, which is set
-    so that later calls share it; on a cluster a missing setting is an error.
+    All executors must share it, so there is no default: a session without either is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    local = tempfile.mkdtemp(prefix="flowgauge-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

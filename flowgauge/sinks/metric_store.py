@@ -8,6 +8,7 @@ overlaps an earlier one does no harm, and nothing is overwritten while read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -34,10 +35,10 @@ class MetricStore:
         return f"{self.root}/{measurement}"
 
     def append(self, points: DataFrame, measurement: str, load_id: int) -> None:
-        """Write one load. ``load_id`` must grow from load to load."""
-        stamped = points.withColumns(
-            {LOAD: F.lit(load_id).cast("long"), MONTH: _month(F.col("time"))}
-        )
+        """Write one load. ``load_id`` must grow from load to load; a point without a time fails the write."""
+        untimed = F.raise_error(F.lit(f"a point of {measurement} has no time"))
+        month = F.when(F.col("time").isNull(), untimed).otherwise(_month(F.col("time")))
+        stamped = points.withColumns({LOAD: F.lit(load_id).cast("long"), MONTH: month})
         # Rebalancing makes few files per month, and splits a month that is too big.
         (
             stamped.hint("rebalance", F.col(MONTH))
@@ -77,7 +78,7 @@ class MetricStore:
         path = self.path(measurement)
         if not exists(self.spark, path):
             return None
-        months = [name for name in names_below(self.spark, path) if name.startswith(f"{MONTH}=")]
+        months = [name for name in names_below(self.spark, path) if re.fullmatch(rf"{MONTH}=\d+-\d\d", name)]
         if not months:
             return None
         return self.spark.read.parquet(path).where(F.col(MONTH) == max(months).removeprefix(f"{MONTH}="))

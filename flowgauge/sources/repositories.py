@@ -20,7 +20,6 @@ from flowgauge.functions.time import (
     parse_instant,
     parse_wall_clock,
 )
-from flowgauge.operators.joins import spread_join
 from flowgauge.schemas import NAMESPACE, PROJECT, RAW_COMMIT, RAW_MERGE_REQUEST
 from flowgauge.sources.issues import ARRAY, LINES, read_json
 
@@ -57,15 +56,16 @@ def clean_commits(
     """Drop commits of bots, then replace known e-mail addresses.
 
     A mapping from the config is looked up in place; a mapping table (columns
-    ``email``, ``committer``) is joined.
+    ``email``, ``committer``) is joined. If it names several committers for one
+    address, the first in alphabetical order counts. Commits without an address stay.
     """
     kept = raw
     for prefix in bot_prefixes:
-        kept = kept.where(~F.col("committer_email").startswith(prefix))
+        kept = kept.where(~F.coalesce(F.col("committer_email").startswith(prefix), F.lit(False)))
     if isinstance(email_mapping, Mapping):
         return kept.withColumn("committer_email", mapped("committer_email", email_mapping))
-    known = email_mapping.select(F.col("email").alias("committer_email"), F.col("committer").alias("_known"))
-    joined = spread_join(kept, known, ("committer_email",), ("id",), how="left")
+    known = email_mapping.groupBy(F.col("email").alias("committer_email")).agg(F.min("committer").alias("_known"))
+    joined = kept.join(known, "committer_email", "left")
     return joined.withColumn("committer_email", F.coalesce("_known", "committer_email")).drop("_known")
 
 
@@ -76,7 +76,7 @@ def commit_points(raw: DataFrame, projects: DataFrame) -> DataFrame:
         F.col("name_with_namespace").alias("project"),
         parent_namespace("name", "name_with_namespace").alias("namespace"),
     )
-    return spread_join(raw, named, ("project_id",), ("id",)).select(
+    return raw.join(named, "project_id").select(
         parse_instant("created_at").alias("time"),
         "project",
         "namespace",

@@ -33,15 +33,22 @@ def main(log_dir):
         .config("spark.eventLog.dir", f"file:{log_dir}")
         .config("spark.sql.shuffle.partitions", "16")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        # As small as these tables, so that skewed joins are split as they are at full size.
+        .config("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64k")
+        .config("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     rows = spark.range(0, ROWS, 1, 8).withColumnRenamed("id", "n")
     hot = F.col("n") % 3 == 0
+    # All changes of the hot item fall in one hour.
+    within_hour = F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), scattered(4, 60), scattered(5, 60))
     when = F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(scattered(1, 900), scattered(2, 24))
     statuses = rows.select(
         F.when(hot, "hot").otherwise(F.floor(F.col("n") / 12).cast("string")).alias("id"),
-        when.alias("statusCreated"),
+        F.when(hot, within_hour).otherwise(when).alias("statusCreated"),
         F.element_at(F.array(*[F.lit(name) for name in SPEC.reference_flow]), scattered(3, 4) + 1).alias("statusName"),
         F.col("n").alias("pos"),
     )
@@ -71,15 +78,15 @@ def main(log_dir):
     one_month = rows.select(
         F.when(hot, F.lit("2021-01-01").cast("timestamp_ntz")).otherwise(when).alias("createdAt"),
         F.concat(F.lit("dev"), F.col("n").cast("string")).alias("committer"),
-        (F.col("n") % 9000).cast("int").alias("additions"),
+        F.pmod(F.xxhash64("n"), F.lit(10**12)).alias("additions"),
         F.lit(-1).alias("deletions"),
         F.lit(6).alias("total"),
     )
     jobs = {
-        "flow": cumulative.cumulative_flow(normalize_statuses(statuses, SPEC, history_limit=10_000), "DAYS"),
-        "stays": issue_reports.state_spans(statuses, "2024-01-01", history_limit=10_000),
+        "flow": cumulative.cumulative_flow(normalize_statuses(statuses, SPEC), "DAYS"),
+        "stays": issue_reports.state_spans(statuses, "2024-01-01"),
         "commits by role": commit_reports.commits_by_role(projects, tags, commits, "WEEKS"),
-        "ranks": commit_reports.committers_activity_rank(one_month, "MONTHS", group_limit=5_000),
+        "ranks": commit_reports.committers_activity_rank(one_month, "MONTHS"),
         "merge requests": merge_request_reports.by_state(requests, projects, "develop", "WEEKS"),
     }
     for name, frame in jobs.items():
