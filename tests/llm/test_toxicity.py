@@ -23,9 +23,9 @@ def test_held_out_accuracy_and_order(spark, documents, prose):
     found = {r.doc_id: r for r in score(documents([r[:2] for r in held]), model).collect()}
     right = [found[i].toxic == bool(t) for i, _, t in held]
     assert np.mean(right) > 0.95
-    heavy = [found[i].severity for i, _, t in held if t and i % 7 >= 5]
-    light = [found[i].severity for i, _, t in held if t and i % 7 <= 1]
-    assert np.mean(heavy) > np.mean(light)
+    toxic = [(text, found[i].severity) for i, text, t in held if t]
+    shares = [sum(any(q in w for q in INSULTS) for w in text.split()) / len(text.split()) for text, _ in toxic]
+    assert np.corrcoef(shares, [severity for _, severity in toxic])[0, 1] > 0.7
 
 
 def test_gradient_finds_ordered_grades():
