@@ -11,6 +11,7 @@ from flowgauge.operators import cumulative, flow
 from pyspark.sql import functions as F
 
 _SERIES = ("project",)
+_FLOWS = {"P0": views.FLOW, "P1": views.MAPPED_FLOW, "P2": views.FLOW}
 
 
 def _rounded(df, *names):
@@ -31,7 +32,7 @@ def queries():
             st(s, d), views.FLOW, ("project", "id"), ("type", "estimate"), span_minutes=100_000
         ),
         "normalized_flow_per_project": lambda s, d: flow.normalize_statuses(
-            st(s, d), {"P0": views.FLOW, "P1": views.MAPPED_FLOW}, ("project", "id")
+            st(s, d), _FLOWS, ("project", "id")
         ),
         "flow_steps": lambda s, d: flow.flow_steps(
             flow.normalize_statuses(st(s, d), views.FLOW, ("project", "id")), views.FLOW
@@ -46,6 +47,16 @@ def queries():
         "cfd_estimate_daily": lambda s, d: _rounded(
             cumulative.flow_table(st(s, d), views.FLOW, "DAYS", aggregate="estimate", series=_SERIES), "th"
         ),
+        "cfd_count_monthly_by_project": lambda s, d: _rounded(
+            cumulative.flow_table(st(s, d), views.FLOW, "MONTHS", series=_SERIES), "th"
+        ),
+        # Tenths have no exact binary form; sums are exact all the same.
+        "cfd_estimate_in_tenths": lambda s, d: _rounded(
+            cumulative.flow_table(
+                st(s, d).withColumn("estimate", F.col("estimate") * 0.1), views.FLOW, "DAYS", aggregate="estimate", series=_SERIES
+            ),
+            "th",
+        ),
         "cfd_filtered_weekly": lambda s, d: _rounded(
             cumulative.flow_table(
                 st(s, d), views.FLOW, "WEEKS", types=("Bug",), priorities=("Critical", "Low"), created_after="2024-01-08"
@@ -55,6 +66,12 @@ def queries():
         "cfd_reports": lambda s, d: _rounded(
             cumulative.flow_tables(st(s, d), views.FLOW, views.REPORTS, series=_SERIES), "th"
         ),
+        "cfd_reports_per_project": lambda s, d: _rounded(
+            cumulative.flow_tables(st(s, d), _FLOWS, views.REPORTS, series=_SERIES), "th"
+        ),
+        "work_items_duration_per_project": lambda s, d: _rounded(
+            cumulative.duration_table(st(s, d), _FLOWS, "WEEKS", series=_SERIES), "mean"
+        ),
         "cfd_report_columns": lambda s, d: _rounded(
             cumulative.with_report_columns(cumulative.flow_table(st(s, d), views.MAPPED_FLOW, "DAYS"), views.MAPPED_FLOW), "TH"
         ),
@@ -108,7 +125,7 @@ _MAPPED_KINDS = (
 )
 
 
-_P0 = "project = 'P0'"
+_P0_P2 = "project IN ('P0', 'P2')"
 _USER = "split_part(id, '-', 1)"
 
 
@@ -157,7 +174,16 @@ def _table(unit: str, step: str, series: str, weight: str = "1", number: str = "
 """
 
 
-def _reports_sql() -> str:
+def _per_project() -> str:
+    """Items of projects 0 and 2 walked by one flow, of project 1 by another, as ``normalized``."""
+    return (
+        f"WITH RECURSIVE {views.STATUSES_SQL}, {_walk(_KINDS, where=_P0_P2, name='n0')}, "
+        + _walk(_MAPPED_KINDS, where="project = 'P1'", name="n1")
+        + ", normalized AS (SELECT * FROM n0 UNION ALL SELECT * FROM n1)"
+    )
+
+
+def _reports_sql(normalized: str) -> str:
     conditions = {
         "All stories and bugs": "true",
         "All stories": "\"type\" = 'Story'",
@@ -169,7 +195,7 @@ def _reports_sql() -> str:
         for name, where in conditions.items()
     )
     return (
-        f"{_with(_walk(_KINDS))}, spread AS ({spread}), "
+        f"{normalized}, spread AS ({spread}), "
         "weekly AS (SELECT * FROM spread WHERE qualifier <> 'Critical bugs'), "
         "daily AS (SELECT * FROM spread WHERE qualifier = 'Critical bugs'), "
         f"{_table('week', '7 DAY', 'project, qualifier, ', source='weekly', name='w')}, "
@@ -180,11 +206,6 @@ def _reports_sql() -> str:
 
 def oracle_sql():
     normalized = 'SELECT project, id, "type", estimate, entry_at, final_at FROM normalized'
-    per_project = (
-        f"WITH RECURSIVE {views.STATUSES_SQL}, {_walk(_KINDS, where=_P0, name='n0')}, "
-        + _walk(_MAPPED_KINDS, where="project = 'P1'", name="n1")
-        + " SELECT project, id, entry_at, final_at FROM n0 UNION ALL SELECT project, id, entry_at, final_at FROM n1"
-    )
     daily = _table("day", "1 DAY", "")
     by_project = _table("day", "1 DAY", "project, ")
     durations = """, days AS (
@@ -195,7 +216,7 @@ SELECT project, created, round(avg(d), 6) AS mean, min(d) AS "min", max(d) AS "m
         "normalized_flow": f"{_with(_walk(_KINDS))} {normalized}",
         "normalized_flow_cut_histories": f"{_with(_walk(_KINDS))} {normalized}",
         "normalized_flow_mapped_states": f"{_with(_walk(_MAPPED_KINDS))} {normalized}",
-        "normalized_flow_per_project": per_project,
+        "normalized_flow_per_project": f"{_per_project()} SELECT project, id, entry_at, final_at FROM normalized",
         "flow_steps": (
             f"{_with(_walk(_KINDS))} SELECT project, id, 'view' AS status, entry_at AS created FROM normalized "
             "UNION ALL SELECT project, id, 'purchase', final_at FROM normalized WHERE final_at IS NOT NULL"
@@ -218,7 +239,19 @@ SELECT project, created, round(avg(d), 6) AS mean, min(d) AS "min", max(d) AS "m
             )
             + f", {_table('week', '7 DAY', '')} SELECT * FROM t"
         ),
-        "cfd_reports": _reports_sql(),
+        "cfd_reports": _reports_sql(_with(_walk(_KINDS))),
+        "cfd_reports_per_project": _reports_sql(_per_project()),
+        "cfd_count_monthly_by_project": f"{_with(_walk(_KINDS))}, {_table('month', '1 MONTH', 'project, ')} SELECT * FROM t",
+        "cfd_estimate_in_tenths": (
+            f"{_with(_walk(_KINDS))}, "
+            + _table(
+                "day", "1 DAY", "project, ", "CAST(estimate AS DECIMAL(10,0)) * CAST(0.1 AS DECIMAL(2,1))", "DECIMAL(30,6)"
+            )
+            + ' SELECT project, "time", CAST(entry_change AS DOUBLE) AS entry_change, CAST(final_change AS DOUBLE) AS final_change, '
+            "CAST(entry_total AS DOUBLE) AS entry_total, CAST(final_total AS DOUBLE) AS final_total, "
+            "CAST(wip_current AS DOUBLE) AS wip_current, ct, done_lagged, wip, th FROM t"
+        ),
+        "work_items_duration_per_project": f"{_per_project()}{durations.format(unit='week')}",
         "cfd_report_columns": (
             f"{_with(_walk(_MAPPED_KINDS))}, {daily} SELECT \"time\" AS \"Time\", entry_change AS \"view change\", "
             'final_change AS "click change", entry_total AS "view", final_total AS "click", wip_current AS "WIP current", '

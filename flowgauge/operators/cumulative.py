@@ -221,7 +221,7 @@ def normalize(
 
 def flow_table(
     items: DataFrame,
-    spec: FlowSpec,
+    spec: FlowSpec | Mapping[str, FlowSpec],
     unit: str,
     aggregate: str = COUNT,
     types: Sequence[str] | None = None,
@@ -238,7 +238,7 @@ def flow_table(
 
 def duration_table(
     items: DataFrame,
-    spec: FlowSpec,
+    spec: FlowSpec | Mapping[str, FlowSpec],
     unit: str,
     types: Sequence[str] | None = None,
     priorities: Sequence[str] | None = None,
@@ -249,6 +249,15 @@ def duration_table(
     return item_durations(normalize(chosen, spec, (*series, "id"), ()), unit, series)
 
 
+def specs_between(
+    spec: FlowSpec | Mapping[str, FlowSpec], entry_state: str | None, final_state: str | None
+) -> FlowSpec | Mapping[str, FlowSpec]:
+    """The spec, or all specs, with other measured states where they are given."""
+    if isinstance(spec, FlowSpec):
+        return spec.between(entry_state, final_state)
+    return {project: own.between(entry_state, final_state) for project, own in spec.items()}
+
+
 def _matches(report: FlowReport) -> Column:
     fits = F.lit(True)
     if report.types is not None:
@@ -260,7 +269,7 @@ def _matches(report: FlowReport) -> Column:
 
 def flow_tables(
     items: DataFrame,
-    spec: FlowSpec,
+    spec: FlowSpec | Mapping[str, FlowSpec],
     reports: Sequence[FlowReport],
     aggregate: str = COUNT,
     series: Sequence[str] = (),
@@ -269,16 +278,19 @@ def flow_tables(
 
     Items are normalized once per pair of entry and final state and then handed to
     every report that wants them; those of one bucket size share all later steps.
+    There may be one spec per project; a report without states takes those of each.
     """
-    by_states: dict[tuple[str, str], dict[str, list[FlowReport]]] = {}
+    by_states: dict[tuple[str | None, str | None], dict[str, list[FlowReport]]] = {}
     for report in reports:
-        states = (report.entry_state or spec.entry_state, report.final_state or spec.final_state)
+        states = (report.entry_state, report.final_state)
+        if isinstance(spec, FlowSpec):
+            states = (states[0] or spec.entry_state, states[1] or spec.final_state)
         by_states.setdefault(states, {}).setdefault(report.unit, []).append(report)
     attributes = ("type", "priority") + (("estimate",) if aggregate == ESTIMATE else ())
     tables = []
     for (entry, final), by_unit in by_states.items():
         anyone = reduce(lambda some, more: some | more, [_matches(report) for group in by_unit.values() for report in group])
-        normalized = normalize(items.where(anyone), spec.between(entry, final), (*series, "id"), attributes)
+        normalized = normalize(items.where(anyone), specs_between(spec, entry, final), (*series, "id"), attributes)
         for unit, wanted in by_unit.items():
             names = F.array_compact(F.array(*[F.when(_matches(report), F.lit(report.qualifier)) for report in wanted]))
             spread = normalized.select("*", F.explode(names).alias("qualifier"))

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -57,45 +57,49 @@ def state_kinds(spec: FlowSpec) -> dict[str, int]:
     return kinds
 
 
-def _kind(kinds: Mapping[str, int], name: Column) -> Column:
-    pairs = [F.lit(part) for pair in kinds.items() for part in pair]
-    return F.try_element_at(F.create_map(*pairs), name)
+def _literal_map(values: Mapping[str, int]) -> Column:
+    return F.create_map(*[F.lit(part) for pair in values.items() for part in pair])
 
 
-def with_state_kind(
-    statuses: DataFrame, spec: FlowSpec | Mapping[str, FlowSpec], project: str = "project"
-) -> DataFrame:
-    """Add the column ``kind`` and drop rows outside the flow.
+def kinds_of(spec: FlowSpec | Mapping[str, FlowSpec], project: str = "project") -> Column:
+    """Map from raw state name to kind, for each row that of its project if there is a spec for each.
 
-    With one spec per project, the specs come from the driver's config, so the
-    joined table is as small as that file.
+    The specs come from the driver's config, so the map is as small as that file. A
+    row of a project that has no spec fails the job.
     """
     if isinstance(spec, FlowSpec):
-        kinds = state_kinds(spec)
-        known = statuses.where(F.col("statusName").isin(list(kinds)))
-        return known.withColumn("kind", _kind(kinds, F.col("statusName")))
-    rows = [(key, raw, kind) for key, flow in spec.items() for raw, kind in state_kinds(flow).items()]
-    session: SparkSession = statuses.sparkSession
-    table = session.createDataFrame(rows, f"{project} STRING, statusName STRING, kind INT")
-    return statuses.join(F.broadcast(table), [project, "statusName"])
+        return _literal_map(state_kinds(spec))
+    by_project = F.create_map(*[part for key, flow in spec.items() for part in (F.lit(key), _literal_map(state_kinds(flow)))])
+    missing = F.raise_error(F.concat(F.lit("no flow for project "), F.coalesce(F.col(project), F.lit("null"))))
+    return F.coalesce(F.try_element_at(by_project, F.col(project)), missing.cast("map<string,int>"))
+
+
+def with_state_kind(
+    statuses: DataFrame, spec: FlowSpec | Mapping[str, FlowSpec], project: str = "project"
+) -> DataFrame:
+    """Add the column ``kind`` and drop rows outside the flow, of which there may be one per project."""
+    kind = F.try_element_at(kinds_of(spec, project), F.col("statusName"))
+    return statuses.withColumn("kind", kind).where(F.col("kind").isNotNull())
 
 
 def _goes_back(kind: Column, before: Column) -> Column:
     return (kind == BELOW) | ((kind != ENTRY) & F.coalesce(before == FINAL, F.lit(False)))
 
 
-def normalize_items(items: DataFrame, spec: FlowSpec, history: str = "statusHistory") -> DataFrame:
+def normalize_items(
+    items: DataFrame, spec: FlowSpec | Mapping[str, FlowSpec], history: str = "statusHistory", project: str = "project"
+) -> DataFrame:
     """Nested items with ``entry_at`` and ``final_at`` for their history, started ones only.
 
     ``history`` is an array of structs with ``created`` and ``name``; changes of
     equal time keep their place in the array. Row-local: nothing is shuffled.
     """
-    kinds = state_kinds(spec)
+    kinds = kinds_of(spec, project)
     known = F.filter(
         F.transform(
             history,
             lambda status, at: F.struct(
-                status["created"].alias("created"), at.alias("at"), _kind(kinds, status["name"]).alias("kind")
+                status["created"].alias("created"), at.alias("at"), F.try_element_at(kinds, status["name"]).alias("kind")
             ),
         ),
         lambda status: status["kind"].isNotNull(),

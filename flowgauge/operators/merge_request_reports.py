@@ -21,9 +21,14 @@ from flowgauge.operators.joins import same_keys, with_prefix
 
 MERGED = "merged"
 
+# A table with this column holds newest versions only.
+IS_NEWEST = "is_newest"
+
 
 def latest_versions(requests: DataFrame, newest: Sequence[str] = ()) -> DataFrame:
     """Newest version per ``id`` by ``updatedAt``; ties go to the highest values of ``newest``, then of all columns."""
+    if IS_NEWEST in requests.columns:
+        return requests
     others = sorted(set(requests.columns) - {"id", "updatedAt", *newest})
     order = [F.col(name).desc() for name in ("updatedAt", *newest, *others)]
     return (

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from flowgauge.functions.time import DAYS, MONTHS, WEEKS
 from flowgauge.operators import commit_reports as commits
@@ -13,7 +15,9 @@ from flowgauge.operators import cumulative
 from flowgauge.operators import issue_reports as issues
 from flowgauge.operators import merge_request_reports as requests
 from flowgauge.operators.cumulative import COUNT, ESTIMATE
+from flowgauge.operators.work_items import flatten
 from flowgauge.plans.catalogue import CATALOGUE, CFD_COUNT, CFD_ESTIMATE, flow_measurement, flow_points
+from flowgauge.session import scratch_path
 from flowgauge.settings import FlowReport, FlowSpec
 from flowgauge.sinks.metric_store import MetricStore
 
@@ -51,7 +55,7 @@ class Options:
     excluded_parts: Sequence[str] = ("-",)
     newest: Sequence[str] = ()
     top_k: int | None = None
-    flow: FlowSpec | None = None
+    flow: FlowSpec | Mapping[str, FlowSpec] | None = None
     types: Sequence[str] | None = None
     priorities: Sequence[str] | None = None
 
@@ -168,26 +172,55 @@ def report_points(name: str, tables: Tables, options: Options) -> DataFrame:
 
 
 def flow_report_points(
-    statuses: DataFrame, spec: FlowSpec, reports: Sequence[FlowReport] = FLOW_RUN, aggregate: str = COUNT
+    statuses: DataFrame,
+    spec: FlowSpec | Mapping[str, FlowSpec],
+    reports: Sequence[FlowReport] = FLOW_RUN,
+    aggregate: str = COUNT,
 ) -> dict[str, DataFrame]:
-    """Cumulative-flow points of all reports; one frame per pair of measured states."""
-    by_states: dict[tuple[str, str], list[FlowReport]] = {}
+    """Cumulative-flow points of all reports; one frame per pair of measured states.
+
+    With one spec per project, a report without states of its own is measured between
+    those of each project, and projects of equal states share a frame.
+    """
+    specs = {None: spec} if isinstance(spec, FlowSpec) else dict(spec)
+    wanted: dict[tuple[str, str], dict[tuple, list[FlowReport]]] = {}
     for report in reports:
-        states = (report.entry_state or spec.entry_state, report.final_state or spec.final_state)
-        by_states.setdefault(states, []).append(report)
+        projects: dict[tuple[str, str], list] = {}
+        for project, own in specs.items():
+            states = (report.entry_state or own.entry_state, report.final_state or own.final_state)
+            projects.setdefault(states, []).append(project)
+        for states, of_states in projects.items():
+            wanted.setdefault(states, {}).setdefault(tuple(of_states), []).append(report)
     name = CFD_COUNT if aggregate == COUNT else CFD_ESTIMATE
     points = {}
-    for states, wanted in by_states.items():
-        measured = spec.between(*states)
-        table = cumulative.flow_tables(statuses, measured, wanted, aggregate, PROJECT)
-        points[" -> ".join(states)] = flow_points(table, flow_measurement(name, measured))
+    for states, by_projects in wanted.items():
+        tables = []
+        for projects, some in by_projects.items():
+            if projects == (None,):
+                measured, rows = spec.between(*states), statuses
+            else:
+                measured = {project: specs[project].between(*states) for project in projects}
+                rows = statuses.where(F.col("project").isin(list(projects)))
+            tables.append(cumulative.flow_tables(rows, measured, some, aggregate, PROJECT))
+        any_spec = next(iter(specs.values())) if projects == (None,) else specs[projects[0]]
+        points[" -> ".join(states)] = flow_points(
+            reduce(DataFrame.unionByName, tables), flow_measurement(name, any_spec.between(*states))
+        )
     return points
 
 
 def run_reports(
     store: MetricStore, load_id: int, run: Sequence[tuple[str, str]], tables: Tables, options: Options
 ) -> None:
-    """Write each report of a run as one load."""
+    """Write each report of a run as one load.
+
+    If several reports want the newest versions of merge requests, these are found
+    once and kept in the shared scratch folder.
+    """
+    if tables.merge_requests is not None and sum(name.startswith("merge_request") for name, _ in run) > 1:
+        path = scratch_path(store.spark, "newest-merge-requests")
+        requests.latest_versions(tables.merge_requests, options.newest).write.parquet(path)
+        tables = replace(tables, merge_requests=store.spark.read.parquet(path).withColumn(requests.IS_NEWEST, F.lit(True)))
     for name, unit in run:
         store.append(report_points(name, tables, replace(options, unit=unit)), name, load_id)
 
@@ -196,7 +229,7 @@ def run_flow_reports(
     store: MetricStore,
     load_id: int,
     statuses: DataFrame,
-    spec: FlowSpec,
+    spec: FlowSpec | Mapping[str, FlowSpec],
     reports: Sequence[FlowReport] = FLOW_RUN,
     aggregates: Sequence[str] = (COUNT, ESTIMATE),
 ) -> None:
@@ -204,3 +237,19 @@ def run_flow_reports(
         name = CFD_COUNT if aggregate == COUNT else CFD_ESTIMATE
         for points in flow_report_points(statuses, spec, reports, aggregate).values():
             store.append(points, name, load_id)
+
+
+def run_issue_reports(
+    store: MetricStore,
+    load_id: int,
+    items: DataFrame,
+    spec: FlowSpec | Mapping[str, FlowSpec],
+    options: Options,
+    reports: Sequence[FlowReport] = FLOW_RUN,
+) -> None:
+    """From work items, as ``read_work_items`` gives them, to all stored issue reports of one load."""
+    statuses = flatten(items)
+    tables = Tables(statuses=statuses, items=items)
+    run_reports(store, load_id, ISSUE_RUN, tables, options)
+    run_reports(store, load_id, (("work_items_duration", WEEKS),), tables, replace(options, flow=spec))
+    run_flow_reports(store, load_id, statuses, spec, reports)
