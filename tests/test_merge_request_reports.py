@@ -121,3 +121,23 @@ def test_tags_and_projects(spark, some, projects, rows):
 
 def test_seasonality_counts_all_versions(some, rows):
     assert rows(R.seasonality(some)) == [(2, 6, 3, 2.0), (3, 3, 1, 3.0)]
+
+
+def test_requests_without_a_state_are_averaged(spark, projects, rows):
+    some = requests(spark, (1, 10, "a", None, "develop", 0, 6, None, 1), (2, 10, "a", "merged", "develop", 0, 6, 7, 1))
+    found = R.moving_average(some, projects, "WEEKS")
+    assert rows(found, "state", "moving_average") == [("merged", 1.0), (None, 1.0)]
+
+
+def test_every_week_and_missing_times_have_a_row(spark):
+    days = [datetime(2020, 1, 6 + n) for n in range(3)] + [datetime.fromisocalendar(2020, week, 1) for week in range(1, 54)] + [None]
+    some = spark.createDataFrame([(day,) for day in days], "createdAt timestamp_ntz")
+    found = {row["weekOfYear"]: row["sum"] for row in R.seasonality(some).collect()}
+    assert found.keys() == {None, *range(1, 54)} and found[2] == 4
+
+
+def test_ties_do_not_depend_on_the_order_of_rows(spark):
+    some = requests(spark, *[(1, 10, name, "merged", "develop", 0, 6, 7, 5) for name in ("ann", "bob", "cid")])
+    for order in (some["author"].asc(), some["author"].desc()):
+        ordered = some.orderBy(order).coalesce(1)
+        assert [row["author"] for row in R.latest_versions(ordered).collect()] == ["cid"]

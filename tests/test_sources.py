@@ -210,6 +210,13 @@ def test_commits(spark, tmp_path, rows):
     assert rows(by_table, "committer_email") == [("A@b.example",), ("a@b.example",), ("zoe",)]
 
 
+def test_commits_without_an_address_and_repeated_mappings(spark, rows):
+    raw = spark.createDataFrame([("1", None), ("2", "z"), ("3", "jenkins@x")], "id string, committer_email string")
+    table = spark.createDataFrame([("z", "zoe"), ("z", "abe")], "email string, committer string")
+    assert rows(repositories.clean_commits(raw, table), "id", "committer_email") == [("1", None), ("2", "abe")]
+    assert rows(repositories.clean_commits(raw, {}), "id") == [("1",), ("2",)]
+
+
 def test_merge_requests(spark, tmp_path, rows):
     base = {
         "iid": 1, "state": "merged", "created_at": "2020-01-01T23:00:00.000-0500", "author": {"id": 1, "username": "ann"},

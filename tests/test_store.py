@@ -3,6 +3,7 @@ from datetime import datetime
 
 import pytest
 from flowgauge import metric_queries as Q
+from flowgauge.operators.flow import normalize_statuses
 from flowgauge.plans import catalogue, flow_request, ingest, reports
 from flowgauge.settings import FlowReport, FlowSpec, Settings
 from flowgauge.sinks.metric_store import MetricStore
@@ -248,3 +249,55 @@ def test_normalized_flow_points(spark, rows):
     found = catalogue.flow_points(table, measurement, qualifier="all", interval="WEEKS")
     assert found.columns == ["time", "project", "qualifier", "interval", "CT", "TH", "WIP current"]
     assert rows(found, "project", "CT", "TH", "WIP current") == [("p", 0, 0.0, 1), ("q", 0, 0.0, 1)]
+
+
+def test_points_without_a_time_are_refused(spark, store):
+    store.append(points(spark, (1, 1, "open", 1)), "m", 1)
+    untimed = points(spark, (2, 1, "open", 1)).withColumn("time", F.lit(None).cast("timestamp_ntz"))
+    with pytest.raises(Exception, match="has no time"):
+        store.append(untimed, "m", 2)
+    # A folder of such points from elsewhere is not taken for the last month.
+    untimed.withColumns({"load_id": F.lit(1).cast("long"), "month": F.lit(None).cast("string")}).write.mode("append").partitionBy(
+        "month"
+    ).parquet(store.path("m"))
+    assert [row["time"] for row in store.last_month("m").collect()] == [datetime(2020, 1, 1)]
+
+
+def test_options_are_checked_when_planning(spark):
+    for name, option in (("work_items_count_by_state", "as_of"), ("work_items_duration", "flow")):
+        with pytest.raises(ValueError, match=option):
+            reports.report_points(name, tables(spark), reports.Options())
+
+
+def test_one_flow_per_project_in_a_run(spark):
+    when = [datetime(2020, 1, 6, hour) for hour in range(4)]
+    rows = [(p, p + "1", "Bug", None, 1.0, when[0], when[at], s, at) for p in "ab" for at, s in enumerate(("todo", "doing", "done"))]
+    statuses = spark.createDataFrame(
+        rows,
+        "project string, id string, type string, priority string, estimate double, created timestamp_ntz, "
+        "statusCreated timestamp_ntz, statusName string, pos int",
+    )
+    order = {"todo": 0, "doing": 1, "done": 2}
+    specs = {"a": FlowSpec(order, "todo", "done"), "b": FlowSpec(order, "doing", "done")}
+    points = reports.flow_report_points(statuses, specs, (FlowReport("All", None, None),))
+    assert sorted(points) == ["doing -> done", "todo -> done"]
+    found = {key: [row["project"] for row in frame.collect()] for key, frame in points.items()}
+    assert found == {"doing -> done": ["b"], "todo -> done": ["a"]}
+    with pytest.raises(Exception, match="no flow for project b"):
+        normalize_statuses(statuses, {"a": specs["a"]}, ("project", "id")).collect()
+
+
+def test_issue_run_fills_the_store(spark, store):
+    history = [(datetime(2020, 1, 6, 9), "todo", "ann", 0), (datetime(2020, 1, 8, 9), "done", "bob", 1)]
+    items = spark.createDataFrame(
+        [("a", "a1", "n", "Bug", "High", datetime(2020, 1, 6), None, "ann", "S", 1.0, history, None, None)],
+        "project string, id string, name string, type string, priority string, created timestamp_ntz, closed timestamp_ntz, "
+        "createdBy string, size string, estimate double, "
+        "statusHistory array<struct<created:timestamp_ntz,name:string,author:string,pos:bigint>>, epicName string, version int",
+    )
+    spec = {"a": FlowSpec({"todo": 0, "done": 1}, "todo", "done")}
+    reports.run_issue_reports(
+        store, 1, items, spec, reports.Options(as_of="2020-02-01", idle_states=("done",)), (FlowReport("All", None, None),)
+    )
+    for name in [name for name, _ in reports.ISSUE_RUN] + ["work_items_duration"]:
+        assert spark.read.parquet(store.path(name)).count() > 0, name
