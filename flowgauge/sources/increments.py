@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.functions.time import as_time
@@ -32,13 +33,17 @@ def load_window(
     """
     last = None if stored is None else high_water_mark(stored).first()["last"]
     if last is None:
-        start = as_time(as_of) - F.make_ym_interval(F.lit(FIRST_LOAD_YEARS), F.lit(0))
+        start = _shifted(as_of, -12 * FIRST_LOAD_YEARS)
     else:
-        start = as_time(last) - F.make_ym_interval(F.lit(0), F.lit(months_back))
-    length = F.make_ym_interval(F.lit(0), F.lit(months_back + months_ahead))
-    session = SparkSession.active()
-    row = session.range(1).select(start.alias("start")).select("start", (F.col("start") + length).alias("end")).first()
-    return row["start"], row["end"]
+        start = _shifted(last, -months_back)
+    return start, _shifted(start, months_back + months_ahead)
+
+
+def _shifted(moment, months: int) -> datetime:
+    """The same day and time some months away, or the last day of that month if it is shorter."""
+    moment = moment if isinstance(moment, datetime) else datetime.fromisoformat(str(moment))
+    year, month = divmod(moment.year * 12 + moment.month - 1 + months, 12)
+    return moment.replace(year=year, month=month + 1, day=min(moment.day, monthrange(year, month + 1)[1]))
 
 
 def commit_window(stored: DataFrame | None, as_of) -> Window:
