@@ -25,8 +25,9 @@ PATTERN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 WINDOW = 512
-CACHED_WORDS, CACHED_BYTES = 200_000, 64
+CACHED_WORDS, CACHED_BYTES = 400_000, 64
 BATCH_WORDS = 1 << 16
+_NONE = (1 << 62, -1)  # the rank of a pair that does not merge
 
 
 def _byte_letters() -> dict[str, int]:
@@ -81,22 +82,20 @@ class Vocabulary:
 
     def _merge_short(self, parts: list[int]) -> list[int]:
         merges = self.merges
-        while len(parts) > 1:
-            best, pair = None, None
-            for found in map(merges.get, zip(parts, parts[1:])):
-                if found is not None and (best is None or found < best):
-                    best = found
-            if best is None:
+        found = [merges.get(pair, _NONE) for pair in zip(parts, parts[1:])]
+        while found:
+            best = min(found)
+            if best is _NONE:
                 break
-            merged, out, at, last = best[1], [], 0, len(parts) - 1
-            while at <= last:
-                if at < last and merges.get((parts[at], parts[at + 1])) == best:
-                    out.append(merged)
-                    at += 2
-                else:
-                    out.append(parts[at])
-                    at += 1
-            parts = out
+            merged, at = best[1], found.index(best)
+            while at >= 0:  # leftmost first; only the pairs beside a merge change
+                parts[at : at + 2] = [merged]
+                del found[at]
+                if at:
+                    found[at - 1] = merges.get((parts[at - 1], merged), _NONE)
+                if at < len(found):
+                    found[at] = merges.get((merged, parts[at + 1]), _NONE)
+                at = found.index(best, at) if best in found[at:] else -1
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
@@ -137,26 +136,30 @@ class Vocabulary:
         yield from self._merged(data[start:])
 
 
+class _Seen(dict):
+    """Ids of words met before, without long ones; asked for another word, it encodes that."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...] | Iterator[int]:
+        data = word.encode()
+        if len(data) > CACHED_BYTES:
+            return self.vocabulary.encode_word(data)
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        found = self[word] = tuple(self.vocabulary._merged(data))
+        return found
+
+
 class Encoder:
     """Encodes texts as streams of ids, with a bounded memory of the words met before."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen = _Seen(vocabulary)
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
-    def _word(self, word: str) -> tuple[int, ...] | Iterator[int]:
-        found = self.seen.get(word)
-        if found is None:
-            data = word.encode()
-            if len(data) > CACHED_BYTES:
-                return self.vocabulary.encode_word(data)
-            found = tuple(self.vocabulary.encode_word(data))
-            if len(self.seen) >= CACHED_WORDS:
-                self.seen.clear()
-            self.seen[word] = found
-        return found
-
     def _words(self, text: str) -> Iterator[list[str] | int]:
         pieces = self.special.split(text) if self.special else [text]
         for at, piece in enumerate(pieces):
@@ -178,12 +181,8 @@ class Encoder:
         for words in self._words(text):
             if isinstance(words, int):
                 yield [words]
-                continue
-            seen = self.seen
-            try:
-                yield list(chain.from_iterable([seen[word] for word in words]))
-            except KeyError:
-                yield list(chain.from_iterable(map(self._word, words)))
+            else:
+                yield list(chain.from_iterable(map(self.seen.__getitem__, words)))
 
 
 class Decoder:
