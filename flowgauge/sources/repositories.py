@@ -18,7 +18,7 @@ from flowgauge.functions.time import (
     epoch_millis_to_time,
     parse_epoch_millis,
     parse_instant,
-    parse_wall_clock,
+    parse_wall_date,
 )
 from flowgauge.schemas import NAMESPACE, PROJECT, RAW_COMMIT, RAW_MERGE_REQUEST
 from flowgauge.sources.issues import ARRAY, LINES, read_json
@@ -91,7 +91,7 @@ def commit_points(raw: DataFrame, projects: DataFrame) -> DataFrame:
 
 def merge_request_points(raw: DataFrame, as_of) -> DataFrame:
     """The stored table ``merge_requests``; open requests last until ``as_of``."""
-    merged_day = F.coalesce(parse_wall_clock("merged_at"), as_time(as_of))
+    merged_day = F.coalesce(parse_wall_date("merged_at"), as_time(as_of).cast("date"))
     return raw.select(
         parse_instant("created_at").alias("time"),
         F.col("id").cast("string").alias("id"),
@@ -103,7 +103,7 @@ def merge_request_points(raw: DataFrame, as_of) -> DataFrame:
         parse_epoch_millis("updated_at").alias("updated_at"),
         "user_notes_count",
         F.coalesce(parse_epoch_millis("merged_at"), F.lit(0).cast("long")).alias("merged_at_ts"),
-        days_between(parse_wall_clock("created_at"), merged_day).alias("duration_days"),
+        days_between(parse_wall_date("created_at"), merged_day).alias("duration_days"),
     )
 
 
