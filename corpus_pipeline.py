@@ -13,14 +13,14 @@ from flowgauge.session import scratch_path
 
 
 def _judged(docs: DataFrame) -> DataFrame:
-    """What an operator may see: the text, beside the whole row, whose own columns thus cannot clash with new ones."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
+    """What an operator may see: the text, beside all other columns in one, which thus cannot clash with new ones."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row"), "text")
 
 
-def _restored(found: DataFrame, docs: DataFrame, text: str | None = None) -> DataFrame:
-    """The columns of ``docs`` in their order, if asked for with another text and its length."""
-    changed = {"text": F.col(text), "n_chars": F.length(text).cast("long")} if text else {}
-    return found.select(*(changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
+def _restored(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` in their order; if the text is another, so is its length."""
+    changed = {"text": F.col(text)} | ({"n_chars": F.length(text).cast("long")} if text != "text" else {})
+    return found.select(*(changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ N = 5
 #: Similarity as a fraction: links have overlap * NEED_BELOW >= NEED_ABOVE * (size + size), i.e. a Jaccard index of 3/4.
 NEED_ABOVE, NEED_BELOW = 3, 7
 #: Postings per counting task and sets per block; they bound memory and change no result.
-POSTINGS, BLOCK_SETS, BUNDLE_ROWS, CELLS = 250_000, 128, 256, 1 << 24
+POSTINGS, BLOCK_SETS, BUNDLE_ROWS, CELLS, SEGMENT_BYTES = 100_000, 128, 128, 1 << 23, 1 << 18
 _PLACES = mixed(np.arange(1, N + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -163,7 +163,7 @@ _SEGMENT = pa.schema([("segment", pa.int64()), ("reps", pa.binary()), ("sizes",
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets of many texts packed in one row, which is named by its first set."""
     for batch in batches:
-        for words in word_chunks(batch.column(1)):
+        for words in word_chunks(batch.column(1), SEGMENT_BYTES):
             sets = _shingle_sets(words)
             reps = np.asarray(batch.column(0).slice(words.first_row, words.n_rows)).astype(np.int64)
             sizes = np.array([len(found) for found in sets], np.int64)
