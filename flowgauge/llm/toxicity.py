@@ -12,13 +12,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.llm.words import _BYTE_LOWER, _powers, Words, mixed, word_chunks
 
 #: Labelled rows of each class that the model is fitted on, those with the smallest hash of their id.
-SAMPLE_PER_CLASS = 2500
+SAMPLE_PER_CLASS = 2000
 GRADES = 4
 STEMS = (4, 5, 6)
 #: A feature is used if so many sampled documents have it and its smoothed log odds are at least this far from zero.
@@ -126,6 +127,11 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _numbers(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """All numbers that the binary cells of a column hold, in order."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
 def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
@@ -168,24 +174,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ]
     chosen = by_class[0].unionAll(by_class[1])
     pairs = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = pairs.mapInArrow(_sampled, "toxic int, n_words long, hashes binary, times binary").collect()
-    rows = sorted((r for r in rows if r.n_words), key=lambda r: (r.toxic, r.n_words, bytes(r.hashes)))
-    if len({r.toxic for r in rows}) < 2:
+    sampled = pairs.mapInArrow(_sampled, "toxic int, n_words long, hashes binary, times binary").where("n_words > 0").toArrow()
+    toxic, n_words = np.asarray(sampled["toxic"]), np.asarray(sampled["n_words"]).astype(np.float64)
+    if len(set(toxic.tolist())) < 2:
         return Model()
-    toxic = np.array([r.toxic for r in rows])
-    n_words = np.array([r.n_words for r in rows], np.float64)
-    cells = [np.frombuffer(r.hashes, np.uint64) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(cell) for cell in cells])
-    times = np.concatenate([np.frombuffer(r.times, np.int32) for r in rows])
-    known, column = np.unique(np.concatenate(cells), return_inverse=True)
+    lengths = np.asarray(pc.binary_length(sampled["times"])) // 4
+    hashes, times = _numbers(sampled["hashes"], np.uint64), _numbers(sampled["times"], np.int32)
+    del sampled
+    # Most features are in a few documents only; they go before anything else is made of them.
+    known, inside = np.unique(hashes, return_counts=True)
+    known = known[(inside >= MIN_DOCS) & (known != 0)]
+    column = np.searchsorted(known, hashes).astype(np.int32)
+    found = np.flatnonzero(known[np.minimum(column, len(known) - 1)] == hashes) if len(known) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(toxic), dtype=np.int32), lengths)[found]
+    column, times = column[found], times[found]
+    del hashes, found
     inside = [np.bincount(column[toxic[row] == at], minlength=len(known)) for at in (0, 1)]
     size = [np.sum(toxic == at) for at in (0, 1)]
     odds = np.log((inside[1] + 0.5) / (size[1] + 1)) - np.log((inside[0] + 0.5) / (size[0] + 1))
-    used = (inside[0] + inside[1] >= MIN_DOCS) & (np.abs(odds) >= MIN_LOG_ODDS) & (known != 0)
+    used = np.abs(odds) >= MIN_LOG_ODDS
     if used.sum() > MAX_FEATURES:
         used &= np.abs(odds) >= np.sort(np.abs(odds[used]))[-MAX_FEATURES]
     flagged = used & (odds >= FLAGGED_LOG_ODDS)
-    heat = np.bincount(row, flagged[column] * times, minlength=len(rows)) / n_words
+    heat = np.bincount(row, flagged[column] * times, minlength=len(toxic)) / n_words
     cuts = np.quantile(heat[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, heat, "left"), 0)
     place = np.cumsum(used) - 1
