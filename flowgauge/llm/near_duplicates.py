@@ -116,13 +116,13 @@ def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-_POSTING = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("reps", pa.binary())])
+_POSTING = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("reps", pa.binary()), ("counted", pa.binary())])
 _HIT = pa.schema([("rep", pa.int64()), ("hits", pa.int64())])
 _LOCAL = 1 << 30  # buckets from here on hold counts, not tokens
 
 
 def _post(bits: int):
-    """Postings of prefixes. A token of several sets in a batch is counted here and posted once, with no set."""
+    """Postings of prefixes. A token of several sets in a batch is counted here and posted once, marked as counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,10 +134,9 @@ def _post(bits: int):
             tokens, reps = tokens[order], reps[order]
             shared = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
             hit_reps, hits = np.unique(reps[shared], return_counts=True)
-            reps = np.where(shared, -1, reps)
-            rows = list(_by_bucket(tokens[cuts[:-1]], bits, reps[cuts[:-1]]))
+            rows = list(_by_bucket(tokens[cuts[:-1]], bits, reps[cuts[:-1]], shared[cuts[:-1]]))
             if len(hits):
-                rows.append((_LOCAL + int(hit_reps[0] % (1 << bits)), hits.astype(np.int64).tobytes(), hit_reps.tobytes()))
+                rows.append((_LOCAL + int(hit_reps[0] % (1 << bits)), hits.astype(np.int64).tobytes(), hit_reps.tobytes(), b""))
             yield _record(rows, _POSTING)
 
     return run
@@ -149,10 +148,11 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     if key[0].as_py() >= _LOCAL:
         return pa.table({"rep": reps, "hits": _numbers(table["tokens"], np.int64)}, schema=_HIT)
     tokens = _numbers(table["tokens"], np.uint64)
+    counted = _numbers(table["counted"], bool)
     order, cuts = _grouped(tokens)
     sizes = np.diff(cuts)
-    reps = reps[order]
-    many = np.repeat((sizes > 1) | (np.minimum.reduceat(reps, cuts[:-1]) < 0), sizes) & (reps >= 0)
+    reps, counted = reps[order], counted[order]
+    many = np.repeat((sizes > 1) | np.logical_or.reduceat(counted, cuts[:-1]), sizes) & ~counted
     found, hits = np.unique(reps[many], return_counts=True)
     return pa.table({"rep": found, "hits": hits.astype(np.int64)}, schema=_HIT)
 
@@ -387,7 +387,7 @@ def jaccard_links(spark: SparkSession, sketch: DataFrame, docs: DataFrame) -> Da
     bits = _bits(total // 8)
     hits = (
         sets.select("rep", "prefix")
-        .mapInArrow(_post(bits), "bucket int, tokens binary, reps binary")
+        .mapInArrow(_post(bits), "bucket int, tokens binary, reps binary, counted binary")
         .groupBy("bucket")
         .applyInArrow(_meet, "rep long, hits long")
         .groupBy("rep")

@@ -63,6 +63,18 @@ def test_same_as_brute_force(spark, documents, prose, monkeypatch):
     check(spark, documents, rows)
 
 
+def test_negative_ids(spark, documents, prose):
+    rng = random.Random(11)
+    texts = [prose(i, 60) for i in range(40)]
+    rows = [(rng.getrandbits(64) - 2**63, t) for t in texts]
+    rows += [(rng.getrandbits(64) - 2**63, edited(t, rng, rng.randint(0, 2))) for t in texts]
+    rows += [(-1, texts[0] + " end"), (0, texts[1] + " end"), (-(2**63), texts[2] + " end")]
+    # A row per batch, so that all hits are found between batches.
+    for n in ("1", "500"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        check(spark, documents, rows)
+
+
 def test_edge_cases(spark, documents, prose):
     rows = [
         (1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE\x0b"), (6, "a b c d"), (7, "A b\tc d"), (8, "a b c d e"), (8, "a b c d e"),
