@@ -16,10 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowgauge.llm.components import _stored
 from flowgauge.llm.words import _BYTE_LOWER, _powers, Words, mixed, word_chunks
 
 #: Labelled rows of each class that the model is fitted on, those with the smallest hash of their id.
-SAMPLE_PER_CLASS = 2000
+SAMPLE_PER_CLASS = 2500
 GRADES = 4
 STEMS = (4, 5, 6)
 #: A feature is used if so many sampled documents have it and its smoothed log odds are at least this far from zero.
@@ -127,6 +128,57 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+_BUCKET_BITS = 6
+_HELD = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("clean", pa.binary()), ("toxic", pa.binary())])
+_FREQUENCY = pa.schema([("hash", pa.int64()), ("clean", pa.int64()), ("toxic", pa.int64())])
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sampled documents of each class that have a feature, counted per batch, a row per bucket of hashes."""
+    for batch in batches:
+        cells = batch.column(1).to_pylist()
+        toxic = np.repeat(np.asarray(batch.column(0)), [len(cell) // 8 for cell in cells])
+        known, at = np.unique(np.frombuffer(b"".join(cells), np.uint64), return_inverse=True)
+        counts = [np.bincount(at[toxic == kind], minlength=len(known)).astype(np.int64) for kind in (0, 1)]
+        ends = np.searchsorted(known >> np.uint64(64 - _BUCKET_BITS), np.arange((1 << _BUCKET_BITS) + 1, dtype=np.uint64))
+        rows = [
+            (bucket, *(part[a:b].tobytes() for part in (known, *counts)))
+            for bucket, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b
+        ]
+        columns = list(zip(*rows)) if rows else [()] * len(_HELD)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _HELD)], schema=_HELD)
+
+
+def _frequent(table: pa.Table) -> pa.Table:
+    """Features of a bucket that ``MIN_DOCS`` documents have, with their documents of each class."""
+    known, at = np.unique(_numbers(table["hashes"], np.uint64), return_inverse=True)
+    clean, toxic = (np.zeros(len(known), np.int64) for _ in range(2))
+    np.add.at(clean, at, _numbers(table["clean"], np.int64))
+    np.add.at(toxic, at, _numbers(table["toxic"], np.int64))
+    kept = (clean + toxic >= MIN_DOCS) & (known != 0)
+    return pa.table([known[kept].view(np.int64), clean[kept], toxic[kept]], schema=_FREQUENCY)
+
+
+def _of_known(known: np.ndarray):
+    """Sampled documents with their features among the known ones, as places in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, numbers = [], []
+            for hashes, times in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                hashes = np.frombuffer(hashes, np.uint64)
+                place = np.searchsorted(known, hashes)
+                found = known[np.minimum(place, len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+                places.append(place[found].astype(np.int32).tobytes())
+                numbers.append(np.frombuffer(times, np.int32)[found].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(places, pa.binary()), pa.array(numbers, pa.binary())],
+                names=["toxic", "n_words", "places", "times"],
+            )
+
+    return run
+
+
 def _numbers(column: pa.ChunkedArray, kind) -> np.ndarray:
     """All numbers that the binary cells of a column hold, in order."""
     return np.frombuffer(b"".join(column.to_pylist()), kind)
@@ -174,37 +226,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ]
     chosen = by_class[0].unionAll(by_class[1])
     pairs = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    sampled = pairs.mapInArrow(_sampled, "toxic int, n_words long, hashes binary, times binary").where("n_words > 0").toArrow()
-    toxic, n_words = np.asarray(sampled["toxic"]), np.asarray(sampled["n_words"]).astype(np.float64)
-    if len(set(toxic.tolist())) < 2:
+    sampled = pairs.mapInArrow(_sampled, "toxic int, n_words long, hashes binary, times binary").where("n_words > 0")
+    sampled = _stored(docs.sparkSession, sampled, "toxicity-sample")
+    size = dict(sampled.groupBy("toxic").count().collect())
+    if len(size) < 2:
         return Model()
-    lengths = np.asarray(pc.binary_length(sampled["times"])) // 4
-    hashes, times = _numbers(sampled["hashes"], np.uint64), _numbers(sampled["times"], np.int32)
-    del sampled
-    # Most features are in a few documents only; they go before anything else is made of them.
-    known, inside = np.unique(hashes, return_counts=True)
-    known = known[(inside >= MIN_DOCS) & (known != 0)]
-    column = np.searchsorted(known, hashes).astype(np.int32)
-    found = np.flatnonzero(known[np.minimum(column, len(known) - 1)] == hashes) if len(known) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(toxic), dtype=np.int32), lengths)[found]
-    column, times = column[found], times[found]
-    del hashes, found
-    inside = [np.bincount(column[toxic[row] == at], minlength=len(known)) for at in (0, 1)]
-    size = [np.sum(toxic == at) for at in (0, 1)]
+    # Features are counted and chosen before any document comes to the driver; most are in a few documents only.
+    counted = (
+        sampled.select("toxic", "hashes")
+        .mapInArrow(_held, "bucket int, hashes binary, clean binary, toxic binary")
+        .groupBy("bucket")
+        .applyInArrow(_frequent, "hash long, clean long, toxic long")
+        .toArrow()
+    )
+    known = np.asarray(counted["hash"]).view(np.uint64)
+    order = np.argsort(known)
+    known, inside = known[order], [np.asarray(counted[name])[order] for name in ("clean", "toxic")]
     odds = np.log((inside[1] + 0.5) / (size[1] + 1)) - np.log((inside[0] + 0.5) / (size[0] + 1))
     used = np.abs(odds) >= MIN_LOG_ODDS
     if used.sum() > MAX_FEATURES:
         used &= np.abs(odds) >= np.sort(np.abs(odds[used]))[-MAX_FEATURES]
-    flagged = used & (odds >= FLAGGED_LOG_ODDS)
+    known, odds = known[used], odds[used]
+    chosen = sampled.mapInArrow(_of_known(known), "toxic int, n_words long, places binary, times binary").toArrow()
+    toxic, n_words = np.asarray(chosen["toxic"]), np.asarray(chosen["n_words"]).astype(np.float64)
+    row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.asarray(pc.binary_length(chosen["places"])) // 4)
+    column, times = _numbers(chosen["places"], np.int32), _numbers(chosen["times"], np.int32)
+    flagged = odds >= FLAGGED_LOG_ODDS
     heat = np.bincount(row, flagged[column] * times, minlength=len(toxic)) / n_words
     cuts = np.quantile(heat[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, heat, "left"), 0)
-    place = np.cumsum(used) - 1
-    keep = used[column]
-    weights, thresholds = fit_ordinal(
-        row[keep], place[column[keep]], (SHARE * times / n_words[row])[keep], grade, int(used.sum())
-    )
-    return Model(known[used], weights, thresholds)
+    weights, thresholds = fit_ordinal(row, column, SHARE * times / n_words[row], grade, len(known))
+    return Model(known, weights, thresholds)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+from flowgauge.llm import toxicity
 from flowgauge.llm.toxicity import GRADES, Model, fit, fit_ordinal, score
 
 INSULTS = ("grobnak", "vilzert", "trumok")
@@ -47,3 +48,29 @@ def test_edge_cases(spark, documents, prose):
         assert len(found) == len(rows) and not any(r.toxic for r in found if not (r.text or "").strip())
         assert all(r.rep == "own" for r in found)
     assert score(documents([]), Model()).count() == 0
+
+
+def test_sample_is_whole_and_only_used_features_reach_the_driver(spark, documents, prose, monkeypatch):
+    assert toxicity.SAMPLE_PER_CLASS == 2500
+    rows = corpus(prose, 120)
+    docs = documents([r[:2] for r in rows])
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    brought = []
+    real = toxicity.fit_ordinal
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda *a: brought.append(a) or real(*a))
+    model = fit(docs, labels)
+    # The same features by counting in one place.
+    batch = docs.join(labels, "doc_id").select("toxic", "text").coalesce(1).toArrow().combine_chunks().to_batches()
+    found = [
+        (t, np.frombuffer(cell, np.uint64))
+        for part in toxicity._sampled(iter(batch)) for t, cell in zip(part.column(0).to_pylist(), part.column(2).to_pylist())
+    ]
+    known, at = np.unique(np.concatenate([h for _, h in found]), return_inverse=True)
+    kinds = np.repeat([t for t, _ in found], [len(h) for _, h in found])
+    inside = [np.bincount(at[kinds == kind], minlength=len(known)) for kind in (0, 1)]
+    odds = np.log((inside[1] + 0.5) / (sum(t for t, _ in found) + 1)) - np.log((inside[0] + 0.5) / (sum(not t for t, _ in found) + 1))
+    want = known[(inside[0] + inside[1] >= toxicity.MIN_DOCS) & (known != 0) & (np.abs(odds) >= toxicity.MIN_LOG_ODDS)]
+    assert model.hashes.tolist() == want.tolist() and len(want)
+    row, column, _, grade = brought[0][:4]
+    assert len(grade) == len(rows) and len(row) == sum(np.isin(h, want).sum() for _, h in found)
+    assert sorted(set(column.tolist())) == list(range(len(want)))
