@@ -232,16 +232,17 @@ def _nearness(path: str, other: str) -> int:
 def deleted_lines(page: dict, partners: list[dict]) -> list[int]:
     """Open lines of a page that its nearest partner repeats.
 
-    A partner that repeats over four fifths of the page is a copy of it and says nothing of the template; the next one is
-    asked then.
+    A partner that repeats over four fifths of the page's open lines is a copy of it and says nothing of the template; the
+    next one is asked then. Menus and the like, which most pages share anyway, do not count.
     """
     mine = np.frombuffer(page["lines"], np.uint64).tolist()
     sizes, is_open = np.frombuffer(page["sizes"], np.int32), np.frombuffer(page["open"], bool)
     for partner in sorted(partners, key=lambda p: -_nearness(page["path"], p["path"])):
         shared = np.array(common_lines(mine, np.frombuffer(partner["lines"], np.uint64).tolist()), np.int64)
-        if len(shared) and sizes[shared].sum() > COPY_SHARE * sizes.sum():
+        shared = shared[is_open[shared]]
+        if len(shared) and sizes[shared].sum() > COPY_SHARE * sizes[is_open].sum():
             continue
-        return shared[is_open[shared]].tolist() if len(shared) else []
+        return shared.tolist()
     return []
 
 

@@ -57,6 +57,16 @@ def test_template_goes_and_text_stays(spark):
     assert text[6] == "Passage that both have.\n\nOne." and text[8] == text[9] == "" and text[None] == "Without id."
 
 
+def test_short_pages_under_a_long_menu(spark):
+    menu = "<nav>" + "".join(f"<li>Menu entry number {i:03d}</li>" for i in range(100)) + "</nav>"
+    rows = [
+        (i, f"http://m.example/p/{i:03d}", f"{menu}<p>{'Welcome to the site. ' * 14}</p><p>{f'Own words of page {i}. ' * 14}</p>")
+        for i in range(6)
+    ]
+    for row in main_texts(spark, pages(spark, rows)).collect():
+        assert row.text == (f"Own words of page {row.page_id}. " * 14).strip(), row.page_id
+
+
 def test_pairs_do_not_depend_on_parts(spark):
     rows = [(i, f"http://h.example/p/{i:03d}", f"<p>top {i // 10}</p><p>own {i}</p><p>bottom</p>") for i in range(60)]
     results = []
