@@ -30,12 +30,14 @@ _TOKEN = re.compile(
     re.S,
 )
 _HINTED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_CLASSED = re.compile(r"(?:^|[\s\"'/])(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {
     name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I)
     for name in ("script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes", "template")
 }
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("head nav footer aside form svg math menu dialog button select object canvas audio video".split())
+_DROPPED = frozenset("head nav footer aside form svg menu dialog button select".split())
+_FALLBACKS = frozenset("object canvas audio video".split())  # inside an article their text is kept
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th"
@@ -64,6 +66,14 @@ def _hint_words(attributes: str) -> set[str]:
     return words
 
 
+def _class_words(attributes: str) -> set[str]:
+    """Whole words of class and role: inside an article, ids and parts of words name sections rather than what is no article."""
+    words: set[str] = set()
+    for values in _CLASSED.findall(attributes):
+        words.update("".join(values).lower().split())
+    return words
+
+
 def page_lines(source: str) -> tuple[list[str], str]:
     """Lines of a page in order, and a letter for the kind of each."""
     lines: list[str] = []
@@ -125,6 +135,10 @@ def page_lines(source: str) -> tuple[list[str], str]:
                 flush()
         elif name in _RAW:
             closing = _RAW[name].search(source, at)
+            if name == "xmp":  # text as it stands, with no tags or references in it
+                flush()
+                parts.append(source[at : closing.start() if closing else end])
+                flush()
             at = closing.end() if closing else end
         elif name in _VOID:
             if name in _BLOCK:
@@ -141,11 +155,11 @@ def page_lines(source: str) -> tuple[list[str], str]:
                 for other in _CLOSES.get(name, ()):
                     if stack and stack[-1][0] == other:
                         pop_to(len(stack) - 1)
-            drop = name in _DROPPED
+            drop = name in _DROPPED or (not article and name in _FALLBACKS)
             if name == "header":
                 drop = not article
             elif not drop and "=" in attributes and name not in ("html", "body", "article", "main"):
-                words = _hint_words(attributes)
+                words = _class_words(attributes) if article else _hint_words(attributes)
                 drop = bool(words & _HINTS) or (not article and bool(words & _HEADERS))
             if name in _BLOCK or drop:
                 if attributes.endswith("/") and name not in _BLOCK:

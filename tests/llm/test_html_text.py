@@ -22,6 +22,19 @@ def test_lines_of_a_page():
         page_lines(broken)
 
 
+def test_nothing_but_the_named_is_dropped_in_an_article():
+    page = """<article><h2 id="related-work">Related work</h2><section id="search-api"><p>Search text</p></section>
+    <div class="social-impact" id="comments-on-x"><p>Impact</p></div><p>Let <math><mi>a</mi><mo>+</mo><mi>b</mi></math> be</p>
+    <object data="x"><p>Object text</p></object><canvas>Canvas text</canvas><video>Video text</video><xmp>1 <b> 2 &amp;</xmp>
+    <div class="box share"><p>Share it</p></div><div role="search">Find</div><p>End</p></article>"""
+    lines, kinds = page_lines(page)
+    kept = [line for line, kind in zip(lines, kinds) if kind == "a"]
+    assert kept == [
+        "Related work", "Search text", "Impact", "Let a+b be", "Object text", "Canvas textVideo text", "1 <b> 2 &amp;", "End"
+    ]
+    assert "b" in kinds and page_lines("<p>x</p><div id='search-box'>y</div><video>z</video>")[1] == "obb"
+
+
 def test_common_lines():
     rng = random.Random(3)
     for _ in range(500):
