@@ -180,9 +180,13 @@ def flow_report_points(
     """Cumulative-flow points of all reports; one frame per pair of measured states.
 
     With one spec per project, a report without states of its own is measured between
-    those of each project, and projects of equal states share a frame.
+    those of each project, and projects of equal states share a frame. A row of a
+    project that has no spec, or of none, fails the job of every frame.
     """
     specs = {None: spec} if isinstance(spec, FlowSpec) else dict(spec)
+    if not specs:
+        raise ValueError("no flow for any project")
+    unknown = F.col("project").isNull() | ~F.col("project").isin(list(specs))
     wanted: dict[tuple[str, str], dict[tuple, list[FlowReport]]] = {}
     for report in reports:
         projects: dict[tuple[str, str], list] = {}
@@ -200,7 +204,7 @@ def flow_report_points(
                 measured, rows = spec.between(*states), statuses
             else:
                 measured = {project: specs[project].between(*states) for project in projects}
-                rows = statuses.where(F.col("project").isin(list(projects)))
+                rows = statuses.where(F.col("project").isin(list(projects)) | unknown)
             tables.append(cumulative.flow_tables(rows, measured, some, aggregate, PROJECT))
         any_spec = next(iter(specs.values())) if projects == (None,) else specs[projects[0]]
         points[" -> ".join(states)] = flow_points(

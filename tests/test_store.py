@@ -287,6 +287,27 @@ def test_one_flow_per_project_in_a_run(spark):
         normalize_statuses(statuses, {"a": specs["a"]}, ("project", "id")).collect()
 
 
+@pytest.mark.parametrize("project", ["c", None])
+def test_a_project_without_a_flow_fails_every_frame(spark, project):
+    when = [datetime(2020, 1, 6, hour) for hour in range(3)]
+    rows = [(p, f"{p}1", t, None, 1.0, when[0], when[at], s, at)
+            for p, t in (("a", "Bug"), ("b", "Bug"), (project, "Story")) for at, s in enumerate(("todo", "doing", "done"))]
+    statuses = spark.createDataFrame(
+        rows,
+        "project string, id string, type string, priority string, estimate double, created timestamp_ntz, "
+        "statusCreated timestamp_ntz, statusName string, pos int",
+    )
+    order = {"todo": 0, "doing": 1, "done": 2}
+    specs = {"a": FlowSpec(order, "todo", "done"), "b": FlowSpec(order, "doing", "done")}
+    points = reports.flow_report_points(statuses, specs, (FlowReport("Bugs", ("Bug",), None), FlowReport("All", None, None)))
+    assert sorted(points) == ["doing -> done", "todo -> done"]
+    for frame in points.values():
+        with pytest.raises(Exception, match=f"no flow for project {project or 'null'}"):
+            frame.collect()
+    with pytest.raises(ValueError, match="no flow"):
+        reports.flow_report_points(statuses, {})
+
+
 def test_issue_run_fills_the_store(spark, store):
     history = [(datetime(2020, 1, 6, 9), "todo", "ann", 0), (datetime(2020, 1, 8, 9), "done", "bob", 1)]
     items = spark.createDataFrame(
