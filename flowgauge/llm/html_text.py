@@ -1,6 +1,6 @@
 """Main text of web pages: structure first, then nearest-URL page differencing.
 
-A page becomes lines (blocks of text), each of one kind: *article* (inside an article or main element), *boilerplate*
+A page becomes lines (blocks of text), each of one kind: *article* or *main* (inside such an element), *boilerplate*
 (inside menus, footers, adverts, forms, comments and the like) or *open* (neither). Within each host, pages stand in the
 order of their URL paths and every page is paired with the neighbour whose path is nearest. The longest common
 subsequence of the two pages' lines is what a template repeats; its open lines are deleted. Lines of an article element
@@ -56,7 +56,7 @@ _HINTS = frozenset(
 _HEADERS = frozenset(("header", "masthead"))
 COPY_SHARE = 0.8
 
-ARTICLE, OPEN, BOILERPLATE = "a", "o", "b"
+ARTICLE, MAIN, OPEN, BOILERPLATE = "a", "m", "o", "b"
 
 
 def _hint_words(attributes: str) -> set[str]:
@@ -79,7 +79,7 @@ def page_lines(source: str) -> tuple[list[str], str]:
     lines: list[str] = []
     kinds: list[str] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, article
+    stack: list[tuple[str, bool, bool]] = []  # name, dropped, article or main
     open_names: dict[str, int] = {}
     dropped = article = 0
     end = len(source)
@@ -90,7 +90,7 @@ def page_lines(source: str) -> tuple[list[str], str]:
             parts.clear()
             if line:
                 lines.append(line)
-                kinds.append(BOILERPLATE if dropped else ARTICLE if article else OPEN)
+                kinds.append(BOILERPLATE if dropped else MAIN if open_names.get("main") else ARTICLE if article else OPEN)
 
     def pop_to(depth: int) -> None:
         nonlocal dropped, article
@@ -323,14 +323,24 @@ def template_lines(spark: SparkSession, pages: DataFrame) -> DataFrame:
     return lines.join(deleted, "content").groupBy("key").agg(F.first("deleted").alias("deleted"))
 
 
+def main_lines(lines: list[str], kinds: str, deleted) -> list[str]:
+    """Article lines; if more open text than that is left, the articles are teasers or parts and both are given in order.
+
+    Without an article, or with only empty ones, the open lines. A main element always holds the text of its page.
+    """
+    gone = set(deleted or ())
+    kept = [at for at in range(len(lines)) if kinds[at] != BOILERPLATE and at not in gone]
+    sizes = {kind: sum(len(lines[at]) for at in kept if kinds[at] == kind) for kind in (ARTICLE, MAIN, OPEN)}
+    both = sizes[OPEN] > sizes[ARTICLE] and MAIN not in kinds
+    return [lines[at] for at in kept if both or kinds[at] != OPEN]
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for source, deleted in zip(batch.column("_html").to_pylist(), batch.column("_deleted").to_pylist()):
             lines, kinds = page_lines(source or "")
-            gone = set(deleted or ())
-            wanted = ARTICLE if ARTICLE in kinds else OPEN
-            texts.append("\n\n".join(line for at, line in enumerate(lines) if kinds[at] == wanted and at not in gone))
+            texts.append("\n\n".join(main_lines(lines, kinds, deleted)))
         keep = [(c, n) for c, n in zip(batch.columns, batch.schema.names) if n not in ("_html", "_deleted")]
         yield pa.RecordBatch.from_arrays([*(c for c, _ in keep), pa.array(texts, pa.string())], names=[*(n for _, n in keep), "text"])
 

@@ -80,6 +80,20 @@ def test_short_pages_under_a_long_menu(spark):
         assert row.text == (f"Own words of page {row.page_id}. " * 14).strip(), row.page_id
 
 
+def test_teasers_do_not_replace_larger_open_text(spark):
+    body = "Long text in a div of the page number {0}. " * 9
+    rows = [
+        (i, f"http://t.example/{i}", f"<p>Open template line of all</p><div>{body.format(i)}</div><article><p>Teaser {i}</p></article>")
+        for i in range(3)
+    ]
+    rows += [(8, "http://a.example/1", f"<p>Short open line</p><article><p>{body}</p></article>")]
+    rows += [(9, "http://b.example/1", f"<div>{body}</div><main><p>Main text</p></main>")]
+    text = {r.page_id: r.text for r in main_texts(spark, pages(spark, rows)).collect()}
+    for i in range(3):
+        assert text[i] == f"{body.format(i).strip()}\n\nTeaser {i}"
+    assert text[8] == body.strip() and text[9] == "Main text"
+
+
 def test_pairs_do_not_depend_on_parts(spark):
     rows = [(i, f"http://h.example/p/{i:03d}", f"<p>top {i // 10}</p><p>own {i}</p><p>bottom</p>") for i in range(60)]
     results = []
