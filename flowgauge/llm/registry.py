@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from flowgauge.llm import bpe, html_text, near_duplicates, packing, personal_data, quality_rules, sharding, token_counts, top_k, toxicity
+from flowgauge.llm import (
+    bpe,
+    hard_negatives,
+    html_text,
+    lexical_search,
+    near_duplicates,
+    packing,
+    personal_data,
+    quality_rules,
+    sharding,
+    token_counts,
+    token_files,
+    top_k,
+    toxicity,
+)
 from flowgauge.llm.workers import with_workers
 
 MODULES = {
@@ -16,6 +30,9 @@ MODULES = {
     "op8_ngram_jaccard_join": near_duplicates,
     "op9_packing": packing,
     "op10_bpe": bpe,
+    "op11_lexical_search": lexical_search,
+    "op12_hard_negatives": hard_negatives,
+    "op13_token_files": token_files,
 }
 
 

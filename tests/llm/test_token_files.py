@@ -1,0 +1,107 @@
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from flowgauge.llm import token_files as T
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tests.llm.conftest import SMALL
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(T.VOCABULARY))
+    return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@given(st.integers(1, 32).flatmap(lambda w: st.tuples(st.just(w), st.lists(st.integers(0, 2**w - 1), max_size=300))))
+def test_packed_ids_come_back(case):
+    width, ids = case
+    data = T.pack(np.array(ids, np.uint64), width)
+    assert len(data) == -(-len(ids) * width // 8)
+    assert T.unpack(data, len(ids), width).tolist() == ids
+    # The same bits one by one.
+    whole = int.from_bytes(data, "little")
+    assert [whole >> at * width & (1 << width) - 1 for at in range(len(ids))] == ids
+
+
+@pytest.mark.parametrize("width", [1, 11, 16, 17, 32])
+def test_segment_gives_any_range(width):
+    rng = np.random.default_rng(width)
+    lengths = [1, 1023, 1, 2500, 700]
+    ids = rng.integers(0, 2**width, sum(lengths), np.uint64)
+    held = T.Segment(T.write_segment([5, None, -7, 9, 9], lengths, ids, width))
+    assert held.doc_ids == [5, None, -7, 9, 9] and held.n_ids == len(ids)
+    assert held.document(3).tolist() == ids[1025:3525].tolist()
+    for start, stop in ((0, 0), (0, len(ids)), (1000, 1030), (1024, 2048), (len(ids) - 1, len(ids))):
+        assert held.ids(start, stop).tolist() == ids[start:stop].tolist()
+    with pytest.raises(IndexError):
+        held.ids(0, len(ids) + 1)
+    with pytest.raises(ValueError):
+        T.Segment(b"XXXX" + bytes(30))
+
+
+def test_bits():
+    assert [T.bits_for(n) for n in (1, 2, 3, 256, 257, 49408, 65536, 65537)] == [1, 1, 2, 8, 9, 16, 16, 17]
+
+
+ODD = [
+    None, "", " ", "\n\t\r\x0b\x0c", "Plain words, it's HERE.", "á e ́x ́́ 가 ᄀ ᅡ", "ΑΣ ΑΣ. Σ ΟΔΥΣΣΕΥΣ",
+    "<|endoftext|>", "x<|startoftext|>y <|ENDOFTEXT|> < |endoftext| >", "non breaking space　wide​zero\x85next", "İstanbul ŞİŞ ǅ ﬁ",
+    "can't 'LL 's ' s don’t", "12345 ٣٤ ½ x2y3", "🙂🙂 👩‍👩‍👧 ﻿ \x00 \x1c\x1d\x1e\x1f", "word" * 50_000, " " * 300_000 + "end", "a\n" * 50_000,
+]
+
+
+def test_word_by_word_is_what_the_library_gives(library):
+    encoder = T.WordEncoder(T.read_vocabulary())
+    assert encoder.width == 16
+    assert [ids.tolist() for ids in encoder.encode(ODD, 2)] == [library(text) for text in ODD]
+
+
+def expected(rows, library):
+    found = sorted(((i is not None, i or 0), len(ids), crc(ids)) for i, ids in ((i, library(text)) for i, text in rows))
+    out, start = [], 0
+    for (known, i), n, check in found:
+        out.append((i if known else None, start, n, check))
+        start += n
+    return sorted(out, key=repr)
+
+
+def test_files_give_documents_and_ranges(spark, documents, library, prose, monkeypatch, tmp_path):
+    monkeypatch.setattr(T, "SHARD_IDS", 50_000)
+    monkeypatch.setattr(T, "SEGMENT_IDS", 3000)
+    rows = [(at * 7 % 41 - 20, prose(at, 1 + at * 13 % 400)) for at in range(60)]
+    rows += [(at, text) for at, text in enumerate(ODD)] + [(3, "copy of one")] * 300 + [(None, "no id"), (None, None)]
+    folder = str(tmp_path / "ids")
+    T.write_ids(spark, documents(rows).repartition(5), folder)
+    found = sorted(map(tuple, T.read_documents(spark, folder).collect()), key=repr)
+    assert found == expected(rows, library)
+    segments = spark.read.parquet(f"{folder}/segments")
+    assert segments.select("shard").distinct().count() > 1 and segments.count() > 10
+    every = [at for r in sorted(T.read_range(spark, folder, 0, 10**9).collect()) for at in r.ids]
+    order = sorted(rows, key=lambda r: ((r[0] is not None, r[0] or 0), len(library(r[1])), crc(library(r[1]))))
+    assert every == [at for _, text in order for at in library(text)]
+    for start, stop in ((0, 1), (2990, 3010), (49_000, 61_000), (len(every) - 5, len(every) + 5)):
+        assert [at for r in sorted(T.read_range(spark, folder, start, stop).collect()) for at in r.ids] == every[start:stop]
+
+
+def test_empty_table(spark, documents, tmp_path):
+    T.write_ids(spark, documents([(1, "x")]).where("false"), str(tmp_path / "ids"))
+    assert T.read_documents(spark, str(tmp_path / "ids")).count() == 0
+    assert T.read_range(spark, str(tmp_path / "ids"), 0, 10).count() == 0
+
+
+def test_query_is_what_the_library_gives(spark, library):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    found = T.query(spark, SMALL)
+    assert dict(found.dtypes) == {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"}
+    assert sorted(map(tuple, found.collect()), key=repr) == expected(docs, library)
+    assert found.agg(F.sum("n_tokens")).first()[0] == sum(len(library(text)) for _, text in docs)
