@@ -18,24 +18,28 @@ through segments and shards; ``start`` counts the ids of all shards before. A do
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowgauge.llm.components import _stored
 from flowgauge.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_IDS = 1024
-#: Ids of a segment, but for a longer document, and of a shard; shards of a folder; cached words and their length.
-SEGMENT_IDS, SHARD_IDS, MAX_SHARDS, CACHED_WORDS, CACHED_LENGTH = 1 << 18, 1 << 22, 20_000, 200_000, 64
+#: Ids of a segment, but for a longer document; bytes of text of a shard; shards of a folder.
+SEGMENT_IDS, SHARD_BYTES, MAX_SHARDS = 1 << 18, 1 << 24, 20_000
+#: Pieces of text that a worker keeps, the longest of them, and how many new ones are encoded at once.
+CACHED_PIECES, CACHED_LENGTH, AT_ONCE = 800_000, 64, 1000
 _HEAD = struct.Struct("<4sBBHQQ")
 _MAGIC, _VERSION = b"FWID", 1
 _PER_GROUP = 64
@@ -128,93 +132,112 @@ class Segment:
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, each different word once.
+    """Ids by the tokenizers library, each different piece of text once.
 
     The vocabulary's pattern never matches across white space, and its normal form does not join characters across it, so a
-    text's ids are those of its words by ASCII white space, one after the other.
+    text's ids are those of its words by ASCII white space, one after the other. Words of ASCII and Western European letters
+    alone are cut further, by the pattern itself. With a vocabulary of another pattern, whole texts are encoded.
     """
 
     def __init__(self, source: bytes):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = bits_for(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        self.by_words = _PATTERN in [part.get("pattern", {}).get("Regex") for part in json.loads(source)["pre_tokenizer"].get("pretokenizers", [])]
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {word: np.array(one.ids, "<u4").tobytes() for word, one in zip(words, found)}
+    def _plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(token in text for token in self.special)
+
+    def pieces(self, text: str) -> list[str]:
+        """Parts of a text whose ids follow each other as the text's ids."""
+        if not self.by_words:
+            return [text]
+        if self._plain(text):
+            return _PIECES.findall(text.lower())
+        found = []
+        for word in _WORDS.findall(text):
+            if self._plain(word):
+                found += _PIECES.findall(word.lower())
+            else:
+                found.append(word)
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pieces. Those that the pattern takes whole are encoded many at a time, apart by spaces."""
+        whole = [piece for piece in new if self.by_words and _PLAIN.fullmatch(piece) and _PIECES.fullmatch(piece)]
+        others = set(new).difference(whole)
+        for start in range(0, len(whole), AT_ONCE):
+            pieces = whole[start : start + AT_ONCE]
+            one = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+            ids, word = np.array(one.ids, "<u4"), np.array(one.word_ids)
+            cuts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
+            if len(cuts) != len(pieces) + 1:
+                raise ValueError("the tokenizer does not cut words by the expected pattern")
+            data, cuts = ids.tobytes(), (cuts * 4).tolist()
+            self.known.update((piece, data[a:b]) for piece, a, b in zip(pieces, cuts, cuts[1:]))
+        for piece, one in zip(others, self.tokenizer.encode_batch([*others], add_special_tokens=False)):
+            self.known[piece] = np.array(one.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         """The ids of every text (null: none) with the closing id."""
-        cut = [_WORDS.findall(text or "") for text in texts]
-        different = set().union(*cut)
-        if len(self.known) + len(different) > CACHED_WORDS:
-            self.known = {}
-        new = self._learn([word for word in different if word not in self.known])
-        table = self.known | new if len(new) > len(self.known) else self.known
-        self.known.update((word, ids) for word, ids in new.items() if len(word) <= CACHED_LENGTH)
-        if table is self.known and any(len(word) > CACHED_LENGTH for word in new):
-            table = self.known | new
+        cut = [self.pieces(text or "") for text in texts]
+        known = self.known
+        new = [piece for piece in set().union(*cut) if piece not in known]
+        self._learn(new)
         end = np.array([end_id], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(table.__getitem__, words), end]), "<u4") for words in cut]
+        found = [np.frombuffer(b"".join([*map(known.__getitem__, pieces), end]), "<u4") for pieces in cut]
+        full = len(known) > CACHED_PIECES
+        for piece in new:
+            if full or len(piece) > CACHED_LENGTH:
+                del known[piece]
+        return found
 
 
 _WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-_ENCODED = "doc_id long, row long, n_tokens long, ids_crc32 long, ids binary"
-
-
-def _encode(source: bytes, end_id: int):
-    made: list[WordEncoder] = []
+#: The pattern of word_bpe_49k.json, and what it says for lower-case text of the characters of _PLAIN alone.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile("[\\t\\n\\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\s0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(WordEncoder(source))
-        for batch in batches:
-            found = made[0].encode(batch.column(2).to_pylist(), end_id)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(ids) for ids in found], pa.int64()),
-                    pa.array([zlib.crc32(ids) for ids in found], pa.int64()),
-                    pa.array([pack(ids, made[0].width) for ids in found], pa.binary()),
-                ],
-                names=["doc_id", "row", "n_tokens", "ids_crc32", "ids"],
-            )
 
-    return run
+@lru_cache(maxsize=1)
+def _encoder(source: bytes) -> WordEncoder:
+    """A worker keeps it, with the pieces known, from task to task."""
+    return WordEncoder(source)
 
 
 _SEGMENT = "shard int, segment int, first long, n_ids long, data binary"
 
 
-def _segments(width: int, segment_ids: int):
+def _segments(source: bytes, end_id: int, segment_ids: int):
     """The documents of a sorted partition as segments, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(source)
         held: list[tuple[int | None, np.ndarray]] = []
         shard = n_held = segment = first = 0
 
         def written() -> pa.RecordBatch:
             ids = np.concatenate([part for _, part in held])
-            data = write_segment([at for at, _ in held], [len(part) for _, part in held], ids, width)
+            data = write_segment([at for at, _ in held], [len(part) for _, part in held], ids, encoder.width)
             row = (shard, segment, first, len(ids), data)
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["shard", "segment", "first", "n_ids", "data"])
 
         for batch in batches:
-            for shard, doc_id, n, cell in zip(*(column.to_pylist() for column in batch.columns)):
-                if held and n_held + n > segment_ids:
+            shards, ids, texts = (column.to_pylist() for column in batch.columns)
+            for shard, doc_id, found in zip(shards, ids, encoder.encode(texts, end_id)):
+                if held and n_held + len(found) > segment_ids:
                     yield written()
                     segment, first, held, n_held = segment + 1, first + n_held, [], 0
-                held.append((doc_id, unpack(cell, n, width)))
-                n_held += n
+                held.append((doc_id, found))
+                n_held += len(found)
         if held:
             yield written()
 
@@ -235,19 +258,16 @@ def write_ids(spark: SparkSession, docs: DataFrame, folder: str, path: str | Non
     """Writes the ids of all documents to a new folder in ascending doc_id order, each with a closing id.
 
     A null or empty text is its closing id alone; very long texts are used whole. Repeated rows are written each; rows of one
-    id follow each other by length and checksum; null ids come first. Only ``doc_id`` and ``text`` are read, so other columns
+    id follow each other by a hash of the text; null ids come first. Only ``doc_id`` and ``text`` are read, so other columns
     cannot clash; an empty table gives a folder without segments.
     """
-    source = read_vocabulary(path)
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    encoded = _stored(spark, rows.mapInArrow(_encode(source, end_id), _ENCODED), "encoded")
-    total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    n_shards = min(MAX_SHARDS, 1 + total // SHARD_IDS)
-    keys = ["doc_id", "n_tokens", "ids_crc32", "row"]  # the row keeps many copies of one id apart
-    dealt = encoded.repartitionByRange(n_shards, *keys).sortWithinPartitions(*keys)
-    segments = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "ids")
-    width = WordEncoder(source).width
-    segments.mapInArrow(_segments(width, SEGMENT_IDS), _SEGMENT).write.parquet(f"{folder}/segments")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    total = docs.agg(F.sum(F.octet_length("text") + F.lit(1).cast("long"))).first()[0] or 0
+    n_shards = min(MAX_SHARDS, 1 + total // SHARD_BYTES)
+    keys = ["doc_id", "hash", "row"]  # the row keeps many copies of one id apart
+    dealt = rows.repartitionByRange(n_shards, *keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
+    dealt.mapInArrow(_segments(read_vocabulary(path), end_id, SEGMENT_IDS), _SEGMENT).write.parquet(f"{folder}/segments")
     shards = spark.read.parquet(f"{folder}/segments").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard, at most MAX_SHARDS
     start = F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start")

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from flowgauge.llm import token_files as T
 from hypothesis import given
 from hypothesis import strategies as st
@@ -18,6 +19,11 @@ def library():
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    return T.WordEncoder(T.read_vocabulary())
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -60,23 +66,37 @@ ODD = [
 ]
 
 
-def test_word_by_word_is_what_the_library_gives(library):
-    encoder = T.WordEncoder(T.read_vocabulary())
+def test_word_by_word_is_what_the_library_gives(library, encoder):
     assert encoder.width == 16
     assert [ids.tolist() for ids in encoder.encode(ODD, 2)] == [library(text) for text in ODD]
 
 
+@given(st.lists(st.text(st.sampled_from("aZéßÿÀ×÷'stlmvredSLM019 .,!-_<|>^\"\n\t\x00\x1c\u00b5\u0301\u03a3\u00a0"), max_size=20), max_size=4))
+def test_cutting_changes_no_id(library, encoder, texts):
+    assert [ids.tolist() for ids in encoder.encode(texts, 2)] == [library(text) for text in texts]
+
+
+def text_hash(text):
+    """Spark's hash of a string; of a null, its seed."""
+    value = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1])))
+
+
 def expected(rows, library):
-    found = sorted(((i is not None, i or 0), len(ids), crc(ids)) for i, ids in ((i, library(text)) for i, text in rows))
     out, start = [], 0
-    for (known, i), n, check in found:
-        out.append((i if known else None, start, n, check))
-        start += n
+    for i, text in in_order(rows):
+        ids = library(text)
+        out.append((i, start, len(ids), crc(ids)))
+        start += len(ids)
     return sorted(out, key=repr)
 
 
 def test_files_give_documents_and_ranges(spark, documents, library, prose, monkeypatch, tmp_path):
-    monkeypatch.setattr(T, "SHARD_IDS", 50_000)
+    monkeypatch.setattr(T, "SHARD_BYTES", 200_000)
     monkeypatch.setattr(T, "SEGMENT_IDS", 3000)
     rows = [(at * 7 % 41 - 20, prose(at, 1 + at * 13 % 400)) for at in range(60)]
     rows += [(at, text) for at, text in enumerate(ODD)] + [(3, "copy of one")] * 300 + [(None, "no id"), (None, None)]
@@ -87,8 +107,7 @@ def test_files_give_documents_and_ranges(spark, documents, library, prose, monke
     segments = spark.read.parquet(f"{folder}/segments")
     assert segments.select("shard").distinct().count() > 1 and segments.count() > 10
     every = [at for r in sorted(T.read_range(spark, folder, 0, 10**9).collect()) for at in r.ids]
-    order = sorted(rows, key=lambda r: ((r[0] is not None, r[0] or 0), len(library(r[1])), crc(library(r[1]))))
-    assert every == [at for _, text in order for at in library(text)]
+    assert every == [at for _, text in in_order(rows) for at in library(text)]
     for start, stop in ((0, 1), (2990, 3010), (49_000, 61_000), (len(every) - 5, len(every) + 5)):
         assert [at for r in sorted(T.read_range(spark, folder, start, stop).collect()) for at in r.ids] == every[start:stop]
 
