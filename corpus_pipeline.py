@@ -24,34 +24,49 @@ def _restored(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFram
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model does not reject; rows and texts of the others are unchanged."""
+    """Documents that the severity model does not reject; rows and texts of the others are unchanged.
+
+    Null, empty and blank texts have no severity and stay, repeated rows are judged alike, an empty table gives an empty table.
+    """
     import_on_workers(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _restored(toxicity.score(_judged(docs), model).where("NOT toxic"), docs)
 
 
 def good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without their failing lines."""
+    """Documents that pass the rules, without their failing lines.
+
+    Null and empty texts, having under 20 words, go; repeated rows are judged alike; an empty table gives an empty table.
+    """
     return _restored(quality_rules.quality_rules(_judged(docs)).where("kept"), docs, "clean_text")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near duplication, the one with the smallest id; of repeated rows, one. Rows without an id stay."""
+    """Of documents linked by near duplication, the one with the smallest id, null ids last.
+
+    Rows are told apart by a number of their own, so different texts with equal or null ids all stay, and of repeated rows one
+    does. Null and empty texts are linked with nothing and stay; an empty table gives an empty table.
+    """
     import_on_workers(spark)
-    found = near_duplicates.near_duplicates(spark, docs)
-    chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.unionAll(docs.where("doc_id IS NULL"))
+    path = scratch_path(spark, "numbered")
+    packed_rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    packed_rows.withColumn("number", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = spark.read.parquet(path)
+    found = near_duplicates.near_duplicates(spark, numbered.select(F.col("number").alias("doc_id"), "row.text"))
+    ids = numbered.select("number", F.col("row.doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "number"))["number"]
+    chosen = found.join(ids, found["doc_id"] == ids["number"]).groupBy("component_id").agg(first.alias("number"))
+    return numbered.join(chosen, "number", "left_semi").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def masked_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind."""
+    """All documents, with personal data replaced by the name of its kind; null and empty texts stay as they are."""
     import_on_workers(spark)
     return _restored(personal_data.personal_data(_judged(docs)), docs, "masked_text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document with its place in a training sequence."""
+    """A row per piece of a document with its place in a training sequence; a null or empty text is its closing id alone."""
     import_on_workers(spark)
     return packing.pack(spark, docs)
 
