@@ -9,6 +9,7 @@ counted in buckets, so that no task sees all documents of a length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,10 @@ from flowgauge.llm.components import _stored
 
 WINDOW = 1024
 END_ID = 0
-BUCKETS = 64
+#: Documents of a bucket when documents are numbered, and the fewest buckets.
+BUCKET_DOCUMENTS, MIN_BUCKETS = 100_000, 64
+#: The fast encoder walks back over a run of white space and gives up on long ones; such texts go to the named library.
+_LONG_SPACE = re.compile(r"\s{4096}")
 
 
 class CapacityTree:
@@ -89,15 +93,26 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, i
 
 
 def _encoder(source: bytes):
-    """Token ids of a text by the fast library encoder of the same vocabulary."""
+    """Token ids of a text: by the fast encoder of the same vocabulary, or by the tokenizers library where that cannot."""
     import tiktoken
+    from tokenizers import Tokenizer
 
     from flowgauge.llm.bpe import PATTERN, Vocabulary
 
     vocabulary = Vocabulary(source)
     special = set(vocabulary.special.values())
     ranks = {data: at for at, data in vocabulary.bytes_of.items() if at not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens=vocabulary.special)
+    fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens=vocabulary.special)
+    named = Tokenizer.from_str(source.decode())
+    named.no_truncation()
+    named.no_padding()
+
+    def encode(text: str) -> np.ndarray:
+        if _LONG_SPACE.search(text):
+            return np.array(named.encode(text, add_special_tokens=False).ids, np.uint32)
+        return fast.encode_to_numpy(text, allowed_special="all")
+
+    return encode
 
 
 def _measure(source: bytes, window: int):
@@ -109,8 +124,7 @@ def _measure(source: bytes, window: int):
         for batch in batches:
             sizes, sums = [], []
             for text in batch.column(1).to_pylist():
-                ids = made[0].encode_to_numpy(text or "", allowed_special="all")
-                ids = np.append(ids, END_ID).astype("<u4")
+                ids = np.append(made[0](text or ""), END_ID).astype("<u4")
                 sizes.append(len(ids))
                 sums.append([zlib.crc32(ids[at : at + window].tobytes()) for at in range(0, len(ids), window)])
             yield pa.RecordBatch.from_arrays(
@@ -144,12 +158,14 @@ def _numbered(df: DataFrame, weight: Column, name: str, *key: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    A null or empty text is its closing id alone; repeated rows are packed each; an empty table gives no rows. Only ``doc_id``
-    and ``text`` are read, so other columns cannot clash. Sequences are numbered from 0: full windows first.
+    A null or empty text is its closing id alone; very long texts, of white space too, are cut into full windows; repeated rows
+    are packed each; an empty table gives no rows. Only ``doc_id`` and ``text`` are read, so other columns cannot clash. Sequences are numbered from 0: full windows first.
     """
-    measured = _stored(spark, measured_tokens(docs, path, window), "measured").withColumns(
+    measured = _stored(spark, measured_tokens(docs, path, window), "measured")
+    n_buckets = max(MIN_BUCKETS, measured.count() // BUCKET_DOCUMENTS)
+    measured = measured.withColumns(
         {
-            "bucket": F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(BUCKETS)).cast("int"),
+            "bucket": F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(n_buckets)).cast("int"),
             "full": F.floor(F.col("doc_tokens") / window).cast("long"),
             "rest": (F.col("doc_tokens") % window).cast("int"),
         }

@@ -119,6 +119,12 @@ def test_plan_is_best_fit_decreasing(window):
         assert sorted(window - used for used in filled.values()) == best_fit(items, window)
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 500_000 + "b", "\t \n" * 5000 + "x " * 100, " " * 4095 + "y", " " * 4096 + "<|endoftext|> z"])
+def test_packing_takes_long_white_space(library, text):
+    encode = packing._encoder(bpe.read_vocabulary())
+    assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packed_documents(spark, documents, prose, library):
     rows = [(1, None), (2, ""), (3, "same"), (4, "same"), (4, "same"), (None, "no id"), (5, prose(1, 3000))]
     rows += [(10 + i, prose(i, 1 + 13 * i % 300)) for i in range(120)]
