@@ -24,7 +24,7 @@ SAMPLE_PER_CLASS = 2500
 GRADES = 4
 STEMS = (4, 5, 6)
 #: A feature is used if so many sampled documents have it and its smoothed log odds are at least this far from zero.
-MIN_DOCS, MIN_LOG_ODDS, MAX_FEATURES = 5, 1.0, 20_000
+MIN_DOCS, MIN_LOG_ODDS = 5, 1.0
 FLAGGED_LOG_ODDS = 3.0
 SHARE = 50.0
 PENALTY, STEPS, RATE = 1e-4, 400, 0.05
@@ -244,8 +244,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known, inside = known[order], [np.asarray(counted[name])[order] for name in ("clean", "toxic")]
     odds = np.log((inside[1] + 0.5) / (size[1] + 1)) - np.log((inside[0] + 0.5) / (size[0] + 1))
     used = np.abs(odds) >= MIN_LOG_ODDS
-    if used.sum() > MAX_FEATURES:
-        used &= np.abs(odds) >= np.sort(np.abs(odds[used]))[-MAX_FEATURES]
     known, odds = known[used], odds[used]
     chosen = sampled.mapInArrow(_of_known(known), "toxic int, n_words long, places binary, times binary").toArrow()
     toxic, n_words = np.asarray(chosen["toxic"]), np.asarray(chosen["n_words"]).astype(np.float64)
