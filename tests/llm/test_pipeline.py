@@ -7,7 +7,7 @@ from tests.llm.test_near_duplicates import brute
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in MODULES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in MODULES) == list(range(1, 14))
 
 
 def test_stages(spark, documents, prose):
@@ -31,6 +31,32 @@ def test_stages(spark, documents, prose):
     assert {r.doc_id for r in pieces.collect()} == {1, 3, 7, None}
 
 
+def test_no_text_is_lost_by_its_id(spark, documents, prose):
+    rows = [(1, prose(1, 60)), (1, prose(2, 60)), (1, prose(2, 60)), (None, prose(3, 60)), (None, prose(3, 60)), (None, prose(4, 60)), (2, prose(4, 60))]
+    rows += [(-5, prose(1, 60) + " end")]
+    kept = corpus_pipeline.one_of_each_group(spark, documents(rows), SMALL).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted(
+        [("-5", prose(1, 60) + " end"), ("1", prose(2, 60)), ("None", prose(3, 60)), ("2", prose(4, 60))]
+    )
+
+
+def test_empty_table(spark, documents):
+    docs = documents([(1, "x")]).withColumn("n_chars", F.lit(1).cast("long")).where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, SMALL)
+        assert found.count() == 0, name
+        assert name == "packing" or found.columns == docs.columns
+
+
+HARD = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "\t" * 2_000_000, "0" * 5000 + ".1.1.1", "w" * 5_000_000, "9" * 100_000 + "@x.y"]
+
+
+def test_no_text_ends_a_stage(spark, documents):
+    docs = documents(list(enumerate(HARD))).withColumn("n_chars", F.length("text").cast("long"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SMALL).select("doc_id").distinct().count() == (0 if name == "quality_rules" else len(HARD)), name
+
+
 def test_run(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
