@@ -66,7 +66,7 @@ def _two_loads(spark, sf_dir) -> MetricStore:
 
     def load(load_id, keep):
         part = reports.Tables(commits=inputs.commits.where(keep))
-        store.append(reports.report_points("commits_by_namespace", part, OPTIONS), "commits_by_namespace", load_id)
+        store.append(reports.report_points("commits_by_namespace", part, OPTIONS), "commits_by_namespace", load_id, catalogue.tags_of("commits_by_namespace"))
 
     load(1, F.col("createdAt") < as_time("1999-03-01"))
     load(2, F.col("createdAt") >= as_time("1998-06-01"))
@@ -83,6 +83,16 @@ def _stored_year(spark, sf_dir):
     )
 
 
+def _first_load(spark, sf_dir):
+    """The store as it was before the second load, which readers of the first manifest do not see."""
+    tags = catalogue.tags_of("commits_by_namespace")
+    return _two_loads(spark, sf_dir).read("commits_by_namespace", tags, version=1, loaded_once=True)
+
+
+def _last_month(spark, sf_dir):
+    return _two_loads(spark, sf_dir).last_month("commits_by_namespace").drop("month")
+
+
 def _compacted(spark, sf_dir):
     store = _two_loads(spark, sf_dir)
     target = MetricStore(spark, scratch_path(spark, "compacted"))
@@ -126,6 +136,8 @@ def queries():
         ),
         "metric_store_newest": _stored,
         "metric_store_range": _stored_year,
+        "metric_store_first_load": _first_load,
+        "metric_store_last_month": _last_month,
         "metric_store_compacted": _compacted,
         "flow_request_cached": _cached_request,
         "flow_request_table": lambda s, d: _answer(s, d)[0].withColumn("TH", F.round("TH", 6)),
@@ -228,6 +240,15 @@ FROM ({flows['cfd_reports']})"""
         "metric_store_range": (
             f"SELECT * FROM ({stored}) WHERE \"time\" BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '1999-12-31'"
         ),
+        "metric_store_first_load": (
+            f"{weekly} FROM (SELECT CAST(date_trunc('week', createdAt) AS TIMESTAMP) AS created, namespace, {commit_checks._SUMS} "
+            f"FROM (WITH {views.COMMITS_SQL} SELECT * FROM commits) WHERE createdAt < TIMESTAMP '1999-03-01' GROUP BY ALL)"
+        ),
+        "metric_store_last_month": (
+            f"WITH last AS ({stored.replace('EXCLUDE (load_) ', '').replace('SELECT *  FROM', 'SELECT * FROM')}) "
+            'SELECT * EXCLUDE (load_), CAST(load_ AS BIGINT) AS load_id FROM last '
+            "WHERE date_trunc('month', \"time\") = (SELECT max(date_trunc('month', \"time\")) FROM last)"
+        ),
         "metric_store_compacted": stored,
         "flow_request_cached": f"{walk}, {flow_checks._table('day', '1 DAY', '')} SELECT * FROM t",
         "flow_request_table": (

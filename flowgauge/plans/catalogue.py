@@ -115,6 +115,7 @@ CATALOGUE: dict[str, Measurement] = {
     )
 }
 
+FLOW_TAGS = ("project", "qualifier", "interval")
 CFD_COUNT = "cfd_count"
 CFD_ESTIMATE = "cfd_estimate"
 

@@ -17,12 +17,12 @@ def ingest_commits(
     """Clean landed commits and append those of the window (all without one)."""
     cleaned = repositories.clean_commits(raw, settings.email_mapping)
     points = repositories.commit_points(cleaned, projects)
-    store.append(points if window is None else within(points, window), "commits", load_id)
+    store.append(points if window is None else within(points, window), "commits", load_id, tags_of("commits"))
 
 
 def ingest_merge_requests(store: MetricStore, load_id: int, raw: DataFrame, as_of, window: Window | None = None) -> None:
     points = repositories.merge_request_points(raw, as_of)
-    store.append(points if window is None else within(points, window), "merge_requests", load_id)
+    store.append(points if window is None else within(points, window), "merge_requests", load_id, tags_of("merge_requests"))
 
 
 def next_commits(store: MetricStore, as_of) -> Window:

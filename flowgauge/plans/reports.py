@@ -16,7 +16,7 @@ from flowgauge.operators import issue_reports as issues
 from flowgauge.operators import merge_request_reports as requests
 from flowgauge.operators.cumulative import COUNT, ESTIMATE
 from flowgauge.operators.work_items import flatten
-from flowgauge.plans.catalogue import CATALOGUE, CFD_COUNT, CFD_ESTIMATE, flow_measurement, flow_points
+from flowgauge.plans.catalogue import CATALOGUE, CFD_COUNT, CFD_ESTIMATE, FLOW_TAGS, flow_measurement, flow_points, tags_of
 from flowgauge.session import scratch_path
 from flowgauge.settings import FlowReport, FlowSpec
 from flowgauge.sinks.metric_store import MetricStore
@@ -226,7 +226,7 @@ def run_reports(
         requests.latest_versions(tables.merge_requests, options.newest).write.parquet(path)
         tables = replace(tables, merge_requests=store.spark.read.parquet(path).withColumn(requests.IS_NEWEST, F.lit(True)))
     for name, unit in run:
-        store.append(report_points(name, tables, replace(options, unit=unit)), name, load_id)
+        store.append(report_points(name, tables, replace(options, unit=unit)), name, load_id, tags_of(name))
 
 
 def run_flow_reports(
@@ -240,7 +240,7 @@ def run_flow_reports(
     for aggregate in aggregates:
         name = CFD_COUNT if aggregate == COUNT else CFD_ESTIMATE
         for points in flow_report_points(statuses, spec, reports, aggregate).values():
-            store.append(points, name, load_id)
+            store.append(points, name, load_id, FLOW_TAGS)
 
 
 def run_issue_reports(

@@ -47,6 +47,79 @@ def test_newest_load_wins(spark, store, rows):
     assert rows(plain, "time", "state", "count") == newest
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_months_of_several_loads_are_searched(spark, store, rows):
+    store.append(points(spark, (1, 1, "open", 1), (2, 1, "open", 2), (2, 1, "open", 2)), "m", 1, ("state",))
+    store.append(points(spark, (2, 1, "open", 5), (3, 1, "open", 3)), "m", 2, ("state",))
+    assert rows(store.read("m", ("state",)), "count") == [(1,), (3,), (5,)]
+    assert [entry.month for entry in store.entries("m")] == ["2020-01", "2020-02", "2020-02", "2020-03"]
+    for since, until, searched in (("2020-01-01", "2020-01-31", False), ("2020-03-01", None, False), ("2020-02-01", "2020-02-28", True)):
+        part = store.read("m", ("state",), since, until)
+        assert part.count() == 1
+    only = MetricStore(spark, store.root + "-once")
+    only.append(points(spark, (1, 1, "open", 1), (1, 1, "open", 1)), "m", 1, ("state",))
+    plain = only.read("m", ("state",))
+    assert "Exchange" not in _plan(plain) and plain.count() == 1
+    # By fewer tags than it was written by, a point may be there twice.
+    assert "Window" in _plan(only.read("m", ()))
+    with pytest.raises(ValueError, match="several loads"):
+        store.read("m", ("state",), loaded_once=True)
+    with pytest.raises(FileNotFoundError):
+        store.read("other", ("state",))
+
+
+def test_a_half_written_load_is_not_seen(spark, store, rows, monkeypatch):
+    store.append(points(spark, (1, 1, "open", 1)), "m", 1, ("state",))
+    # Files without a manifest: what a writer leaves that dies before its commit.
+    points(spark, (1, 1, "open", 9)).withColumns({"load_id": F.lit(2).cast("long"), "month": F.lit("2020-01")}).write.partitionBy(
+        "month"
+    ).parquet(store.path("m") + "/part=lost")
+    assert rows(store.read("m", ("state",)), "count") == [(1,)]
+    assert store.last_month("m").count() == 1
+    # A writer that fails leaves the table as it was.
+    monkeypatch.setattr("flowgauge.sinks.metric_store.create_small", lambda *_: False)
+    with pytest.raises(RuntimeError, match="committed first"):
+        store.append(points(spark, (1, 1, "open", 7)), "m", 3, ("state",))
+    monkeypatch.undo()
+    assert rows(store.read("m", ("state",)), "count") == [(1,)] and store.versions("m") == [1]
+
+
+def test_two_writers_at_a_time_both_count(spark, store, rows, monkeypatch):
+    from flowgauge.sinks import metric_store
+
+    create, other = metric_store.create_small, MetricStore(spark, store.root)
+
+    def slow(*args):
+        monkeypatch.setattr(metric_store, "create_small", create)
+        other.append(points(spark, (2, 1, "open", 2)), "m", 2, ("state",))
+        return create(*args)
+
+    monkeypatch.setattr(metric_store, "create_small", slow)
+    store.append(points(spark, (1, 1, "open", 1)), "m", 1, ("state",))
+    assert rows(store.read("m", ("state",)), "count") == [(1,), (2,)] and store.versions("m") == [1, 2]
+    assert rows(store.read("m", ("state",), version=1), "count") == [(2,)]
+
+
+def test_folders_without_a_manifest_are_taken_over(spark, store, rows):
+    old = points(spark, (1, 1, "open", 1), (2, 1, "open", 2)).withColumns({"load_id": F.lit(1).cast("long")})
+    old.withColumn("month", F.date_format(F.col("time").cast("date"), "yyyy-MM")).write.partitionBy("month").parquet(store.path("m"))
+    assert rows(store.read("m", ("state",)), "count") == [(1,), (2,)]
+    store.append(points(spark, (2, 1, "open", 7), (3, 1, "open", 3)), "m", 2, ("state",))
+    assert rows(store.read("m", ("state",)), "count") == [(1,), (3,), (7,)]
+
+
+def test_files_with_taken_names(spark, tmp_path):
+    from flowgauge.sinks.folders import create_small, names_below, read_small
+
+    path = str(tmp_path / "small" / "a.json")
+    assert create_small(spark, path, "é\n") and not create_small(spark, path, "other")
+    assert read_small(spark, path) == "é\n"
+    assert [name for name in names_below(spark, str(tmp_path / "small")) if not name.startswith(".a.json.")] in (["a.json"], [".a.json.crc", "a.json"], ["a.json", ".a.json.crc"])
+
+
 def test_an_older_load_does_not_come_back(spark, store, rows):
     store.append(points(spark, (1, 1, "open", 9)), "m", 2)
     store.append(points(spark, (1, 1, "open", 1)), "m", 1)
