@@ -10,8 +10,9 @@ from pyspark.sql.types import DecimalType, IntegralType
 
 from flowgauge.operators.joins import same_keys, with_prefix
 
-# Values are numbered in levels of so many bits; no window holds more than 2**LEVEL_BITS rows.
-LEVEL_BITS = 16
+# Values are numbered in levels of so many bits, lowest first: a window holds at most 2**16 values, 2**20 blocks of them, or
+# all blocks of those that a group has (16,384 of them if its values are below 2**50).
+LEVEL_BITS = (16, 20, 28)
 
 
 def dense_ranks(df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
@@ -19,55 +20,56 @@ def dense_ranks(df: DataFrame, groups: Sequence[str], ranks: Mapping[str, Column
 
     ``ranks`` maps the name of a rank to the whole number it goes by (others are
     rejected); a negated number ranks from the highest. Every row stays, equal rows
-    too. A rank depends on the distinct values only, so these are numbered, level by
-    level in windows of bounded size, and joined back.
+    too. A rank depends on the distinct values only, so the values of all ranks are
+    numbered together, level by level in windows of bounded size, and joined back.
     """
     for rank, value in ranks.items():
         kind = df.select(value.alias("value")).schema[0].dataType
         if not isinstance(kind, IntegralType) and not (isinstance(kind, DecimalType) and kind.scale == 0):
             raise ValueError(f"rank {rank!r} needs whole numbers, not {kind.simpleString()}")
-    measured = [F.struct(F.lit(rank).alias("_rank"), value.cast("long").alias("_value")) for rank, value in ranks.items()]
+    measured = [F.struct(F.lit(at).alias("_rank"), value.cast("long").alias("_value")) for at, value in enumerate(ranks.values())]
     key = (*groups, "_rank")
-    # Wanting every column here lets Spark compute `df` once and reuse its exchange below.
-    seen = F.max("_hash").isNotNull()
-    values = (
-        df.select(*groups, F.xxhash64(*df.columns).alias("_hash"), F.inline(F.array(*measured)).alias("_rank", "_value"))
-        .groupBy(*key, "_value")
-        .agg(seen.alias("_seen"))
-        .where("_seen")
-        .drop("_seen")
-    )
-    places = _places(values, key)
-    for rank, value in ranks.items():
-        own = places.where(F.col("_rank") == rank).select(*groups, F.col("_value"), F.col("_place").alias(rank))
-        named = with_prefix(own, groups)
-        same_value = value.cast("long").eqNullSafe(F.col("_value"))
-        df = df.join(named, same_keys(groups) & same_value if groups else same_value).drop(
-            "_value", *[f"_of_{name}" for name in groups]
-        )
+    values = df.select(*groups, F.inline(F.array(*measured)).alias("_rank", "_value")).distinct()
+    # All places of a value in one array: every rank joins the same table, which Spark computes once.
+    found = [F.max(F.when(F.col("_rank") == at, F.col("_place"))) for at in range(len(ranks))]
+    places = _places(values, key).groupBy(*groups, "_value").agg(F.array(*found).alias("_places"))
+    places = with_prefix(places, (*groups, "_value"))
+    named = df.columns
+    for at, (rank, value) in enumerate(ranks.items()):
+        joined = df.withColumn("_value", value.cast("long")).join(places, same_keys((*groups, "_value")))
+        named = [*named, rank]
+        df = joined.withColumn(rank, F.get("_places", F.lit(at))).select(*[F.col(f"`{name}`") for name in named])
     return df
 
 
 def _places(values: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``_place`` of each distinct value: its number among those of equal higher bits, and the sizes of all blocks before."""
+    """``_place`` of each distinct value: its number among those of equal higher bits, and the sizes of all blocks before.
+
+    A block is named by the higher bits of its values; sizes of blocks are summed up
+    within blocks of the next level, and so on, each time in a window of bounded size.
+    """
+
+    top = len(LEVEL_BITS) - 1
 
-    def block(level: int) -> Column:
-        return F.shiftright("_value", LEVEL_BITS * level)
+    def numbered(rows: DataFrame, name: str, size: Column, level: int) -> DataFrame:
+        """Adds the block of ``name``, the sum of ``size`` before a row there, and the block's total on its first row."""
+        rows = rows.withColumn("_block", F.lit(0).cast("long") if level == top else F.shiftright(name, LEVEL_BITS[level]))
+        block = Window.partitionBy(*key, "_block")
+        return rows.withColumns(
+            {
+                "_before": F.coalesce(F.sum(size).over(block.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                "_total": F.sum(size).over(block),
+                "_first": F.row_number().over(block.orderBy(name)) == 1,
+            }
+        )
 
-    in_block = Window.partitionBy(*key, "_block").orderBy("_value")
-    numbered = values.withColumn("_block", block(1)).withColumn("_place", F.row_number().over(in_block).cast("long"))
-    # Blocks of one level, with the number of values in the blocks before within the block above.
-    before = None
-    for level in (3, 2, 1):
-        above = F.lit(0).cast("long") if level == 3 else F.shiftright("_block", LEVEL_BITS)
-        sized = values.groupBy(*key, block(level).alias("_block")).agg(F.count(F.lit(1)).alias("_size"))
-        order = Window.partitionBy(*key, "_above").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        sized = sized.withColumn("_above", above).withColumn("_before", F.coalesce(F.sum("_size").over(order), F.lit(0)))
-        if before is not None:
-            outer = with_prefix(before.withColumnsRenamed({"_block": "_above", "_before": "_outer"}), (*key, "_above"))
-            sized = sized.join(outer, same_keys((*key, "_above"))).withColumn("_before", F.col("_before") + F.col("_outer"))
-        before = sized.select(*key, "_block", "_before")
-    blocks = with_prefix(before, (*key, "_block"))
-    return numbered.join(blocks, same_keys((*key, "_block"))).select(
-        *key, "_value", (F.col("_place") + F.col("_before")).cast("int").alias("_place")
-    )
+    levels = [numbered(values, "_value", F.lit(1), 0)]
+    for level in range(1, top + 1):
+        blocks = levels[-1].where("_first").select(*key, F.col("_block").alias("_value"), F.col("_total").alias("_size"))
+        levels.append(numbered(blocks, "_value", F.col("_size"), level))
+    before = levels[-1].select(*key, "_value", "_before")  # the highest bits, all in one block
+    for level in reversed(levels[:-1]):
+        outer = with_prefix(before.withColumnsRenamed({"_value": "_block", "_before": "_outer"}), (*key, "_block"))
+        joined = level.join(outer, same_keys((*key, "_block")))
+        before = joined.select(*key, "_value", (F.col("_before") + F.col("_outer")).alias("_before"))
+    return before.select(*key, "_value", (F.col("_before") + 1).cast("int").alias("_place"))
