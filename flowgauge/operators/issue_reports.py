@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from flowgauge.functions.names import experience_factor
 from flowgauge.functions.time import as_time, date_range, period_date, period_start, shift_period, time_span
-from flowgauge.operators.flow import SPAN_MINUTES
 from flowgauge.operators.work_items import truncate_times
 
+# Histories are cut into spans of this length.
+SPAN_MINUTES = 1
+
 # States in which nobody works on an item.
 IDLE_STATES = ("Backlog", "Upcoming", "Done")
 

@@ -82,7 +82,10 @@ def main(log_dir):
         F.lit(-1).alias("deletions"),
         F.lit(6).alias("total"),
     )
+    # All changes of the hot item have the same time.
+    at_once = statuses.withColumn("statusCreated", F.when(F.col("id") == "hot", F.lit("2020-01-01").cast("timestamp_ntz")).otherwise(F.col("statusCreated")))
     jobs = {
+        "flow at one time": normalize_statuses(at_once, SPEC),
         "flow": cumulative.cumulative_flow(normalize_statuses(statuses, SPEC), "DAYS"),
         "stays": issue_reports.state_spans(statuses, "2024-01-01"),
         "commits by role": commit_reports.commits_by_role(projects, tags, commits, "WEEKS"),

@@ -67,7 +67,7 @@ def test_cases_nested(spark):
     assert as_dict(flow.normalize_items(nested(spark, histories), SPEC)) == expected(CASES)
 
 
-@pytest.mark.parametrize("minutes", [1, 60, 24 * 60])
+@pytest.mark.parametrize("minutes", [None, 1, 60, 24 * 60])
 def test_cases_flat(spark, minutes):
     histories = [history(states.split()) for states, _, _ in CASES]
     assert as_dict(flow.normalize_statuses(flat(spark, histories), SPEC, span_minutes=minutes)) == expected(CASES)
@@ -115,7 +115,7 @@ def test_random_histories_nested(spark, random_histories):
     assert as_dict(flow.normalize_items(nested(spark, random_histories), SPEC)) == of_walk(random_histories)
 
 
-@pytest.mark.parametrize("minutes", [1, 60, 100_000])
+@pytest.mark.parametrize("minutes", [None, 1, 60, 100_000])
 def test_random_histories_flat(spark, random_histories, minutes):
     shuffled = flat(spark, random_histories).orderBy("statusName")
     found = as_dict(flow.normalize_statuses(shuffled, SPEC, span_minutes=minutes))
@@ -131,11 +131,32 @@ def test_document_order_is_not_time_order(spark):
 def test_one_long_history(spark):
     states = ["todo", "progress", "done", "todo"] * 2000 + ["done"]
     items = [(START + timedelta(minutes=minute), name) for minute, name in enumerate(states)]
-    for minutes in (1, 10**6):
+    for minutes in (None, 1, 10**6):
         found = as_dict(flow.normalize_statuses(flat(spark, [items]), SPEC, span_minutes=minutes))
         assert found == {"0": walk(items)}
 
 
+@pytest.mark.parametrize("bits", [1, 3, 12])
+def test_histories_cut_anywhere(spark, random_histories, monkeypatch, bits):
+    """Ranges end in the middle of histories, between changes of one time too."""
+    monkeypatch.setattr(flow, "BLOCK_BITS", bits)
+    rows = flat(spark, random_histories)
+    try:
+        for ranges in (2, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            assert as_dict(flow.normalize_statuses(rows, SPEC)) == of_walk(random_histories), ranges
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_all_changes_at_one_time(spark):
+    chance = random.Random(3)
+    items = [(START, chance.choice(["backlog", "todo", "progress", "review", "done"])) for _ in range(5000)] + [(START, "todo"), (START, "done")]
+    assert as_dict(flow.normalize_statuses(flat(spark, [items]).repartition(6), SPEC)) == {"0": walk(items)}
+
+
 def test_flow_per_project(spark):
     rows = flat(spark, [history(["todo", "review"]), history(["todo", "review"])]).selectExpr("concat('p', id) AS project", "*")
     specs = {"p0": SPEC, "p1": SPEC.between(final_state="review")}
