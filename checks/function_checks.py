@@ -42,6 +42,23 @@ def _calendar(spark, sf_dir):
     )
 
 
+def _ranges(spark, sf_dir):
+    """All dates of ranges that begin on the day of an order; a fifth of them are reversed and empty."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey",
+        F.col("o_orderdate").cast("date").alias("a"),
+        F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_custkey") % 150).cast("int") - 30).alias("b"),
+    )
+
+    def listed(unit):
+        return F.array_join(F.transform(time.date_range(unit, "a", "b"), lambda at: at.cast("string")), ",")
+
+    return orders.select(
+        "o_orderkey", "a", "b", listed(time.MONTHS).alias("months"), listed(time.WEEKS).alias("weeks"),
+        F.size(time.date_range(time.DAYS, "a", "b")).alias("n_days"),
+    )
+
+
 def _parsing(spark, sf_dir):
     issues = views.issues(spark, sf_dir)
     return issues.select(
@@ -68,7 +85,7 @@ def _naming(spark, sf_dir):
 
 
 def queries():
-    return {"calendar_functions": _calendar, "time_parsing": _parsing, "name_functions": _naming}
+    return {"calendar_functions": _calendar, "calendar_ranges": _ranges, "time_parsing": _parsing, "name_functions": _naming}
 
 
 def oracle_sql():
@@ -92,6 +109,21 @@ SELECT *, CAST(date_trunc('day', a) AS TIMESTAMP) AS day_start, CAST(date_trunc(
        date_sub('hour', a, b) AS hours_between, upper(dayname(a)) AS weekday, CAST(weekofyear(a) AS INTEGER) AS iso_week,
        epoch_ms(a) AS millis, b AS back_from_millis
 FROM r""",
+        # A month later is the same day, or the last one of a shorter month; a month is complete when its day is reached.
+        "calendar_ranges": """
+WITH r AS (
+  SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a,
+         CAST(CAST(o_orderdate AS DATE) + CAST(o_custkey % 150 - 30 AS INTEGER) AS DATE) AS b FROM orders),
+n AS (
+  SELECT *, CAST((year(b) - year(a)) * 12 + month(b) - month(a) - CASE WHEN day(b) < day(a) THEN 1 ELSE 0 END AS INTEGER) AS n_months
+  FROM r)
+SELECT o_orderkey, a, b,
+       CASE WHEN b < a THEN '' ELSE array_to_string(list_transform(range(0, n_months + 1),
+         lambda k: CAST(CAST(a + to_months(CAST(k AS INTEGER)) AS DATE) AS VARCHAR)), ',') END AS months,
+       CASE WHEN b < a THEN '' ELSE array_to_string(list_transform(range(0, (b - a) // 7 + 1),
+         lambda k: CAST(a + CAST(7 * k AS INTEGER) AS VARCHAR)), ',') END AS weeks,
+       CAST(greatest(b - a + 1, 0) AS INTEGER) AS n_days
+FROM n""",
         "time_parsing": f"""
 SELECT 'I-' || event_id AS "key", date_trunc('second', ts) AS wall_clock, date_trunc('second', ts) - INTERVAL 2 HOUR AS instant,
        CAST(ts AS DATE) AS "day",
