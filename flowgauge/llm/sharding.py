@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowgauge.session import scratch_path
+from flowgauge.sinks.folders import exists
 
 SLOTS = 4096
 SHARDS = 16
@@ -127,7 +128,8 @@ def shard_documents(spark: SparkSession, docs: DataFrame, map_path: str | None =
     The law is ``bytes``: shards have nearly equal bytes, as far as single slots allow. A null text counts as an empty one
     (size 1, checksum 0); empty tables give no rows; rows with equal ids share a virtual slot, and equal rows may change
     places among themselves. Columns other than ``doc_id`` and ``text`` are not carried, so their names cannot clash.
-    Both versions of the map are appended to ``map_path`` (by default a new folder in the shared scratch folder).
+    ``map_path`` (by default a new folder in the shared scratch folder) gets the first version of the map if it holds none,
+    and a rebalanced version of the newest one there.
     """
     body = F.coalesce("text", F.lit(""))
     records = docs.select(
@@ -140,7 +142,8 @@ def shard_documents(spark: SparkSession, docs: DataFrame, map_path: str | None =
     totals_path = scratch_path(spark, "slot-totals")
     slot_totals(records, "size").write.parquet(totals_path)
     totals = spark.read.parquet(totals_path)
-    save_map(first_map(spark), path)
+    if map_path is None or not exists(spark, path):
+        save_map(first_map(spark), path)
     save_map(rebalance(load_map(spark, path), totals), path)
     placed = assign(records, load_map(spark, path), totals, ["doc_id", "size", "text_crc32"])
     return placed.select(

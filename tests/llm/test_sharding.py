@@ -39,6 +39,15 @@ def test_versions_of_the_map(spark):
     assert load_map(spark, path).agg({"version": "max"}).first()[0] == 2
 
 
+def test_a_stored_map_is_used_again(spark, documents):
+    path, docs = scratch_path(spark, "map"), documents([(at, "x" * at) for at in range(50)])
+    first = {r.doc_id: r.shard for r in shard_documents(spark, docs, path).collect()}
+    second = {r.doc_id: r.shard for r in shard_documents(spark, docs, path).collect()}
+    counts = {r["version"]: r["count"] for r in spark.read.parquet(path).groupBy("version").count().collect()}
+    assert len(counts) == 3 and len(set(counts.values())) == 1 and sorted(counts) == [0, 1, 2]
+    assert first.keys() == second.keys() and load_map(spark, path, 0).count() == counts[0]
+
+
 def test_no_python_in_the_plan(spark, documents):
     plan = shard_documents(spark, documents([(1, "a")]).coalesce(1))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
