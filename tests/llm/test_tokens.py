@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -64,6 +65,10 @@ def test_bpe_frames(spark, documents, library):
     assert all(r.rep == "own" for r in found)
     digests = bpe.encode_and_decode(documents(rows)).collect()
     assert [r.n_tokens for r in digests] == [len(r.ids) for r in found]
+    for r, (_, text) in zip(digests, rows):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.encode_and_decode(documents([])).count() == 0
 
 
