@@ -1,7 +1,8 @@
 """Main text of web pages: structure first, then nearest-URL page differencing.
 
 A page becomes lines (blocks of text), each of one kind: *article* or *main* (inside such an element), *boilerplate*
-(inside menus, footers, adverts, forms, comments and the like) or *open* (neither). Within each host, pages stand in the
+(inside menus, footers, adverts, forms, comments and the like), *hinted* (in an article, but menu, advert or notice by its
+class or id) or *open* (none of these). Within each host, pages stand in the
 order of their URL paths and every page is paired with the neighbour whose path is nearest. The longest common
 subsequence of the two pages' lines is what a template repeats; its open lines are deleted. Lines of an article element
 stay, as a passage that two articles share is still text of both.
@@ -18,19 +19,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowgauge.llm.components import _stored
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>?"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)>?"  # a quote opens a value after = only
     r"|<[!?][^>]*>?",
     re.S,
 )
-_HINTED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_CLASSED = re.compile(r"(?:^|[\s\"'/])(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HINTED = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {
     name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I)
     for name in ("script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes", "template")
@@ -54,24 +54,51 @@ _HINTS = frozenset(
     " widget pager pagination toolbar contentinfo complementary search skip".split()
 )
 _HEADERS = frozenset(("header", "masthead"))
+#: Words that say nothing of what an element holds: with one of the words above they name what is not the article.
+_LAYOUT = frozenset(
+    "area bar bars block body bottom box btn button buttons card cards center col column container content entry entries form"
+    " global group grid head heading holder icon icons inline inner item items left link links list message outer page panel"
+    " post posts article articles story stories right row section site slot strip text thread title top unit wrap wrapper".split()
+)
+#: Of these an id may be: sections of documents get ids from their headings, and "search" or "cookies" may be a heading.
+_COMMENTS = frozenset("comment comments respond disqus".split())
+_ID_HINTS = _COMMENTS | frozenset(
+    "ad ads advert adverts advertisement sidebar breadcrumb breadcrumbs masthead navbar newsletter pager pagination topbar".split()
+)
+_CONTAINERS = frozenset("article aside details dialog div dl figure menu ol section table ul".split())
 COPY_SHARE = 0.8
 
-ARTICLE, MAIN, OPEN, BOILERPLATE = "a", "m", "o", "b"
+ARTICLE, MAIN, OPEN, BOILERPLATE, HINTED = "a", "m", "o", "b", "h"
 
 
 def _hint_words(attributes: str) -> set[str]:
     words: set[str] = set()
-    for values in _HINTED.findall(attributes):
+    for _, *values in _HINTED.findall(attributes):
         words.update(re.split(r"[^a-z0-9]+", "".join(values).lower()))
     return words
 
 
-def _class_words(attributes: str) -> set[str]:
-    """Whole words of class and role: inside an article, ids and parts of words name sections rather than what is no article."""
-    words: set[str] = set()
-    for values in _CLASSED.findall(attributes):
-        words.update("".join(values).lower().split())
-    return words
+def _hint_inside(name: str, attributes: str) -> str:
+    """What class, id and role say of an element inside an article: a kind of lines, or nothing.
+
+    There a name counts only if all its parts are hints or layout words: "comments-area" and "ad-slot" do, "social-impact"
+    and "search-api" do not. Ids count on containers only, and articles leave only as comments.
+    """
+    found = ""
+    for attribute, *values in _HINTED.findall(attributes):
+        by_id = attribute.lower() == "id"
+        if by_id and name not in _CONTAINERS:
+            continue
+        for word in "".join(values).lower().split():
+            parts = [part for part in re.split(r"[^a-z0-9]+", word) if part]
+            hints = _HINTS.intersection(parts)
+            if not hints or not _LAYOUT.union(hints).issuperset(parts) or (by_id and len(hints) < 2 and not hints & _ID_HINTS):
+                continue
+            if hints & _COMMENTS:
+                return BOILERPLATE
+            if name not in ("article", "main"):
+                found = HINTED
+    return found
 
 
 def page_lines(source: str) -> tuple[list[str], str]:
@@ -79,9 +106,9 @@ def page_lines(source: str) -> tuple[list[str], str]:
     lines: list[str] = []
     kinds: list[str] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, article or main
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, dropped, hinted, article or main
     open_names: dict[str, int] = {}
-    dropped = article = 0
+    dropped = hinted = article = 0
     end = len(source)
 
     def flush() -> None:
@@ -90,14 +117,17 @@ def page_lines(source: str) -> tuple[list[str], str]:
             parts.clear()
             if line:
                 lines.append(line)
-                kinds.append(BOILERPLATE if dropped else MAIN if open_names.get("main") else ARTICLE if article else OPEN)
+                kinds.append(
+                    BOILERPLATE if dropped else HINTED if hinted else MAIN if open_names.get("main") else ARTICLE if article else OPEN
+                )
 
     def pop_to(depth: int) -> None:
-        nonlocal dropped, article
+        nonlocal dropped, hinted, article
         while len(stack) > depth:
-            name, was_dropped, was_article = stack.pop()
+            name, was_dropped, was_hinted, was_article = stack.pop()
             open_names[name] -= 1
             dropped -= was_dropped
+            hinted -= was_hinted
             article -= was_article
 
     def text(a: int, b: int) -> None:
@@ -156,19 +186,25 @@ def page_lines(source: str) -> tuple[list[str], str]:
                     if stack and stack[-1][0] == other:
                         pop_to(len(stack) - 1)
             drop = name in _DROPPED or (not article and name in _FALLBACKS)
+            hint = ""
             if name == "header":
                 drop = not article
-            elif not drop and "=" in attributes and name not in ("html", "body", "article", "main"):
-                words = _class_words(attributes) if article else _hint_words(attributes)
-                drop = bool(words & _HINTS) or (not article and bool(words & _HEADERS))
-            if name in _BLOCK or drop:
+            elif not drop and "=" in attributes and name not in ("html", "body"):
+                if article or name in ("article", "main"):
+                    hint = _hint_inside(name, attributes)
+                    drop = hint == BOILERPLATE
+                else:
+                    words = _hint_words(attributes)
+                    drop = bool(words & _HINTS) or bool(words & _HEADERS)
+            if name in _BLOCK or drop or hint:
                 if attributes.endswith("/") and name not in _BLOCK:
                     continue
                 flush()
                 is_article = name in ("article", "main")
-                stack.append((name, drop, is_article))
+                stack.append((name, drop, hint == HINTED, is_article))
                 open_names[name] = open_names.get(name, 0) + 1
                 dropped += drop
+                hinted += hint == HINTED
                 article += is_article
     flush()
     return lines, "".join(kinds)
@@ -213,7 +249,7 @@ def _place(url: str | None) -> tuple[str, str]:
     return (m.group(1).lower(), m.group(2)) if m else ("", url or "")
 
 
-_LINES = "key long, host string, path string, lines binary, sizes binary, open binary"
+_LINES = "key string, host string, path string, lines binary, sizes binary, open binary"
 
 
 def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +265,7 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
             )
         if rows:
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+            kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(column), kind) for column, kind in zip(zip(*rows), kinds)],
                 names=["key", "host", "path", "lines", "sizes", "open"],
@@ -283,9 +319,14 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(now["key"])
             deleted.append(gone)
         if len(keys) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(deleted, pa.list_(pa.int32()))], names=["key", "deleted"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(deleted, pa.list_(pa.int32()))], names=["key", "deleted"])
             keys, deleted = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(deleted, pa.list_(pa.int32()))], names=["key", "deleted"])
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(deleted, pa.list_(pa.int32()))], names=["key", "deleted"])
+
+
+def _key(*columns: str) -> Column:
+    """128 bits of some columns, from two hashes of different seeds."""
+    return F.concat(F.hex(F.xxhash64(*columns)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *columns)))
 
 
 def template_lines(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -295,7 +336,7 @@ def template_lines(spark: SparkSession, pages: DataFrame) -> DataFrame:
     the first of their paths, so that copies of a page do not pair with each other.
     """
     lines = pages.mapInArrow(_line_hashes, _LINES)
-    content = F.xxhash64("host", "lines", "open")
+    content = _key("host", "lines", "open")
     lines = _stored(spark, lines.withColumn("content", content), "page-lines")
     single = lines.groupBy(F.col("content").alias("key")).agg(
         *(F.first(name).alias(name) for name in ("host", "lines", "sizes", "open")), F.min("path").alias("path")
@@ -316,7 +357,7 @@ def template_lines(spark: SparkSession, pages: DataFrame) -> DataFrame:
     deleted = (
         every.repartition("part")
         .sortWithinPartitions("part", "host", "path", "key")
-        .mapInArrow(_difference, "key long, deleted array<int>")
+        .mapInArrow(_difference, "key string, deleted array<int>")
         .withColumnRenamed("key", "content")
     )
     # Equal pages may stand in several rows.
@@ -326,10 +367,13 @@ def template_lines(spark: SparkSession, pages: DataFrame) -> DataFrame:
 def main_lines(lines: list[str], kinds: str, deleted) -> list[str]:
     """Article lines; if more open text than that is left, the articles are teasers or parts and both are given in order.
 
-    Without an article, or with only empty ones, the open lines. A main element always holds the text of its page.
+    Without an article, or with only empty ones, the open lines. A main element always holds the text of its page. Lines of
+    an article that class or id take for menus, adverts or notices are given only if nothing else is left of the page.
     """
     gone = set(deleted or ())
-    kept = [at for at in range(len(lines)) if kinds[at] != BOILERPLATE and at not in gone]
+    kept = [at for at in range(len(lines)) if kinds[at] not in (BOILERPLATE, HINTED) and at not in gone]
+    if not kept:
+        return [line for line, kind in zip(lines, kinds) if kind == HINTED]
     sizes = {kind: sum(len(lines[at]) for at in kept if kinds[at] == kind) for kind in (ARTICLE, MAIN, OPEN)}
     both = sizes[OPEN] > sizes[ARTICLE] and MAIN not in kinds
     return [lines[at] for at in kept if both or kinds[at] != OPEN]
@@ -352,7 +396,7 @@ def main_texts(spark: SparkSession, pages: DataFrame) -> DataFrame:
     and one named ``text`` is replaced; an empty table gives an empty table. The page is read twice, as its text is larger
     than all that must be shuffled to pair it.
     """
-    key = F.xxhash64("url", "html")
+    key = _key("url", "html")
     deleted = _stored(spark, template_lines(spark, pages.select(key.alias("key"), "url", "html")), "template-lines")
     carried = [f for f in pages.schema if f.name not in ("text", "html", "_html", "_deleted", "_key")]
     body = pages.select(*(F.col(f"`{f.name}`") for f in carried), F.col("html").alias("_html"), key.alias("_key"))

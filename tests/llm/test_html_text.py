@@ -1,4 +1,5 @@
 import random
+from html.parser import HTMLParser
 
 from flowgauge.llm.html_text import common_lines, main_texts, page_lines
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def test_nothing_but_the_named_is_dropped_in_an_article():
     assert kept == [
         "Related work", "Search text", "Impact", "Let a+b be", "Object text", "Canvas textVideo text", "1 <b> 2 &amp;", "End"
     ]
-    assert "b" in kinds and page_lines("<p>x</p><div id='search-box'>y</div><video>z</video>")[1] == "obb"
+    assert kinds.count("h") == 2 and page_lines("<p>x</p><div id='search-box'>y</div><video>z</video>")[1] == "obb"
 
 
 def test_common_lines():
@@ -106,3 +107,81 @@ def test_pairs_do_not_depend_on_parts(spark):
 
 def test_no_pages(spark):
     assert main_texts(spark, pages(spark, [])).count() == 0
+
+
+LAYOUTS = [
+    # What is no article by class or id, inside article and main; the rest stays.
+    ('<article><p>A</p><section id="comments"><h2>Replies</h2><p>Nice</p></section></article>', "A"),
+    ('<main><p>A</p><div class="comments-area"><p>Nice</p></div><p>B</p></main>', "A\n\nB"),
+    ('<article><p>A</p><article class="comment"><p>Nice</p></article></article>', "A"),
+    ('<article class="post"><p>A</p></article><article class="comment-body"><p>Nice</p></article>', "A"),
+    ('<article><div class="cookie-banner">We use</div><p>A</p><div class="ad-slot">Buy</div><p>B</p></article>', "A\n\nB"),
+    ('<main><p>A</p><ul class="related-posts"><li>C</li></ul><div class="post-navigation"><p>Next</p></div></main>', "A"),
+    ('<article><p>A</p><div id="sidebar-left">S</div><div id="cookie-notice">N</div><div class="share_buttons">S</div></article>', "A"),
+    # Headings, generated ids and compound names that hold a hint.
+    ('<article><h2 id="comments">Comments</h2><section id="cookies"><p>Of cookies</p></section></article>', "Comments\n\nOf cookies"),
+    ('<main><div class="has-sidebar no-ads"><p>A</p></div><div class="ad-hoc"><p>B</p></div></main>', "A\n\nB"),
+    ('<article class="post tag-promo comments-open"><div class="share">Share</div><p>A</p></article>', "A"),
+    ('<article><div class="widget"><p>All of the text</p></div></article>', "All of the text"),
+    # Tags as HTML reads them.
+    ('<article><p>A <a title="1 < 2 > 0" href="x">link</a></p></article>', "A link"),
+    ('<article><!--><p>B</p><!-- x --><!---><p>C</p><!-- y --!><p>D</p></article>', "B\n\nC\n\nD"),
+    ("<article><p data-x='a>b' \">E</p><p title = \"</p>\">F</p></article>", "E\n\nF"),
+]
+
+
+def test_layouts(spark):
+    rows = [(i, f"http://{i}.example/", source) for i, (source, _) in enumerate(LAYOUTS)]
+    found = {r.page_id: r.text for r in main_texts(spark, pages(spark, rows)).collect()}
+    for i, (source, text) in enumerate(LAYOUTS):
+        assert found[i] == text, source
+
+
+class Tree(HTMLParser):
+    """A slow second reader of well-formed pages: lines of the article, with what stands in named elements left out."""
+
+    def __init__(self):
+        super().__init__()
+        self.path, self.lines, self.line = [], [], ""
+
+    def end(self):
+        line = " ".join(self.line.split())
+        self.line = ""
+        if line and any(tag == "article" for tag, _ in self.path) and not any(self.left_out(*step) for step in self.path):
+            self.lines.append(line)
+
+    @staticmethod
+    def left_out(tag, attributes):
+        return tag in ("nav", "aside", "form", "footer") or dict(attributes).get("class") in ("comments-area", "ad-slot", "menu")
+
+    def handle_starttag(self, tag, attributes):
+        if tag not in ("b", "a"):
+            self.end()
+        self.path.append((tag, attributes))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a"):
+            self.end()
+        self.path.pop()
+
+    def handle_data(self, data):
+        self.line += data
+
+
+def test_random_pages_against_a_second_reader():
+    rng = random.Random(5)
+
+    def node(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["one ", " two &lt; &eacute;", "\n three", "4 > 3 ", "<b>bold</b> text", '<a title="a < b">link</a>'])
+        tag = rng.choice(["div", "section", "ul", "nav", "aside", "form", "footer", "div", "section", "blockquote"])
+        name = rng.choice(["", "", "", ' class="comments-area"', " class='ad-slot'", ' class="menu"', ' class="text" id="a=b"'])
+        return f"<{tag}{name}>{''.join(node(depth - 1) for _ in range(rng.randint(0, 4)))}</{tag}>"
+
+    for _ in range(400):
+        source = f"<div>{node(2)}</div><article>{''.join(node(4) for _ in range(3))}</article>{node(1)}"
+        reader = Tree()
+        reader.feed(source)
+        reader.close()
+        lines, kinds = page_lines(source)
+        assert [line for line, kind in zip(lines, kinds) if kind == "a"] == reader.lines, source
