@@ -9,6 +9,7 @@ from flowgauge.plans import ingest
 from flowgauge.session import scratch_path
 from flowgauge.sinks.metric_store import MetricStore
 from flowgauge.sources import increments, issues, repositories
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +47,17 @@ def _landed_pages(spark, sf_dir):
     return issues.read_issue_pages(spark, path, issues.LINES)
 
 
+def _landed_arrays(spark, sf_dir, layout):
+    """The same issues, landed as one JSON array in one file per project."""
+    path = scratch_path(spark, "arrays")
+    in_file = Window.partitionBy("project").orderBy("key")
+    rows = views.issues(spark, sf_dir).withColumns({"place": F.row_number().over(in_file), "last": F.lead("key").over(in_file).isNull()})
+    start = F.when(F.col("place") == 1, "[").otherwise(",")
+    text = F.concat(start, F.to_json(F.struct("key", "fields", "changelog")), F.when(F.col("last"), "]").otherwise(""))
+    rows.select("project", text.alias("value")).write.partitionBy("project").text(path)
+    return issues.read_issues(spark, path, layout)
+
+
 def _flat_items(items):
     return items.drop("statusHistory")
 
@@ -145,6 +157,12 @@ def queries():
         "merge_requests_through_store": _merge_requests_through_store,
         "work_items": lambda s, d: _flat_items(_items(s, d)),
         "work_items_from_json": lambda s, d: _flat_items(issues.as_work_items(_landed_issues(s, d), views.SETTINGS)),
+        "work_items_from_arrays": lambda s, d: _flat_items(
+            issues.as_work_items(_landed_arrays(s, d, issues.ARRAY), views.SETTINGS)
+        ),
+        "work_items_from_split_arrays": lambda s, d: _flat_items(
+            issues.as_work_items(_landed_arrays(s, d, issues.SPLIT), views.SETTINGS)
+        ),
         "work_items_from_pages": lambda s, d: _flat_items(issues.as_work_items(_landed_pages(s, d), views.SETTINGS)),
         "work_item_statuses": lambda s, d: work_items.flatten(_items(s, d)).select(
             "id", "statusCreated", "statusName", "statusAuthor"
@@ -237,6 +255,8 @@ def oracle_sql():
         ),
         "work_items": items,
         "work_items_from_json": items,
+        "work_items_from_arrays": items,
+        "work_items_from_split_arrays": items,
         "work_items_from_pages": items,
         "work_item_statuses": (
             f"WITH {views.ISSUES_SQL} SELECT 'I-' || c.event_id AS id, t AS statusCreated, text_ AS statusName, "

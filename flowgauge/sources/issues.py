@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowgauge.operators.work_items import work_items
 from flowgauge.schemas import VERSION, issue_page_schema, issue_schema
 from flowgauge.settings import Settings
+from flowgauge.sources.json_arrays import FILE, read_json_arrays
 
 # One file per project, with the project key in its name.
 PROJECT_IN_FILE_NAME = r"issues-(.+?)\.json"
@@ -15,24 +16,29 @@ VERSIONS_FILE_NAME = r"versions-(.+?)\.json"
 
 ARRAY = "array"
 LINES = "lines"
+SPLIT = "split"
 
 
 def read_json(spark: SparkSession, path: str, schema: str, layout: str = ARRAY) -> DataFrame:
     """JSON rows of a fixed schema; a malformed file is an error.
 
-    ``array`` files hold one JSON array and are read whole by one task each. Large
-    extracts should be landed as ``lines``, which Spark can split.
+    ``array`` files hold one JSON array and are read whole by one task each; so do
+    ``split`` files, but many tasks read one, which pays from about a block (128 MB) on.
+    ``lines`` is cheapest for large extracts, as Spark can split it without a shuffle.
     """
-    if layout not in (ARRAY, LINES):
-        raise ValueError(f"layout must be {ARRAY!r} or {LINES!r}, got {layout!r}")
+    if layout not in (ARRAY, LINES, SPLIT):
+        raise ValueError(f"layout must be {ARRAY!r}, {LINES!r} or {SPLIT!r}, got {layout!r}")
+    if layout == SPLIT:
+        return read_json_arrays(spark, path, schema)
     return spark.read.schema(schema).option("multiLine", layout == ARRAY).option("mode", "FAILFAST").json(path)
 
 
 def _with_project(rows: DataFrame, pattern: str) -> DataFrame:
     """Add the project key: from a ``project=…`` folder if there is one, else from the path."""
-    if "project" in rows.columns:
-        return rows
-    return rows.withColumn("project", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
+    file = FILE if FILE in rows.columns else "_metadata.file_path"
+    if "project" not in rows.columns:
+        rows = rows.withColumn("project", F.regexp_extract(F.col(file), pattern, 1))
+    return rows.drop(FILE)
 
 
 def read_issues(
