@@ -69,6 +69,29 @@ def _trimmed(spark, sf_dir):
     return trimmed.select("key", F.size(histories).alias("histories"), F.array_join(fields, ",").alias("fields"))
 
 
+def _trimmed_to_estimates(spark, sf_dir):
+    """Changes without a text are left out first, so issues keep one to three histories."""
+
+    def texts(history):
+        return history.withField("items", F.filter(history["items"], lambda item: item["toStr"].isNotNull()))
+
+    histories = F.transform("changelog.histories", texts)
+    found = views.issues(spark, sf_dir).withColumn("changelog", F.col("changelog").withField("histories", histories))
+    trimmed = work_items.trim_history_items(found, ("size_field", "points_field"))
+    kept = F.col("changelog.histories")
+    named = F.flatten(F.transform(kept, lambda h: F.transform(h["items"], lambda i: F.concat_ws("=", i["fieldId"], i["toStr"]))))
+    return trimmed.select("key", F.size(kept).alias("histories"), F.array_join(named, ",").alias("changes"))
+
+
+def _nested(spark, sf_dir):
+    """Items that start, finish, reopen and go back: what one user does on one day, as one row with its history."""
+    status = F.struct(
+        F.col("statusCreated").alias("created"), "pos", F.col("statusName").alias("name"), F.col("statusAuthor").alias("author")
+    )
+    columns = ("project", "id", "type", "priority", "created", "estimate")
+    return views.statuses(spark, sf_dir).groupBy(*columns).agg(F.array_sort(F.collect_list(status)).alias("statusHistory"))
+
+
 def _commit_points(spark, sf_dir, mapping=views.SETTINGS.email_mapping):
     cleaned = repositories.clean_commits(views.raw_commits(spark, sf_dir), mapping)
     return repositories.commit_points(cleaned, views.projects(spark, sf_dir))
@@ -177,6 +200,13 @@ def queries():
             _items(s, d), views.FLOW, "DAYS", aggregate="estimate", series=("project",)
         ).withColumn("th", F.round("th", 6)),
         "trimmed_issues": _trimmed,
+        "trimmed_issues_estimates": _trimmed_to_estimates,
+        "normalized_nested_histories": lambda s, d: flow.normalize_items(_nested(s, d), views.FLOW).select(
+            "project", "id", "type", "estimate", "entry_at", "final_at"
+        ),
+        "cfd_from_nested_histories": lambda s, d: cumulative.flow_table(
+            _nested(s, d), views.FLOW, "DAYS", series=("project",)
+        ).withColumn("th", F.round("th", 6)),
         "commit_points": _commit_points,
         "commit_points_mapping_table": lambda s, d: _commit_points(s, d, _email_table(s, d)),
         "commit_records": lambda s, d: repositories.commits_of(_commit_points(s, d)),
@@ -213,8 +243,11 @@ request_points AS (
 
 
 def oracle_sql():
+    from checks import flow_checks
     from checks.flow_checks import _table
 
+    walked = flow_checks.oracle_sql()
+
     items = f"WITH {views.ISSUES_SQL} SELECT * EXCLUDE (event_id) FROM work_items"
     statuses = "FROM changes c JOIN base b ON b.event_id = c.event_id WHERE field = 'status'"
     # At most two statuses per issue, `signup` an hour after creation and the event
@@ -272,6 +305,15 @@ def oracle_sql():
         "trimmed_issues": (
             "SELECT 'I-' || event_id AS \"key\", 3 AS histories, 'status,status,fixVersions' AS fields FROM events"
         ),
+        "trimmed_issues_estimates": (
+            f"WITH {views.ISSUES_SQL} SELECT 'I-' || event_id AS \"key\", "
+            "CAST(count(DISTINCT CASE WHEN pos < 2 THEN 1 WHEN pos < 4 THEN 2 ELSE 3 END) AS INTEGER) AS histories, "
+            "string_agg(field || '_field=' || text_, ',' ORDER BY pos) AS changes "
+            "FROM changes WHERE field IN ('size', 'points') AND text_ IS NOT NULL GROUP BY event_id"
+        ),
+        # The recursive walk over the flat rows of the same items.
+        "normalized_nested_histories": walked["normalized_flow"],
+        "cfd_from_nested_histories": walked["cfd_count_daily_by_project"],
         "commit_points": f"{commits}, {_MAPPED} SELECT * FROM commit_points",
         "commit_points_mapping_table": f"{commits}, {_TABLE_MAPPED} SELECT * FROM commit_points",
         "commit_records": (

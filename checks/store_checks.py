@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from checks import commit_checks, flow_checks, issue_checks, merge_request_checks, views
+from checks import commit_checks, flow_checks, issue_checks, merge_request_checks, source_checks, views
 from flowgauge import metric_queries as metrics
 from flowgauge.functions.time import as_time
 from flowgauge.plans import catalogue, reports
@@ -13,6 +13,7 @@ from flowgauge.session import scratch_path
 from flowgauge.sinks.metric_store import MetricStore
 from flowgauge.sinks.points import as_json_rows
 from flowgauge.sinks.report_cache import cached, source_version
+from flowgauge.sources import issues
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +102,34 @@ def _compacted(spark, sf_dir):
     return target.read("commits_by_namespace", tags)
 
 
+# Measurements of an issue run that are read back: what tells the rows of a period apart, and the fields.
+_RUN_READ = {
+    "work_items_count_by_state": ("status", ("count",)),
+    "work_items_count": ("concat_ws('/', type, priority)", ("count",)),
+    "state_distinct_authors": ("qualifier", ("count",)),
+    "cfd_count": ("concat_ws('/', qualifier, interval)", ("CT", "WIP", "WIP current", "view", "purchase")),
+    "work_items_duration": ("qualifier", ("min", "max", "mean")),
+}
+
+
+def _issue_run(spark, sf_dir):
+    """Landed JSON to work items, all regular reports of one load, and their points read from the store."""
+    items = issues.as_work_items(source_checks._landed_issues(spark, sf_dir), views.SETTINGS)
+    store = MetricStore(spark, scratch_path(spark, "issue-run"))
+    reports.run_issue_reports(store, 1, items, views.FLOW, OPTIONS, views.REPORTS)
+    parts = []
+    for name, (label, fields) in _RUN_READ.items():
+        tags = catalogue.FLOW_TAGS if name == "cfd_count" else catalogue.tags_of(name)
+        pairs = [part for field in fields for part in (F.lit(field), F.round(F.col(f"`{field}`").cast("double"), 6))]
+        parts.append(
+            store.read(name, tags).select(
+                F.lit(name).alias("measurement"), "time", "project", F.expr(label).alias("label"),
+                F.explode(F.create_map(*pairs)).alias("field", "value"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 REQUEST = FlowRequest("P1", interval="day", types=("Bug", "Story"), start="2024-01-05")
 ESTIMATES = FlowRequest("P0", aggregate="estimate", final_state="click")
 
@@ -130,6 +159,7 @@ def queries():
     stats = _points("commits_stats")
     return {
         "metric_field_sums": _field_sums,
+        "issue_run_through_store": _issue_run,
         "metric_points_cfd": _flow_points,
         "metric_points_json": lambda s, d: as_json_rows(
             _points("commits_summary")(s, d).select("rootNamespace", "additions", "deletions", "total")
@@ -201,6 +231,28 @@ def _summed_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _issue_run_sql(cfd: str) -> str:
+    """The same reports over the statuses of the issues in place of those of the flat rows."""
+    statuses = f"""{views.ISSUES_SQL}, statuses AS (
+  SELECT w.* EXCLUDE (event_id), t AS statusCreated, text_ AS statusName, author AS statusAuthor, pos
+  FROM changes c JOIN work_items w ON w.event_id = c.event_id WHERE field = 'status')"""
+    by_issue, by_flow = issue_checks.oracle_sql(), flow_checks.oracle_sql()
+    sources = {
+        "work_items_count_by_state": ("week", "statusName", by_issue["work_items_count_by_state"], {"count": "count"}),
+        "work_items_count": ("ts", "concat_ws('/', \"type\", priority)", by_issue["work_items_count"], {"count": "count"}),
+        "state_distinct_authors": ("ts", "'DEV/QA'", by_issue["state_distinct_authors"], {"count": "authors"}),
+        "cfd_count": ("time", "concat_ws('/', qualifier, \"interval\")", cfd, {f: f for f in _RUN_READ["cfd_count"][1]}),
+        "work_items_duration": ("created", "'DEV/QA'", by_flow["work_items_duration"], {f: f for f in ("min", "max", "mean")}),
+    }
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS measurement, CAST(\"{time}\" AS TIMESTAMP) AS \"time\", project, {label} AS label, "
+        f"'{field}' AS field, round(CAST(\"{column}\" AS DOUBLE), 6) AS \"value\" "
+        f"FROM ({sql.replace(views.STATUSES_SQL, statuses)})"
+        for name, (time, label, sql, fields) in sources.items()
+        for field, column in fields.items()
+    )
+
+
 def oracle_sql():
     commits, requests, flows = commit_checks.oracle_sql(), merge_request_checks.oracle_sql(), flow_checks.oracle_sql()
     weekly = "SELECT created AS \"time\", 'WEEKS' AS \"interval\", * EXCLUDE (created)"
@@ -232,6 +284,7 @@ FROM ({flows['cfd_reports']})"""
     return {
         "metric_field_sums": _summed_sql(),
         "metric_points_cfd": cfd,
+        "issue_run_through_store": _issue_run_sql(cfd),
         "metric_points_json": (
             "SELECT '{\"rootNamespace\":\"' || rootNamespace || '\",\"additions\":' || additions || ',\"deletions\":' || deletions "
             f"|| ',\"total\":' || total || '}}' AS \"value\" FROM ({commits['commits_summary']})"

@@ -251,7 +251,13 @@ def run_issue_reports(
     options: Options,
     reports: Sequence[FlowReport] = FLOW_RUN,
 ) -> None:
-    """From work items, as ``read_work_items`` gives them, to all stored issue reports of one load."""
+    """From work items, as ``read_work_items`` gives them, to all stored issue reports of one load.
+
+    The items are kept in the shared scratch folder, so landed files are parsed once for all reports.
+    """
+    path = scratch_path(store.spark, "work-items")
+    items.write.parquet(path)
+    items = store.spark.read.parquet(path)
     statuses = flatten(items)
     tables = Tables(statuses=statuses, items=items)
     run_reports(store, load_id, ISSUE_RUN, tables, options)

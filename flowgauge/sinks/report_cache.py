@@ -12,12 +12,16 @@ from flowgauge.sinks.folders import exists
 
 
 def source_version(spark: SparkSession, path: str) -> str:
-    """Changes when a file below ``path`` is added, removed or rewritten; no file is opened."""
+    """Changes when a file below ``path`` is added, removed, renamed or rewritten; no file is opened.
+
+    Sums of two hashes of every file's path, length and time: files may come in any order, and a file that is replaced
+    by an older one of equal length counts as another.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    row = files.agg(
-        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("changed")
-    ).first()
-    return f"{row['files']}:{row['bytes']}:{row['changed']}"
+    entry = ("path", "length", "modificationTime")
+    hashes = [F.sum(F.xxhash64(F.lit(seed), *entry).cast("decimal(20,0)")) for seed in (1, 2)]
+    row = files.agg(F.count(F.lit(1)).alias("files"), *(part.alias(f"hash{at}") for at, part in enumerate(hashes))).first()
+    return f"{row['files']}:{row['hash0']}:{row['hash1']}"
 
 
 def cache_key(spark: SparkSession, parameters: Mapping[str, object]) -> str:

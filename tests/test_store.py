@@ -172,7 +172,12 @@ def test_source_version_follows_the_files(spark, tmp_path):
     before = source_version(spark, str(tmp_path))
     assert source_version(spark, str(tmp_path)) == before
     (tmp_path / "two.json").write_text("[1]")
-    assert source_version(spark, str(tmp_path)) != before
+    two = source_version(spark, str(tmp_path))
+    assert two != before
+    # Rewritten at the same length, with an older time.
+    (tmp_path / "one.json").write_text("{}")
+    os.utime(tmp_path / "one.json", (1_000_000_000, 1_000_000_000))
+    assert source_version(spark, str(tmp_path)) not in (before, two)
 
 
 def test_catalogue_is_complete():
@@ -390,8 +395,17 @@ def test_issue_run_fills_the_store(spark, store):
         "statusHistory array<struct<created:timestamp_ntz,name:string,author:string,pos:bigint>>, epicName string, version int",
     )
     spec = {"a": FlowSpec({"todo": 0, "done": 1}, "todo", "done")}
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    read = items.mapInArrow(counted, items.schema)
     reports.run_issue_reports(
-        store, 1, items, spec, reports.Options(as_of="2020-02-01", idle_states=("done",)), (FlowReport("All", None, None),)
+        store, 1, read, spec, reports.Options(as_of="2020-02-01", idle_states=("done",)), (FlowReport("All", None, None),)
     )
+    assert rows.value == 1  # items are made once for all reports
     for name in [name for name, _ in reports.ISSUE_RUN] + ["work_items_duration"]:
         assert spark.read.parquet(store.path(name)).count() > 0, name
