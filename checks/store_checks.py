@@ -7,11 +7,12 @@ from functools import reduce
 from checks import commit_checks, flow_checks, issue_checks, merge_request_checks, source_checks, views
 from flowgauge import metric_queries as metrics
 from flowgauge.functions.time import as_time
+from flowgauge.operators import commit_reports, issue_reports
 from flowgauge.plans import catalogue, reports
 from flowgauge.plans.flow_request import FlowRequest, flow_answer, flow_on_request
 from flowgauge.session import scratch_path
 from flowgauge.sinks.metric_store import MetricStore
-from flowgauge.sinks.points import as_json_rows
+from flowgauge.sinks.points import as_json_rows, to_points
 from flowgauge.sinks.report_cache import cached, source_version
 from flowgauge.sources import issues
 from pyspark.sql import DataFrame
@@ -130,6 +131,26 @@ def _issue_run(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _weekly_sketches(spark, name, report, time, tags, count):
+    """Weekly distinct counts with their sketches, written to a store and read again."""
+    store = MetricStore(spark, scratch_path(spark, "sketches"))
+    store.append(to_points(report, time, tags, {"count": count, "sketch": "sketch"}), name, 1, tags)
+    return store.read(name, tags)
+
+
+def _authors_of_four_weeks(spark, sf_dir):
+    weekly = issue_reports.count_distinct_authors(
+        views.statuses(spark, sf_dir), "WEEKS", issue_checks.IDLE, ("project",), sketch_bits=12
+    )
+    return metrics.rebucket_distinct(_weekly_sketches(spark, "authors", weekly, "ts", ("project",), "authors"), "4 weeks", ("project",))
+
+
+def _committers_of_twelve_weeks(spark, sf_dir):
+    weekly = commit_reports.active_committers(views.commits(spark, sf_dir), "WEEKS", sketch_bits=14)
+    points = _weekly_sketches(spark, "committers", weekly, "created", ("rootNamespace",), "count")
+    return metrics.rebucket_distinct(points, "12 weeks", ("rootNamespace",))
+
+
 REQUEST = FlowRequest("P1", interval="day", types=("Bug", "Story"), start="2024-01-05")
 ESTIMATES = FlowRequest("P0", aggregate="estimate", final_state="click")
 
@@ -199,6 +220,8 @@ def queries():
         "query_rebucket_committers": lambda s, d: metrics.rebucket(
             metrics.tag_matches(stats(s, d), "namespace", r"root3 / group\d+"), "additions", "30 days", ("committer",)
         ),
+        "query_rebucket_authors": _authors_of_four_weeks,
+        "query_rebucket_active_committers": _committers_of_twelve_weeks,
         "query_tag_values": lambda s, d: metrics.tag_values(stats(s, d), "namespace"),
         "query_free_filters": lambda s, d: metrics.where_all(
             stats(s, d),
@@ -344,6 +367,17 @@ FROM ({flows['cfd_reports']})"""
             f"CAST(sum(additions) AS BIGINT) AS \"sum\" FROM ({stats}) t WHERE regexp_full_match(namespace, 'root3 / group[0-9]+') "
             "GROUP BY 1, 2"
         ),
+        # Few enough values for the sketches to be exact.
+        "query_rebucket_authors": (
+            f"WITH {views.STATUSES_SQL} SELECT time_bucket(INTERVAL 28 DAY, date_trunc('week', statusCreated)::TIMESTAMP, "
+            "TIMESTAMP '1970-01-01') AS \"time\", project, count(DISTINCT statusAuthor) AS \"count\" FROM statuses "
+            "WHERE statusName NOT IN ('error', 'signup') GROUP BY 1, 2"
+        ),
+        "query_rebucket_active_committers": (
+            f"WITH {views.COMMITS_SQL} SELECT time_bucket(INTERVAL 84 DAY, date_trunc('week', createdAt)::TIMESTAMP, "
+            "TIMESTAMP '1970-01-01') AS \"time\", split_part(namespace, ' / ', 1) AS rootNamespace, "
+            "count(DISTINCT committer) AS \"count\" FROM commits GROUP BY 1, 2"
+        ),
         "query_tag_values": f"SELECT DISTINCT namespace FROM ({commits['commits_stats']})",
         "query_free_filters": (
             f"SELECT * FROM ({stats}) WHERE regexp_matches(namespace, 'group(3|4)$') "

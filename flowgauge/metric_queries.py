@@ -77,6 +77,21 @@ def rebucket(points: DataFrame, field: str, width: str, tags: Sequence[str] = ()
     )
 
 
+def rebucket_distinct(
+    points: DataFrame, width: str, tags: Sequence[str] = (), sketch: str = "sketch", name: str = "count"
+) -> DataFrame:
+    """Distinct values over windows of ``width``, from the sketches of the points in them.
+
+    Adding up distinct counts would count a value once per point. The points must come from one report, so that all
+    sketches are of the same kind of value. Windows are those of :func:`rebucket`.
+    """
+    return (
+        points.groupBy(F.window("time", width).alias("_window"), *[_tag(tag) for tag in tags])
+        .agg(F.hll_sketch_estimate(F.hll_union_agg(_tag(sketch), F.lit(True))).alias(name))
+        .select(F.col("_window.start").alias("time"), *[_tag(tag) for tag in tags], name)
+    )
+
+
 def tag_values(points: DataFrame, tag: str) -> DataFrame:
     return points.select(_tag(tag)).distinct().orderBy(_tag(tag))
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowgauge.functions.distinct import distinct_sketch
 from flowgauge.functions.names import contains_none_of, root_namespace
 from flowgauge.functions.time import complete_units_of_time, period_start
 from flowgauge.operators.ranking import dense_ranks
@@ -44,11 +45,12 @@ def commits_by_namespace(commits: DataFrame, unit: str, net: bool = False) -> Da
     return _activity(commits, unit, ("namespace",), net)
 
 
-def active_committers(commits: DataFrame, unit: str) -> DataFrame:
+def active_committers(commits: DataFrame, unit: str, sketch_bits: int | None = None) -> DataFrame:
+    """Committers per period and root namespace; with ``sketch_bits`` a ``sketch`` of them for longer periods."""
     return (
         _with_root(commits)
         .groupBy(period_start(unit, "createdAt").alias("created"), "rootNamespace")
-        .agg(F.count_distinct("committer").alias("count"))
+        .agg(F.count_distinct("committer").alias("count"), *distinct_sketch("committer", sketch_bits))
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgauge.functions.names import experience_factor
+from flowgauge.functions.distinct import distinct_sketch
 from flowgauge.functions.time import as_time, date_range, period_date, period_start, shift_period, time_span
 from flowgauge.operators.work_items import truncate_times
 
@@ -58,8 +59,13 @@ def count_distinct_authors(
     idle_states: Sequence[str] = IDLE_STATES,
     series: Sequence[str] = (),
     relative_error: float | None = None,
+    sketch_bits: int | None = None,
 ) -> DataFrame:
-    """Authors of status changes per period; approximate if an error is allowed."""
+    """Authors of status changes per period; approximate if an error is allowed.
+
+    With ``sketch_bits`` (4 to 21) a column ``sketch`` is added, from which
+    ``metric_queries.rebucket_distinct`` counts the authors of longer periods.
+    """
     authors = (
         F.count_distinct("statusAuthor")
         if relative_error is None
@@ -68,7 +74,7 @@ def count_distinct_authors(
     return (
         in_development(statuses, idle_states)
         .groupBy(*series, period_start(unit, "statusCreated").alias("ts"))
-        .agg(authors.alias("authors"))
+        .agg(authors.alias("authors"), *distinct_sketch("statusAuthor", sketch_bits))
     )
 
 

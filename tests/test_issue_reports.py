@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from flowgauge.functions.time import date_range, period_date
+from flowgauge.metric_queries import rebucket_distinct
 from flowgauge.operators import issue_reports as R
 from pyspark.sql import functions as F
 
@@ -123,3 +124,21 @@ def test_nested_items_give_the_same_stays(spark, rows):
     assert rows(R.count_by_state(nested, "WEEKS", AS_OF), "week", "statusName", "count") == rows(
         R.count_by_state(changes, "WEEKS", AS_OF), "week", "statusName", "count"
     )
+
+
+def test_authors_of_longer_periods_from_sketches(spark):
+    weeks = [F.lit(f"2024-01-{day:02d} 10:00:00").cast("timestamp_ntz") for day in (4, 9, 16, 23)]
+    rows = spark.range(80_000).select(
+        F.array(*weeks)[(F.col("id") % 4).cast("int")].alias("statusCreated"),
+        F.concat(F.lit("a"), (F.col("id") % 29_989).cast("string")).alias("statusAuthor"),
+        F.lit("doing").alias("statusName"),
+    )
+    weekly = R.count_distinct_authors(rows, "WEEKS", (), sketch_bits=12).withColumnRenamed("ts", "time")
+    merged = {r["time"].date().isoformat(): r["count"] for r in rebucket_distinct(weekly, "4 weeks").collect()}
+    exact = {"2023-12-21": set(), "2024-01-18": set()}
+    for at in range(80_000):
+        exact["2023-12-21" if at % 4 < 3 else "2024-01-18"].add(at % 29_989)
+    assert set(merged) == set(exact)
+    for start, values in exact.items():
+        assert abs(merged[start] / len(values) - 1) < 3 * 1.04 / 64
+    assert "sketch" not in R.count_distinct_authors(rows, "WEEKS").columns
