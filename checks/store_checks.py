@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
 from functools import reduce
 
 from checks import commit_checks, flow_checks, issue_checks, merge_request_checks, source_checks, views
@@ -9,7 +11,7 @@ from flowgauge import metric_queries as metrics
 from flowgauge.functions.time import as_time
 from flowgauge.operators import commit_reports, issue_reports
 from flowgauge.plans import catalogue, reports
-from flowgauge.plans.flow_request import FlowRequest, flow_answer, flow_on_request
+from flowgauge.plans.flow_request import FlowRequest, cached_averages, flow_answer, flow_on_request
 from flowgauge.session import scratch_path
 from flowgauge.sinks.metric_store import MetricStore
 from flowgauge.sinks.points import as_json_rows, to_points
@@ -131,6 +133,78 @@ def _issue_run(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+# Measurements of a commit run: time of the report, what tells the rows of a period apart, and the query of equal rows.
+_COMMIT_READ = {
+    "active_committers": ("created", "rootNamespace", "active_committers"),
+    "commits_summary": ("created", "rootNamespace", "commits_summary"),
+    "commits_stats": ("created", "concat_ws('/', namespace, project, committer)", "commits_stats"),
+    "commits_stats_by_project_role": ("ts", "role", "commits_by_role"),
+    "commits_stats_by_project_category": ("ts", "category", "commits_by_category"),
+    "commits_stats_by_project_role_namespace": ("ts", "concat_ws('/', role, namespace)", "commits_by_role_namespace"),
+    "commits_stats_by_project_category_namespace": ("ts", "concat_ws('/', category, namespace)", "commits_by_category_namespace"),
+    "commits_by_namespace": ("created", "namespace", "commits_by_namespace"),
+    "committer_life_span": ("ts", "committer", "committers_life_span"),
+    "committer_life_span_stats": ("ts", "''", "committers_life_span_stats"),
+}
+
+
+def _fields_of(points, name, label, fields):
+    """One row per point and field."""
+    pairs = [part for field in fields for part in (F.lit(field), F.round(F.col(f"`{field}`").cast("double"), 6))]
+    return points.select(
+        F.lit(name).alias("measurement"), "time", F.expr(label).alias("label"), F.explode(F.create_map(*pairs)).alias("field", "value")
+    )
+
+
+def _commit_run(spark, sf_dir):
+    """All regular reports on commits, made from one roll-up of them, and their points read from the store."""
+    store = MetricStore(spark, scratch_path(spark, "commit-run"))
+    options = replace(OPTIONS, excluded_parts=commit_checks.EXCLUDED)
+    reports.run_reports(store, 1, reports.COMMIT_RUN, tables(spark, sf_dir), options)
+    parts = [
+        _fields_of(store.read(name, catalogue.tags_of(name)), name, label, catalogue.CATALOGUE[name].fields)
+        for name, (_, label, _) in _COMMIT_READ.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+# Measurements whose points stand in no other query.
+_POINTS_READ = {
+    "state_distinct_authors": ("ts", "project", "state_distinct_authors"),
+    "team_productivity_factor": ("ts", "project", "team_productivity"),
+    "work_items_count_by_state_moving_average": (
+        "week", "concat_ws('/', project, status)", "work_items_count_by_state_moving_average",
+    ),
+    "work_items_duration": ("created", "project", "work_items_duration"),
+    "namespace_activity_rank": ("created", "namespace", "namespace_activity_rank"),
+    "repos_activity_rank": ("created", "project", "repos_activity_rank"),
+    "committers_activity": ("created", "committer", "committers_activity_rank"),
+    "merge_requests_moving_average": ("ts", "concat_ws('/', state, root_namespace)", "merge_requests_moving_average"),
+    "merge_requests_duration": ("ts", "root_namespace", "merge_requests_duration"),
+    "merge_requests_authors_ratio": ("ts", "''", "merge_requests_authors_ratio"),
+}
+_POINTS_UNITS = {
+    "state_distinct_authors": "MONTHS",
+    "team_productivity_factor": "DAYS",
+    "work_items_count_by_state_moving_average": "DAYS",
+    "repos_activity_rank": "MONTHS",
+    "committers_activity": "MONTHS",
+}
+
+
+def _report_points(spark, sf_dir):
+    inputs = tables(spark, sf_dir)
+
+    def points(name):
+        return reports.report_points(name, inputs, replace(OPTIONS, unit=_POINTS_UNITS.get(name, "WEEKS")))
+
+    parts = [
+        _fields_of(points(name), name, label, catalogue.CATALOGUE[name].fields)
+        for name, (_, label, _) in _POINTS_READ.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _weekly_sketches(spark, name, report, time, tags, count):
     """Weekly distinct counts with their sketches, written to a store and read again."""
     store = MetricStore(spark, scratch_path(spark, "sketches"))
@@ -167,6 +241,16 @@ def _cached_request(spark, sf_dir):
     return cached(spark, root, parameters, build).withColumn("th", F.round("th", 6))
 
 
+def _cached_averages(spark, sf_dir):
+    """Averages of landed issues, asked for twice."""
+    path, root = scratch_path(spark, "issues"), scratch_path(spark, "reports")
+    views.issues(spark, sf_dir).write.partitionBy("project").option("ignoreNullFields", "false").json(path)
+    cached_averages(spark, path, root, views.SETTINGS, ESTIMATES, issues.LINES)
+    return cached_averages(spark, path, root, views.SETTINGS, ESTIMATES, issues.LINES).select(
+        *[F.round(name, 6).alias(name) for name in ("avg_th", "avg_ct", "avg_wip_current")]
+    )
+
+
 def _answer(spark, sf_dir):
     return flow_answer(views.statuses(spark, sf_dir), views.SETTINGS, ESTIMATES)
 
@@ -181,6 +265,9 @@ def queries():
     return {
         "metric_field_sums": _field_sums,
         "issue_run_through_store": _issue_run,
+        "commit_run_through_store": _commit_run,
+        "metric_points_reports": _report_points,
+        "flow_request_cached_averages": _cached_averages,
         "metric_points_cfd": _flow_points,
         "metric_points_json": lambda s, d: as_json_rows(
             _points("commits_summary")(s, d).select("rootNamespace", "additions", "deletions", "total")
@@ -254,11 +341,14 @@ def _summed_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _issue_run_sql(cfd: str) -> str:
-    """The same reports over the statuses of the issues in place of those of the flat rows."""
-    statuses = f"""{views.ISSUES_SQL}, statuses AS (
+# The statuses of the issues, in place of those of the flat rows.
+_ISSUE_STATUSES = f"""{views.ISSUES_SQL}, statuses AS (
   SELECT w.* EXCLUDE (event_id), t AS statusCreated, text_ AS statusName, author AS statusAuthor, pos
   FROM changes c JOIN work_items w ON w.event_id = c.event_id WHERE field = 'status')"""
+
+
+def _issue_run_sql(cfd: str) -> str:
+    """The same reports over the statuses of the issues."""
     by_issue, by_flow = issue_checks.oracle_sql(), flow_checks.oracle_sql()
     sources = {
         "work_items_count_by_state": ("week", "statusName", by_issue["work_items_count_by_state"], {"count": "count"}),
@@ -270,12 +360,26 @@ def _issue_run_sql(cfd: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{name}' AS measurement, CAST(\"{time}\" AS TIMESTAMP) AS \"time\", project, {label} AS label, "
         f"'{field}' AS field, round(CAST(\"{column}\" AS DOUBLE), 6) AS \"value\" "
-        f"FROM ({sql.replace(views.STATUSES_SQL, statuses)})"
+        f"FROM ({sql.replace(views.STATUSES_SQL, _ISSUE_STATUSES)})"
         for name, (time, label, sql, fields) in sources.items()
         for field, column in fields.items()
     )
 
 
+def _fields_sql(read: dict, sources: dict) -> str:
+    """The rows of ``_fields_of`` from the SQL of the reports: tags in a label go by the names of their columns."""
+    parts = []
+    for name, (time, label, query) in read.items():
+        for tag, column in catalogue.CATALOGUE[name].tags.items():
+            label = re.sub(rf"\b{tag}\b", f'"{column}"', label)
+        parts += [
+            f"SELECT '{name}' AS measurement, CAST(\"{time}\" AS TIMESTAMP) AS \"time\", {label} AS label, '{field}' AS field, "
+            f'round(CAST("{column}" AS DOUBLE), 6) AS "value" FROM ({sources[query]})'
+            for field, column in catalogue.CATALOGUE[name].fields.items()
+        ]
+    return " UNION ALL ".join(parts)
+
+
 def oracle_sql():
     commits, requests, flows = commit_checks.oracle_sql(), merge_request_checks.oracle_sql(), flow_checks.oracle_sql()
     weekly = "SELECT created AS \"time\", 'WEEKS' AS \"interval\", * EXCLUDE (created)"
@@ -302,12 +406,19 @@ FROM ({flows['cfd_reports']})"""
     answer = flow_checks._with(flow_checks._walk(click, where="project = 'P0'")) + ", " + flow_checks._table(
         "week", "7 DAY", "", "estimate", "DOUBLE"
     )
+    averages = (
+        f"{answer} SELECT round(avg(CASE WHEN ct > 0 THEN wip / ct END), 6) AS avg_th, round(avg(ct), 6) AS avg_ct, "
+        "round(avg(wip_current), 6) AS avg_wip_current FROM t"
+    )
     by_state = requests["merge_requests_by_state"]
     stats = f"{weekly} FROM ({commits['commits_stats']})"
     return {
         "metric_field_sums": _summed_sql(),
         "metric_points_cfd": cfd,
         "issue_run_through_store": _issue_run_sql(cfd),
+        "commit_run_through_store": _fields_sql(_COMMIT_READ, commits),
+        "metric_points_reports": _fields_sql(_POINTS_READ, {**issue_checks.oracle_sql(), **commits, **requests, **flows}),
+        "flow_request_cached_averages": averages.replace(views.STATUSES_SQL, _ISSUE_STATUSES),
         "metric_points_json": (
             "SELECT '{\"rootNamespace\":\"' || rootNamespace || '\",\"additions\":' || additions || ',\"deletions\":' || deletions "
             f"|| ',\"total\":' || total || '}}' AS \"value\" FROM ({commits['commits_summary']})"
@@ -332,10 +443,7 @@ FROM ({flows['cfd_reports']})"""
             'entry_total AS "view", final_total AS "click", wip_current AS "WIP current", ct AS "CT", '
             'done_lagged AS "doneLaggedByCT", wip AS "WIP", th AS "TH" FROM t'
         ),
-        "flow_request_averages": (
-            f"{answer} SELECT round(avg(CASE WHEN ct > 0 THEN wip / ct END), 6) AS avg_th, round(avg(ct), 6) AS avg_ct, "
-            "round(avg(wip_current), 6) AS avg_wip_current FROM t"
-        ),
+        "flow_request_averages": averages,
         "query_tags_equal": (
             f"SELECT ts AS \"time\", state, \"count\" FROM ({by_state}) WHERE rootNamespace = 'root1'"
         ),

@@ -19,6 +19,24 @@ from flowgauge.operators.ranking import dense_ranks
 MEASURES = ("additions", "deletions", "total")
 RANKS = {name: f"{name}Rank" for name in (*MEASURES, "effective")}
 
+# Times of the first and last commit of a row; a table with these columns is a roll-up.
+FIRST, LAST = "firstAt", "lastAt"
+
+
+def commit_rollup(commits: DataFrame, unit: str) -> DataFrame:
+    """One row per period, namespace, project, committer and project id; ``createdAt`` is the start of the period.
+
+    It takes the place of the commits in every report of this bucket size, or of one made of whole such buckets, and
+    in life spans of any unit. Sums of sums and the ends of a span are the same, nulls in any column included.
+    """
+    return commits.groupBy(
+        period_start(unit, "createdAt").alias("createdAt"), "namespace", "project", "committer", "projectId"
+    ).agg(
+        *[F.sum(name).alias(name) for name in MEASURES],
+        F.min("createdAt").alias(FIRST),
+        F.max("createdAt").alias(LAST),
+    )
+
 
 def _activity(commits: DataFrame, unit: str, keys: Sequence[str], net: bool = False) -> DataFrame:
     sums = (
@@ -122,10 +140,11 @@ def committers_life_span(commits: DataFrame, unit: str, excluded_parts: Sequence
     Committers whose name contains an excluded part (such as a foreign mail
     domain), or who have a single commit time, are left out.
     """
+    first, last = (FIRST, LAST) if {FIRST, LAST} <= set(commits.columns) else ("createdAt", "createdAt")
     spans = (
         commits.where(contains_none_of("committer", excluded_parts))
         .groupBy("committer")
-        .agg(F.min("createdAt").alias("start"), F.max("createdAt").alias("end"))
+        .agg(F.min(first).alias("start"), F.max(last).alias("end"))
         .where(F.col("start") != F.col("end"))
     )
     return spans.withColumns(

@@ -267,33 +267,59 @@ def _matches(report: FlowReport) -> Column:
     return fits
 
 
-def flow_tables(
+def normalized_reports(
     items: DataFrame,
     spec: FlowSpec | Mapping[str, FlowSpec],
     reports: Sequence[FlowReport],
-    aggregate: str = COUNT,
+    attributes: Sequence[str] = (),
     series: Sequence[str] = (),
-) -> DataFrame:
-    """Many qualified reports in one job: ``series + qualifier, interval`` and the flow columns.
+) -> list[tuple[DataFrame, list[FlowReport]]]:
+    """Normalized items for each pair of entry and final state, and the reports that are made of them.
 
-    Items are normalized once per pair of entry and final state and then handed to
-    every report that wants them; those of one bucket size share all later steps.
     There may be one spec per project; a report without states takes those of each.
     """
-    by_states: dict[tuple[str | None, str | None], dict[str, list[FlowReport]]] = {}
+    by_states: dict[tuple[str | None, str | None], list[FlowReport]] = {}
     for report in reports:
         states = (report.entry_state, report.final_state)
         if isinstance(spec, FlowSpec):
             states = (states[0] or spec.entry_state, states[1] or spec.final_state)
-        by_states.setdefault(states, {}).setdefault(report.unit, []).append(report)
-    attributes = ("type", "priority") + (("estimate",) if aggregate == ESTIMATE else ())
+        by_states.setdefault(states, []).append(report)
+    found = []
+    for states, wanted in by_states.items():
+        anyone = reduce(lambda some, more: some | more, [_matches(report) for report in wanted])
+        keys, kept = (*series, "id"), ("type", "priority", *attributes)
+        found.append((normalize(items.where(anyone), specs_between(spec, *states), keys, kept), wanted))
+    return found
+
+
+def report_tables(
+    normalized: Sequence[tuple[DataFrame, Sequence[FlowReport]]], aggregate: str = COUNT, series: Sequence[str] = ()
+) -> DataFrame:
+    """Flow tables of all reports on normalized items; reports of one bucket size share all steps."""
     tables = []
-    for (entry, final), by_unit in by_states.items():
-        anyone = reduce(lambda some, more: some | more, [_matches(report) for group in by_unit.values() for report in group])
-        normalized = normalize(items.where(anyone), specs_between(spec, entry, final), (*series, "id"), attributes)
+    for items, reports in normalized:
+        by_unit: dict[str, list[FlowReport]] = {}
+        for report in reports:
+            by_unit.setdefault(report.unit, []).append(report)
         for unit, wanted in by_unit.items():
             names = F.array_compact(F.array(*[F.when(_matches(report), F.lit(report.qualifier)) for report in wanted]))
-            spread = normalized.select("*", F.explode(names).alias("qualifier"))
+            spread = items.select("*", F.explode(names).alias("qualifier"))
             table = cumulative_flow(spread, unit, aggregate, (*series, "qualifier"))
             tables.append(table.withColumn("interval", F.lit(unit)))
     return reduce(DataFrame.unionByName, tables)
+
+
+def flow_tables(
+    items: DataFrame,
+    spec: FlowSpec | Mapping[str, FlowSpec],
+    reports: Sequence[FlowReport],
+    aggregate: str = COUNT,
+    series: Sequence[str] = (),
+) -> DataFrame:
+    """Many qualified reports in one job: ``series + qualifier, interval`` and the flow columns.
+
+    Items are normalized once per pair of entry and final state and then handed to
+    every report that wants them; those of one bucket size share all later steps.
+    """
+    attributes = ("estimate",) if aggregate == ESTIMATE else ()
+    return report_tables(normalized_reports(items, spec, reports, attributes, series), aggregate, series)

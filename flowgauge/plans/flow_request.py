@@ -62,3 +62,11 @@ def cached_flow(spark, issues_path: str, cache_root: str, settings: Settings, re
         return flow_on_request(read_work_items(spark, issues_path, settings, layout), settings, request)
 
     return cached(spark, cache_root, parameters, build)
+
+
+def cached_averages(spark, issues_path: str, cache_root: str, settings: Settings, request: FlowRequest, layout: str = ARRAY) -> DataFrame:
+    """One row of averages of the cached flow table, which is made if it is not there; kept like the table."""
+    parameters = {"request": request, "settings": settings, "source": source_version(spark, issues_path), "part": "averages"}
+    return cached(
+        spark, cache_root, parameters, lambda: averages(cached_flow(spark, issues_path, cache_root, settings, request, layout))
+    )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +116,23 @@ REPORTS = tuple(_BUILDERS)
 # Reports in which the last stay of an item lasts until a given time.
 _OPEN_STAYS = ("work_items_count_by_state", "work_items_count_by_state_moving_average")
 
+# Reports on commits, and those of them that look at the ends of a span of commits only.
+_LIFE_SPANS = ("committer_life_span", "committer_life_span_stats")
+_ON_COMMITS = (
+    "namespace_activity_rank",
+    "repos_activity_rank",
+    "committers_activity",
+    "commits_stats",
+    "commits_summary",
+    "commits_by_namespace",
+    "active_committers",
+    "commits_stats_by_project_role",
+    "commits_stats_by_project_role_namespace",
+    "commits_stats_by_project_category",
+    "commits_stats_by_project_category_namespace",
+    *_LIFE_SPANS,
+)
+
 # The regular runs: report and bucket size.
 ISSUE_RUN = (
     ("work_items_count_by_state", WEEKS),
@@ -171,18 +187,17 @@ def report_points(name: str, tables: Tables, options: Options) -> DataFrame:
     return measurement.points(_BUILDERS[name](tables, options), **constants)
 
 
-def flow_report_points(
+# Normalized items with the reports made of them, and a spec that names the measured states.
+_FlowGroup = tuple[list[tuple[DataFrame, list[FlowReport]]], FlowSpec]
+
+
+def _flow_groups(
     statuses: DataFrame,
     spec: FlowSpec | Mapping[str, FlowSpec],
-    reports: Sequence[FlowReport] = FLOW_RUN,
-    aggregate: str = COUNT,
-) -> dict[str, DataFrame]:
-    """Cumulative-flow points of all reports; one frame per pair of measured states.
-
-    With one spec per project, a report without states of its own is measured between
-    those of each project, and projects of equal states share a frame. A row of a
-    project that has no spec, or of none, fails the job of every frame.
-    """
+    reports: Sequence[FlowReport],
+    aggregates: Sequence[str],
+) -> dict[tuple[str, str], _FlowGroup]:
+    """Normalized items of all reports by measured states, with what the aggregates need of them."""
     specs = {None: spec} if isinstance(spec, FlowSpec) else dict(spec)
     if not specs:
         raise ValueError("no flow for any project")
@@ -195,22 +210,48 @@ def flow_report_points(
             projects.setdefault(states, []).append(project)
         for states, of_states in projects.items():
             wanted.setdefault(states, {}).setdefault(tuple(of_states), []).append(report)
-    name = CFD_COUNT if aggregate == COUNT else CFD_ESTIMATE
-    points = {}
+    attributes = ("estimate",) if ESTIMATE in aggregates else ()
+    groups = {}
     for states, by_projects in wanted.items():
-        tables = []
+        normalized = []
         for projects, some in by_projects.items():
             if projects == (None,):
                 measured, rows = spec.between(*states), statuses
             else:
                 measured = {project: specs[project].between(*states) for project in projects}
                 rows = statuses.where(F.col("project").isin(list(projects)) | unknown)
-            tables.append(cumulative.flow_tables(rows, measured, some, aggregate, PROJECT))
-        any_spec = next(iter(specs.values())) if projects == (None,) else specs[projects[0]]
-        points[" -> ".join(states)] = flow_points(
-            reduce(DataFrame.unionByName, tables), flow_measurement(name, any_spec.between(*states))
-        )
-    return points
+            normalized += cumulative.normalized_reports(rows, measured, some, attributes, PROJECT)
+        groups[states] = normalized, specs[projects[0]].between(*states)
+    return groups
+
+
+def _group_points(group: _FlowGroup, aggregate: str) -> DataFrame:
+    normalized, spec = group
+    name = CFD_COUNT if aggregate == COUNT else CFD_ESTIMATE
+    return flow_points(cumulative.report_tables(normalized, aggregate, PROJECT), flow_measurement(name, spec))
+
+
+def flow_report_points(
+    statuses: DataFrame,
+    spec: FlowSpec | Mapping[str, FlowSpec],
+    reports: Sequence[FlowReport] = FLOW_RUN,
+    aggregate: str = COUNT,
+) -> dict[str, DataFrame]:
+    """Cumulative-flow points of all reports; one frame per pair of measured states.
+
+    With one spec per project, a report without states of its own is measured between
+    those of each project, and projects of equal states share a frame. A row of a
+    project that has no spec, or of none, fails the job of every frame.
+    """
+    groups = _flow_groups(statuses, spec, reports, (aggregate,))
+    return {" -> ".join(states): _group_points(group, aggregate) for states, group in groups.items()}
+
+
+def _kept(store: MetricStore, name: str, table: DataFrame) -> DataFrame:
+    """The table, computed once and read from the shared scratch folder from here on."""
+    path = scratch_path(store.spark, name)
+    table.write.parquet(path)
+    return store.spark.read.parquet(path)
 
 
 def run_reports(
@@ -219,12 +260,17 @@ def run_reports(
     """Write each report of a run as one load.
 
     If several reports want the newest versions of merge requests, these are found
-    once and kept in the shared scratch folder.
+    once and kept in the shared scratch folder. So is the roll-up of the commits,
+    which are read once for all reports on them.
     """
     if tables.merge_requests is not None and sum(name.startswith("merge_request") for name, _ in run) > 1:
-        path = scratch_path(store.spark, "newest-merge-requests")
-        requests.latest_versions(tables.merge_requests, options.newest).write.parquet(path)
-        tables = replace(tables, merge_requests=store.spark.read.parquet(path).withColumn(requests.IS_NEWEST, F.lit(True)))
+        newest = _kept(store, "newest-merge-requests", requests.latest_versions(tables.merge_requests, options.newest))
+        tables = replace(tables, merge_requests=newest.withColumn(requests.IS_NEWEST, F.lit(True)))
+    if tables.commits is not None and sum(name in _ON_COMMITS for name, _ in run) > 1:
+        # Weeks and months have no bucket size in common but days. Life spans need none.
+        units = {unit for name, unit in run if name in _ON_COMMITS and name not in _LIFE_SPANS}
+        rollup = commits.commit_rollup(tables.commits, units.pop() if len(units) == 1 else DAYS)
+        tables = replace(tables, commits=_kept(store, "commit-rollup", rollup))
     for name, unit in run:
         store.append(report_points(name, tables, replace(options, unit=unit)), name, load_id, tags_of(name))
 
@@ -237,10 +283,13 @@ def run_flow_reports(
     reports: Sequence[FlowReport] = FLOW_RUN,
     aggregates: Sequence[str] = (COUNT, ESTIMATE),
 ) -> None:
-    for aggregate in aggregates:
-        name = CFD_COUNT if aggregate == COUNT else CFD_ESTIMATE
-        for points in flow_report_points(statuses, spec, reports, aggregate).values():
-            store.append(points, name, load_id, FLOW_TAGS)
+    """Write the flow reports of all aggregates as one load; statuses are normalized once for all of them."""
+    for number, (normalized, measured) in enumerate(_flow_groups(statuses, spec, reports, aggregates).values()):
+        if len(aggregates) > 1:
+            normalized = [(_kept(store, f"normalized-{number}", items), some) for items, some in normalized]
+        for aggregate in aggregates:
+            name = CFD_COUNT if aggregate == COUNT else CFD_ESTIMATE
+            store.append(_group_points((normalized, measured), aggregate), name, load_id, FLOW_TAGS)
 
 
 def run_issue_reports(
@@ -255,9 +304,7 @@ def run_issue_reports(
 
     The items are kept in the shared scratch folder, so landed files are parsed once for all reports.
     """
-    path = scratch_path(store.spark, "work-items")
-    items.write.parquet(path)
-    items = store.spark.read.parquet(path)
+    items = _kept(store, "work-items", items)
     statuses = flatten(items)
     tables = Tables(statuses=statuses, items=items)
     run_reports(store, load_id, ISSUE_RUN, tables, options)

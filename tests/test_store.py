@@ -1,4 +1,6 @@
+import json
 import os
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -409,3 +411,84 @@ def test_issue_run_fills_the_store(spark, store):
     assert rows.value == 1  # items are made once for all reports
     for name in [name for name, _ in reports.ISSUE_RUN] + ["work_items_duration"]:
         assert spark.read.parquet(store.path(name)).count() > 0, name
+
+
+def _counting(spark, table):
+    """The table and a count of how many of its rows were read."""
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            count.add(batch.num_rows)
+            yield batch
+
+    return table.mapInArrow(counted, table.schema), count
+
+
+COMMITS = "createdAt timestamp_ntz, namespace string, project string, committer string, additions int, deletions int, total int, projectId int"
+
+
+def _commits(spark):
+    rows = [
+        (datetime(2020, 1, 6, 9), "r / g", "r / g / p", "ann", 5, -1, 6, 1),
+        (datetime(2020, 1, 6, 9), "r / g", "r / g / p", "ann", 5, -1, 6, 1),
+        (datetime(2020, 1, 31, 23), "r / g", "r / g / p", "ann", 2, None, 2, 1),
+        (datetime(2020, 2, 2, 1), "r / h", "r / h / q", "bob", None, None, None, 2),
+        (datetime(2020, 2, 1, 1), None, None, None, 4, -4, 8, None),
+        (datetime(2020, 3, 2, 1), "s / g", "s / g / p", "bob", 7, 0, 7, 3),
+    ]
+    return spark.createDataFrame(rows, COMMITS)
+
+
+@pytest.mark.parametrize("run", [reports.COMMIT_RUN, (*reports.COMMIT_RUN, ("commits_summary", "MONTHS"), ("repos_activity_rank", "MONTHS"))])
+def test_commit_run_reads_commits_once(spark, store, rows, run):
+    projects = spark.createDataFrame([(1, ["api", "web"]), (2, ["api"]), (3, [])], "id int, tag_list array<string>")
+    words = spark.createDataFrame([("api",), ("web",)], "value string")
+    commits, count = _counting(spark, _commits(spark))
+    inputs = reports.Tables(commits=commits, projects=projects, roles=words, categories=words)
+    reports.run_reports(store, 1, run, inputs, reports.Options())
+    assert count.value == 6
+    plain = replace(inputs, commits=_commits(spark))
+    for name in {name for name, _ in run}:
+        tags = catalogue.tags_of(name)
+        direct = [reports.report_points(name, plain, reports.Options(unit=unit)) for report, unit in run if report == name]
+        columns = direct[0].columns
+        assert rows(store.read(name, tags), *columns) == sorted((row for part in direct for row in rows(part)), key=repr), name
+
+
+def test_commit_run_of_an_empty_table(spark, store):
+    inputs = reports.Tables(commits=_commits(spark).where("false"))
+    reports.run_reports(store, 1, (("commits_summary", "WEEKS"), ("committer_life_span", "MONTHS")), inputs, reports.Options())
+    with pytest.raises(FileNotFoundError):
+        store.read("commits_summary", catalogue.tags_of("commits_summary"))
+
+
+def test_flow_run_normalizes_once(spark, store):
+    statuses, count = _counting(spark, tables(spark).statuses)
+    wanted = (FlowReport("all", unit="DAYS"), FlowReport("all", unit="WEEKS"))
+    reports.run_flow_reports(store, 1, statuses, SPEC, wanted, ("count",))
+    once, count.value = count.value, 0
+    reports.run_flow_reports(store, 2, statuses, SPEC, wanted)
+    # One aggregate alone normalizes for each bucket size; both together write the normalized items first.
+    assert 0 < count.value <= once
+
+
+def test_cached_averages(spark, tmp_path, rows):
+    source = tmp_path / "issues"
+    source.mkdir()
+    history = [
+        {"id": "1", "created": "2020-01-06T09:00:00.000+0000", "author": {"displayName": "a"}, "items": [{"fieldId": "status", "toStr": "In Progress"}]},
+        {"id": "2", "created": "2020-01-08T09:00:00.000+0000", "author": {"displayName": "a"}, "items": [{"fieldId": "status", "toStr": "Done"}]},
+    ]
+    issue = {"key": "p-1", "fields": {"created": "2020-01-01T09:00:00.000+0000"}, "changelog": {"histories": history}}
+    (source / "issues-p.json").write_text(json.dumps([issue]))
+    settings = Settings({"p": SPEC.between("In Progress")}, {})
+    asked = (spark, str(source), str(tmp_path / "cache"), settings, flow_request.FlowRequest("p", interval="day"))
+    first = rows(flow_request.cached_averages(*asked))
+    # On the first day the item is in work, two days later it leaves: cycle times 0, 0 and 1, work 1, 1 and 0.
+    assert [round(value, 6) for value in first[0][1:]] == [0.333333, 0.666667]
+    # The table and its averages, both kept under a key of their own.
+    assert len(os.listdir(tmp_path / "cache")) == 2
+    assert rows(flow_request.cached_averages(*asked)) == first
+    assert flow_request.cached_flow(*asked).count() == 3
+    assert len(os.listdir(tmp_path / "cache")) == 2
