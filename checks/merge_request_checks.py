@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from checks import views
 from flowgauge.operators import merge_request_reports as reports
+from flowgauge.session import scratch_path
+from flowgauge.sinks.newest_versions import NewestVersions
 from pyspark.sql import functions as F
 
 BRANCH = "develop"
@@ -20,11 +22,21 @@ def _latest_columns(df):
     return df.drop("revision")
 
 
+def _by_state_from_buckets(spark, sf_dir):
+    """Two overlapping loads kept in buckets by id, the older versions last."""
+    versions = views.merge_requests(spark, sf_dir)
+    store = NewestVersions(spark, scratch_path(spark, "versions"), 32, views.NEWEST)
+    store.append(versions.where("userNotesCount > 2"))
+    store.append(versions.where("userNotesCount < 5"))
+    return reports.by_state(store.read(), views.projects(spark, sf_dir), BRANCH, "WEEKS")
+
+
 def queries():
     m, p, newest = views.merge_requests, views.projects, views.NEWEST
     return {
         "merge_requests_latest": lambda s, d: _latest_columns(reports.latest_versions(m(s, d), newest)),
         "merge_requests_by_state": lambda s, d: reports.by_state(m(s, d), p(s, d), BRANCH, "WEEKS", newest),
+        "merge_requests_by_state_bucketed": _by_state_from_buckets,
         "merge_requests_by_author": lambda s, d: reports.by_author(m(s, d), BRANCH, "WEEKS", newest),
         "merge_requests_comments": lambda s, d: reports.comments(m(s, d), BRANCH, "WEEKS", newest),
         "merge_requests_duration": lambda s, d: _rounded(
@@ -61,12 +73,14 @@ SELECT ts, state, round(avg(n) OVER (PARTITION BY state ORDER BY ts), 6) AS movi
 
 
 def oracle_sql():
+    by_state = (
+        f'{_WITH} SELECT {_TS}, state, rootNamespace, count(*) AS "count" '
+        "FROM latest m JOIN projects p ON p.id = m.projectId WHERE targetBranch = 'develop' GROUP BY ALL"
+    )
     return {
         "merge_requests_latest": f"{_WITH} SELECT * EXCLUDE (revision) FROM latest",
-        "merge_requests_by_state": (
-            f'{_WITH} SELECT {_TS}, state, rootNamespace, count(*) AS "count" '
-            "FROM latest m JOIN projects p ON p.id = m.projectId WHERE targetBranch = 'develop' GROUP BY ALL"
-        ),
+        "merge_requests_by_state": by_state,
+        "merge_requests_by_state_bucketed": by_state,
         "merge_requests_by_author": (
             f"{_WITH} SELECT {_TS}, author, count(*) AS \"count\" FROM latest WHERE targetBranch = 'develop' GROUP BY ALL"
         ),

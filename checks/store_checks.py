@@ -10,13 +10,14 @@ from checks import commit_checks, flow_checks, issue_checks, merge_request_check
 from flowgauge import metric_queries as metrics
 from flowgauge.functions.time import as_time
 from flowgauge.operators import commit_reports, issue_reports
-from flowgauge.plans import catalogue, reports
+from flowgauge.plans import catalogue, ingest, reports
 from flowgauge.plans.flow_request import FlowRequest, cached_averages, flow_answer, flow_on_request
+from flowgauge.plans.upkeep import refresh_commit_reports
 from flowgauge.session import scratch_path
 from flowgauge.sinks.metric_store import MetricStore
 from flowgauge.sinks.points import as_json_rows, to_points
 from flowgauge.sinks.report_cache import cached, source_version
-from flowgauge.sources import issues
+from flowgauge.sources import issues, repositories
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,6 +169,39 @@ def _commit_run(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+# Reports that follow the loads of commits, with their time, label and keys.
+_REFRESHED = {
+    "commits_summary": ("created", "rootNamespace", "rootNamespace"),
+    "commits_by_namespace": ("created", "namespace", "namespace"),
+    "active_committers": ("created", "rootNamespace", "rootNamespace"),
+}
+
+
+def _refreshed_commit_reports(spark, sf_dir):
+    """Commits loaded up to a day and reported on, then loaded from a little before it on: only touched weeks are new."""
+    raw = repositories.read_raw_commits(spark, source_checks._written(spark, "commits", views.raw_commits(spark, sf_dir)))
+    source, target = MetricStore(spark, scratch_path(spark, "source")), MetricStore(spark, scratch_path(spark, "reports"))
+    run = tuple((name, "WEEKS") for name in _REFRESHED)
+    for load_id, window in ((1, ("1990-01-01", "2000-10-11")), (2, ("2000-09-20", "2010-01-01"))):
+        ingest.ingest_commits(source, load_id, raw, views.projects(spark, sf_dir), views.SETTINGS, window)
+        refresh_commit_reports(source, target, load_id, load_id - 1, run, reports.Tables(), OPTIONS)
+    parts = [
+        _fields_of(target.read(name, catalogue.tags_of(name)), name, label, catalogue.CATALOGUE[name].fields)
+        for name, (_, label, _) in _REFRESHED.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _refreshed_sql() -> str:
+    commits = f"SELECT *, split_part(namespace, ' / ', 1) AS rootNamespace FROM ({source_checks.oracle_sql()['commits_through_store']})"
+    week = "CAST(date_trunc('week', createdAt) AS TIMESTAMP) AS created"
+    sources = {
+        name: f"SELECT {week}, {key}, {commit_checks._SUMS}, count(DISTINCT committer) AS \"count\" FROM ({commits}) GROUP BY ALL"
+        for name, (_, _, key) in _REFRESHED.items()
+    }
+    return _fields_sql({name: (time, label, name) for name, (time, label, _) in _REFRESHED.items()}, sources)
+
+
 # Measurements whose points stand in no other query.
 _POINTS_READ = {
     "state_distinct_authors": ("ts", "project", "state_distinct_authors"),
@@ -266,6 +300,7 @@ def queries():
         "metric_field_sums": _field_sums,
         "issue_run_through_store": _issue_run,
         "commit_run_through_store": _commit_run,
+        "commit_reports_refreshed": _refreshed_commit_reports,
         "metric_points_reports": _report_points,
         "flow_request_cached_averages": _cached_averages,
         "metric_points_cfd": _flow_points,
@@ -417,6 +452,7 @@ FROM ({flows['cfd_reports']})"""
         "metric_points_cfd": cfd,
         "issue_run_through_store": _issue_run_sql(cfd),
         "commit_run_through_store": _fields_sql(_COMMIT_READ, commits),
+        "commit_reports_refreshed": _refreshed_sql(),
         "metric_points_reports": _fields_sql(_POINTS_READ, {**issue_checks.oracle_sql(), **commits, **requests, **flows}),
         "flow_request_cached_averages": averages.replace(views.STATUSES_SQL, _ISSUE_STATUSES),
         "metric_points_json": (

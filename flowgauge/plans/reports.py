@@ -117,8 +117,8 @@ REPORTS = tuple(_BUILDERS)
 _OPEN_STAYS = ("work_items_count_by_state", "work_items_count_by_state_moving_average")
 
 # Reports on commits, and those of them that look at the ends of a span of commits only.
-_LIFE_SPANS = ("committer_life_span", "committer_life_span_stats")
-_ON_COMMITS = (
+LIFE_SPANS = ("committer_life_span", "committer_life_span_stats")
+ON_COMMITS = (
     "namespace_activity_rank",
     "repos_activity_rank",
     "committers_activity",
@@ -130,7 +130,7 @@ _ON_COMMITS = (
     "commits_stats_by_project_role_namespace",
     "commits_stats_by_project_category",
     "commits_stats_by_project_category_namespace",
-    *_LIFE_SPANS,
+    *LIFE_SPANS,
 )
 
 # The regular runs: report and bucket size.
@@ -266,9 +266,9 @@ def run_reports(
     if tables.merge_requests is not None and sum(name.startswith("merge_request") for name, _ in run) > 1:
         newest = _kept(store, "newest-merge-requests", requests.latest_versions(tables.merge_requests, options.newest))
         tables = replace(tables, merge_requests=newest.withColumn(requests.IS_NEWEST, F.lit(True)))
-    if tables.commits is not None and sum(name in _ON_COMMITS for name, _ in run) > 1:
+    if tables.commits is not None and sum(name in ON_COMMITS for name, _ in run) > 1:
         # Weeks and months have no bucket size in common but days. Life spans need none.
-        units = {unit for name, unit in run if name in _ON_COMMITS and name not in _LIFE_SPANS}
+        units = {unit for name, unit in run if name in ON_COMMITS and name not in LIFE_SPANS}
         rollup = commits.commit_rollup(tables.commits, units.pop() if len(units) == 1 else DAYS)
         tables = replace(tables, commits=_kept(store, "commit-rollup", rollup))
     for name, unit in run:
