@@ -1,7 +1,7 @@
 """Names, tags and fields of all stored measurements.
 
-The names are fixed: dashboards ask for them. A tag or field is the name of the
-report column it comes from, or ``name=column`` where the two differ.
+The names are fixed: dashboards ask for them. A tag or field has the name of the
+report column it comes from, or names that column.
 """
 
 from __future__ import annotations
@@ -41,77 +41,126 @@ class Measurement:
         return long_form(points, self.name, self.all_tags, tuple(self.fields))
 
 
-def _columns(text: str) -> dict[str, str]:
-    pairs = [word.split("=") for word in text.split()]
-    return {pair[0]: pair[-1] for pair in pairs}
+def _columns(*names: str, **renamed: str) -> dict[str, str]:
+    """Column of each tag or field: one of the same name, or another one."""
+    return {name: name for name in names} | renamed
 
 
-def _measurement(name: str, time: str, tags: str, fields: str, constant: str = "interval") -> Measurement:
-    return Measurement(name, time, _columns(tags), _columns(fields), tuple(constant.split()))
-
-
-_SUMS = "additions deletions total effective"
-_RANKS = "additionsRank deletionsRank totalRank effectiveRank"
-_PROJECT = "project interval"
-_QUALIFIED = "project qualifier interval"
+_SUMS = ("additions", "deletions", "total", "effective")
+_RANKS = ("additionsRank", "deletionsRank", "totalRank", "effectiveRank")
+_INTERVAL = ("interval",)
+_PROJECT = ("project", "interval")
+_QUALIFIED = ("project", "qualifier", "interval")
 
 CATALOGUE: dict[str, Measurement] = {
     entry.name: entry
     for entry in (
         # issues
-        _measurement("work_items_change_log", "time", "id type priority changedBy status epic", "count", _PROJECT),
-        _measurement("work_items_count", "ts", "type priority", "count", _PROJECT),
-        _measurement("state_distinct_authors", "ts", "", "count=authors", _QUALIFIED),
-        _measurement("team_productivity_factor", "ts", "", "authors totalExperience experienceFactor", _PROJECT),
-        _measurement("work_items_count_by_state", "week", "status=statusName", "count", _PROJECT),
-        _measurement(
-            "work_items_count_by_state_moving_average", "week", "status=statusName", "moving_average", _PROJECT
+        Measurement(
+            "work_items_change_log",
+            "time",
+            _columns("id", "type", "priority", "changedBy", "status", "epic"),
+            _columns("count"),
+            _PROJECT,
         ),
-        _measurement("work_items_duration", "created", "", "min max mean", _QUALIFIED),
+        Measurement("work_items_count", "ts", _columns("type", "priority"), _columns("count"), _PROJECT),
+        Measurement("state_distinct_authors", "ts", {}, _columns(count="authors"), _QUALIFIED),
+        Measurement("team_productivity_factor", "ts", {}, _columns("authors", "totalExperience", "experienceFactor"), _PROJECT),
+        Measurement("work_items_count_by_state", "week", _columns(status="statusName"), _columns("count"), _PROJECT),
+        Measurement(
+            "work_items_count_by_state_moving_average",
+            "week",
+            _columns(status="statusName"),
+            _columns("moving_average"),
+            _PROJECT,
+        ),
+        Measurement("work_items_duration", "created", {}, _columns("min", "max", "mean"), _QUALIFIED),
         # commits
-        _measurement(
-            "commits", "time", "project namespace committer projectId", "additions deletions effective total", ""
+        Measurement(
+            "commits",
+            "time",
+            _columns("project", "namespace", "committer", "projectId"),
+            _columns("additions", "deletions", "effective", "total"),
+            (),
         ),
-        _measurement("namespace_activity_rank", "created", "namespace", f"{_SUMS} {_RANKS}"),
-        _measurement("repos_activity_rank", "created", "project", f"{_SUMS} {_RANKS}"),
-        _measurement("committers_activity", "created", "committer", f"{_SUMS} {_RANKS}"),
-        _measurement("commits_stats", "created", "namespace project committer", _SUMS),
-        _measurement("commits_summary", "created", "rootNamespace", _SUMS),
-        _measurement("commits_by_namespace", "created", "namespace", _SUMS),
-        _measurement("active_committers", "created", "rootNamespace", "count"),
-        _measurement("committer_life_span", "ts", "committer", "duration"),
-        _measurement(
+        Measurement("namespace_activity_rank", "created", _columns("namespace"), _columns(*_SUMS, *_RANKS), _INTERVAL),
+        Measurement("repos_activity_rank", "created", _columns("project"), _columns(*_SUMS, *_RANKS), _INTERVAL),
+        Measurement("committers_activity", "created", _columns("committer"), _columns(*_SUMS, *_RANKS), _INTERVAL),
+        Measurement("commits_stats", "created", _columns("namespace", "project", "committer"), _columns(*_SUMS), _INTERVAL),
+        Measurement("commits_summary", "created", _columns("rootNamespace"), _columns(*_SUMS), _INTERVAL),
+        Measurement("commits_by_namespace", "created", _columns("namespace"), _columns(*_SUMS), _INTERVAL),
+        Measurement("active_committers", "created", _columns("rootNamespace"), _columns("count"), _INTERVAL),
+        Measurement("committer_life_span", "ts", _columns("committer"), _columns("duration"), _INTERVAL),
+        Measurement(
             "committer_life_span_stats",
             "ts",
-            "",
-            "count=durationCount total=durationTotal avg=durationAvg movAvg=durationMovAvg",
+            {},
+            _columns(count="durationCount", total="durationTotal", avg="durationAvg", movAvg="durationMovAvg"),
+            _INTERVAL,
+        ),
+        Measurement("commits_stats_by_project_role", "ts", _columns("role"), _columns("additions", "deletions"), _INTERVAL),
+        Measurement(
+            "commits_stats_by_project_role_namespace",
+            "ts",
+            _columns("role", "namespace"),
+            _columns("additions", "deletions"),
+            _INTERVAL,
+        ),
+        Measurement(
+            "commits_stats_by_project_category",
+            "ts",
+            _columns("category"),
+            _columns("additions", "deletions"),
+            _INTERVAL,
+        ),
+        Measurement(
+            "commits_stats_by_project_category_namespace",
+            "ts",
+            _columns("category", "namespace"),
+            _columns("additions", "deletions"),
+            _INTERVAL,
         ),
-        _measurement("commits_stats_by_project_role", "ts", "role", "additions deletions"),
-        _measurement("commits_stats_by_project_role_namespace", "ts", "role namespace", "additions deletions"),
-        _measurement("commits_stats_by_project_category", "ts", "category", "additions deletions"),
-        _measurement("commits_stats_by_project_category_namespace", "ts", "category namespace", "additions deletions"),
         # merge requests
-        _measurement(
+        Measurement(
             "merge_requests",
             "time",
-            "id project_id author state source_branch target_branch",
-            "updated_at user_notes_count merged_at_ts duration_days",
-            "",
+            _columns("id", "project_id", "author", "state", "source_branch", "target_branch"),
+            _columns("updated_at", "user_notes_count", "merged_at_ts", "duration_days"),
+            (),
+        ),
+        Measurement(
+            "merge_requests_by_state",
+            "ts",
+            _columns("state", root_namespace="rootNamespace"),
+            _columns("count"),
+            _INTERVAL,
         ),
-        _measurement("merge_requests_by_state", "ts", "state root_namespace=rootNamespace", "count"),
-        _measurement("merge_requests_by_author", "ts", "author", "count"),
-        _measurement("merge_requests_moving_average", "ts", "state root_namespace=rootNamespace", "moving_average"),
-        _measurement("merge_requests_comments", "ts", "author", "sum"),
-        _measurement(
+        Measurement("merge_requests_by_author", "ts", _columns("author"), _columns("count"), _INTERVAL),
+        Measurement(
+            "merge_requests_moving_average",
+            "ts",
+            _columns("state", root_namespace="rootNamespace"),
+            _columns("moving_average"),
+            _INTERVAL,
+        ),
+        Measurement("merge_requests_comments", "ts", _columns("author"), _columns("sum"), _INTERVAL),
+        Measurement(
             "merge_requests_duration",
             "ts",
-            "root_namespace=rootNamespace",
-            "duration_avg duration_max duration_std_dev=std_dev",
+            _columns(root_namespace="rootNamespace"),
+            _columns("duration_avg", "duration_max", duration_std_dev="std_dev"),
+            _INTERVAL,
+        ),
+        Measurement("merge_requests_authors_ratio", "ts", {}, _columns("ratio", "moving_average"), _INTERVAL),
+        Measurement("merge_requests_by_project_role", "ts", _columns("role"), _columns("count"), _INTERVAL),
+        Measurement("merge_requests_by_project_category", "ts", _columns("category"), _columns("count"), _INTERVAL),
+        Measurement(
+            "merge_request_stats_by_project",
+            "ts",
+            _columns(project="name_with_namespace"),
+            _columns("count", "comments"),
+            _INTERVAL,
         ),
-        _measurement("merge_requests_authors_ratio", "ts", "", "ratio moving_average"),
-        _measurement("merge_requests_by_project_role", "ts", "role", "count"),
-        _measurement("merge_requests_by_project_category", "ts", "category", "count"),
-        _measurement("merge_request_stats_by_project", "ts", "project=name_with_namespace", "count comments"),
     )
 }
 
@@ -132,13 +181,13 @@ def flow_measurement(name: str, spec: FlowSpec) -> Measurement:
         change_column(spec.entry_state): "entry_change",
         change_column(spec.final_state): "final_change",
     }
-    return Measurement(name, "time", {}, fields, tuple(_QUALIFIED.split()))
+    return Measurement(name, "time", {}, fields, _QUALIFIED)
 
 
 def normalized_flow_measurement(name: str) -> Measurement:
     """The three fields that mean the same whatever the states are called."""
     return Measurement(
-        name, "time", {}, {"CT": "ct", "TH": "th", "WIP current": "wip_current"}, tuple(_QUALIFIED.split())
+        name, "time", {}, {"CT": "ct", "TH": "th", "WIP current": "wip_current"}, _QUALIFIED
     )
 
 
