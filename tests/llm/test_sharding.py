@@ -1,3 +1,5 @@
+import hashlib
+import json
 import zlib
 
 import pytest
@@ -58,3 +60,45 @@ def test_one_large_slot(spark, n_shards):
     totals = spark.createDataFrame([(5, 10**9, 1), (6, 1, 1)], "virtual_slot int, bytes long, n_rows long")
     found = {r.virtual_slot: r.shard for r in rebalance(first_map(spark, 8, n_shards), totals, n_shards).collect()}
     assert len(found) == 8 and (n_shards == 1 or found[5] != found[6])
+
+
+def _walked(rows, n_slots=4096, n_shards=SHARDS):
+    """Slot, shard and place of every record, one after the other: (doc_id, size, crc) -> (shard, slot)."""
+    records = []
+    for doc_id, text in rows:
+        key = json.dumps({} if doc_id is None else {"doc_id": doc_id}, separators=(",", ":"))
+        slot = int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % n_slots
+        body = (text or "").encode()
+        records.append((slot, doc_id, len(body) + 1, zlib.crc32(body)))
+    weight = dict.fromkeys(range(n_slots), 0)
+    for slot, _, size, _ in records:
+        weight[slot] += size
+    owner = {slot: slot * n_shards // n_slots for slot in weight}
+    fair = -(-sum(weight.values()) // n_shards)
+    loads, moving = [0] * n_shards, []
+    for shard in range(n_shards):
+        running = 0
+        for slot in sorted((s for s in owner if owner[s] == shard), key=lambda s: (-weight[s], s)):
+            running += weight[slot]
+            if running <= fair:
+                loads[shard] += weight[slot]
+            else:
+                moving.append(slot)
+    for slot in sorted(moving, key=lambda s: (-weight[s], s)):
+        owner[slot] = loads.index(min(loads))
+        loads[owner[slot]] += weight[slot]
+    placed, taken = {}, [0] * n_shards
+    for slot, doc_id, size, crc in sorted(records, key=lambda r: (r[0], r[1] is not None, r[1] or 0, *r[2:])):
+        placed.setdefault((doc_id, size, crc), []).append((owner[slot], taken[owner[slot]]))
+        taken[owner[slot]] += 1
+    return placed
+
+
+def test_equal_to_a_walk_over_all_records(spark, documents, prose):
+    texts = [prose(i, 3 + 53 * i % 300) for i in range(700)]
+    rows = [*enumerate(texts), *((-i, f"negative {i}") for i in range(1, 60)), (5, "again"), (5, "again"), (None, None), (7, "w" * 50_000)]
+    want = _walked(rows)
+    got = {}
+    for r in shard_documents(spark, documents(rows)).collect():
+        got.setdefault((r.doc_id, r.size, r.text_crc32), []).append((r.shard, r.slot))
+    assert {key: sorted(places) for key, places in got.items()} == {key: sorted(places) for key, places in want.items()}

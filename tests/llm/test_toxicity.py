@@ -1,6 +1,11 @@
+import math
+import re
+
 import numpy as np
+import pyarrow as pa
 from flowgauge.llm import toxicity
-from flowgauge.llm.toxicity import GRADES, Model, fit, fit_ordinal, score
+from flowgauge.llm.toxicity import GRADES, SHARE, STEMS, Model, fit, fit_ordinal, score
+from flowgauge.llm.words import word_chunks
 
 INSULTS = ("grobnak", "vilzert", "trumok")
 
@@ -74,3 +79,48 @@ def test_sample_is_whole_and_only_used_features_reach_the_driver(spark, document
     row, column, _, grade = brought[0][:4]
     assert len(grade) == len(rows) and len(row) == sum(np.isin(h, want).sum() for _, h in found)
     assert sorted(set(column.tolist())) == list(range(len(want)))
+
+
+def _hash_of(word):
+    """Hash of a whole word by itself, and of its stems."""
+    (words,) = word_chunks(pa.array([word]))
+    return toxicity._features(words)[0][0]
+
+
+def _walked(text, weight_of, thresholds):
+    """Severity and verdict of a text, word by word."""
+    words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode())
+    if not words:
+        return 0.0, False
+    total = 0.0
+    for word in words:
+        word = re.sub(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", b"", word)
+        word = bytes(c + 32 if 65 <= c <= 90 else c for c in word)
+        parts = [("word", word)] if word else []
+        parts += [(stem, word[:stem]) for stem in STEMS if len(word) > stem]
+        total += sum(weight_of.get(part, 0.0) for part in parts)
+    score = SHARE * total / len(words)
+    below = [1 / (1 + math.exp(-(t - score))) for t in thresholds] + [1.0]
+    chances = [b - a for a, b in zip([0.0, *below], below)]
+    return sum(grade * chance for grade, chance in enumerate(chances)), 1 - chances[0] >= 0.5
+
+
+def test_scores_equal_a_walk_word_by_word(spark, documents, prose):
+    # Features named by what they stand for: a whole word, or a stem of so many bytes.
+    named = {("word", b"grobnak"): 1.5, (4, b"vilz"): 0.7, (6, b"trumok"): 2.0, ("word", b"a"): -0.2, (5, "\u00fcbler".encode()[:5]): 0.4}
+    sources = {("word", b"grobnak"): "grobnak", (4, b"vilz"): "vilzert", (6, b"trumok"): "trumoken", ("word", b"a"): "a", (5, "\u00fcbler".encode()[:5]): "\u00fcblerer"}
+    hashes = [_hash_of(sources[part])[0 if part[0] == "word" else 1 + STEMS.index(part[0])] for part in named]
+    # A feature that shares its place in the look-up table with the strongest one must still be found, and change nothing else.
+    rival = np.uint64(int(hashes[2]) ^ 1)
+    order = np.argsort(np.array([*hashes, rival], np.uint64))
+    weights = np.array([*named.values(), 9.0])[order]
+    model = Model(np.array([*hashes, rival], np.uint64)[order], weights, np.array([1.0, 2.0, 3.5]))
+    texts = [None, "", " \t ", "... !!", "Grobnak! (grobnak) GROBNAKS", "vilz vilze \"Vilzerei\"", "trumok trumoks", "a A a. b", "\u00fcbler \u00fcblers", "\u00a0a\u00a0 a"]
+    texts += [" ".join((prose(i, 3 + i), "Trumoken,", "vilzert;", "grobnak" * (i % 3 > 0))) for i in range(60)]
+    texts.append("grobnak " + "x" * 300_000)
+    found = {r.doc_id: r for r in score(documents(list(enumerate(texts))), model).collect()}
+    for at, text in enumerate(texts):
+        severity, toxic = _walked(text, named, model.thresholds)
+        assert math.isclose(found[at].severity, severity, abs_tol=1e-9), (text or "")[:60]
+        assert found[at].toxic == toxic
+    assert {r.toxic for r in found.values()} == {True, False}
