@@ -1,9 +1,11 @@
 import random
 from html.parser import HTMLParser
 
-from flowgauge.llm.html_text import common_lines, main_texts, page_lines
+from flowgauge.llm.html_text import common_lines, main_texts, page_lines, query
 from pyspark.sql import functions as F
 
+from tests.llm.conftest import SMALL
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>"</script></head><body class="has-sidebar">
 <nav><ul><li><a href="/a">Menu</a></ul></nav><!-- ad --><div class="ad">Buy</div><header>Site</header>
 <article><h1>Title &amp; more</h1><p><b>One
@@ -185,3 +187,42 @@ def test_random_pages_against_a_second_reader():
         reader.close()
         lines, kinds = page_lines(source)
         assert [line for line, kind in zip(lines, kinds) if kind == "a"] == reader.lines, source
+
+
+class GivenPage(HTMLParser):
+    """A second reader of the given pages, in which paragraphs and bold text stay open: blocks of the article element."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attributes):
+        self.inside = self.inside or tag == "article"
+        if tag in ("article", "h1", "p"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag in ("article", "h1", "p"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+    def text(self):
+        lines = (" ".join(block.split()) for block in self.blocks)
+        return "\n\n".join(line for line in lines if line)
+
+
+def test_every_given_page_against_a_second_reader(spark):
+    given = {r.page_id: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    found = query(spark, SMALL).collect()
+    assert len(found) == len(given) > 0
+    for r in found:
+        reader = GivenPage()
+        reader.feed(given[r.page_id].html or "")
+        reader.close()
+        assert r.text == reader.text() and r.url == given[r.page_id].url and r.n_chars == len(r.text), r.url
