@@ -444,7 +444,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Null and empty texts, and texts of white space, have no shingles and form components of their own; texts of fewer than
-    five words are one shingle. Rows with a null id take no part and get a null component; repeated rows are one document.
+    five words are one shingle; very long texts are compared whole. Rows with a null id take no part and get a null component; repeated rows are one document.
     Only ``doc_id`` and ``text`` are read, so other columns cannot clash; an empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")

@@ -261,7 +261,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of ``docs`` with ``severity`` (expected grade, 0 to 3) and ``toxic``.
 
     Null, empty and blank texts have severity 0. Columns of the input with these names are replaced. Repeated rows get equal
-    results; a model without features (no labels, or of one class) finds nothing.
+    results; a model without features (no labels, or of one class) finds nothing. Very long texts are scored whole; an empty
+    table gives an empty table.
     """
     carried = docs.drop("severity", "toxic")
     columns = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried.schema)
