@@ -84,12 +84,16 @@ def _trimmed_to_estimates(spark, sf_dir):
 
 
 def _nested(spark, sf_dir):
-    """Items that start, finish, reopen and go back: what one user does on one day, as one row with its history."""
+    """Items that start, finish, reopen and go back: what one user does on one day, as one row with its history.
+
+    They are landed and read again, as items with their histories are in use.
+    """
     status = F.struct(
         F.col("statusCreated").alias("created"), "pos", F.col("statusName").alias("name"), F.col("statusAuthor").alias("author")
     )
     columns = ("project", "id", "type", "priority", "created", "estimate")
-    return views.statuses(spark, sf_dir).groupBy(*columns).agg(F.array_sort(F.collect_list(status)).alias("statusHistory"))
+    items = views.statuses(spark, sf_dir).groupBy(*columns).agg(F.array_sort(F.collect_list(status)).alias("statusHistory"))
+    return spark.read.parquet(_written(spark, "nested", items, "parquet"))
 
 
 def _commit_points(spark, sf_dir, mapping=views.SETTINGS.email_mapping):
