@@ -50,8 +50,12 @@ def _landed_pages(spark, sf_dir):
 def _landed_arrays(spark, sf_dir, layout):
     """The same issues, landed as one JSON array in one file per project."""
     path = scratch_path(spark, "arrays")
-    in_file = Window.partitionBy("project").orderBy("key")
-    rows = views.issues(spark, sf_dir).withColumns({"place": F.row_number().over(in_file), "last": F.lead("key").over(in_file).isNull()})
+    # Events are put in the order of a file before they become issues, as these are twenty times as wide.
+    in_file = Window.partitionBy("file").orderBy("event_id")
+    events = views.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    events = events.withColumn("file", F.concat(F.lit("P"), (F.col("user_id") % 3).cast("string")))
+    events = events.withColumns({"place": F.row_number().over(in_file), "last": F.lead("event_id").over(in_file).isNull()})
+    rows = views.issues(spark, sf_dir, events, ("file", "place", "last")).withColumn("project", F.col("file"))
     start = F.when(F.col("place") == 1, "[").otherwise(",")
     text = F.concat(start, F.to_json(F.struct("key", "fields", "changelog")), F.when(F.col("last"), "]").otherwise(""))
     rows.select("project", text.alias("value")).write.partitionBy("project").text(path)

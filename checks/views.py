@@ -224,8 +224,8 @@ def _offset_text(ts):
     return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit(".000+0200"))
 
 
-def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One issue per event, with a change log made of the event's own columns."""
+def issues(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, carried=()) -> DataFrame:
+    """One issue per event, with a change log made of the event's own columns; columns of ``events`` may be carried along."""
     key, user, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
 
     def person(prefix: str, modulus: int):
@@ -267,7 +267,9 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         history(4, F.lit(3), person("b", 4), item("assignee", F.col("event_type"))),
     )
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events") if events is None else events
+    return events.select(
+        *carried,
         F.concat(F.lit("P"), (user % 3).cast("string")).alias("project"),
         F.concat(F.lit("I-"), key.cast("string")).alias("key"),
         F.struct(

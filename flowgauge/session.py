@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,17 @@ def build_session(app_name: str = "flowgauge", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+SOURCE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def import_on_workers(spark: SparkSession) -> None:
+    """Adds the source folder to the path of Python workers; on a cluster the package is installed or sent with ``--py-files``."""
+    environment = spark.sparkContext.environment
+    paths = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if SOURCE not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([SOURCE, *paths])
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 

@@ -57,3 +57,12 @@ def test_broken_files_fail(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text)
     with pytest.raises(Exception):
         read_json(spark, str(tmp_path), SCHEMA, SPLIT).collect()
+
+
+def test_split_arrays_are_not_shuffled(spark, tmp_path, small_blocks):
+    """Only block summaries and the pieces at the ends of blocks meet; records within a block go straight to the parser."""
+    (tmp_path / "a.json").write_text(json.dumps(records(300, 5)))
+    plan = read_json(spark, str(tmp_path), SCHEMA, SPLIT)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
+    keys = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert keys and all(key.startswith("_file#") and "_block#" not in key for key in keys), keys
