@@ -22,15 +22,15 @@ SPLIT = "split"
 def read_json(spark: SparkSession, path: str, schema: str, layout: str = ARRAY) -> DataFrame:
     """JSON rows of a fixed schema; a malformed file is an error.
 
-    ``array`` files hold one JSON array and are read whole by one task each; so do
-    ``split`` files, but many tasks read one, which pays from about a block (128 MB) on.
-    ``lines`` is cheapest for large extracts, as Spark can split it without a shuffle.
+    ``array`` files hold one JSON array each, or one object; ``split`` files hold one array and nothing else will do. Many
+    tasks read a large file of either, and none holds more than one record. ``lines`` is cheapest for large extracts, as
+    Spark reads it once.
     """
     if layout not in (ARRAY, LINES, SPLIT):
         raise ValueError(f"layout must be {ARRAY!r}, {LINES!r} or {SPLIT!r}, got {layout!r}")
-    if layout == SPLIT:
-        return read_json_arrays(spark, path, schema)
-    return spark.read.schema(schema).option("multiLine", layout == ARRAY).option("mode", "FAILFAST").json(path)
+    if layout != LINES:
+        return read_json_arrays(spark, path, schema, any_root=layout == ARRAY)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def _with_project(rows: DataFrame, pattern: str) -> DataFrame:

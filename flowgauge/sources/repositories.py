@@ -22,16 +22,17 @@ from flowgauge.functions.time import (
 )
 from flowgauge.schemas import NAMESPACE, PROJECT, RAW_COMMIT, RAW_MERGE_REQUEST
 from flowgauge.sources.issues import ARRAY, LINES, read_json
+from flowgauge.sources.json_arrays import FILE
 
 BOT_PREFIXES = ("jenkins",)
 
 
 def read_projects(spark: SparkSession, path: str, layout: str = ARRAY) -> DataFrame:
-    return read_json(spark, path, PROJECT, layout)
+    return read_json(spark, path, PROJECT, layout).drop(FILE)
 
 
 def read_namespaces(spark: SparkSession, path: str, layout: str = ARRAY) -> DataFrame:
-    return read_json(spark, path, NAMESPACE, layout)
+    return read_json(spark, path, NAMESPACE, layout).drop(FILE)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -41,11 +42,11 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw_commits(spark: SparkSession, path: str, layout: str = LINES) -> DataFrame:
     """Landed commits; ``project_id`` says which project's log they came from."""
-    return read_json(spark, path, RAW_COMMIT, layout)
+    return read_json(spark, path, RAW_COMMIT, layout).drop(FILE)
 
 
 def read_raw_merge_requests(spark: SparkSession, path: str, layout: str = LINES) -> DataFrame:
-    return read_json(spark, path, RAW_MERGE_REQUEST, layout)
+    return read_json(spark, path, RAW_MERGE_REQUEST, layout).drop(FILE)
 
 
 def clean_commits(

@@ -66,3 +66,26 @@ def test_split_arrays_are_not_shuffled(spark, tmp_path, small_blocks):
     assert "Window" not in plan and "collect_list" not in plan
     keys = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert keys and all(key.startswith("_file#") and "_block#" not in key for key in keys), keys
+
+
+@pytest.mark.parametrize("layout", [ARRAY, SPLIT])
+def test_many_tasks_read_one_array(spark, tmp_path, small_blocks, layout):
+    rows = records(300, 6)
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    found = read_json(spark, str(tmp_path), SCHEMA, layout)
+    assert found.rdd.getNumPartitions() > 20
+    assert sorted(r.id for r in found.collect()) == [row["id"] for row in rows]
+
+
+def test_array_layout_takes_files_of_one_object(spark, tmp_path, small_blocks):
+    texts = ['﻿ {"id": 1, "text": "{[\\""}\n', '{"id": 2, "parts": [{"a": "}", "b": {"c": 1}}]}', "", " ", "[]", "\n[ ]", '[{"id": 3}]']
+    for at, text in enumerate(texts):
+        (tmp_path / f"{at}.json").write_text(text)
+    assert sorted(r.id for r in read_json(spark, str(tmp_path), SCHEMA, ARRAY).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("text", ['{"id": 1', '{"id": 1, "text": "}', '[{"id": 1}], {"id": 2}]', '[{"id": 1}]{"a":[}]', '[{"id": 1},]', '[{"id": 1} , ', "["])
+def test_broken_arrays_fail(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception):
+        read_json(spark, str(tmp_path), SCHEMA, ARRAY).collect()
