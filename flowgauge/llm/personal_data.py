@@ -1,8 +1,8 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes for what they miss.
 
-The field is trained from the small labelled table below and decoded by Viterbi over many stretches of text at once. A
-stretch is every word with a digit, ``@`` or ``=``, with three words of context on both sides; text without such words holds
-no data of any kind the table knows and is left out.
+The field is trained from the small labelled table below. Every word of every text is scored, and the best labels are
+found by Viterbi over many stretches of text at once: where a word is ordinary whatever stands beside it, which follows
+from the scores, the best path goes through that label, so the text may be cut there and the labels are those of the whole.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm.words import word_chunks
+from flowgauge.llm.words import Words, word_chunks
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -26,8 +26,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_MARKED = re.compile(r"[0-9@=]")
-CONTEXT = 3
+#: Stretches decoded at once, and words whose scores are kept.
+STRETCHES, KNOWN_WORDS = 4096, 100_000
 
 #: The labelled table. Data stands in brackets after its kind; everything else is ordinary text.
 LABELLED = (
@@ -140,6 +140,9 @@ def _features(word: str) -> tuple[str, ...]:
 def _word_features(word: str) -> tuple[str, ...]:
     """Shape, sizes, and the letters around an equals sign."""
     core = word.strip("\"'.,;:!?()[]{}<>*#$%&")
+    if core.isalpha():  # most words: the same features as below, without the patterns
+        size, quoted = min(len(core) // 4, 5), word[:1] in "\"'"
+        return ("bias", "digits0", f"size{size}", f"quoted{quoted}", "hexFalse", "capitalsFalse", "letters", "word" + core.lower()[:12])
     shape = re.sub(r"[^A-Za-z0-9@=]", lambda m: "u" if m.group().isalpha() else m.group(), core[:200])
     shape = re.sub(r"[A-Z]+", "X", re.sub(r"[a-z]+", "x", shape))
     digits = sum(c.isdigit() for c in core)
@@ -209,6 +212,68 @@ class Field:
 
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray, begin: np.ndarray):
         self.names, self.emit, self.move, self.begin = names, emit, move, begin
+        self._known = {name.removeprefix("p:").removeprefix("n:") for name in names}
+        self._rows: dict[str, int] = {}  # of words, in the table below
+        self._same: dict[tuple[str, ...], int] = {}  # words with the same known features share a row
+        self._table: list[np.ndarray] = []
+
+    def _sum(self, features) -> np.ndarray:
+        return self.emit[[self.names[name] for name in features if name in self.names]].sum(axis=0)
+
+    def _row(self, word: str) -> int:
+        """Where the table says what a word adds to the scores of itself, of the word after it and of the word before it."""
+        row = self._rows.get(word)
+        if row is None:
+            own = tuple(name for name in _word_features(word) if name in self._known)
+            row = self._same.get(own)
+            if row is None:
+                row = self._same[own] = len(self._table)
+                self._table.append(np.stack([self._sum(own), self._sum("p:" + f for f in own), self._sum("n:" + f for f in own)]))
+            if len(word) <= 64 and len(self._rows) < KNOWN_WORDS:
+                self._rows[word] = row
+        return row
+
+    def labels(self, words: Words) -> np.ndarray:
+        """The best label of every word, each text decoded as a whole."""
+        n = len(words.starts)
+        if not n:
+            return np.zeros(0, np.int8)
+        _, first, word = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        data = words.data.tobytes()
+        rows = [self._row(data[start:end].decode()) for start, end in zip(words.starts[first].tolist(), words.ends[first].tolist())]
+        word, table = np.array(rows)[word], np.stack(self._table)
+        begins, ends = np.zeros(n + 1, bool), np.zeros(n, bool)
+        begins[words.first] = True
+        begins, ends = begins[:-1], begins[1:]
+        scores = table[word, 0]
+        scores += np.where(begins[:, None], self._sum(["p:edge"]), table[np.roll(word, 1), 1])
+        scores += np.where(ends[:, None], self._sum(["n:edge"]), table[np.roll(word, -1), 2])
+        # The most that a label can gain over the first one, "O", by what stands beside it.
+        gain = np.maximum((self.move - self.move[:, :1]).max(axis=0), self.begin - self.begin[0])
+        gain += np.maximum((self.move - self.move[0]).max(axis=1), 0)
+        unsure = ~(scores[:, 1:] + gain[1:] < scores[:, :1]).all(axis=1)
+        before = np.concatenate(([False], unsure[:-1])) & ~begins
+        after = np.concatenate((unsure[1:], [False])) & ~ends
+        starts, stops = np.flatnonzero(unsure & ~before), np.flatnonzero(unsure & ~after) + 1
+        labels = np.zeros(n, np.int8)
+        order = np.argsort(starts - stops, kind="stable")
+        for at in range(0, len(order), STRETCHES):
+            low, high = starts[order[at : at + STRETCHES]], stops[order[at : at + STRETCHES]]
+            best = scores[low] + np.where(begins[low][:, None], self.begin, self.move[0])
+            came, live = [], []
+            for step in range(1, int(high[0] - low[0])):
+                live.append(int(np.sum(high - low > step)) if len(low) > 1 else 1)
+                ways = best[: live[-1], :, None] + self.move
+                came.append(ways.argmax(axis=1).astype(np.int8))
+                best[: live[-1]] = ways.max(axis=1) + scores[low[: live[-1]] + step]
+            best += np.where(ends[high - 1][:, None], 0, self.move[:, 0])
+            now = best.argmax(axis=1)
+            for step in range(len(came), 0, -1):
+                n_live = live[step - 1]
+                labels[low[:n_live] + step] = now[:n_live]
+                now[:n_live] = came[step - 1][np.arange(n_live), now[:n_live]]
+            labels[low] = now
+        return labels
 
     def emissions(self, words: list[str]) -> np.ndarray:
         known = self.names
@@ -290,23 +355,6 @@ def fit(lines: tuple[str, ...] = LABELLED, steps: int = 120, rate: float = 0.1,
     return Field(names, *parameters)
 
 
-def _stretches(text: str) -> Iterator[list[re.Match]]:
-    """Words with a digit, ``@`` or ``=`` and their context; stretches that touch are one."""
-    words = list(_WORD.finditer(text))
-    current, last = [], -1
-    for at, word in enumerate(words):
-        if not _MARKED.search(word.group()):
-            continue
-        start = max(0, at - CONTEXT)
-        if start > last + 1 and current:
-            yield current
-            current = []
-        current += words[max(start, last + 1) : at + CONTEXT + 1]
-        last = min(len(words) - 1, at + CONTEXT)
-    if current:
-        yield current
-
-
 def _value(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
     """The data proper within the words that got a label, or None if it breaks the rule of its kind."""
     body = text[start:end]
@@ -325,20 +373,26 @@ def _value(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None
 def find_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int, bool]]]:
     """All spans ``kind, start, end, base`` of each text by kind, then start; added ones touch no other span."""
     found = [[(*span, True) for span in base_spans(text)] for text in texts]
-    stretches = [(at, stretch) for at, text in enumerate(texts) for stretch in _stretches(text)]
-    for (at, stretch), labels in zip(stretches, field.decode([[m.group() for m in s] for _, s in stretches])):
-        step = 0
-        while step < len(labels):
-            if not labels[step]:
-                step += 1
+    for words in word_chunks(pa.array(texts, pa.large_string())):
+        labels = field.labels(words)
+        places = np.flatnonzero(labels)
+        if not len(places):
+            continue
+        inner = np.concatenate(([0], np.cumsum((words.data & 0xC0) == 0x80)))  # bytes that start no code point
+        rows = np.searchsorted(words.first, places, "right") - 1
+        done = -1
+        for word, row in zip(places.tolist(), rows.tolist()):
+            if word < done:
                 continue
-            kind, end = LABELS[labels[step]][2:], step + 1
-            while end < len(labels) and LABELS[labels[end]] == f"I-{kind}":
-                end += 1
-            span = _value(kind, texts[at], stretch[step].start(), stretch[end - 1].end())
+            kind, done, last = LABELS[labels[word]][2:], word + 1, words.first[row + 1]
+            while done < last and LABELS[labels[done]] == f"I-{kind}":
+                done += 1
+            ends = np.array([words.starts[word], words.ends[done - 1]])
+            start, end = (ends - words.bounds[row] - inner[ends] + inner[words.bounds[row]]).tolist()
+            at = words.first_row + row
+            span = _value(kind, texts[at], start, end)
             if span and all(span[1] <= other[1] or other[2] <= span[0] for other in found[at]):
                 found[at].append((kind, *span, False))
-            step = end
     return [sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])) for spans in found]
 
 
@@ -358,27 +412,18 @@ def masked(text: str, spans) -> str:
 
 
 def _annotate(field: Field):
-    marks = np.zeros(256, bool)
-    marks[[*range(48, 58), ord("@"), ord("=")]] = True
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body = batch.column("_text")
             for words in word_chunks(body):
-                seen = np.concatenate([[0], np.cumsum(marks[words.data])])
-                rows = np.flatnonzero(np.diff(seen[words.bounds]))
                 part = batch.slice(words.first_row, words.n_rows)
-                spans: list = [[]] * words.n_rows
-                clean = body.slice(words.first_row, words.n_rows)
-                if len(rows):
-                    texts = clean.take(pa.array(rows)).to_pylist()
-                    changed = {}
-                    for row, text, found in zip(rows, texts, find_spans(texts, field)):
-                        spans[row] = [dict(zip(("kind", "start", "end", "base"), span)) for span in found]
-                        if found:
-                            changed[int(row)] = masked(text, found)
-                    if changed:
-                        clean = pa.array([changed.get(at, text) for at, text in enumerate(clean.to_pylist())], pa.string())
+                clean = body.slice(words.first_row, words.n_rows).to_pylist()
+                spans = []
+                for at, found in enumerate(find_spans([text or "" for text in clean], field)):
+                    spans.append([dict(zip(("kind", "start", "end", "base"), span)) for span in found])
+                    if found:
+                        clean[at] = masked(clean[at], found)
+                clean = pa.array(clean, pa.string())
                 keep = [(c, n) for c, n in zip(part.columns, part.schema.names) if n != "_text"]
                 yield pa.RecordBatch.from_arrays(
                     [*(c for c, _ in keep), clean.cast(pa.string()), pa.array(spans, _SPANS)],

@@ -4,9 +4,11 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 from flowgauge.llm.personal_data import (
     LABELLED, LABELS, _short_features, base_spans, fit, find_spans, labelled_words, luhn, masked, personal_data, query,
 )
+from flowgauge.llm.words import word_chunks
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -119,3 +121,21 @@ def test_digest_of_the_query(spark):
 
 def test_masked_overlaps():
     assert masked("abcdef", [("card", 1, 4, True), ("phone", 2, 5, True)]) == "a[card]f"
+
+
+def test_every_word_of_a_text_is_looked_at():
+    """Data without a digit, an at sign or an equals sign is found too, and the labels are those of one path over the text."""
+    field = fit()
+    text = "so she said someone at host dot example would answer and left"
+    assert ("email", 12, 39, False) in find_spans([text], field)[0]
+    rng = np.random.default_rng(3)
+    plain = [word for line in LABELLED for word in labelled_words(line)[0]] + ["the", "of", "house", "é"] * 40
+    texts = [" ".join(rng.choice(plain, size)) for size in (0, 1, 2, 30, 400, 900)]
+    for moved in (field, copy.copy(field)):
+        if moved is not field:
+            moved.begin, moved.move = rng.normal(size=field.begin.shape), rng.normal(size=field.move.shape)
+        for words in word_chunks(pa.array(texts)):
+            found = moved.labels(words)
+            for at, text in enumerate(texts):
+                if text:
+                    assert moved.decode([text.split()])[0].tolist() == found[words.first[at] : words.first[at + 1]].tolist()
