@@ -35,6 +35,9 @@ MONTH = "month"
 PART = "part"  # names the folder of a load
 MANIFEST = "_manifest"
 COMMIT_ATTEMPTS = 100
+#: A month is written by at most so many tasks, each with all points of its share of the tags.
+SLICES = 16
+_SLICE = "_slice"
 
 
 def _month(time: Column) -> Column:
@@ -54,15 +57,26 @@ class Entry:
         return self.unique_by is not None and set(self.unique_by) <= set(tags)
 
 
-def _newest(stored: DataFrame, tags: Sequence[str]) -> DataFrame:
-    """The newest load of each point; equal points of one load are told apart by their fields."""
-    keys = (MONTH, "time", *tags)
-    values = [name for name in stored.columns if name not in (*keys, LOAD)]
-    order = [F.col(f"`{name}`").desc() for name in (LOAD, *values)]
-    newest = Window.partitionBy(*[F.col(f"`{name}`") for name in keys]).orderBy(*order)
+def _newest(stored: DataFrame, tags: Sequence[str], by_load_alone: bool = False, within: Sequence[str] = ()) -> DataFrame:
+    """The newest load of each point; equal points of one load are told apart by their fields.
+
+    ``by_load_alone`` says that no load has a point twice, so that fields nobody asks for need not be read. ``within`` are
+    functions of the time and the tags by which the rows are dealt already.
+    """
+    keys = ("time", *tags)
+    values = [] if by_load_alone else [name for name in stored.columns if name not in (*keys, *within, MONTH, LOAD)]
+    order = [F.col(f"`{name}`").desc() for name in (LOAD, *values) if name in stored.columns] or [F.lit(0)]
+    newest = Window.partitionBy(*[F.col(f"`{name}`") for name in (*within, *keys)]).orderBy(*order)
     return stored.withColumn("_place", F.row_number().over(newest)).where("_place = 1").drop("_place")
 
 
+def _newest_by_month(stored: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """The same, dealt and sorted by month for writing: one shuffle does for both."""
+    share = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in ("time", *tags)]), F.lit(SLICES)).cast("int")
+    dealt = stored.withColumn(_SLICE, share).repartition(MONTH, _SLICE)
+    return _newest(dealt, tags, within=(MONTH, _SLICE)).drop(_SLICE)
+
+
 @dataclass(frozen=True)
 class MetricStore:
     spark: SparkSession
@@ -79,16 +93,15 @@ class MetricStore:
         """
         untimed = F.raise_error(F.lit(f"a point of {measurement} has no time"))
         month = F.when(F.col("time").isNull(), untimed).otherwise(_month(F.col("time")))
-        stamped = points.withColumns({LOAD: F.lit(load_id).cast("long"), MONTH: month})
-        if tags is not None:
-            stamped = _newest(stamped, tags)
-        self._write(stamped, measurement, load_id, tags)
+        stamped = points.withColumn(MONTH, month)
+        # Rebalancing makes few files per month, and splits a month that is too big.
+        dealt = stamped.hint("rebalance", F.col(MONTH)) if tags is None else _newest_by_month(stamped, tags)
+        self._write(dealt.withColumn(LOAD, F.lit(load_id).cast("long")), measurement, load_id, tags)
 
     def _write(self, stamped: DataFrame, measurement: str, load_id: int | None, unique_by: Sequence[str] | None) -> None:
         part = f"{PART}={uuid.uuid4().hex}"
         folder = f"{self.path(measurement)}/{part}"
-        # Rebalancing makes few files per month, and splits a month that is too big.
-        stamped.hint("rebalance", F.col(MONTH)).write.mode("errorifexists").partitionBy(MONTH).parquet(folder)
+        stamped.write.mode("errorifexists").partitionBy(MONTH).parquet(folder)
         months = self._months(folder)
         self._commit(measurement, [Entry(at, part, load_id, None if unique_by is None else tuple(unique_by)) for at in months])
 
@@ -173,7 +186,11 @@ class MetricStore:
 
         parts = [cut(self._files(measurement, plain, merge_schema))] if plain else []
         if shared:
-            parts.append(_newest(cut(self._files(measurement, shared, merge_schema)), tags))
+            once = all(entry.is_unique(tags) for entry in shared) and all(
+                len({entry.load_id for entry in some}) == len(some) for some in by_month.values()
+            )
+            once = once and all(entry.load_id is not None for entry in shared)
+            parts.append(_newest(cut(self._files(measurement, shared, merge_schema)), tags, once))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=merge_schema), parts).drop(LOAD, MONTH)
 
     def last_month(self, measurement: str) -> DataFrame | None:
@@ -190,4 +207,4 @@ class MetricStore:
         if target.entries(measurement):
             raise FileExistsError(f"{measurement} is already stored in {target.root}")
         stored = self._files(measurement, self.entries(measurement), True)
-        target._write(_newest(stored, tags), measurement, None, tags)
+        target._write(_newest_by_month(stored, tags), measurement, None, tags)

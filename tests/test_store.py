@@ -492,3 +492,23 @@ def test_cached_averages(spark, tmp_path, rows):
     assert rows(flow_request.cached_averages(*asked)) == first
     assert flow_request.cached_flow(*asked).count() == 3
     assert len(os.listdir(tmp_path / "cache")) == 2
+
+
+def test_a_load_is_dealt_once_and_only_wanted_fields_are_read(spark, store, rows):
+    from flowgauge.sinks.metric_store import _newest_by_month
+
+    points = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(id) AS time, 'a' AS tag, id AS wanted, id AS other FROM range(90)")
+    plan = _newest_by_month(points.withColumn("month", F.date_format("time", "yyyy-MM")), ("tag",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "month" in plan.split("Exchange hashpartitioning(")[1].split(")")[0]
+    for load_id in (1, 2):
+        store.append(points.withColumn("wanted", F.col("wanted") + load_id).unionAll(points), "m", load_id, ("tag",))
+    read = store.read("m", ("tag",)).select("time", "wanted")
+    assert "other" not in read._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert [r.wanted for r in read.orderBy("time").collect()] == [at + 2 for at in range(90)]
+    assert all(len(files) <= 16 for files in _files_by_month(store, "m"))
+
+
+def _files_by_month(store, name):
+    from pathlib import Path
+
+    return [list(folder.glob("*.parquet")) for folder in Path(store.path(name)).glob("part=*/month=*")]
