@@ -131,7 +131,9 @@ def _next_merge_requests(spark, sf_dir):
 
 def _written(spark, name, df, kind="json"):
     path = scratch_path(spark, name)
-    df.write.format(kind).save(path)
+    # Landed JSON is packed, in files of which a task can read one.
+    packed = {"compression": "gzip", "maxRecordsPerFile": 500_000} if kind == "json" else {}
+    df.write.format(kind).options(**packed).save(path)
     return path
 
 
