@@ -151,10 +151,8 @@ _COMMIT_READ = {
 
 def _fields_of(points, name, label, fields):
     """One row per point and field."""
-    pairs = [part for field in fields for part in (F.lit(field), F.round(F.col(f"`{field}`").cast("double"), 6))]
-    return points.select(
-        F.lit(name).alias("measurement"), "time", F.expr(label).alias("label"), F.explode(F.create_map(*pairs)).alias("field", "value")
-    )
+    pairs = [F.struct(F.lit(field).alias("field"), F.round(F.col(f"`{field}`").cast("double"), 6).alias("value")) for field in fields]
+    return points.select(F.lit(name).alias("measurement"), "time", F.expr(label).alias("label"), F.inline(F.array(*pairs)).alias("field", "value"))
 
 
 def _commit_run(spark, sf_dir):

@@ -18,7 +18,8 @@ def parent_namespace(name: Column | str, full_name: Column | str) -> Column:
 
 def root_namespace(path: Column | str) -> Column:
     """First part of a ``/``-separated path, trimmed."""
-    return F.trim(F.split_part(as_column(path), F.lit("/"), F.lit(1)))
+    # Cuts at the first slash without splitting the rest of the path.
+    return F.trim(F.substring_index(as_column(path), "/", 1))
 
 
 def mapped(value: Column | str, mapping: Mapping[str, str]) -> Column:

@@ -38,6 +38,32 @@ def commit_rollup(commits: DataFrame, unit: str) -> DataFrame:
     )
 
 
+def project_rollup(commits: DataFrame, unit: str) -> DataFrame:
+    """One row per period, namespace and project id, for reports that ask for neither projects by name nor committers."""
+    return commits.groupBy(period_start(unit, "createdAt").alias("createdAt"), "namespace", "projectId").agg(
+        *[F.sum(name).alias(name) for name in MEASURES]
+    )
+
+
+def tag_rollup(commits: DataFrame, tags: DataFrame, unit: str, tag: str) -> DataFrame:
+    """One row per period, namespace and tag, for reports by this tag; ``tags`` are those of ``project_tags``."""
+    return (
+        commits.join(tags, F.col("projectId") == F.col("id"))
+        .groupBy(period_start(unit, "createdAt").alias("createdAt"), "namespace", tag)
+        .agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
+    )
+
+
+def committer_rollup(commits: DataFrame) -> DataFrame:
+    """One row per committer with the first and last commit time, for life spans of any unit."""
+    first, last = _ends(commits)
+    return commits.groupBy("committer").agg(F.min(first).alias(FIRST), F.max(last).alias(LAST))
+
+
+def _ends(commits: DataFrame) -> tuple[str, str]:
+    return (FIRST, LAST) if {FIRST, LAST} <= set(commits.columns) else ("createdAt", "createdAt")
+
+
 def _activity(commits: DataFrame, unit: str, keys: Sequence[str], net: bool = False) -> DataFrame:
     sums = (
         commits.groupBy(period_start(unit, "createdAt").alias("created"), *keys)
@@ -81,16 +107,14 @@ def project_tags(projects: DataFrame, vocabulary: DataFrame, name: str) -> DataF
 def _by_tag(
     commits: DataFrame, projects: DataFrame, vocabulary: DataFrame, unit: str, tag: str, keys: Sequence[str]
 ) -> DataFrame:
+    """Sums per period and tag; a roll-up by the tag has met the projects already."""
+    sums = [F.sum(name).alias(name) for name in ("additions", "deletions")]
+    if tag in commits.columns:
+        return commits.groupBy(period_start(unit, "createdAt").alias("ts"), tag, *keys).agg(*sums)
     # Summed per project first: the join then sees one row per project and period,
     # however many commits a project has.
-    per_project = commits.groupBy(period_start(unit, "createdAt").alias("ts"), F.col("projectId").alias("id"), *keys).agg(
-        F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")
-    )
-    return (
-        per_project.join(project_tags(projects, vocabulary, tag), "id")
-        .groupBy("ts", tag, *keys)
-        .agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
-    )
+    per_project = commits.groupBy(period_start(unit, "createdAt").alias("ts"), F.col("projectId").alias("id"), *keys).agg(*sums)
+    return per_project.join(project_tags(projects, vocabulary, tag), "id").groupBy("ts", tag, *keys).agg(*sums)
 
 
 def commits_by_role(projects: DataFrame, roles: DataFrame, commits: DataFrame, unit: str) -> DataFrame:
@@ -140,7 +164,7 @@ def committers_life_span(commits: DataFrame, unit: str, excluded_parts: Sequence
     Committers whose name contains an excluded part (such as a foreign mail
     domain), or who have a single commit time, are left out.
     """
-    first, last = (FIRST, LAST) if {FIRST, LAST} <= set(commits.columns) else ("createdAt", "createdAt")
+    first, last = _ends(commits)
     spans = (
         commits.where(contains_none_of("committer", excluded_parts))
         .groupBy("committer")

@@ -133,6 +133,13 @@ ON_COMMITS = (
     *LIFE_SPANS,
 )
 
+# Reports that ask for namespaces only, and those by tag of a project: these are made from narrower roll-ups.
+BY_NAMESPACE = ("namespace_activity_rank", "commits_summary", "commits_by_namespace")
+BY_TAG = {
+    "role": ("commits_stats_by_project_role", "commits_stats_by_project_role_namespace"),
+    "category": ("commits_stats_by_project_category", "commits_stats_by_project_category_namespace"),
+}
+
 # The regular runs: report and bucket size.
 ISSUE_RUN = (
     ("work_items_count_by_state", WEEKS),
@@ -254,25 +261,55 @@ def _kept(store: MetricStore, name: str, table: DataFrame) -> DataFrame:
     return store.spark.read.parquet(path)
 
 
+def _with_rollups(store: MetricStore, run: Sequence[tuple[str, str]], tables: Tables) -> dict[str, Tables]:
+    """For each report on commits the tables with the narrowest roll-up in place of the commits; none for a single report.
+
+    A roll-up is made from the one before it, and only if several reports share it.
+    """
+    names = [name for name, _ in run if name in ON_COMMITS]
+    if tables.commits is None or len(names) < 2:
+        return {}
+    # Weeks and months have no bucket size in common but days. Life spans need none.
+    units = {unit for name, unit in run if name in ON_COMMITS and name not in LIFE_SPANS}
+    unit = units.pop() if len(units) == 1 else DAYS
+    full = _kept(store, "commit-rollup", commits.commit_rollup(tables.commits, unit))
+    found = dict.fromkeys(names, replace(tables, commits=full))
+
+    def shared(some: Sequence[str]) -> bool:
+        return sum(name in some for name in names) > 1
+
+    if shared(LIFE_SPANS):
+        by_committer = _kept(store, "committer-rollup", commits.committer_rollup(full))
+        found |= dict.fromkeys(LIFE_SPANS, replace(tables, commits=by_committer))
+    by_tag = {tag: some for tag, some in BY_TAG.items() if shared(some)}
+    if shared((*BY_NAMESPACE, *(name for some in by_tag.values() for name in some))):
+        by_project = _kept(store, "project-rollup", commits.project_rollup(full, unit))
+        found |= dict.fromkeys(BY_NAMESPACE, replace(tables, commits=by_project))
+        for tag, some in by_tag.items():
+            # Kept as well, so that Spark knows how small they are before it deals the roll-up for the join.
+            words = tables.roles if tag == "role" else tables.categories
+            tags = _kept(store, f"{tag}-tags", commits.project_tags(tables.projects, words, tag))
+            per_tag = _kept(store, f"{tag}-rollup", commits.tag_rollup(by_project, tags, unit, tag))
+            found |= dict.fromkeys(some, replace(tables, commits=per_tag))
+    return found
+
+
 def run_reports(
     store: MetricStore, load_id: int, run: Sequence[tuple[str, str]], tables: Tables, options: Options
 ) -> None:
     """Write each report of a run as one load.
 
     If several reports want the newest versions of merge requests, these are found
-    once and kept in the shared scratch folder. So is the roll-up of the commits,
+    once and kept in the shared scratch folder. So are the roll-ups of the commits,
     which are read once for all reports on them.
     """
     if tables.merge_requests is not None and sum(name.startswith("merge_request") for name, _ in run) > 1:
         newest = _kept(store, "newest-merge-requests", requests.latest_versions(tables.merge_requests, options.newest))
         tables = replace(tables, merge_requests=newest.withColumn(requests.IS_NEWEST, F.lit(True)))
-    if tables.commits is not None and sum(name in ON_COMMITS for name, _ in run) > 1:
-        # Weeks and months have no bucket size in common but days. Life spans need none.
-        units = {unit for name, unit in run if name in ON_COMMITS and name not in LIFE_SPANS}
-        rollup = commits.commit_rollup(tables.commits, units.pop() if len(units) == 1 else DAYS)
-        tables = replace(tables, commits=_kept(store, "commit-rollup", rollup))
+    narrowed = _with_rollups(store, run, tables)
     for name, unit in run:
-        store.append(report_points(name, tables, replace(options, unit=unit)), name, load_id, tags_of(name))
+        points = report_points(name, narrowed.get(name, tables), replace(options, unit=unit))
+        store.append(points, name, load_id, tags_of(name))
 
 
 def run_flow_reports(

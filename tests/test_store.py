@@ -512,3 +512,30 @@ def _files_by_month(store, name):
     from pathlib import Path
 
     return [list(folder.glob("*.parquet")) for folder in Path(store.path(name)).glob("part=*/month=*")]
+
+
+def test_commit_run_joins_each_vocabulary_once(spark, store, rows, monkeypatch):
+    joined, taken = [], {}
+    tag_rollup, builders = reports.commits.tag_rollup, dict(reports._BUILDERS)
+
+    def counted(commits, tags, unit, tag):
+        joined.append(tag)
+        return tag_rollup(commits, tags, unit, tag)
+
+    def noted(name):
+        def build(tables, options):
+            taken[name] = set(tables.commits.columns)
+            return builders[name](tables, options)
+
+        return build
+
+    monkeypatch.setattr(reports.commits, "tag_rollup", counted)
+    monkeypatch.setattr(reports, "_BUILDERS", {name: noted(name) for name in builders})
+    projects = spark.createDataFrame([(1, ["api", "web"]), (2, ["api"]), (3, [])], "id int, tag_list array<string>")
+    words = spark.createDataFrame([("api",), ("web",)], "value string")
+    inputs = reports.Tables(commits=_commits(spark), projects=projects, roles=words, categories=words)
+    reports.run_reports(store, 1, reports.COMMIT_RUN, inputs, reports.Options())
+    assert joined == ["role", "category"]
+    assert taken["commits_stats_by_project_role"] == {"createdAt", "namespace", "role", "additions", "deletions"}
+    assert taken["committer_life_span_stats"] == {"committer", "firstAt", "lastAt"}
+    assert "committer" not in taken["commits_summary"] and "committer" in taken["commits_stats"]
