@@ -22,6 +22,7 @@ from flowgauge.functions.time import (
     shift_period,
 )
 from flowgauge.operators.flow import normalize_items, normalize_statuses
+from flowgauge.operators.work_items import by_history
 from flowgauge.settings import FlowReport, FlowSpec
 
 COUNT = "count"
@@ -206,17 +207,17 @@ def item_durations(normalized: DataFrame, unit: str, series: Sequence[str] = ())
     )
 
 
-def _is_nested(items: DataFrame) -> bool:
-    return "statusHistory" in items.columns
-
-
 def normalize(
     items: DataFrame, spec: FlowSpec | Mapping[str, FlowSpec], keys: Sequence[str], attributes: Sequence[str]
 ) -> DataFrame:
     """Normalize nested items in place, or flat status rows by group."""
-    if _is_nested(items):
-        return normalize_items(items, spec).select(*keys, *attributes, "entry_at", "final_at")
-    return normalize_statuses(items, spec, keys, attributes)
+    alone, together = by_history(items)
+    parts = []
+    if alone is not None:
+        parts.append(normalize_items(alone, spec).select(*keys, *attributes, "entry_at", "final_at"))
+    if together is not None:
+        parts.append(normalize_statuses(together, spec, keys, attributes))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def flow_table(

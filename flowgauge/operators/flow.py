@@ -88,6 +88,10 @@ def _goes_back(kind: Column, before: Column) -> Column:
     return (kind == BELOW) | ((kind != ENTRY) & F.coalesce(before == FINAL, F.lit(False)))
 
 
+def _is_timed_entry(status: Column) -> Column:
+    return (status["kind"] == ENTRY) & status["created"].isNotNull()
+
+
 def normalize_items(
     items: DataFrame, spec: FlowSpec | Mapping[str, FlowSpec], history: str = "statusHistory", project: str = "project"
 ) -> DataFrame:
@@ -118,7 +122,7 @@ def normalize_items(
     return (
         items.withColumn("_ordered", F.array_sort(known))
         .withColumn("_rest", rest)
-        .withColumn("entry_at", F.get(F.filter("_rest", lambda status: status["kind"] == ENTRY), F.lit(0))["created"])
+        .withColumn("entry_at", F.get(F.filter("_rest", _is_timed_entry), F.lit(0))["created"])
         .where(F.col("entry_at").isNotNull())
         .withColumn("final_at", F.when(last["kind"] == FINAL, last["created"]))
         .drop("_ordered", "_rest", history)

@@ -7,6 +7,7 @@ Status-based reports take flat status rows (see ``work_items.flatten``);
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from flowgauge.functions.names import experience_factor
 from flowgauge.functions.distinct import distinct_sketch
 from flowgauge.functions.time import as_time, date_range, period_date, period_start, shift_period, time_span
-from flowgauge.operators.work_items import truncate_times
+from flowgauge.operators.work_items import by_history, truncate_times
 
 # Histories are cut into spans of this length.
 SPAN_MINUTES = 1
@@ -163,8 +164,9 @@ def count_by_state(statuses: DataFrame, unit: str, as_of, series: Sequence[str]
     are turned into +1 and -1 at their ends and summed over time, so the work does
     not grow with their length. Takes flat status rows or nested items.
     """
-    find_spans = nested_state_spans if "statusHistory" in statuses.columns else state_spans
-    spans = find_spans(statuses, as_of, (*series, "id"))
+    alone, together = by_history(statuses)
+    parts = [find(rows, as_of, (*series, "id")) for find, rows in ((nested_state_spans, alone), (state_spans, together)) if rows is not None]
+    spans = reduce(DataFrame.unionByName, parts)
     first, last = period_date(unit, "start"), period_date(unit, "end")
     ends = F.array(
         F.struct(first.alias("period"), F.lit(1).cast("long").alias("step")),

@@ -12,11 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.functions.time import parse_time, period_start
+from flowgauge.operators.joins import same_keys, with_prefix
 from flowgauge.schemas import ITEM_COLUMNS
 
 STATUS_FIELD = "status"
 VERSION_FIELD = "fixVersions"
 
+# Marks nested items of which several have one id.
+SHARED_ID = "_sharedId"
+
 # Step of `pos` from one history of an issue to the next.
 CHANGES_PER_HISTORY = 1 << 32
 
@@ -38,12 +42,11 @@ def trim_history_items(issues: DataFrame, keep: Sequence[str] = (STATUS_FIELD, V
 
 def _changes_of(fields: Sequence[str], time_mode: str) -> Column:
     """Changes of the given fields in document order, with their time, place and author."""
-    wanted = F.array(*[F.lit(name) for name in fields])
 
     def of_history(history: Column, number: Column) -> Column:
         created = parse_time(history["created"], time_mode)
         return F.transform(
-            F.filter(history["items"], lambda item: F.array_contains(wanted, item["fieldId"])),
+            F.filter(history["items"], lambda item: item["fieldId"].isin(list(fields))),
             lambda item, at: F.struct(
                 created.alias("created"),
                 (number * CHANGES_PER_HISTORY + at).alias("pos"),
@@ -120,6 +123,25 @@ def flatten(items: DataFrame) -> DataFrame:
     return items.select(*extra, *ITEM_COLUMNS, F.inline("statusHistory").alias("statusCreated", "statusName", "statusAuthor", "pos"))
 
 
+def with_shared_ids(items: DataFrame, several: DataFrame) -> DataFrame:
+    """Mark the items whose ``project`` and ``id`` are in ``several``: their histories are one in reports by item."""
+    marks = with_prefix(several.select("project", "id").withColumn(SHARED_ID, F.lit(True)), ("project", "id"))
+    marked = items.join(marks, same_keys(("project", "id")), "left")
+    return marked.select(*[F.col(f"`{name}`") for name in items.columns], F.coalesce(F.col(SHARED_ID), F.lit(False)).alias(SHARED_ID))
+
+
+def by_history(items: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Nested items with a history of their own, and flat status rows of histories that are put together by id.
+
+    Flat rows are all of the second kind, and nested items of the first unless they are marked.
+    """
+    if "statusHistory" not in items.columns:
+        return None, items
+    if SHARED_ID not in items.columns:
+        return items, None
+    return items.where(~F.col(SHARED_ID)).drop(SHARED_ID), flatten(items.where(SHARED_ID).drop(SHARED_ID))
+
+
 def truncate_times(statuses: DataFrame, unit: str) -> DataFrame:
     """Bucket the item and status times, not the closing time."""
     return statuses.withColumns(

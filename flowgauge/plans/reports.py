@@ -14,7 +14,7 @@ from flowgauge.operators import cumulative
 from flowgauge.operators import issue_reports as issues
 from flowgauge.operators import merge_request_reports as requests
 from flowgauge.operators.cumulative import COUNT, ESTIMATE
-from flowgauge.operators.work_items import flatten
+from flowgauge.operators.work_items import flatten, with_shared_ids
 from flowgauge.plans.catalogue import CATALOGUE, CFD_COUNT, CFD_ESTIMATE, FLOW_TAGS, flow_measurement, flow_points, tags_of
 from flowgauge.session import scratch_path
 from flowgauge.settings import FlowReport, FlowSpec
@@ -28,7 +28,9 @@ class Tables:
     """Inputs of the reports; only those a report needs have to be there.
 
     ``statuses`` are flat status rows and ``items`` one row per item, both with a
-    ``project`` column, so all projects are reported on in one job.
+    ``project`` column, so all projects are reported on in one job. ``histories`` are
+    items with their statuses nested, from which stays and flows are found within the row;
+    without them the flat rows are used.
     """
 
     statuses: DataFrame | None = None
@@ -38,6 +40,11 @@ class Tables:
     projects: DataFrame | None = None
     roles: DataFrame | None = None
     categories: DataFrame | None = None
+    histories: DataFrame | None = None
+
+    @property
+    def by_item(self) -> DataFrame | None:
+        return self.statuses if self.histories is None else self.histories
 
 
 @dataclass(frozen=True)
@@ -66,12 +73,12 @@ _BUILDERS: dict[str, Callable[[Tables, Options], DataFrame]] = {
     "team_productivity_factor": lambda t, o: issues.team_productivity(
         t.statuses, o.unit, o.learning_time, o.idle_states, PROJECT
     ),
-    "work_items_count_by_state": lambda t, o: issues.count_by_state(t.statuses, o.unit, o.as_of, PROJECT),
+    "work_items_count_by_state": lambda t, o: issues.count_by_state(t.by_item, o.unit, o.as_of, PROJECT),
     "work_items_count_by_state_moving_average": lambda t, o: issues.count_by_state_moving_average(
-        t.statuses, o.moving_periods, o.unit, o.as_of, PROJECT
+        t.by_item, o.moving_periods, o.unit, o.as_of, PROJECT
     ),
     "work_items_duration": lambda t, o: cumulative.duration_table(
-        t.statuses, o.flow, o.unit, o.types, o.priorities, series=PROJECT
+        t.by_item, o.flow, o.unit, o.types, o.priorities, series=PROJECT
     ),
     "namespace_activity_rank": lambda t, o: commits.namespace_activity_rank(t.commits, o.unit, o.top_k),
     "repos_activity_rank": lambda t, o: commits.repos_activity_rank(t.commits, o.unit, o.top_k),
@@ -329,6 +336,12 @@ def run_flow_reports(
             store.append(_group_points((normalized, measured), aggregate), name, load_id, FLOW_TAGS)
 
 
+def _histories(store: MetricStore, items: DataFrame) -> DataFrame:
+    """The items, marked where several have one id, as these have a history in common."""
+    several = _kept(store, "shared-ids", items.groupBy("project", "id").count().where("count > 1").select("project", "id"))
+    return items if several.isEmpty() else _kept(store, "marked-items", with_shared_ids(items, several))
+
+
 def run_issue_reports(
     store: MetricStore,
     load_id: int,
@@ -342,8 +355,7 @@ def run_issue_reports(
     The items are kept in the shared scratch folder, so landed files are parsed once for all reports.
     """
     items = _kept(store, "work-items", items)
-    statuses = flatten(items)
-    tables = Tables(statuses=statuses, items=items)
+    tables = Tables(statuses=flatten(items), items=items, histories=_histories(store, items))
     run_reports(store, load_id, ISSUE_RUN, tables, options)
     run_reports(store, load_id, (("work_items_duration", WEEKS),), tables, replace(options, flow=spec))
-    run_flow_reports(store, load_id, statuses, spec, reports)
+    run_flow_reports(store, load_id, tables.histories, spec, reports)

@@ -539,3 +539,62 @@ def test_commit_run_joins_each_vocabulary_once(spark, store, rows, monkeypatch):
     assert taken["commits_stats_by_project_role"] == {"createdAt", "namespace", "role", "additions", "deletions"}
     assert taken["committer_life_span_stats"] == {"committer", "firstAt", "lastAt"}
     assert "committer" not in taken["commits_summary"] and "committer" in taken["commits_stats"]
+
+
+ITEMS = (
+    "project string, id string, name string, type string, priority string, created timestamp_ntz, closed timestamp_ntz, "
+    "createdBy string, size string, estimate double, "
+    "statusHistory array<struct<created:timestamp_ntz,name:string,author:string,pos:bigint>>, epicName string, version int"
+)
+ISSUE_SPEC = {"a": FlowSpec({"new": -1, "todo": 0, "doing": 1, "done": 2}, "todo", "done")}
+
+
+def _issue_items(spark, *entries):
+    """Items of (id, type, history of (day, state))."""
+
+    def history(changes):
+        return None if changes is None else [(datetime(2020, 1, day, 9), state, "ann", at) for at, (day, state) in enumerate(changes)]
+
+    rows = [("a", key, "n", kind, "High", datetime(2020, 1, 6), None, "ann", "S", 2.0, history(h), None, None) for key, kind, h in entries]
+    return spark.createDataFrame(rows, ITEMS)
+
+
+PLAIN_ISSUES = (
+    ("1", "Bug", [(6, "todo"), (8, "done")]),
+    ("2", "Bug", [(16, "doing"), (6, "todo"), (9, "new"), (9, "todo"), (20, "done")]),
+    ("3", "Story", [(7, "todo"), (7, "doing")]),
+    ("4", "Story", []),
+    ("5", "Story", None),
+    ("6", "Bug", [(7, "todo"), (8, "done"), (28, "done")]),
+)
+SHARED_IDS = (
+    ("1", "Bug", [(7, "todo"), (9, "doing")]),
+    ("2", "Story", [(30, "todo")]),
+    (None, "Bug", [(6, "todo"), (13, "done")]),
+    (None, "Bug", [(7, "todo")]),
+)
+ISSUE_OPTIONS = reports.Options(as_of="2020-02-01", idle_states=("done",), flow=ISSUE_SPEC)
+ALL_ISSUES = (FlowReport("All", None, None, unit="DAYS"), FlowReport("Bugs", ("Bug",), None, unit="WEEKS"))
+
+
+def test_issue_run_finds_stays_and_flows_within_the_row(spark, store, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("histories were taken apart and shuffled")
+
+    monkeypatch.setattr(reports.cumulative, "normalize_statuses", refused)
+    monkeypatch.setattr(reports.issues, "state_spans", refused)
+    reports.run_issue_reports(store, 1, _issue_items(spark, *PLAIN_ISSUES), ISSUE_SPEC, ISSUE_OPTIONS, ALL_ISSUES)
+    assert store.read("cfd_count", catalogue.FLOW_TAGS).count() > 0
+
+
+@pytest.mark.parametrize("entries", [PLAIN_ISSUES, (*PLAIN_ISSUES, *SHARED_IDS)])
+def test_issue_run_gives_the_points_of_flat_rows(spark, store, rows, entries):
+    items = _issue_items(spark, *entries)
+    reports.run_issue_reports(store, 1, items, ISSUE_SPEC, ISSUE_OPTIONS, ALL_ISSUES)
+    flat = reports.Tables(statuses=reports.flatten(items), items=items)
+    for name, unit in (*reports.ISSUE_RUN, ("work_items_duration", "WEEKS")):
+        direct = reports.report_points(name, flat, replace(ISSUE_OPTIONS, unit=unit))
+        assert rows(store.read(name, catalogue.tags_of(name)), *direct.columns) == rows(direct), name
+    for aggregate in ("count", "estimate"):
+        (direct,) = reports.flow_report_points(flat.statuses, ISSUE_SPEC, ALL_ISSUES, aggregate).values()
+        assert rows(store.read(f"cfd_{aggregate}", catalogue.FLOW_TAGS), *direct.columns) == rows(direct), aggregate
