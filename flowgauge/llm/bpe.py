@@ -2,7 +2,7 @@
 
 How far text to the right can change a token follows from the merge list (``sufficient_lookahead``). A long word is merged
 in a window of fixed size; tokens that end that far before the end of the window cannot change any more and are emitted, and
-the window moves on to the first token that can.
+the window moves on to the first token that can. Short words that a worker meets for the first time are merged side by side.
 """
 
 from __future__ import annotations
@@ -11,25 +11,45 @@ import codecs
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 VOCABULARY = "byte_bpe_50k.json"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# The pattern of byte_bpe_50k.json with white space spelled out, as libraries differ in what \s means.
-PATTERN = regex.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
+
+
+def _form(letters: str, numbers: str) -> str:
+    """The pattern of byte_bpe_50k.json with white space spelled out, as libraries differ in what \\s means."""
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACE}{letters}{numbers}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+
+
+PATTERN = regex.compile(_form(r"\p{L}", r"\p{N}"))
 WINDOW = 512
-CACHED_WORDS, CACHED_BYTES = 400_000, 64
+#: Words that a worker keeps twice (those met of late and those met before), the longest of them, and those merged side by side.
+CACHED_WORDS, CACHED_BYTES, AT_ONCE = 400_000, 64, 2048
 BATCH_WORDS = 1 << 16
 _NONE = (1 << 62, -1)  # the rank of a pair that does not merge
 
 
+@lru_cache(maxsize=1)
+def _short_pattern() -> re.Pattern:
+    """``PATTERN`` for texts without characters beyond U+FFFF, with its classes spelled out for the faster ``re``."""
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x10000))))
+    letters, numbers = ("".join(f"{run[0]}-{run[-1]}" for run in regex.findall(rf"\p{{{kind}}}+", every)) for kind in "LN")
+    return re.compile(_form(letters, numbers))
+
+
+def _pattern(text: str) -> re.Pattern | regex.Pattern:
+    return _short_pattern() if len(text.encode("utf-16-le")) == 2 * len(text) else PATTERN
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in vocabulary files of this kind."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -55,6 +75,12 @@ class Vocabulary:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[ids[left], ids[right]] = (rank, ids[left + right])
         self.lookahead = self.sufficient_lookahead()
+        self.digits = {at: str(at) for at in self.bytes_of}
+        keys = np.array([left << 32 | right for left, right in self.merges], np.int64)
+        self._rank_of = np.argsort(keys).astype(np.int32)
+        self._keys = keys[self._rank_of]
+        self._merged_at = np.array([merged for _, merged in self.merges.values()], np.int32)
+        self._numbers = np.array([*range(max(self.bytes_of) + 1)], object)  # words share these numbers
 
     def sufficient_lookahead(self) -> int:
         """Bytes after a token from which on no further text can change it.
@@ -123,6 +149,46 @@ class Vocabulary:
         parts = [self.byte_ids[b] for b in data]
         return self._merge_short(parts) if len(parts) <= 48 else self._merge_long(parts)
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of every pair; of pairs that do not merge, the number of merges."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return np.where(self._keys[at] == keys, self._rank_of[at], np.int32(len(self._keys)))
+
+    def merge_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of many short words, a row of an array to each. A step makes the first merge of least rank in every row.
+
+        The cells of a row are a linked list, as in ``_merge_long``; the last one stays free and merges with nothing.
+        """
+        if not len(self._keys):
+            return [tuple(self._merged(word)) for word in words]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        width, none = int(lengths.max(initial=0)) + 1, len(self._keys)
+        held = np.arange(width) < lengths[:, None]
+        table = np.full((len(words), width), -1, np.int32)
+        table[held] = np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(words), np.uint8)]
+        open_ranks = np.full(table.shape, none, np.int32)
+        open_ranks[:, :-1] = self._ranks(table[:, :-1], table[:, 1:])
+        parts, ranks = table.reshape(-1), open_ranks.reshape(-1)
+        after, before = np.arange(1, len(parts) + 1), np.arange(-1, len(parts) - 1)
+        rows = np.arange(len(words))
+        while len(rows):
+            at = open_ranks[rows].argmin(1) + rows * width
+            merging = ranks[at] < none
+            rows, at = rows[merging], at[merging]
+            other = after[at]
+            parts[at], parts[other] = self._merged_at[ranks[at]], -1
+            ranks[other] = none
+            after[at] = after[other]
+            before[after[at]] = at
+            ranks[at] = self._ranks(parts[at], parts[after[at]])
+            later = at[at > rows * width]
+            ranks[before[later]] = self._ranks(parts[before[later]], parts[later])
+        left = table >= 0
+        ids = self._numbers[table[left]].tolist()
+        ends = left.sum(1).cumsum().tolist()
+        return [tuple(ids[start:end]) for start, end in zip([0, *ends], ends)]
+
     def encode_word(self, data: bytes) -> Iterator[int]:
         """Ids of one word; memory does not depend on its length."""
         start, window = 0, max(WINDOW, 4 * self.lookahead)
@@ -137,19 +203,35 @@ class Vocabulary:
 
 
 class _Seen(dict):
-    """Ids of words met before, without long ones; asked for another word, it encodes that."""
+    """Ids of words met before, without long ones; asked for another word, it encodes that.
+
+    When there are too many, words not met since the last time there were are forgotten.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def __missing__(self, word: str) -> tuple[int, ...] | Iterator[int]:
-        data = word.encode()
-        if len(data) > CACHED_BYTES:
-            return self.vocabulary.encode_word(data)
-        if len(self) >= CACHED_WORDS:
+    def learn(self, words: set[str]) -> None:
+        """Merges the short ones of these words that were not met before."""
+        new = [word for word in words if word not in self]
+        if len(self) + len(new) > CACHED_WORDS:
+            self.older = dict(self)
             self.clear()
-        found = self[word] = tuple(self.vocabulary._merged(data))
-        return found
+            new = words
+        unknown = []
+        for word in new:
+            if found := self.older.get(word):
+                self[word] = found
+            elif len(data := word.encode()) <= CACHED_BYTES:
+                unknown.append((word, data))
+        unknown.sort(key=lambda pair: len(pair[1]))
+        for start in range(0, len(unknown), AT_ONCE):
+            block = unknown[start : start + AT_ONCE]
+            self.update(zip((word for word, _ in block), self.vocabulary.merge_words([data for _, data in block])))
+
+    def __missing__(self, word: str) -> Iterable[int]:
+        return self.older.get(word) or self.vocabulary.encode_word(word.encode())
 
 
 class Encoder:
@@ -166,10 +248,10 @@ class Encoder:
             if at % 2:
                 yield self.vocabulary.special[piece]
             elif len(piece) < BATCH_WORDS:
-                yield PATTERN.findall(piece)
+                yield _pattern(piece).findall(piece)
             else:
                 batch = []
-                for m in PATTERN.finditer(piece):
+                for m in _pattern(piece).finditer(piece):
                     batch.append(m.group())
                     if len(batch) >= BATCH_WORDS:
                         yield batch
@@ -178,11 +260,24 @@ class Encoder:
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of a text in order, in lists."""
+        return next(self.streams([text]))
+
+    def streams(self, texts: list[str]) -> Iterator[Iterator[list[int]]]:
+        """The stream of every text; new words of texts that are not long are merged together."""
+        cut = [[*self._words(text)] if len(text) < BATCH_WORDS else None for text in texts]
+        self.seen.learn(set().union(*(words for found in cut if found for words in found if not isinstance(words, int))))
+        for text, found in zip(texts, cut):
+            yield self._ids(found) if found is not None else self._ids(self._learned(text))
+
+    def _learned(self, text: str) -> Iterator[list[str] | int]:
         for words in self._words(text):
-            if isinstance(words, int):
-                yield [words]
-            else:
-                yield list(chain.from_iterable(map(self.seen.__getitem__, words)))
+            if not isinstance(words, int):
+                self.seen.learn(set(words))
+            yield words
+
+    def _ids(self, found: Iterable[list[str] | int]) -> Iterator[list[int]]:
+        for words in found:
+            yield [words] if isinstance(words, int) else list(chain.from_iterable(map(self.seen.__getitem__, words)))
 
 
 class Decoder:
@@ -209,29 +304,29 @@ def read_vocabulary(path: str | None = None) -> bytes:
         return file.read()
 
 
+@lru_cache(maxsize=1)
+def _encoder(source: bytes) -> Encoder:
+    """A worker keeps it, with the words met, from task to task."""
+    return Encoder(Vocabulary(source))
+
+
 def _digests(source: bytes):
-    made: list[Encoder] = []
-
-    def digest(text: str) -> tuple[int, str, str]:
-        if not made:
-            made.append(Encoder(Vocabulary(source)))
-            names.update({at: str(at) for at in made[0].vocabulary.bytes_of})
-        encoder = made[0]
-        decoder = Decoder(encoder.vocabulary)
+    def digest(vocabulary: Vocabulary, stream: Iterator[list[int]]) -> tuple[int, str, str]:
+        decoder = Decoder(vocabulary)
         n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-        for ids in encoder.stream(text):
+        for ids in stream:
             if ids:
-                ids_hash.update((("," if n else "") + ",".join(map(names.__getitem__, ids))).encode())
+                ids_hash.update((("," if n else "") + ",".join(map(vocabulary.digits.__getitem__, ids))).encode())
                 text_hash.update(decoder.feed(ids).encode())
                 n += len(ids)
         text_hash.update(decoder.finish().encode())
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
-    names: dict[int, str] = {}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(source)
         for batch in batches:
-            rows = [digest(text or "") for text in batch.column(1).to_pylist()]
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            rows = [digest(encoder.vocabulary, stream) for stream in encoder.streams(texts)]
             columns = list(zip(*rows)) if rows else [(), (), ()]
             kinds = (pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -245,14 +340,12 @@ def _digests(source: bytes):
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with ``ids``, the token ids of ``text`` (null: no tokens); a column ``ids`` is replaced."""
     source = read_vocabulary(path)
-    made: list[Encoder] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Encoder(Vocabulary(source)))
+        encoder = _encoder(source)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            ids = [list(chain.from_iterable(made[0].stream(text or ""))) for text in texts]
+            texts = [text or "" for text in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            ids = [list(chain.from_iterable(stream)) for stream in encoder.streams(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
     carried = docs.drop("ids")
@@ -262,15 +355,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 def decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with ``decoded``, the text of ``ids`` (null: empty); a column ``decoded`` is replaced."""
     source = read_vocabulary(path)
-    made: list[Vocabulary] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Vocabulary(source))
+        vocabulary = _encoder(source).vocabulary
         for batch in batches:
             texts = []
             for ids in batch.column(batch.schema.get_field_index("ids")).to_pylist():
-                decoder = Decoder(made[0])
+                decoder = Decoder(vocabulary)
                 texts.append(decoder.feed(ids or ()) + decoder.finish())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 

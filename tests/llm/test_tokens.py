@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from flowgauge.llm import bpe, packing, token_counts
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -72,6 +73,52 @@ def test_bpe_frames(spark, documents, library):
     assert bpe.encode_and_decode(documents([])).count() == 0
 
 
+def test_words_side_by_side(vocabulary):
+    rng = random.Random(5)
+    words = ["".join(rng.choices(ALPHABET, k=rng.randrange(1, 20))).encode()[:64] for _ in range(3000)] + [bytes([b]) for b in range(256)]
+    words += [b"aaaaaaaa", b" the" * 16, b"-" * 63, bytes(range(64))]
+    assert vocabulary.merge_words(words) == [tuple(vocabulary._merged(word)) for word in words]
+    assert vocabulary.merge_words([]) == []
+
+
+def test_short_pattern_is_the_pattern():
+    rng = random.Random(6)
+    points = [chr(at) for at in range(0x10000) if not 0xD800 <= at < 0xE000]
+    for _ in range(4):
+        rng.shuffle(points)
+        text = "".join(c + rng.choice(["", "", " ", "  ", "a", "1", "!", "'s", "\n "]) for c in points)
+        assert bpe._pattern(text) is bpe._short_pattern()
+        assert bpe._short_pattern().findall(text) == bpe.PATTERN.findall(text)
+    assert bpe._pattern("a\U0001d400") is bpe.PATTERN
+
+
+def test_worker_keeps_vocabulary_and_words(monkeypatch, prose, library):
+    source = bpe.read_vocabulary()
+    loaded, merged = [], []
+    load, merge = bpe.Vocabulary.__init__, bpe.Vocabulary._merged
+    monkeypatch.setattr(bpe.Vocabulary, "__init__", lambda self, source: (loaded.append(1), load(self, source))[1])
+    monkeypatch.setattr(bpe.Vocabulary, "_merged", lambda self, data: (merged.append(data), merge(self, data))[1])
+    texts = [prose(at, 200) for at in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts)], names=["doc_id", "text"])
+    tasks = [[row for part in bpe._digests(source)(iter([batch])) for row in part.to_pylist()] for _ in range(3)]
+    assert tasks[0] == tasks[1] == tasks[2] and [r["n_tokens"] for r in tasks[0]] == [len(library.encode(t).ids) for t in texts]
+    assert len(loaded) <= 1 and not merged  # words are short, so they are merged side by side, and once
+
+
+def test_few_words_kept(vocabulary, library, monkeypatch, prose):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 300)
+    encoder = bpe.Encoder(vocabulary)
+    made = [*texts(), *(prose(at % 30, 100) for at in range(90)), "🙂 " + prose(1, 30_000)]
+    for start in range(0, len(made), 7):
+        part = made[start : start + 7]
+        for text, stream in zip(part, encoder.streams(part)):
+            assert [at for ids in stream for at in ids] == library.encode(text, add_special_tokens=False).ids
+    assert encoder.seen.older
+    for at in range(40):
+        list(encoder.stream(prose(at, 100)))
+        assert len(encoder.seen) <= 300 and len(encoder.seen.older) <= 40_000
+
+
 def test_counts_same_as_library():
     pieces = token_counts.read_pieces()
     library = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
