@@ -43,6 +43,7 @@ CACHED_PIECES, CACHED_LENGTH, AT_ONCE = 800_000, 64, 1000
 _HEAD = struct.Struct("<4sBBHQQ")
 _MAGIC, _VERSION = b"FWID", 1
 _PER_GROUP = 64
+_WHOLE_BYTES = {8: "<u1", 16: "<u2", 32: "<u4"}  # widths that numpy has itself
 
 
 def bits_for(n_ids: int) -> int:
@@ -52,6 +53,8 @@ def bits_for(n_ids: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """Ids in ``width`` bits each, without padding but for the last byte."""
+    if width in _WHOLE_BYTES:
+        return ids.astype(_WHOLE_BYTES[width]).tobytes()
     groups = np.zeros((-(-len(ids) // _PER_GROUP), _PER_GROUP), np.uint64)
     groups.reshape(-1)[: len(ids)] = ids
     words = np.zeros((len(groups), width + 1), np.uint64)
@@ -65,6 +68,8 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 def unpack(data: bytes, n: int, width: int) -> np.ndarray:
     """The first ``n`` ids of packed data."""
+    if width in _WHOLE_BYTES:
+        return np.frombuffer(data, _WHOLE_BYTES[width], n).astype(np.uint32)
     n_groups = -(-n // _PER_GROUP)
     padded = np.zeros(n_groups * width * 8, np.uint8)
     raw = np.frombuffer(data, np.uint8)[: len(padded)]
@@ -131,25 +136,51 @@ class Segment:
         return self.ids(int(self.starts[at]), int(self.starts[at + 1]))
 
 
+class _Known(dict):
+    """The ids of pieces met before, as bytes; another piece gets an empty place in ``new``, to be filled later."""
+
+    def __init__(self):
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, piece: str) -> bytearray:
+        place = self.new.get(piece)
+        if place is None:
+            place = self.new[piece] = bytearray()
+        return place
+
+
 class WordEncoder:
     """Ids by the tokenizers library, each different piece of text once.
 
     The vocabulary's pattern never matches across white space, and its normal form does not join characters across it, so a
     text's ids are those of its words by ASCII white space, one after the other. Words of ASCII and Western European letters
     alone are cut further, by the pattern itself. With a vocabulary of another pattern, whole texts are encoded.
+
+    Pieces cut by the pattern are in this vocabulary's normal form already, so ``plain`` leaves that step out. If the vocabulary marks the end of
+    words, and any byte can be there, the marks tell where the ids of each piece end: no piece has both letters and signs, so
+    none holds a mark itself.
     """
 
     def __init__(self, source: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_str(source.decode())
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer, self.plain = (Tokenizer.from_str(source.decode()) for _ in range(2))
+        for tokenizer in (self.tokenizer, self.plain):
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = bits_for(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.by_words = _PATTERN in [part.get("pattern", {}).get("Regex") for part in json.loads(source)["pre_tokenizer"].get("pretokenizers", [])]
-        self.known: dict[str, bytes] = {}
+        read = json.loads(source)
+        if (read["normalizer"] or {}).get("normalizers") == _NORMAL:
+            self.plain.normalizer = normalizers.Sequence([])
+        self.by_words = _PATTERN in [part.get("pattern", {}).get("Regex") for part in read["pre_tokenizer"].get("pretokenizers", [])]
+        vocabulary, mark = self.tokenizer.get_vocab(), read["model"].get("end_of_word_suffix")
+        self.ends = None
+        if mark == "</w>" and all(letter + mark in vocabulary for letter in pre_tokenizers.ByteLevel.alphabet()):
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[at for token, at in vocabulary.items() if token.endswith(mark)]] = True
+        self.known = _Known()
 
     def _plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(token in text for token in self.special)
@@ -168,42 +199,48 @@ class WordEncoder:
                 found.append(word)
         return found
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new pieces. Those that the pattern takes whole are encoded many at a time, apart by spaces."""
-        whole = [piece for piece in new if self.by_words and _PLAIN.fullmatch(piece) and _PIECES.fullmatch(piece)]
+    def _learn(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """New pieces with their ids. Those that the pattern takes whole are encoded many at a time, apart by spaces."""
+        whole = [*filter(_WHOLE.fullmatch, new)] if self.by_words else []
         others = set(new).difference(whole)
         for start in range(0, len(whole), AT_ONCE):
             pieces = whole[start : start + AT_ONCE]
-            one = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-            ids, word = np.array(one.ids, "<u4"), np.array(one.word_ids)
-            cuts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
-            if len(cuts) != len(pieces) + 1:
+            text = " ".join(pieces)
+            if self.ends is not None:
+                ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                last = self.ends[ids]
+            else:
+                one = self.plain.encode(text, add_special_tokens=False)
+                ids, word = np.array(one.ids, "<u4"), np.array(one.word_ids)
+                last = np.append(word[1:] != word[:-1], True)
+            cuts = np.concatenate(([0], np.flatnonzero(last) + 1))
+            if len(cuts) != len(pieces) + 1 or cuts[-1] != len(ids):
                 raise ValueError("the tokenizer does not cut words by the expected pattern")
             data, cuts = ids.tobytes(), (cuts * 4).tolist()
-            self.known.update((piece, data[a:b]) for piece, a, b in zip(pieces, cuts, cuts[1:]))
+            yield from ((piece, data[a:b]) for piece, a, b in zip(pieces, cuts, cuts[1:]))
         for piece, one in zip(others, self.tokenizer.encode_batch([*others], add_special_tokens=False)):
-            self.known[piece] = np.array(one.ids, "<u4").tobytes()
+            yield piece, np.array(one.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         """The ids of every text (null: none) with the closing id."""
-        cut = [self.pieces(text or "") for text in texts]
-        known = self.known
-        new = [piece for piece in set().union(*cut) if piece not in known]
-        self._learn(new)
-        end = np.array([end_id], "<u4").tobytes()
-        found = [np.frombuffer(b"".join([*map(known.__getitem__, pieces), end]), "<u4") for pieces in cut]
-        full = len(known) > CACHED_PIECES
-        for piece in new:
-            if full or len(piece) > CACHED_LENGTH:
-                del known[piece]
-        return found
+        known, new, end = self.known, {}, np.array([end_id], "<u4").tobytes()
+        known.new = new
+        found = [[*map(known.__getitem__, self.pieces(text or "")), end] for text in texts]
+        for piece, ids in self._learn([*new]):
+            new[piece][:] = ids
+            if len(known) < CACHED_PIECES and len(piece) <= CACHED_LENGTH:
+                known[piece] = ids
+        return [np.frombuffer(b"".join(parts), "<u4") for parts in found]
 
 
 _WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: The pattern of word_bpe_49k.json, and what it says for lower-case text of the characters of _PLAIN alone.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _PLAIN = re.compile("[\\t\\n\\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\s0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\s0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: What may be a piece by _PIECES; texts with anything else are given to the library as they are.
+_WHOLE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
 
 
 @lru_cache(maxsize=1)

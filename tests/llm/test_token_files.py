@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -76,6 +77,44 @@ def test_cutting_changes_no_id(library, encoder, texts):
     assert [ids.tolist() for ids in encoder.encode(texts, 2)] == [library(text) for text in texts]
 
 
+def test_pieces_are_encoded_once_by_the_plain_way(library, monkeypatch):
+    encoder = T.WordEncoder(T.read_vocabulary())
+    assert encoder.plain.normalizer is not None and encoder.plain.normalizer.normalize_str("ÀB  c") == "ÀB  c"
+    asked = []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: (asked.extend(new), learn(new))[1])
+    texts = ["Été's one two, two (three) 45 !?-", "one TWO three's ÷ two\u2019s", None, "'ll 's 'sx ''s </w> a</w>b"]
+    for _ in range(2):
+        assert [ids.tolist() for ids in encoder.encode(texts, 2)] == [library(text) for text in texts]
+    assert len(asked) == len(set(asked)) > 10
+    assert not encoder.known.keys() - set(asked) and all(type(ids) is bytes for ids in encoder.known.values())
+
+
+def test_few_pieces_kept(library, monkeypatch, prose):
+    monkeypatch.setattr(T, "CACHED_PIECES", 50)
+    encoder = T.WordEncoder(T.read_vocabulary())
+    for at in range(0, 30, 3):
+        texts = [*(prose(seed, 80) for seed in range(at, at + 3)), *ODD]
+        assert [ids.tolist() for ids in encoder.encode(texts, 2)] == [library(text) for text in texts]
+        assert len(encoder.known) <= 50
+
+
+@pytest.mark.parametrize("change", ["no mark", "other form"])
+def test_other_vocabularies_of_the_pattern(change):
+    read = json.loads(T.read_vocabulary())
+    if change == "no mark":  # of any word that ends in x, so words are told apart another way
+        read["model"]["merges"] = []
+        at = read["model"]["vocab"].pop("x</w>")
+        read["model"]["vocab"]["unused"] = at
+    else:
+        read["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": "e"}, "content": "o"})
+    source = json.dumps(read).encode()
+    whole, encoder = Tokenizer.from_str(source.decode()), T.WordEncoder(source)
+    assert (encoder.ends is None) == (change == "no mark")
+    texts = ["we see a tree, here's one", "Café e E 3", "some text of words"]
+    assert [ids.tolist() for ids in encoder.encode(texts, 2)] == [[*whole.encode(text, add_special_tokens=False).ids, 2] for text in texts]
+
+
 def text_hash(text):
     """Spark's hash of a string; of a null, its seed."""
     value = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
